@@ -1,12 +1,18 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from joulewright.llm import chat_views, packing, token_counts
+from joulewright.llm import chat_views, decontamination, exact_dedup, html_text, packing, pii, token_counts
 
 QUERIES = {
+    "op1_weak_supervision_pii": pii.query,
     "op3_harmonic_packing": packing.query,
+    "op4_perfect_hash_dedup": exact_dedup.query,
     "op7_overlap_token_counts": token_counts.query,
+    "op8_positional_decontamination": decontamination.query,
     "op9_perspective_rotation": chat_views.query,
+    "op10_layout_text": html_text.query,
 }
 ORACLES = {
+    "op4_perfect_hash_dedup": exact_dedup.ORACLE,
+    "op8_positional_decontamination": decontamination.ORACLE,
     "op9_perspective_rotation": chat_views.ORACLE,
 }
