@@ -1,4 +1,79 @@
-STAGES = []
+"""From documents to packed training sequences, in five stages.
+
+Every stage but the last returns rows of documents with all their columns. A stage that
+decides by row numbers its input once, in a table written to the shared folder, so that
+rows with equal or missing ids are still told apart.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from joulewright.llm import decontamination, exact_dedup, near_dedup, packing, toxicity
+from joulewright.llm.common import materialize, read, text_of
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a number, written once, and the name of its column."""
+    row = "row_number"
+    while row in docs.columns:
+        row += "_"
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+
+
+def only(rows: DataFrame, row: str, kept: DataFrame) -> DataFrame:
+    """The rows whose numbers kept has in its one column."""
+    return rows.join(kept.toDF(row), row, "left_semi").select(*[c for c in rows.columns if c != row])
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.fit(text_of(docs), read(spark, sf_dir, "labels"))
+    return toxicity.without_toxic(docs, model)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows, row = numbered(docs)
+    return only(rows, row, exact_dedup.dedup(rows, row_col=row).where("kept").select("row"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows, row = numbered(docs)
+    groups = near_dedup.near_duplicates(rows, id_col=row).select(F.col("doc_id").alias("row"), "component_id")
+    ids = rows.select(F.col(row).alias("row"), F.col("doc_id").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "row"))
+    return only(rows, row, groups.join(ids, "row").groupBy("component_id").agg(first.alias("first")).select("first.row"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows, row = numbered(docs)
+    found = decontamination.decontaminate(rows, read(spark, sf_dir, "benchmark"), id_col=row)
+    return only(rows, row, found.where("NOT contaminated").select("doc_id"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    return packing.pack(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
+
+#: A trained model and a tokenizer are no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of the documents of sf_dir that all stages keep."""
+    docs = read(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, name)
+    return docs

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joulewright.llm.common import ASCII_SPACE, materialize, read, text_of
+from joulewright.llm.common import ASCII_SPACE, materialize, read
 
 #: A group's winner (most code points, smallest id, first row) and its size.
 BEST = "digest binary, n_chars long, keep_id long, keep_row long, group_size long"
@@ -104,13 +104,14 @@ def slot_bytes(g: pd.DataFrame) -> list[bytes]:
     return [struct.pack(SLOT, *x) for x in zip(g["digest"], g["n_chars"], ids, g["keep_row"], g["group_size"], null)]
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """doc_id, row (a number of its own for each row), digest of the normalised text, code points."""
-    t = text_of(docs, id_col, text_col)
+    row = (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row")
+    t = docs.select(F.col(id_col).cast("long").alias("doc_id"), row, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     plain = F.translate("text", ASCII_SPACE, "")
     return t.select(
         "doc_id",
-        F.monotonically_increasing_id().alias("row"),
+        "row",
         F.unhex(F.sha2(plain.cast("binary"), 256)).alias("digest"),
         F.length("text").cast("long").alias("n_chars"),
     )
@@ -169,19 +170,20 @@ def look_up(index: DataFrame, groups: DataFrame, shards: int) -> DataFrame:
     return index.groupBy("shard").cogroup(groups.withColumn("shard", shard(shards)).groupBy("shard")).applyInPandas(merge, f"{BEST}, member boolean")
 
 
-def dedup(docs: DataFrame, history: Column | None = None, per_shard: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, history: Column | None = None, per_shard: int = 50_000, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row per document: doc_id, row, keep_id, group_size, kept, text_sha256, member.
 
     `history` says which rows make up the history that the index is built from (a condition
     on doc_id, null: none of them; by default half of the ids, by a hash); the result does
-    not depend on it, but `member` (the digest was in the index) does. Texts are equal when
+    not depend on it, but `member` (the digest was in the index) does. `row` is the row's
+    number, that of `row_col` where it is given (unique, not null). Texts are equal when
     identical without ASCII white space; the row with the most code points, then the
     smallest id, stays. Null and empty texts are equal to each other. Null ids come last
     and have a null keep_id among themselves; of rows alike in all, one stays. Other
     columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = materialize(keyed(docs, id_col, text_col), "digests")
+    rows = materialize(keyed(docs, id_col, text_col, row_col), "digests")
     history = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0 if history is None else history
     old = F.coalesce(history, F.lit(False))
     groups = materialize(best(rows.where(old)), "history")

@@ -1,11 +1,14 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from joulewright.llm import chat_views, decontamination, exact_dedup, html_text, packing, pii, token_counts
+from joulewright.llm import chat_views, decontamination, exact_dedup, html_text, near_dedup, packing, pii, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_weak_supervision_pii": pii.query,
+    "op2_vantage_point_simhash": near_dedup.query,
     "op3_harmonic_packing": packing.query,
     "op4_perfect_hash_dedup": exact_dedup.query,
+    "op5_multiple_instance_toxicity": toxicity.query,
+    "op6_radix_substring_dedup": substring_dedup.query,
     "op7_overlap_token_counts": token_counts.query,
     "op8_positional_decontamination": decontamination.query,
     "op9_perspective_rotation": chat_views.query,
