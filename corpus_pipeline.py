@@ -2,17 +2,38 @@
 
 Every stage but the last returns rows of documents with all their columns. A stage that
 decides by row numbers its input once, in a table written to the shared folder, so that
-rows with equal or missing ids are still told apart.
+rows with equal or missing ids are still told apart. A stage's tables are deleted when the
+next stage begins, which reads what the stage before has written.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joulewright.llm import decontamination, exact_dedup, near_dedup, packing, toxicity
-from joulewright.llm.common import materialize, read, text_of
+from joulewright.llm.common import collected, drop_tables, materialize, read, release, text_of
+
+
+#: Tables of the stage before, which its result may still read until it is written.
+LEFT: list[str] = []
+
+
+def stage(step: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @wraps(step)
+    def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        LEFT[:] = drop_tables(spark, LEFT, but=docs)
+        release(spark)
+        with collected() as tables:
+            out = step(spark, docs, sf_dir)
+        LEFT.extend(tables)
+        return out
+
+    return run_step
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -28,16 +49,19 @@ def only(rows: DataFrame, row: str, kept: DataFrame) -> DataFrame:
     return rows.join(kept.toDF(row), row, "left_semi").select(*[c for c in rows.columns if c != row])
 
 
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(text_of(docs), read(spark, sf_dir, "labels"))
     return toxicity.without_toxic(docs, model)
 
 
+@stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, row = numbered(docs)
     return only(rows, row, exact_dedup.dedup(rows, row_col=row).where("kept").select("row"))
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, row = numbered(docs)
     groups = near_dedup.near_duplicates(rows, id_col=row).select(F.col("doc_id").alias("row"), "component_id")
@@ -46,12 +70,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return only(rows, row, groups.join(ids, "row").groupBy("component_id").agg(first.alias("first")).select("first.row"))
 
 
+@stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, row = numbered(docs)
     found = decontamination.decontaminate(rows, read(spark, sf_dir, "benchmark"), id_col=row)
     return only(rows, row, found.where("NOT contaminated").select("doc_id"))
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path
     return packing.pack(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"))
@@ -71,9 +97,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of the documents of sf_dir that all stages keep."""
-    docs = read(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    docs, written = read(spark, sf_dir, "documents"), []
+    for k, (name, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = materialize(docs, name)
+            with collected() as results:
+                docs = materialize(docs, name)
+            drop_tables(spark, written)
+            written = results
     return docs

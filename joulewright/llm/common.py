@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,34 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: The lists that materialize() enters its tables in; see collected().
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The paths of the tables that are materialized meanwhile, for drop_tables()."""
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield paths
+    finally:
+        _OPEN.remove(paths)
+
+
+def drop_tables(spark: SparkSession, paths: list[str], but: DataFrame | None = None) -> list[str]:
+    """Delete materialized tables that `but` does not read; returns those that it does."""
+    read_ = {f for f in but.inputFiles()} if but is not None else set()
+    kept = []
+    for path in paths:
+        if any(f"/{path.rsplit('/', 1)[1]}/" in f for f in read_):
+            kept.append(path)
+        else:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return kept
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back.
 
@@ -40,7 +70,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     a result that several later steps use from being computed again for each of them.
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    for paths in _OPEN:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
