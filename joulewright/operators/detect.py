@@ -118,9 +118,14 @@ def pca_scores(grid: DataFrame, components: int = 3, cells: int = 24) -> DataFra
         wide = g.pivot_table(index="date", columns="tod_slot", values="value", aggfunc="mean").reindex(columns=range(cells))
         x = wide.to_numpy(float)
         mean = np.nan_to_num(np.nanmean(x, axis=0)) if len(x) else np.zeros(cells)
-        x = np.where(np.isnan(x), mean, x) - mean
-        _, _, v = np.linalg.svd(x, full_matrices=False)
-        k = min(components, max(0, len(x) - 1))
+        x = np.where(np.isnan(x), mean, x)
+        # odd days must not shape what they are judged by: the tenth farthest from the median is left out of the fit
+        far = np.sqrt(((x - np.median(x, axis=0)) ** 2).mean(axis=1))
+        usual = x[far <= np.quantile(far, 0.9)]
+        mean = usual.mean(axis=0)
+        x, usual = x - mean, usual - mean
+        _, _, v = np.linalg.svd(usual, full_matrices=False)
+        k = min(components, max(0, len(usual) - 1))
         rest = x - x @ v[:k].T @ v[:k]
         return pd.DataFrame({"entity_id": g["entity_id"].iloc[0], "date": wide.index, "error": np.sqrt((rest**2).mean(axis=1))})
 

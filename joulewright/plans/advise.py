@@ -163,7 +163,7 @@ def tariff_forecast_split(spark, d):
 
 
 @query(
-    "WITH " + SQL_HOURLY + ", o AS (SELECT entity_id, DATE '2024-01-15' + CAST(k * 7 AS INT) AS o FROM (SELECT DISTINCT entity_id FROM g), range(0, 3) u(k)), q AS (SELECT g.entity_id, o, day_type, tod_slot, median(value) AS p50 FROM g JOIN o ON g.entity_id = o.entity_id AND slot < o AND slot >= o - INTERVAL 14 DAYS GROUP BY 1, 2, 3, 4), "
+    "WITH " + SQL_HOURLY + ", o AS (SELECT entity_id, DATE '2024-01-15' + CAST(k * 7 AS INT) AS o FROM (SELECT DISTINCT entity_id FROM g), range(0, 3) u(k)), q AS (SELECT g.entity_id, o, day_type, tod_slot, median(value) AS p50 FROM g JOIN o ON g.entity_id = o.entity_id AND slot < o AND slot >= o - INTERVAL 14 DAYS GROUP BY ALL), "
     "a AS (SELECT g.*, o.o FROM g JOIN o ON g.entity_id = o.entity_id AND slot >= o AND slot < o + INTERVAL 1 DAY) SELECT a.o::VARCHAR AS issued_on, count(*) AS n, round(avg(abs(value - p50)), 4) AS mae FROM a LEFT JOIN q ON a.entity_id = q.entity_id AND a.o = q.o AND a.day_type = q.day_type AND a.tod_slot = q.tod_slot GROUP BY 1"
 )
 def forecast_backtest(spark, d):

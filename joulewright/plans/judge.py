@@ -267,7 +267,7 @@ def odd_days_capped(spark, d):
 
 
 @query(
-    "WITH " + SQL_HOURLY + ", m AS (SELECT entity_id, day_type AS nearest, tod_slot, avg(value) AS mean FROM g GROUP BY 1, 2, 3), a AS (SELECT g.entity_id, CAST(slot AS DATE) AS date, g.day_type, nearest, round(avg((value - mean) * (value - mean)), 9) AS dist FROM g JOIN m ON g.entity_id = m.entity_id AND g.tod_slot = m.tod_slot GROUP BY 1, 2, 3, 4) "
+    "WITH " + SQL_HOURLY + ", m AS (SELECT entity_id, day_type AS nearest, tod_slot, avg(value) AS mean FROM g GROUP BY 1, 2, 3), a AS (SELECT g.entity_id, CAST(slot AS DATE) AS date, g.day_type, nearest, round(avg((value - mean) * (value - mean)), 9) AS dist FROM g JOIN m ON g.entity_id = m.entity_id AND g.tod_slot = m.tod_slot GROUP BY ALL) "
     "SELECT entity_id, date::VARCHAR AS date, day_type, arg_min(nearest, dist) AS nearest, arg_min(nearest, dist) <> day_type AS wrong FROM a GROUP BY 1, 2, 3"
 )
 def wrong_day_type(spark, d):

@@ -217,7 +217,7 @@ def quality_range(spark, d):
     return quality.out_of_range(samples(spark, d), limits).select("event_id", "value")
 
 
-@query("SELECT event_type AS entity_id, round(median(user_id * 4.0), 4) AS median_seconds, abs(median(user_id * 4.0)) > 300 AS drifts FROM events GROUP BY 1")
+@query("SELECT event_type AS entity_id, round(median(CAST(user_id * 4 AS DOUBLE)), 4) AS median_seconds, abs(median(CAST(user_id * 4 AS DOUBLE))) > 300 AS drifts FROM events GROUP BY 1")
 def quality_clock_drift(spark, d):
     s = samples(spark, d).withColumn("ingest_ts", F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("user_id") * 4))
     return quality.clock_drift(s).withColumn("median_seconds", r4("median_seconds"))

@@ -38,8 +38,9 @@ def read_wide_meters(spark: SparkSession, path: str, time_col: str = "timestamp"
     """Hourly meter files with a column per meter, as telemetry; empty cells are missing, not 0."""
     wide = spark.read.options(header="true").csv(path)
     meters = [c for c in wide.columns if c != time_col]
-    typed = wide.select(F.to_timestamp(time_col).alias("ts"), *[F.col(f"`{c}`").cast("double").alias(c) for c in meters])
-    long = typed.unpivot("ts", meters, "entity_id", "value").where("value IS NOT NULL")
+    quoted = [F.col(f"`{c}`") for c in meters]
+    typed = wide.select(F.to_timestamp(time_col).alias("ts"), *[c.cast("double").alias(n) for c, n in zip(quoted, meters)])
+    long = typed.unpivot("ts", quoted, "entity_id", "value").where("value IS NOT NULL")
     return long.select("entity_id", F.lit(source).alias("source"), F.lit(key).alias("key"), "ts", "value", F.col("ts").alias("ingest_ts"))
 
 

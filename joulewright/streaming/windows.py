@@ -52,6 +52,7 @@ def upsert_events(path: str) -> Callable[[DataFrame, int], None]:
         spark = batch.sparkSession
         held = latest_events(spark, path, before=number)
         # of one event, an end beats no end, then the later end
+        batch = batch.select("entity_id", "rule", "start", "end")
         both = batch if held is None else batch.unionByName(held)
         newest = both.groupBy("entity_id", "rule", "start").agg(F.max("end").alias("end"))
         newest.write.mode("overwrite").parquet(f"{path}/batch={number}")
