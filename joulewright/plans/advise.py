@@ -211,7 +211,7 @@ def morning_start(spark, d):
 
 
 @query(
-    "WITH d AS (SELECT date_trunc('hour', ts) AS slot, avg(value) AS load FROM events GROUP BY 1), o AS (SELECT slot, load, 6.0 + k * 0.5 AS sp FROM d, range(0, 7) u(k)) "
+    "WITH d AS (SELECT date_trunc('hour', ts) AS slot, avg(value) AS load FROM events GROUP BY 1), o AS (SELECT slot, load, CAST(6.0 + k * 0.5 AS DOUBLE) AS sp FROM d, range(0, 7) u(k)) "
     "SELECT strftime(slot, '%Y-%m-%d %H:%M:%S') AS slot, arg_min(sp, round(load * (1 - 0.02 * (sp - 6)), 6)) AS choice, round(min(load * (1 - 0.02 * (sp - 6))), 4) AS cost FROM o WHERE sp <= 7.5 AND sp <= 9 - load / 20 GROUP BY 1"
 )
 def supply_setpoint(spark, d):

@@ -282,7 +282,7 @@ def day_vectors(spark, d):
 
 
 @query(
-    "WITH " + SQL_VIOLATIONS + ", days AS (SELECT entity_id, count(DISTINCT CAST(slot AS DATE)) AS n_days FROM g GROUP BY 1), th AS (SELECT unnest([0.5, 0.8, 1.0, 1.2, 1.5, 2.0, 3.0]) AS threshold), x AS (SELECT v.*, threshold FROM v, th WHERE score > threshold), "
+    "WITH " + SQL_VIOLATIONS + ", days AS (SELECT entity_id, count(DISTINCT CAST(slot AS DATE)) AS n_days FROM g GROUP BY 1), th AS (SELECT CAST(unnest([0.5, 0.8, 1.0, 1.2, 1.5, 2.0, 3.0]) AS DOUBLE) AS threshold), x AS (SELECT v.*, threshold FROM v, th WHERE score > threshold), "
     + sql_merge("x", "entity_id, threshold")
     + ", c AS (SELECT entity_id, threshold, count(*) AS n FROM ev GROUP BY 1, 2), r AS (SELECT d.entity_id, th.threshold, coalesce(n, 0) / n_days AS rate FROM days d CROSS JOIN th LEFT JOIN c ON c.entity_id = d.entity_id AND c.threshold = th.threshold), "
     "w AS (SELECT *, max(CASE WHEN rate > 0.3 THEN threshold END) OVER (PARTITION BY entity_id) AS worst FROM r) SELECT entity_id, min(threshold) AS threshold, round(arg_min(rate, threshold), 4) AS alarms_per_day FROM w WHERE worst IS NULL OR threshold > worst GROUP BY 1"
