@@ -50,10 +50,20 @@ class Model:
 
 
 class Finder:
-    """The known features of words; what was looked up is remembered, up to a bound."""
+    """The known features of words; what was looked up is remembered, up to a bound.
+
+    A text without any known word or stem as a substring has no feature; one pass of an
+    automaton over the text tells that, and only other texts are cut into words.
+    """
 
     def __init__(self, known: dict[str, object], most: int = 500_000):
+        import ahocorasick
+
         self.known, self.most, self.memo = known, most, {}
+        self.automaton = ahocorasick.Automaton()
+        for f in known:
+            self.automaton.add_word(f.removesuffix("-"), True)
+        self.automaton.make_automaton()
 
     def of(self, word: str) -> tuple[str, ...]:
         got = self.memo.get(word)
@@ -64,7 +74,8 @@ class Finder:
         return got
 
     def any_in(self, text: str) -> bool:
-        return any(map(self.of, WORD.findall(text.lower())))
+        text = text.lower()
+        return bool(self.known) and next(self.automaton.iter(text), None) is not None and any(map(self.of, WORD.findall(text)))
 
     def sentences(self, text: str) -> Iterator[tuple[int, int, set[str]]]:
         for m in SENTENCE.finditer(text):
