@@ -52,8 +52,8 @@ class Model:
 class Finder:
     """The known features of words; what was looked up is remembered, up to a bound.
 
-    A text without any known word or stem as a substring has no feature; one pass of an
-    automaton over the text tells that, and only other texts are cut into words.
+    A text in which no word starts with a known word or stem has no feature; one pass of
+    an automaton over the text tells that, and only other texts are cut into words.
     """
 
     def __init__(self, known: dict[str, object], most: int = 500_000):
@@ -62,7 +62,7 @@ class Finder:
         self.known, self.most, self.memo = known, most, {}
         self.automaton = ahocorasick.Automaton()
         for f in known:
-            self.automaton.add_word(f.removesuffix("-"), True)
+            self.automaton.add_word(f.removesuffix("-"), len(f.removesuffix("-")))
         self.automaton.make_automaton()
 
     def of(self, word: str) -> tuple[str, ...]:
@@ -75,7 +75,12 @@ class Finder:
 
     def any_in(self, text: str) -> bool:
         text = text.lower()
-        return bool(self.known) and next(self.automaton.iter(text), None) is not None and any(map(self.of, WORD.findall(text)))
+        return bool(self.known) and any(self.starts(text, end + 1 - n) for end, n in self.automaton.iter(text)) and any(map(self.of, WORD.findall(text)))
+
+    @staticmethod
+    def starts(text: str, at: int) -> bool:
+        """Whether a word can start there: what is before it is no character of a word."""
+        return at == 0 or not text[at - 1].isalnum() or text[at - 1].isdecimal()
 
     def sentences(self, text: str) -> Iterator[tuple[int, int, set[str]]]:
         for m in SENTENCE.finditer(text):
