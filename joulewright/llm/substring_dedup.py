@@ -13,7 +13,8 @@ windows) instead of one each; on average there are length - k of them.
 2. For k-grams with several stretches the bytes of one occurrence of each are fetched, and
    their windows are sorted by offset and then by one block of bytes after the other, most
    significant first; what is alone in its group leaves. A k-gram with very many stretches
-   (a common passage in many surroundings) is split by offset over several tasks.
+   (a common passage in many surroundings) is no task's group: its windows are counted as
+   rows of their own, by offset and hash, with partial aggregation.
 3. The repeated windows go back to every occurrence of their stretch, documents merge them,
    and the other bytes are kept.
 
@@ -35,9 +36,8 @@ from joulewright.llm.common import materialize, read, release, text_of
 
 #: Bytes of text hashed at once, unless one document has more.
 BATCH = 1 << 20
-#: Stretches of a k-gram that one task sorts; beyond it they are split by offset.
-HOT = 500
-OFFSET_BLOCKS = 16
+#: Stretches of a k-gram that one task sorts; beyond it windows are counted one by one.
+HOT = 200
 DIGIT = 80
 ANCHORS = "doc_id long, th long, pos long, kg long, stretch long, least int, most int"
 
@@ -161,13 +161,13 @@ def find_anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
 def repeated_windows(g: pd.DataFrame, length: int) -> pd.DataFrame:
     """kg, stretch, start, end: runs of bytes, from the anchor, that windows of several stretches of a k-gram cover.
 
-    g: kg, stretch, most (the anchor's place in bytes), low and high (the offsets to sort), bytes.
+    g: kg, stretch, least and most (the offsets of the anchor in the windows), bytes.
     """
-    low, high, most = (g[c].to_numpy().astype(np.int64) for c in ("low", "high", "most"))
+    low, most = (g[c].to_numpy().astype(np.int64) for c in ("least", "most"))
     sizes = np.array([len(x) for x in g["bytes"]], np.int64)
     starts = np.cumsum(sizes) - sizes
     h = Hashes(np.frombuffer(b"".join(g["bytes"]), np.uint8))
-    n = high - low + 1
+    n = most - low + 1
     row = np.repeat(np.arange(len(g)), n)
     offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + low[row]
     at = starts[row] + most[row] - offset
@@ -225,33 +225,49 @@ def sort_windows(docs: DataFrame, anchors: DataFrame, length: int, megabytes: in
             for text, wanted in zip(b["text"], b["wanted"]):
                 raw = text.encode()
                 for w in wanted:
-                    begin, end = w["pos"] - w["most"], w["pos"] - w["least"] + length
-                    out.append((w["kg"], w["stretch"], w["least"], w["most"], w["stretches"], raw[begin:end]))
-            yield pd.DataFrame(out, columns=["kg", "stretch", "least", "most", "stretches", "bytes"])
+                    part = raw[w["pos"] - w["most"] : w["pos"] - w["least"] + length]
+                    hot = w["stretches"] > HOT
+                    out.append((w["kg"], w["stretch"], w["least"], w["most"], None if hot else part, window_hashes(part, length) if hot else None))
+            yield pd.DataFrame(out, columns=["kg", "stretch", "least", "most", "bytes", "hashes"])
 
     wanted = asked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("kg", "stretch", "least", "most", "stretches", "pos")).alias("wanted"))
     with_text = docs.join(wanted.withColumnRenamed("doc_id", "wd").withColumnRenamed("th", "wt"), F.col("doc_id").eqNullSafe(F.col("wd")) & (F.col("th") == F.col("wt")))
-    contexts = with_text.select("text", "wanted").mapInPandas(fetch, "kg long, stretch long, least int, most int, stretches long, bytes binary")
-
-    # a k-gram with many stretches is sorted in blocks of offsets
-    step = -(-length // OFFSET_BLOCKS)
-    blocks = F.when(F.col("stretches") > HOT, F.sequence(F.floor(F.col("least") / step), F.floor(F.col("most") / step))).otherwise(F.array(F.lit(-1).cast("long")))
-    whole = F.col("block") < 0
-    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), asked.count() * 600 // (megabytes << 20))
-    dealt = (
-        contexts.withColumn("block", F.explode(blocks))
-        .withColumn("low", F.when(whole, F.col("least")).otherwise(F.greatest(F.col("least"), (F.col("block") * step).cast("int"))))
-        .withColumn("high", F.when(whole, F.col("most")).otherwise(F.least(F.col("most"), ((F.col("block") + 1) * step - 1).cast("int"))))
-        .withColumn("task", F.pmod(F.xxhash64("kg", "block"), F.lit(tasks)))
-    )
+    contexts = materialize(with_text.select("text", "wanted").mapInPandas(fetch, "kg long, stretch long, least int, most int, bytes binary, hashes array<long>"), "contexts")
+    release(spark)
 
     def sort(g: pd.DataFrame) -> pd.DataFrame:
         # a repeated row of documents is fetched as often as it stands there
-        return repeated_windows(g.drop_duplicates(["kg", "stretch", "low"]).reset_index(drop=True), length)
+        return repeated_windows(g.drop_duplicates(["kg", "stretch"]).reset_index(drop=True), length)
 
-    across = dealt.groupBy("task").applyInPandas(sort, "kg long, stretch long, start int, end int")
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), asked.count() * 600 // (megabytes << 20))
+    cold = contexts.where("bytes IS NOT NULL").drop("hashes").withColumn("task", F.pmod(F.xxhash64("kg"), F.lit(tasks)))
+    across = cold.groupBy("task").applyInPandas(sort, "kg long, stretch long, start int, end int")
     again = by_stretch.where("n > 1").select("kg", "stretch", (-F.col("most")).cast("int").alias("start"), (F.lit(length) - F.col("least")).cast("int").alias("end"))
-    return materialize(across.unionByName(again), "repeated")
+    return materialize(across.unionByName(again).unionByName(count_windows(contexts.where("hashes IS NOT NULL"), length)), "repeated")
+
+
+def window_hashes(part: bytes, length: int) -> np.ndarray:
+    """The hashes of all windows of a stretch, from the one with the greatest offset on."""
+    start = np.arange(len(part) - length + 1)
+    return Hashes(np.frombuffer(part, np.uint8)).of(start, start + length).view(np.int64)
+
+
+def count_windows(hot: DataFrame, length: int) -> DataFrame:
+    """What repeated_windows() gives, of any number of stretches of a k-gram, by counting windows natively."""
+    each = hot.dropDuplicates(["kg", "stretch"]).select("kg", "stretch", "most", F.posexplode("hashes").alias("i", "hash")).select("kg", "stretch", (F.col("most") - F.col("i")).alias("offset"), "hash")
+    several = each.groupBy("kg", "offset", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    mine = each.join(several, ["kg", "offset", "hash"], "left_semi").groupBy("kg", "stretch").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
+    # the offsets of a stretch, under `length` of them, as runs of neighbours
+    none = F.array().cast("array<struct<low:int,high:int>>")
+
+    def step(runs, x):
+        last = F.get(runs, F.size(runs) - 1)
+        grown = F.concat(F.slice(runs, F.lit(1), F.greatest(F.size(runs) - 1, F.lit(0))), F.array(F.struct(last["low"].alias("low"), x.alias("high"))))
+        fresh = F.concat(runs, F.array(F.struct(x.alias("low"), x.alias("high"))))
+        return F.when(F.size(runs) == 0, fresh).when(last["high"] + 1 == x, grown).otherwise(fresh)
+
+    runs = mine.select("kg", "stretch", F.explode(F.aggregate("offsets", none, step)).alias("r"))
+    return runs.select("kg", "stretch", (-F.col("r.high")).alias("start"), (F.lit(length) - F.col("r.low")).alias("end"))
 
 
 def drop_repeats(docs: DataFrame, length: int = 400, k: int = 64, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
