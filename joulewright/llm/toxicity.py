@@ -148,8 +148,11 @@ def bags(sample: DataFrame, chosen: list[str]) -> DataFrame:
     return sample.mapInPandas(bag, "doc_id long, toxic int, plain long, sentences array<array<int>>")
 
 
-def train(rows: list, chosen: list[str], rounds: int = 600, rate: float = 0.1, shrink: float = 2e-5) -> Model:
-    """Full-batch Adam on the noisy-or likelihood; the document of a sentence is known, its label is not."""
+def train(rows: list, chosen: list[str], rounds: int = 600, rate: float = 0.1, shrink: float = 5e-6, weak: float = 0.5) -> Model:
+    """Full-batch Adam on the noisy-or likelihood; the document of a sentence is known, its label is not.
+
+    Weights under `weak` say next to nothing and are left out.
+    """
     y = np.array([r.toxic for r in rows], float)
     plain = np.array([r.plain for r in rows], float)
     bag = np.array([k for k, r in enumerate(rows) for _ in r.sentences], np.int64)
@@ -171,12 +174,14 @@ def train(rows: list, chosen: list[str], rounds: int = 600, rate: float = 0.1, s
         g[:n] += shrink * w[:n]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-    return Model({f: float(w[i]) for i, f in enumerate(chosen)}, float(w[n]))
+    return Model({f: float(w[i]) for i, f in enumerate(chosen) if abs(w[i]) >= weak}, float(w[n]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, features: int = 2000, z_least: float = 4.0, lift: float = 2.0) -> Model | None:
     """The model, or None where the sample has no document of one of the labels, or nothing tells them apart."""
-    rows = materialize(sampled(docs, labels, sample), "labelled")
+    # copies of one text are one observation
+    once = sampled(docs, labels, sample).groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    rows = materialize(once, "labelled")
     n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(n) < 2:
         return None
