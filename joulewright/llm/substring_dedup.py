@@ -36,8 +36,8 @@ from joulewright.llm.common import materialize, read, release, text_of
 
 #: Bytes of text hashed at once, unless one document has more.
 BATCH = 1 << 20
-#: Stretches of a k-gram that one task sorts; beyond it windows are counted one by one.
-HOT = 200
+#: Stretches of a k-gram that one task sorts (about 3 MB of bytes, 20 MB of keys); beyond it windows are counted one by one.
+HOT = 5000
 DIGIT = 80
 ANCHORS = "doc_id long, th long, pos long, kg long, stretch long, least int, most int"
 
