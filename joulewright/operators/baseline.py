@@ -112,3 +112,24 @@ def efficiency_curve(df: DataFrame, load: str, ratio: str, width: float, temp: s
     """entity_id, load_bin (and temp_bin), p25, p50, p75, n of the ratio."""
     keys = [F.floor(F.col(load) / width).cast("int").alias("load_bin")] + ([F.floor(F.col(temp) / temp_width).cast("int").alias("temp_bin")] if temp else [])
     return df.where(F.col(ratio).isNotNull()).groupBy("entity_id", *keys).agg(*[F.percentile(ratio, F.lit(q / 100)).alias(f"p{q}") for q in (25, 50, 75)], F.count(F.lit(1)).alias("n"))
+
+
+def documents(scored: DataFrame, key: str, layer: str, window: str, config: Config = DEFAULT, ts: str = "slot", temperature: str | None = None, occupancy: str | None = None) -> DataFrame:
+    """Baseline documents of rows with lower, expected, upper, day_type, tod_slot (and refit_on, if the window rolls).
+
+    layer: rule, history or peers; window: rolling or fixed.
+    """
+    refit = F.col("refit_on").cast("string") if "refit_on" in scored.columns else F.lit(None).cast("string")
+    weeks = config.fit_weeks if window == "rolling" else config.reference_weeks
+    number = lambda c: (F.col(c) if c else F.lit(None)).cast("double")
+    return scored.select(
+        "entity_id",
+        F.lit(key).alias("key"),
+        F.col(ts).alias("ts"),
+        "expected",
+        "lower",
+        "upper",
+        F.lit(layer).alias("baseline_layer"),
+        F.struct(F.lit(window).alias("type"), F.lit(weeks).alias("fit_weeks"), refit.alias("refit_on")).alias("window"),
+        F.struct("day_type", "tod_slot", number(temperature).alias("outdoor_temp_c"), number(occupancy).alias("occupancy_delta")).alias("context"),
+    )

@@ -200,3 +200,18 @@ def as_events(events: DataFrame, group: str, module: str, kind: str, model: str,
         proof.alias("evidence"),
         F.lit(action).alias("suggested_action"),
     )
+
+
+def two_layers(grid: DataFrame, prof: DataFrame, config: Config = DEFAULT, limit: float = 5.0, by: tuple[str, ...] = CELL) -> DataFrame:
+    """entity_id, slot, layer of the two layers that run side by side: 'short' (band, and regression on the
+    last value) and 'slow' (control chart of the residual).
+    """
+    joined = grid.join(prof, list(by)).withColumn("_usual", F.col("value") - F.col("expected"))
+    lag = lagged(joined, ("entity_id",), "slot", "_usual", (1,))
+    fit = fit_linear(lag, ("entity_id",), "_usual", ["_usual_lag_1"]).select("entity_id", "b_0", "b_1")
+    rest = lag.join(fit, "entity_id").withColumn("_rest", F.col("_usual") - F.coalesce(F.col("b_0") + F.col("b_1") * F.col("_usual_lag_1"), F.lit(0.0)))
+    spread = rest.groupBy("entity_id").agg(F.percentile("_rest", F.lit(0.005)).alias("_lo"), F.percentile("_rest", F.lit(0.995)).alias("_hi"))
+    lagging = rest.join(spread, "entity_id").where(~F.col("_rest").between(F.col("_lo"), F.col("_hi")))
+    chart = cusum(standardized(joined, ("entity_id",), "_usual"), ("entity_id",), "slot", F.col("residual"), config.cusum_slack).where(F.col("cusum") > limit)
+    short = violations(grid, prof, by).select("entity_id", "slot").unionByName(lagging.select("entity_id", "slot")).distinct()
+    return short.withColumn("layer", F.lit("short")).unionByName(chart.select("entity_id", "slot").distinct().withColumn("layer", F.lit("slow")))

@@ -127,3 +127,61 @@ def documents(proposals: DataFrame, module: str, issued: Column, price: Column)
         F.round(F.col("est_saving_kwh") * price).cast("long").alias("est_saving_vnd"),
         F.lit("pending_operator").alias("status"),
     )
+
+
+def plan_machines(demand: DataFrame, machines: list[tuple[str, float, float]], least_on: int = 2, start_cost: float = 0.0) -> DataFrame:
+    """plant, slot, machines, est_kw: combinations over a horizon in which a started machine stays on for `least_on` slots.
+
+    demand: plant, slot, load_kw. machines: (name, capacity, kw per kw) of one kind of plant.
+    Dynamic programming over subsets and the time each machine has still to stay on; a group
+    is one plant's horizon. A horizon that no combination covers has null machines.
+    """
+    import itertools
+
+    import pandas as pd
+
+    if len(machines) > MOST_MACHINES:
+        raise ValueError(f"{len(machines)} machines: over {MOST_MACHINES} are not enumerated")
+    subsets_ = [s for k in range(len(machines) + 1) for s in itertools.combinations(range(len(machines)), k)]
+
+    def plan(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("slot")
+        # a state: for each machine, the slots it must stay on for (0: off or free to stop), and whether it is on
+        costs: dict[tuple, tuple] = {tuple((0, False) for _ in machines): (0.0, ())}
+        for load in g["load_kw"]:
+            after: dict[tuple, tuple] = {}
+            for state, (cost, path) in costs.items():
+                for s in subsets_:
+                    if any(must and i not in s for i, (must, _) in enumerate(state)):
+                        continue
+                    capacity = sum(machines[i][1] for i in s)
+                    if capacity < load:
+                        continue
+                    kw = load * sum(machines[i][1] * machines[i][2] for i in s) / capacity if capacity else 0.0
+                    starts = sum(not state[i][1] for i in s)
+                    new = tuple((max(0, must - 1) if on else least_on - 1, True) if i in s else (0, False) for i, (must, on) in enumerate(state))
+                    total = cost + kw + start_cost * starts
+                    if new not in after or total < after[new][0] - 1e-9:
+                        after[new] = (total, (path, s, kw))
+            costs = after
+        chosen: list[tuple] = []
+        if costs:
+            _, path = min(costs.values(), key=lambda c: c[0])
+            while path:
+                path, s, kw = path
+                chosen.append(([machines[i][0] for i in s], kw))
+        chosen = chosen[::-1] or [(None, None)] * len(g)
+        return pd.DataFrame({"plant": g["plant"], "slot": g["slot"], "machines": [m for m, _ in chosen], "est_kw": [k for _, k in chosen]})
+
+    return demand.select("plant", "slot", "load_kw").groupBy("plant").applyInPandas(plan, "plant string, slot timestamp, machines array<string>, est_kw double")
+
+
+def savings(actual: DataFrame, proposed: DataFrame, price: Column, on: list[str], hours: float, assumptions: str) -> DataFrame:
+    """kwh, vnd and the assumptions of a backtest: what the proposals would have used less, where both are known.
+
+    actual and proposed: on, kw. price: a column of actual. A slot in which the proposal
+    would have used more counts against it.
+    """
+    both = actual.join(proposed.select(*on, F.col("kw").alias("_told")), on)
+    less = (F.col("kw") - F.col("_told")) * hours
+    return both.agg(F.sum(less).alias("kwh"), F.round(F.sum(less * price)).cast("long").alias("vnd"), F.count(F.lit(1)).alias("n_slots")).withColumn("assumptions", F.lit(assumptions))
