@@ -36,8 +36,8 @@ from joulewright.llm.common import materialize, read, release, text_of
 
 #: Bytes of text hashed at once, unless one document has more.
 BATCH = 1 << 20
-#: Stretches of a k-gram that one task sorts (about 3 MB of bytes, 20 MB of keys); beyond it windows are counted one by one.
-HOT = 5000
+#: Stretches of a k-gram that one task sorts (about 1 MB of bytes); beyond it windows are counted one by one.
+HOT = 2000
 DIGIT = 80
 ANCHORS = "doc_id long, th long, pos long, kg long, stretch long, least int, most int"
 
@@ -55,22 +55,33 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    """Hashes of any stretches of a buffer, from the running sums of a polynomial modulo 2 ** 64."""
+    """Hashes of any stretches of pieces of bytes, from the running sums of a polynomial modulo 2 ** 64.
 
-    def __init__(self, buf: np.ndarray):
-        n = len(buf)
-        self.inverse = powers(INVERSE, n + 1)
-        with np.errstate(over="ignore"):
-            self.sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(BYTE[buf] * powers(ODD, n), out=self.sums[1:])
+    Pieces are summed in blocks of about BATCH bytes, so that the powers are a table of that
+    size; a stretch lies within a piece. What is held is 8 bytes for each byte.
+    """
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mixed((self.sums[end] - self.sums[start]) * self.inverse[start])
+    def __init__(self, pieces: list[bytes]):
+        sums, first, starts, at = [], [], [], 0
+        for _, block in batches_of(pieces):
+            buf = np.frombuffer(b"".join(block), np.uint8)
+            part = np.zeros(len(buf) + 1, np.uint64)
+            with np.errstate(over="ignore"):
+                np.cumsum(BYTE[buf] * powers(ODD, len(buf)), out=part[1:])
+            first.append(sum(map(len, sums)))
+            sums.append(part)
+            starts.append(at)
+            at += len(buf)
+        self.sums = np.concatenate(sums) if sums else np.zeros(1, np.uint64)
+        self.first, self.starts = np.array(first or [0], np.int64), np.array(starts or [0], np.int64)
+        self.inverse = powers(INVERSE, max(map(len, sums), default=1))
 
-    def grams(self, k: int) -> np.ndarray:
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of the bytes from start to end, counted over all pieces."""
+        block = np.searchsorted(self.starts, start, "right") - 1
+        local, move = start - self.starts[block], self.first[block] - self.starts[block]
         with np.errstate(over="ignore"):
-            return mixed((self.sums[k:] - self.sums[:-k]) * self.inverse[: len(self.sums) - k])
+            return mixed((self.sums[end + move] - self.sums[start + move]) * self.inverse[local])
 
 
 POWERS: dict[int, np.ndarray] = {}
@@ -107,8 +118,9 @@ def anchors_of(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, ...
     buf = np.frombuffer(b"".join(texts), np.uint8)
     if len(buf) < length:
         return (np.zeros(0, np.int64),) * 6
-    h = Hashes(buf)
-    grams = h.grams(k)
+    h = Hashes([buf.tobytes()])
+    with np.errstate(over="ignore"):
+        grams = mixed((h.sums[k:] - h.sums[:-k]) * h.inverse[: len(h.sums) - k])
     key = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     at = (sliding_min(key, length - k + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     # windows that begin and end in one text
@@ -166,7 +178,7 @@ def repeated_windows(g: pd.DataFrame, length: int) -> pd.DataFrame:
     low, most = (g[c].to_numpy().astype(np.int64) for c in ("least", "most"))
     sizes = np.array([len(x) for x in g["bytes"]], np.int64)
     starts = np.cumsum(sizes) - sizes
-    h = Hashes(np.frombuffer(b"".join(g["bytes"]), np.uint8))
+    h = Hashes(list(g["bytes"]))
     n = most - low + 1
     row = np.repeat(np.arange(len(g)), n)
     offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + low[row]
@@ -208,7 +220,7 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def sort_windows(docs: DataFrame, anchors: DataFrame, length: int, megabytes: int = 24) -> DataFrame:
+def sort_windows(docs: DataFrame, anchors: DataFrame, length: int, megabytes: int = 8) -> DataFrame:
     """kg, stretch, start, end: what is repeated around each occurrence of a stretch."""
     spark = docs.sparkSession
     by_stretch = anchors.groupBy("kg", "stretch").agg(
@@ -249,7 +261,7 @@ def sort_windows(docs: DataFrame, anchors: DataFrame, length: int, megabytes: in
 def window_hashes(part: bytes, length: int) -> np.ndarray:
     """The hashes of all windows of a stretch, from the one with the greatest offset on."""
     start = np.arange(len(part) - length + 1)
-    return Hashes(np.frombuffer(part, np.uint8)).of(start, start + length).view(np.int64)
+    return Hashes([part]).of(start, start + length).view(np.int64)
 
 
 def count_windows(hot: DataFrame, length: int) -> DataFrame:
