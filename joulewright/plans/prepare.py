@@ -26,7 +26,7 @@ def query(sql: str):
 
 @query(
     "SELECT * FROM (VALUES ('ICMP ping', 3), ('Host / gateway compute', 20), ('Connectivity', 9), ('GPS', 6), ('Camera', 8), ('Access control', 11), ('Fire alarm', 9), ('Lift', 2), "
-    "('Power meter', 13), ('Chiller', 9), ('Air side', 16), ('Water', 20), ('Shared', 6), ('NORIS', 13), ('PHATTAI', 12), ('Attribute', 16)) t(grp, n)"
+    "('Power meter', 13), ('Chiller', 9), ('Air side', 16), ('Water', 20), ('Shared', 6), ('Plant system', 13), ('Air station', 12), ('Attribute', 16)) t(grp, n)"
 )
 def key_registry_counts(spark, d):
     return keys.registry(spark).groupBy("grp").agg(F.count(F.lit(1)).cast("int").alias("n"))

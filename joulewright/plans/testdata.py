@@ -20,7 +20,7 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
     """events as telemetry: an event type is a device, its values the samples."""
     e = table(spark, d, "events")
     return e.select(
-        F.col("event_type").alias("entity_id"), F.lit("DMP").alias("source"), F.lit("power_active_kw").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "value", "event_id", "user_id", "props"
+        F.col("event_type").alias("entity_id"), F.lit("platform").alias("source"), F.lit("power_active_kw").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "value", "event_id", "user_id", "props"
     )
 
 

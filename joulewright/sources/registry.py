@@ -21,8 +21,8 @@ Chiller: chilled_water_supply_temp_c (°C), chilled_water_return_temp_c (°C), c
 Air side: supply_air_temp_c (°C), supply_air_pressure_pa (Pa), fan_speed_pct (%), fan_speed_pct_sp (%), fan_state, fan_state_cmd, damper_state, damper_state_cmd, filter_state, water_valve_state, water_valve_state_cmd, cooling_tower_fan_state, diff_pressure_pa (Pa), air_flow_m3h (m³/h), co2_ppm (ppm), co_ppm (ppm)
 Water: pump_speed_pct (%), pump_speed_pct_sp (%), pump_state, pump_state_cmd, pressure_supply_bar (bar), pressure_return_bar (bar), water_supply_temp_c (°C), water_return_temp_c (°C), water_flow_lpm (L/min), water_volume_m3_total (m³), supply_valve_open_limit, supply_valve_close_limit, supply_valve_state_cmd, return_valve_open_limit, return_valve_close_limit, return_valve_state_cmd, bypass_valve_state_cmd, tank_level_low, tank_level_medium, tank_level_high
 Shared: fault, mode, state_on_off, state_on_off_cmd, lighting_knx_state, lighting_knx_state_cmd
-NORIS: active_energy_kwh (kWh), active_power_kw (kW), chw_return_temp (°C), chw_supply_temp (°C), compressor_status, cooling_load_kw (kW), evaporator_pressure (bar), op_mode, run_hours (h), voltage_l1 (V), voltage_l2 (V), voltage_l3 (V), water_volume_m3 (m³)
-PHATTAI: aqi, co (µg/m³), humidity (%), no2 (µg/m³), o3 (µg/m³), pm1 (µg/m³), pm10 (µg/m³), pm25 (µg/m³), pm25_avg (µg/m³), so2 (µg/m³), temperature (°C), wind_speed (m/s)
+Plant system: active_energy_kwh (kWh), active_power_kw (kW), chw_return_temp (°C), chw_supply_temp (°C), compressor_status, cooling_load_kw (kW), evaporator_pressure (bar), op_mode, run_hours (h), voltage_l1 (V), voltage_l2 (V), voltage_l3 (V), water_volume_m3 (m³)
+Air station: aqi, co (µg/m³), humidity (%), no2 (µg/m³), o3 (µg/m³), pm1 (µg/m³), pm10 (µg/m³), pm25 (µg/m³), pm25_avg (µg/m³), so2 (µg/m³), temperature (°C), wind_speed (m/s)
 Attribute: cpu_count, device_label, device_model, device_type, device_type_isapi, firmware_release_date, firmware_version, imei, lift_service_state, mac_address, memory_total_mb, platform, serial_number, storage_capacity_gb, swap_total_mb, vendor_device_id
 """
 
@@ -109,7 +109,7 @@ def rows() -> list[tuple]:
             lo, hi = LIMITS.get(unit, (0.0, None) if k == "counter" else (None, None))
             to, factor = canon.get(key, (key, 1.0))
             mine = used.get(key, {})
-            source = group if group in ("NORIS", "PHATTAI") else "DMP"
+            source = group if group in ("Plant system", "Air station") else "platform"
             out.append((key, group, source, unit, k, lo, hi, to, factor, sorted(mine), next(iter(mine.values()), None)))
     return out
 

@@ -25,8 +25,8 @@ def building(spark):
             load += 60  # after hours
         total = total + load if i != 400 else 5.0
         if i not in (200, 201):
-            rows.append(("M", "NORIS", "active_energy_kwh", at, total))
-            rows.append(("M", "DMP", "power_active_kw", at, load))
+            rows.append(("M", "Plant system", "active_energy_kwh", at, total))
+            rows.append(("M", "platform", "power_active_kw", at, load))
     days = [(T0.date() + dt.timedelta(days=k), ["workday"] * 5 + ["saturday", "off"]) for k in range(7 * WEEKS)]
     cal = [("s", d, kinds[d.weekday()], 480, 1080 if d.weekday() < 5 else 480) for d, kinds in days]
     telemetry = spark.createDataFrame(rows, "entity_id string, source string, key string, ts timestamp, value double")

@@ -22,8 +22,8 @@ def hours(spark, values, entity="e", start=T0, step=60):
 
 def test_registry_is_the_catalogue(spark):
     g = registry.groups()
-    core = [n for n in g if n not in ("NORIS", "PHATTAI", "Attribute")]
-    assert sum(len(g[n]) for n in core) == 132 and [len(g[n]) for n in ("NORIS", "PHATTAI", "Attribute")] == [13, 12, 16]
+    core = [n for n in g if n not in ("Plant system", "Air station", "Attribute")]
+    assert sum(len(g[n]) for n in core) == 132 and [len(g[n]) for n in ("Plant system", "Air station", "Attribute")] == [13, 12, 16]
     r = {x.key: x for x in registry.registry(spark).collect()}
     assert len(r) == 173 and r["run_hours"].factor == 60.0 and r["record_count"].kind == "counter" and r["pump_state_cmd"].kind == "command"
     assert all(k in r for k in registry.roles())
