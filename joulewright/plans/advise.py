@@ -221,6 +221,24 @@ def supply_setpoint(spark, d):
     return recommend.cheapest_option(options, ("slot",), F.col("sp") <= 7.5, F.col("sp") <= 9 - F.col("load") / 20, cost, "sp").select(text("slot"), "choice", r4("cost"))
 
 
+@query(
+    "WITH a AS (SELECT date_trunc('hour', ts) AS slot, sum(value) AS kw, sum(value) FILTER (user_id % 10 <> 0) AS told FROM events GROUP BY 1) "
+    "SELECT round(sum(kw - told), 4) AS kwh, CAST(round(sum((kw - told) * CASE WHEN hour(slot) BETWEEN 9 AND 18 THEN 3000.0 ELSE 2000.0 END)) AS BIGINT) AS vnd, count(*) AS n_slots, 'one in ten loads shed' AS assumptions FROM a WHERE told IS NOT NULL"
+)
+def savings_backtest(spark, d):
+    s = samples(spark, d).withColumn("slot", F.date_trunc("hour", "ts"))
+    actual = s.groupBy("slot").agg(F.sum("value").alias("kw")).withColumn("price", F.when(F.hour("slot").between(9, 18), 3000.0).otherwise(2000.0))
+    told = s.where("user_id % 10 != 0").groupBy("slot").agg(F.sum("value").alias("kw"))
+    return recommend.savings(actual, told, F.col("price"), ["slot"], 1.0, "one in ten loads shed").withColumn("kwh", r4("kwh"))
+
+
+@query(None)
+def machine_plan(spark, d):
+    """Combinations of three machines for a week of hourly loads, two hours on at least."""
+    load = hourly(spark, d).where("slot < TIMESTAMP '2024-01-08 00:00:00'").groupBy("slot").agg(F.least(F.sum("value") * 8, F.lit(2000.0)).alias("load_kw"))
+    return recommend.plan_machines(load.withColumn("plant", F.lit("P")), [("A", 500.0, 0.2), ("B", 700.0, 0.15), ("C", 900.0, 0.18)])
+
+
 @query("SELECT n_regionkey AS plant, array_to_string(list(s_name ORDER BY s_acctbal, s_name), ',') AS run_order FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
 def balanced_order(spark, d):
     s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))

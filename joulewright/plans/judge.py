@@ -395,3 +395,22 @@ def long_gaps(spark, d):
     nxt = F.lead("slot").over(Window.partitionBy("entity_id").orderBy("slot"))
     gap = ((F.unix_timestamp(nxt) - F.unix_timestamp("slot")) / 60).cast("long")
     return hourly(spark, d).withColumn("minutes", gap).where("minutes > 60").select("entity_id", text("slot"), "minutes")
+
+
+@query(
+    "WITH "
+    + SQL_PROFILE
+    + " SELECT entity_id, strftime(slot, '%Y-%m-%d %H:%M:%S') AS ts, 'power_active_kw' AS key, 'history' AS layer, 'fixed' AS window_type, round(lower, 4) AS lower, round(expected, 4) AS expected, round(upper, 4) AS upper, day_type, tod_slot FROM g JOIN prof USING (entity_id, day_type, tod_slot)"
+)
+def baseline_documents(spark, d):
+    g = hourly(spark, d)
+    scored = g.join(baseline.profile(g, HOURLY), ["entity_id", "day_type", "tod_slot"])
+    docs = baseline.documents(scored, "power_active_kw", "history", "fixed", HOURLY)
+    return docs.select("entity_id", text("ts"), "key", F.col("baseline_layer").alias("layer"), F.col("window.type").alias("window_type"), r4("lower"), r4("expected"), r4("upper"), "context.day_type", "context.tod_slot")
+
+
+@query(None)
+def two_layers(spark, d):
+    """Cells flagged by the layer for short faults and by the one for slow drift."""
+    g = hourly(spark, d)
+    return detect.two_layers(g, baseline.profile(g, HOURLY), HOURLY)
