@@ -96,13 +96,18 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, upper, upper.lower())
 
 
-def rows_in_blocks(df: DataFrame, key: str, size: int):
-    """The rows of a table that may be large, as lists of at most size, in order of key."""
-    block = []
+def rows_in_blocks(df: DataFrame, key: str, rows: int, text: str, chars: int) -> Iterator[list]:
+    """The rows of a table that may be large, in order of key, as lists that a driver can hold.
+
+    A list has at most `rows` rows and, unless it is one row, `chars` characters of text.
+    """
+    block, size = [], 0
     for row in df.orderBy(key).toLocalIterator(prefetchPartitions=True):
-        block.append(row)
-        if len(block) == size:
+        n = len(row[text] or "")
+        if block and (len(block) == rows or size + n > chars):
             yield block
-            block = []
+            block, size = [], 0
+        block.append(row)
+        size += n
     if block:
         yield block

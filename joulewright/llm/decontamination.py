@@ -9,8 +9,8 @@ documents are.
 
 A search selects the postings of the search terms, brings each shard's together, and
 intersects offset-adjusted position lists, beginning with the rarest term of the phrase.
-Benchmarks of any size are searched in blocks of at most `items_per_block` items against
-the same index, so what is sent to the workers is bounded by a block.
+Benchmarks of any size are searched in blocks of a bounded number of items and characters
+against the same index, so what the driver holds and the workers get is bounded by a block.
 """
 
 from __future__ import annotations
@@ -174,7 +174,7 @@ def proximity_matches(index: DataFrame, items: dict[str, tuple[str, ...]], withi
     return select(index, terms).applyInPandas(search, "doc_id long, item_id string, n_matches long")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, items_per_block: int = 5000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, items_per_block: int = 1000, chars_per_block: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A document word inside any occurrence of a window of an item is hit; windows never
@@ -186,7 +186,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, items
     index = materialize(build_index(docs, id_col, text_col), "postings")
     bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
     found = None
-    for block in rows_in_blocks(bench, "item_id", items_per_block):
+    for block in rows_in_blocks(bench, "item_id", items_per_block, "text", chars_per_block):
         phrases: dict[tuple[str, ...], list[str]] = {}
         for item, text in block:
             for w in windows_of(text, window):

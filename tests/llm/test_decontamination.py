@@ -42,7 +42,7 @@ def frames(spark):
 
 def test_hits(spark):
     docs, items = frames(spark)
-    for block in (5000, 2):
+    for block in (1000, 2):
         got = {r.doc_id: tuple(r)[1:] for r in D.decontaminate(docs, items, items_per_block=block).collect()}
         assert got == plain(DOCS, ITEMS)
 
