@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from joulewright.functions import expressions as X
 from joulewright.operators import joins, normalize, quality, windows
-from joulewright.plans.testdata import HOLIDAY, SQL_DAY_TYPE, SQL_HOURLY, hourly, r4, samples, sql4, table, text, with_calendar
+from joulewright.plans.testdata import SQL_DAY_TYPE, SQL_HOURLY, hourly, r4, samples, sql4, table, text, with_calendar
 from joulewright.sources import registry as keys
 from joulewright.sources import tables
 
