@@ -42,9 +42,11 @@ LOOSE = {
     "card": r"(?<![0-9])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])",
     "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])",
 }
-#: A cheap test that a text without a match mostly fails.
+#: A cheap test that every text with a match passes, and one without mostly fails.
 HINT = {"email": "@", "phone": "+"}
-LOOSE_HINT = {"email": "at", "ip": ":", "phone": "-"}
+LOOSE_HINT = {"email": "at", "ip": ":"}
+#: The same as a pattern, where no single text is in every match.
+LOOSE_HINT_PATTERN = {"phone": "[0-9][.-][0-9]{4}"}
 
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35)"
 CALLING = r"^(?:\+(?:1|7|20|27|3[0-469]|4[0-13-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])(?![0-9]{4})|\(|[2-9])"
@@ -58,7 +60,7 @@ CUES = {
 AGAINST = r"(?i)(?:isbn|issn|doi|order|invoice|serial|sku|version|build|tracking|ticket|no\.|nr\.|\bv)\W*$"
 
 
-def sorted_out(text: Column, pattern: str, hint: str | None) -> Column:
+def sorted_out(text: Column, pattern: str, hint: str | None, hint_pattern: str | None = None) -> Column:
     """array<struct<start, end, m>> of the leftmost, non-overlapping matches, in code points."""
     none = F.array().cast("array<struct<start:int,end:int,m:string>>")
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -71,6 +73,8 @@ def sorted_out(text: Column, pattern: str, hint: str | None) -> Column:
     # a match and the text before it
     pairs = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)), matches, lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
     found = F.when(F.size(matches) > 0, F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]).otherwise(none)
+    if hint_pattern:
+        return F.when(text.rlike(hint_pattern), found).otherwise(none)
     return F.when(F.contains(text, F.lit(hint)), found).otherwise(none) if hint else found
 
 
@@ -137,7 +141,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.col("text")
     for k in KINDS:
         good = F.filter(sorted_out(text, BASE[k], HINT.get(k)), passing(k))
-        t = t.withColumn(f"base_{k}", good).withColumn(f"loose_{k}", sorted_out(text, LOOSE[k], LOOSE_HINT.get(k)))
+        t = t.withColumn(f"base_{k}", good).withColumn(f"loose_{k}", sorted_out(text, LOOSE[k], LOOSE_HINT.get(k), LOOSE_HINT_PATTERN.get(k)))
     parts = []
     for k in KINDS:
         fresh = F.filter(f"loose_{k}", apart_from(f"base_{k}"))

@@ -83,6 +83,13 @@ def test_added_spans(spark):
     assert [got[2].spans, got[3].spans] == ["", ""]
 
 
+def test_phone_candidates_without_hyphen(spark):
+    texts = ["call 555.010.9999", "call (555) 010.9999 now", "call 555-010-9999", "call 555 010 9999", "1.2345 only"]
+    got = pii.candidates(rows(spark, texts)).orderBy("doc_id").collect()
+    want = [[(m.start(), m.end()) for m in re.finditer(pii.LOOSE["phone"], t)] for t in texts]
+    assert [[(s.start, s.end) for s in r.spans if not s.base] for r in got] == want == [[(5, 17)], [(5, 19)], [(5, 17)], [], []]
+
+
 def test_empty_null_and_plan(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find_pii(empty).count() == 0
