@@ -64,7 +64,9 @@ def waste_per_month(observed: Column, expected: Column, hours: Column, days: Col
 
 
 def document_id(prefix: str, issued: Column, number: Column, width: int) -> Column:
-    return F.concat(F.lit(prefix + "-"), F.date_format(issued, "yyyyMMdd"), F.lit("-"), F.lpad(number.cast("string"), width, "0"))
+    """The number is padded to `width`; a longer one keeps all its digits, as lpad alone would cut it."""
+    digits = number.cast("string")
+    return F.concat(F.lit(prefix + "-"), F.date_format(issued, "yyyyMMdd"), F.lit("-"), F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), "0"))
 
 
 def iso(ts: Column) -> Column:

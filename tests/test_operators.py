@@ -294,3 +294,16 @@ def test_report_caps_and_counts(spark):
     days = spark.createDataFrame([("e", dt.date(2024, 1, 1 + i), float(i % 4)) for i in range(10)], "entity_id string, date date, s double")
     assert [r.rank for r in report.capped_days(days, "s", 3).orderBy("rank").collect()] == [1, 2, 3]
     assert report.capped_days(days.limit(0), "s", 3).count() == 0
+
+
+def test_document_ids_stay_unique_beyond_their_width(spark):
+    at = F.to_timestamp(F.lit("2026-09-16 14:00:00"))
+    p = spark.range(1050).select(
+        F.lit(T0).alias("valid_from"), F.lit(T0).alias("valid_to"), F.format_string("run %05d", "id").alias("action"), F.lit("cheaper").alias("reason"),
+        F.array(F.lit("comfort")).alias("constraints_checked"), F.lit(1.0).alias("est_saving_kwh"),
+    )
+    ids = {r.action: r.rec_id for r in recommend.documents(p, "M2", at, F.lit(1.0)).collect()}
+    assert len(set(ids.values())) == 1050
+    assert (ids["run 00006"], ids["run 00998"], ids["run 01009"]) == ("R-20260916-007", "R-20260916-999", "R-20260916-1010")
+    numbers = spark.createDataFrame([(9999,), (10000,), (10001,)], "n int")
+    assert [r.id for r in numbers.orderBy("n").select(X.document_id("A", at, F.col("n"), 4).alias("id")).collect()] == ["A-20260916-9999", "A-20260916-10000", "A-20260916-10001"]
