@@ -57,13 +57,14 @@ def cheapest_option(options: DataFrame, by: tuple[str, ...], safe: Column, comfo
     return options.where(safe & comfortable).groupBy(*by).agg(F.min(F.struct(cost.alias("cost"), F.col(tie).alias("choice"))).alias("_b")).select(*by, "_b.choice", "_b.cost")
 
 
-def schedule_pump(demand: DataFrame, least_on: int = 2, least_off: int = 1, levels: int = 40) -> DataFrame:
+def schedule_pump(demand: DataFrame, least_on: int = 2, least_off: int = 1, levels: int = 40, by: tuple[str, ...] = ("entity_id",)) -> DataFrame:
     """entity_id, slot, on, level: the cheapest on/off plan of a tank's pump over the horizon.
 
     demand: entity_id, slot, use_m3, price, pump_m3 (per slot), tank_m3, low_m3, start_m3.
     Dynamic programming over level, state and time in the state; the tank never falls under
     low_m3 nor over tank_m3, and minimum times hold. A group is one tank's horizon (some
-    tens of slots). A tank that no plan can keep within its limits gives null states.
+    tens of slots); `by` has the columns that tell horizons apart, each of which begins at
+    start_m3. A horizon that no plan can keep within the limits gives null states.
     """
     import numpy as np
     import pandas as pd
@@ -100,7 +101,7 @@ def schedule_pump(demand: DataFrame, least_on: int = 2, least_off: int = 1, leve
                 key = trail[i][key]
         return out
 
-    return demand.groupBy("entity_id").applyInPandas(plan, "entity_id string, slot timestamp, on long, level double")
+    return demand.groupBy(*by).applyInPandas(plan, "entity_id string, slot timestamp, on long, level double")
 
 
 def balanced_order(runtime: DataFrame, by: str = "plant") -> DataFrame:

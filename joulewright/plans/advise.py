@@ -234,8 +234,8 @@ def savings_backtest(spark, d):
 
 @query(None)
 def machine_plan(spark, d):
-    """Combinations of three machines for a week of hourly loads, two hours on at least."""
-    load = hourly(spark, d).where("slot < TIMESTAMP '2024-01-08 00:00:00'").groupBy("slot").agg(F.least(F.sum("value") * 8, F.lit(2000.0)).alias("load_kw"))
+    """Combinations of three machines for all hourly loads, as one horizon: two hours on at least, at the turn of a week too."""
+    load = hourly(spark, d).groupBy("slot").agg(F.least(F.sum("value") * 8, F.lit(2000.0)).alias("load_kw"))
     return recommend.plan_machines(load.withColumn("plant", F.lit("P")), [("A", 500.0, 0.2), ("B", 700.0, 0.15), ("C", 900.0, 0.18)])
 
 
@@ -248,11 +248,11 @@ def balanced_order(spark, d):
 
 @query(None)
 def pump_schedule_dp(spark, d):
-    """Each type's second day as the water demand of a tank."""
-    day = hourly(spark, d).where("slot >= TIMESTAMP '2024-01-02 00:00:00' AND slot < TIMESTAMP '2024-01-03 00:00:00'")
+    """Each type's values as the water demand of a tank, planned day by day."""
+    day = hourly(spark, d).withColumn("day", F.to_date("slot"))
     price = F.when(F.hour("slot").isin(9, 10, 17, 18, 19), 3.0).when((F.hour("slot") >= 22) | (F.hour("slot") < 4), 1.0).otherwise(2.0)
-    demand = day.select("entity_id", "slot", (F.col("value") / 4).alias("use_m3"), price.alias("price"), F.lit(8.0).alias("pump_m3"), F.lit(60.0).alias("tank_m3"), F.lit(10.0).alias("low_m3"), F.lit(35.0).alias("start_m3"))
-    return recommend.schedule_pump(demand)
+    demand = day.select("entity_id", "day", "slot", (F.col("value") / 4).alias("use_m3"), price.alias("price"), F.lit(8.0).alias("pump_m3"), F.lit(60.0).alias("tank_m3"), F.lit(10.0).alias("low_m3"), F.lit(35.0).alias("start_m3"))
+    return recommend.schedule_pump(demand, by=("entity_id", "day"))
 
 
 @query(

@@ -307,3 +307,11 @@ def test_document_ids_stay_unique_beyond_their_width(spark):
     assert (ids["run 00006"], ids["run 00998"], ids["run 01009"]) == ("R-20260916-007", "R-20260916-999", "R-20260916-1010")
     numbers = spark.createDataFrame([(9999,), (10000,), (10001,)], "n int")
     assert [r.id for r in numbers.orderBy("n").select(X.document_id("A", at, F.col("n"), 4).alias("id")).collect()] == ["A-20260916-9999", "A-20260916-10000", "A-20260916-10001"]
+
+
+def test_pump_schedule_of_each_horizon(spark):
+    rows = [("t", d, T0 + dt.timedelta(days=d, hours=i), use, p, 10.0, 40.0, 0.0, 12.0) for d, use in enumerate((4.0, 50.0, 4.0)) for i, p in enumerate([3.0, 1.0, 1.0, 3.0, 2.0])]
+    df = spark.createDataFrame(rows, "entity_id string, day int, slot timestamp, use_m3 double, price double, pump_m3 double, tank_m3 double, low_m3 double, start_m3 double")
+    got = [(r.on, r.level) for r in recommend.schedule_pump(df, by=("entity_id", "day")).orderBy("slot").collect()]
+    alone = [(r.on, r.level) for r in recommend.schedule_pump(df.where("day = 0")).orderBy("slot").collect()]
+    assert got[:5] == got[10:] == alone and all(on is not None for on, _ in alone) and {on for on, _ in got[5:10]} == {None}

@@ -39,3 +39,15 @@ def test_query_is_its_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_other_queries_give_rows(spark, name):
     assert registry.QUERIES[name](spark, D).count() > 0
+
+
+def test_plans_are_of_every_hour(spark):
+    e = spark.read.parquet(f"{D}/events.parquet").selectExpr("event_type", "date_trunc('hour', ts) AS slot")
+    hours = sorted(str(r.slot) for r in e.select("slot").distinct().collect())
+    plan = registry.QUERIES["machine_plan"](spark, D).orderBy("slot").collect()
+    assert [str(r.slot) for r in plan] == hours and all(r.est_kw is not None for r in plan)
+    for m in "ABC":
+        on = "".join("1" if m in r.machines else "0" for r in plan)
+        assert all(len(run) >= 2 for run in on.split("0")[:-1] if run)
+    cells = sorted((r.event_type, str(r.slot)) for r in e.distinct().collect())
+    assert sorted((r.entity_id, str(r.slot)) for r in registry.QUERIES["pump_schedule_dp"](spark, D).collect()) == cells
