@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from joulewright.config import DEFAULT, Config
-from joulewright.operators.joins import overlaps
+from joulewright.operators.joins import bucket, buckets, overlaps
 from joulewright.operators.windows import merge_cells
 
 
@@ -51,10 +51,15 @@ def point_scores(cells: DataFrame, alarm: str, truth: str) -> DataFrame:
 
 
 def delays(alarms: DataFrame, labelled: DataFrame, by: str = "entity_id", ts: str = "slot") -> DataFrame:
-    """by, id, delay_min: from a fault's start to the first alarm in it; null if there is none."""
-    a = alarms.select(F.col(by).alias("_e"), F.col(ts).alias("_at"))
-    hit = (labelled[by] == a["_e"]) & (F.col("_at") >= F.col("start")) & (F.col("_at") < F.col("end"))
-    first = labelled.join(a, hit, "left").groupBy(by, "id", "start").agg(F.min("_at").alias("_first"))
+    """by, id, delay_min: from a fault's start to the first alarm in it; null if there is none.
+
+    A fault is copied to each time bucket it reaches, up to the last alarm.
+    """
+    a = alarms.select(F.col(by).alias("_e"), F.col(ts).alias("_at"), bucket(F.col(ts)).alias("_b"))
+    last = F.broadcast(alarms.agg(F.max(ts).alias("_last")))
+    faults = labelled.join(last).withColumn("_bucket", F.explode_outer(buckets(F.col("start"), F.col("end"), F.col("_last"))))
+    hit = (faults[by] == a["_e"]) & (F.col("_bucket") == F.col("_b")) & (F.col("_at") >= F.col("start")) & (F.col("_at") < F.col("end"))
+    first = faults.join(a, hit, "left").groupBy(by, "id", "start").agg(F.min("_at").alias("_first"))
     return first.select(by, "id", ((F.unix_timestamp("_first") - F.unix_timestamp("start")) / 60).alias("delay_min"))
 
 

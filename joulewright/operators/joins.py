@@ -34,12 +34,33 @@ def with_band(df: DataFrame, bands: DataFrame, minute: Column, day_type: str = "
     return df.withColumn("_minute", minute).join(b, inside, "left").drop("_minute", "_type", "from_min", "to_min")
 
 
+#: Seconds of a time bucket, the second equality key of joins of intervals.
+BUCKET = 6 * 3600
+
+
+def bucket(ts: Column) -> Column:
+    return F.floor(F.unix_timestamp(ts) / BUCKET)
+
+
+def buckets(start: Column, end: Column, last: Column) -> Column:
+    """The buckets of an interval, as far as `last`, after which nothing is looked for."""
+    return F.sequence(bucket(start), bucket(F.greatest(start, F.least(end, F.coalesce(last, start)))))
+
+
 def overlaps(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
-    """by, a_id, b_id of intervals (start, end, end exclusive; null end: open) that overlap."""
+    """by, a_id, b_id of intervals (start, end, end exclusive; null end: open) that overlap.
+
+    An interval is copied to each time bucket it reaches, up to the latest start of all;
+    a pair is found in the bucket of its later start only, so once.
+    """
     far = F.lit("9999-01-01").cast("timestamp")
     x = a.select(by, F.col("id").alias("a_id"), F.col("start").alias("s1"), F.coalesce("end", far).alias("e1"))
     y = b.select(by, F.col("id").alias("b_id"), F.col("start").alias("s2"), F.coalesce("end", far).alias("e2"))
-    return x.join(y, by).where("s1 < e2 AND s2 < e1").select(by, "a_id", "b_id")
+    last = F.broadcast(x.select("s1").union(y.select("s2")).agg(F.max("s1").alias("_last")))
+    x = x.join(last).withColumn("_bucket", F.explode(buckets(F.col("s1"), F.col("e1"), F.col("_last")))).drop("_last")
+    y = y.join(last).withColumn("_bucket", F.explode(buckets(F.col("s2"), F.col("e2"), F.col("_last")))).drop("_last")
+    later = bucket(F.greatest("s1", "s2")) == F.col("_bucket")
+    return x.join(y, [by, "_bucket"]).where("s1 < e2 AND s2 < e1").where(later).select(by, "a_id", "b_id")
 
 
 def roll_up(df: DataFrame, topology: DataFrame, entity: str, hops: int) -> DataFrame:

@@ -315,3 +315,26 @@ def test_pump_schedule_of_each_horizon(spark):
     got = [(r.on, r.level) for r in recommend.schedule_pump(df, by=("entity_id", "day")).orderBy("slot").collect()]
     alone = [(r.on, r.level) for r in recommend.schedule_pump(df.where("day = 0")).orderBy("slot").collect()]
     assert got[:5] == got[10:] == alone and all(on is not None for on, _ in alone) and {on for on, _ in got[5:10]} == {None}
+
+
+def test_interval_joins_have_a_time_bucket(spark):
+    rng = random.Random(7)
+    ends = [None, dt.datetime(9999, 1, 1), *[T0 + dt.timedelta(minutes=rng.randrange(6000)) for _ in range(60)]]
+
+    def intervals(n):
+        return [(i, rng.choice("xy"), T0 + dt.timedelta(minutes=rng.randrange(6000)), rng.choice(ends)) for i in range(n)]
+
+    a, b = intervals(120), intervals(120)
+    x, y = (spark.createDataFrame(r, "id long, entity_id string, start timestamp, end timestamp") for r in (a, b))
+    got = joins.overlaps(x, y, "entity_id")
+    far = dt.datetime(9999, 1, 1)
+    want = [(p[0], q[0]) for p in a for q in b if p[1] == q[1] and p[2] < (q[3] or far) and q[2] < (p[3] or far)]
+    assert sorted((r.a_id, r.b_id) for r in got.collect()) == sorted(want)
+    alarms = [(q[1], q[2]) for q in b]
+    late = evaluate.delays(spark.createDataFrame(alarms, "entity_id string, slot timestamp"), x)
+    first = {p[0]: min((t for e, t in alarms if e == p[1] and p[3] and p[2] <= t < p[3]), default=None) for p in a}
+    assert {r.id: r.delay_min for r in late.collect()} == {p[0]: first[p[0]] and (first[p[0]] - p[2]).total_seconds() / 60 for p in a}
+    none = evaluate.delays(spark.createDataFrame([], "entity_id string, slot timestamp"), x).collect()
+    assert len(none) == len(a) and all(r.delay_min is None for r in none)
+    for df in (got, late):
+        assert "Join" in (plan := df._jdf.queryExecution().optimizedPlan().toString()) and "_bucket" in plan
