@@ -4,7 +4,7 @@ A page is parsed to a tree with the implied tags of HTML (open paragraphs, list
 rows, cells, options and headings are closed where a new one begins; a cell outside a row
 gets one; text between rows goes before its table), and the tree is laid out as text: what
 is not shown is left out, blocks keep their spacing, lists their markers and nesting, and
-table cells their columns.
+table cells their columns. Formulas and the text elements of drawings are words of their line.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ SPACE = re.compile(r"[ \t\n\r\f]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HEAD = frozenset("base link meta title style script noscript template".split())
-UNSEEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas svg math datalist colgroup".split())
+UNSEEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas annotation annotation-xml datalist colgroup".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption xmp".split()
@@ -65,6 +65,14 @@ BARRIER = frozenset("table td th caption".split())
 TABLE_OWN = frozenset("table tbody thead tfoot tr td th caption body html".split())
 BETWEEN_CELLS = frozenset("table tbody thead tfoot tr".split())
 DEPTH = 200
+#: Of a drawing only the text elements are text, and nothing within these is shown where it stands.
+UNDRAWN = frozenset("defs desc metadata symbol marker pattern clippath mask".split())
+#: Elements of HTML end an open drawing or formula, unless they are within one of these.
+FOREIGN = frozenset("svg math".split())
+HTML_WITHIN = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+BREAKOUT = frozenset(
+    "b big blockquote br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 
 
 class Node:
@@ -109,7 +117,10 @@ def parse(page: str) -> tuple[Node, list[str]]:
                 stack.pop()
             place(html.unescape(s) if "&" in s else s)
 
-    for_raw = None
+    def foreign() -> bool:
+        return next((n.tag in FOREIGN for n in reversed(stack) if n.tag in FOREIGN or n.tag in HTML_WITHIN), False)
+
+    for_raw, drawn = None, False
     while True:
         m = TOKEN.search(page, at)
         if not m:
@@ -139,6 +150,9 @@ def parse(page: str) -> tuple[Node, list[str]]:
                 continue
             if stack[-1].tag == "head" and tag not in HEAD:
                 stack.pop()
+            drawn = drawn or tag in FOREIGN
+            while drawn and tag in BREAKOUT and foreign():
+                stack.pop()
             if tag in IMPLIED:
                 close_to(*IMPLIED[tag])
             if tag in CLOSES_P:
@@ -158,7 +172,7 @@ def parse(page: str) -> tuple[Node, list[str]]:
                 if tag == "style":
                     styles.append(inner)
                 node.children.append(html.unescape(inner) if tag == "textarea" else inner)
-            elif tag not in VOID and not (m["attrs"].endswith("/") and stack[-1].tag in ("svg", "math")) and len(stack) < DEPTH:
+            elif tag not in VOID and not (drawn and m["attrs"].endswith("/") and (tag in FOREIGN or foreign())) and len(stack) < DEPTH:
                 stack.append(node)
 
 
@@ -267,6 +281,8 @@ class Layout:
                 if not self.line:
                     self.gap += bool(self.lines)
                 self.end_line()
+            elif tag == "svg":
+                self.drawing(child, sees)
             elif tag == "table":
                 self.end_line(1)
                 self.put_lines(self.table(child, sees))
@@ -298,6 +314,26 @@ class Layout:
             else:
                 self.walk(child, sees, pre or tag == "textarea")
 
+    def drawing(self, node: Node, visible: bool, text: bool = False) -> None:
+        """The text elements of a drawing, as words of the line, and the HTML within it."""
+        for child in node.children:
+            if isinstance(child, str):
+                if text and visible:
+                    self.put(child)
+                continue
+            shown, sees = self.seen(child, visible)
+            if not shown or child.tag in UNDRAWN:
+                continue
+            apart = child.tag in ("text", "foreignobject")
+            if apart:
+                self.put(" ")
+            if child.tag == "foreignobject":
+                self.walk(child, sees)
+            else:
+                self.drawing(child, sees, text or child.tag == "text")
+            if apart:
+                self.put(" ")
+
     def table(self, node: Node, visible: bool, wide: int = 60) -> list[str]:
         """The lines of a table; a column is as wide as its widest cell of up to `wide` characters."""
         out, rows, todo = [], [], [(node, visible)]

@@ -41,6 +41,21 @@ def test_cases(page, text):
     assert render(page) == text
 
 
+DRAWN = [
+    ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds", "so x=2 holds"),
+    ("<math><semantics><mi>y</mi><annotation>\\y</annotation></semantics></math>", "y"),
+    ("a<svg>n<title>n</title><desc>n</desc><defs><text>n</text></defs><g><rect/><text>one <tspan>two</tspan></text><text>three</text></g></svg>b", "a one two three b"),
+    ("<svg><text hidden>n</text><foreignObject><p>y</p></foreignObject></svg>", "y"),
+    ("<svg/>a<p><svg viewBox='0 0 1 1'><path d=''/></svg>b", "a\n\nb"),
+    ("<svg><text>a<p>b</p>c", "a\n\nb\n\nc"),
+]
+
+
+@pytest.mark.parametrize("page,text", DRAWN)
+def test_drawings_and_formulas(page, text):
+    assert render(page) == text
+
+
 def test_deep_and_long_pages():
     assert render("<div>" * 5000 + "x").strip() == "x"
     assert render("<ul><li>" * 300 + "x").endswith("x")
