@@ -6,8 +6,10 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,19 +38,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-#: The lists that materialize() enters its tables in; see collected().
-_OPEN: list[list[str]] = []
+#: The lists that materialize() enters its tables in, of this thread (or context) only; see collected().
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
 
 
 @contextmanager
 def collected() -> Iterator[list[str]]:
-    """The paths of the tables that are materialized meanwhile, for drop_tables()."""
+    """The paths of the tables that this thread materializes meanwhile, for drop_tables()."""
     paths: list[str] = []
-    _OPEN.append(paths)
+    before = _OPEN.set((*_OPEN.get(), paths))
     try:
         yield paths
     finally:
-        _OPEN.remove(paths)
+        _OPEN.reset(before)
 
 
 def drop_tables(spark: SparkSession, paths: list[str], but: DataFrame | None = None) -> list[str]:
@@ -72,11 +74,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    for paths in _OPEN:
+    for paths in _OPEN.get():
         paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose intermediate tables are deleted when it returns, but for those that its result reads.
+
+    Those stay until someone drops them: inside collected(), they are in its list.
+    """
+
+    @wraps(operator)
+    def run(*args, **kwargs) -> DataFrame:
+        with collected() as tables:
+            out = operator(*args, **kwargs)
+        drop_tables(out.sparkSession, tables, but=out)
+        return out
+
+    return run
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps, whose plans nothing holds now."""
     gc.collect()
@@ -91,6 +109,25 @@ def text_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
+#: A key with more than one in HOT_SHARE of all rows is hot, so there are fewer than HOT_SHARE hot keys.
+HOT_SHARE = 1000
+
+
+def hot_keys(facts: DataFrame, on: list[str], size: Column, total: int) -> DataFrame:
+    """The keys that hold more than one in HOT_SHARE of `total` rows; size: how many of them a key has."""
+    return facts.where(size > total // HOT_SHARE).select(*on).distinct()
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, on: list[str], hot: DataFrame) -> DataFrame:
+    """rows joined with facts about their keys, where one key may have any share of the rows.
+
+    hot: from hot_keys(), so fewer than HOT_SHARE. The facts of these are broadcast, and their
+    rows stay where they are; only the others are shuffled by key.
+    """
+    few = F.broadcast(facts.join(F.broadcast(hot), on, "left_semi"))
+    return rows.join(F.broadcast(hot), on, "left_anti").join(facts, on).unionByName(rows.join(few, on))
+
+
 def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

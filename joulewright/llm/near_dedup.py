@@ -4,7 +4,8 @@ Two fingerprints that differ in at most `radius` of 64 bits differ in at most
 radius // blocks bits of one of `blocks` disjoint groups of bits. Hamming distance on such
 a group is a pseudometric, so each group has a vantage-point tree of its own, and the
 smaller radius within a group leaves few fingerprints near a branch's boundary. The tops
-of the trees are built from a bounded sample and cut the fingerprints into shards: a
+of the trees are built from a sample (its size grows with the number of shards, up to a
+bound) and cut the fingerprints into shards: a
 fingerprint is at home in one shard of each tree, and visits those that the triangle
 bounds do not exclude (|d(v, q) - d(v, p)| <= d(q, p)). A shard splits its residents by a
 tree of the same kind, and compares visitors and residents of a leaf on all 64 bits.
@@ -26,13 +27,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joulewright.llm.common import materialize, read, release, text_of
+from joulewright.llm.common import hot_keys, join_facts, materialize, read, release, text_of, tidy
 from joulewright.llm.components import connected_components
 
 SEED = 42
 BITS = 64
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
+#: Sampled fingerprints for each shard, and fingerprints that a task deals out at once.
+SAMPLED, DEALT = 8, 100_000
 
 
 def fingerprint(text: str, words: int = 4) -> int:
@@ -169,15 +172,38 @@ def link(home: np.ndarray, all_: np.ndarray, radius: int) -> list[np.ndarray]:
     return out
 
 
-def links(distinct: DataFrame, count: int, radius: int = 4, blocks: int = 3, sample: int = 20_000, shard: int = 4096, leaf: int = 512) -> DataFrame:
-    """a, b: links between distinct fingerprints (column fp) that connect all pairs within the radius."""
-    some = np.array([r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()], np.int64).view(np.uint64)
+def sample_size(count: int, shard: int, least: int, most: int) -> int:
+    """How many fingerprints the tops of the trees are built from: SAMPLED for each shard, within the bounds."""
+    return min(most, max(least, SAMPLED * count // shard))
+
+
+def in_lists(batches: Iterator[pd.DataFrame], column: str) -> Iterator[np.ndarray]:
+    """A column's values in arrays of about DEALT, so that a pass through a large tree is for many of them."""
+    held: list[np.ndarray] = []
+    for b in batches:
+        held.append(b[column].to_numpy())
+        if sum(map(len, held)) >= DEALT:
+            yield np.concatenate(held)
+            held = []
+    if held:
+        yield np.concatenate(held)
+
+
+def links(distinct: DataFrame, count: int, radius: int = 4, blocks: int = 3, sample: int = 20_000, most: int = 2_000_000, shard: int = 4096, leaf: int = 512) -> DataFrame:
+    """a, b: links between distinct fingerprints (column fp) that connect all pairs within the radius.
+
+    Shards have about `shard` residents: the driver holds a sample of SAMPLED fingerprints a
+    shard for that, at least `sample` and at most `most` of them (16 MB), which lasts to
+    10^9 distinct fingerprints; beyond that shards grow with the input.
+    """
+    size = sample_size(count, shard, sample, most)
+    some = np.array([r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(size).collect()], np.int64).view(np.uint64)
     near = radius // blocks
-    tops = [Tree(some, m, near, max(8.0, shard * len(some) / max(1, count))) for m in masks(blocks)]
+    tops = [Tree(some, m, near, max(float(SAMPLED), shard * len(some) / max(1, count))) for m in masks(blocks)]
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = b["fp"].to_numpy().view(np.uint64)
+        for fps in in_lists(batches, "fp"):
+            x = fps.view(np.uint64)
             for t, tree in enumerate(tops):
                 home = np.full(len(x), -1)
                 for leaf_, at in tree.spread(x, 0):
@@ -201,24 +227,28 @@ def links(distinct: DataFrame, count: int, radius: int = 4, blocks: int = 3, sam
     return dealt.groupBy("tree", "shard").applyInPandas(solve, "a long, b long")
 
 
+@tidy
 def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text", **search) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hexadecimal digits), component_id.
 
     Fingerprints link at `radius` or fewer differing bits; component_id is the smallest
     doc_id that links reach, itself included (null if all of them are null). Null and
-    empty texts have no words and the fingerprint 0, which links like any other. Repeated
-    rows give repeated results; other columns are not read; an empty table gives no rows.
+    empty texts have no words and the fingerprint 0, which links like any other; a text of
+    any length is one string and BLOCK of its shingles at a time. Documents of one
+    fingerprint, however many, are one row of the search. Repeated rows give repeated
+    results; other columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = materialize(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")), "distinct")
     edges = materialize(links(distinct, distinct.count(), radius, **search), "links")
     release(spark)
     roots = connected_components(edges)
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least_id", "n", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    to = named.join(least, "root").select("fp", "component_id")
-    return rows.join(to, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    to = materialize(named.join(least, "root").select("fp", "n", "component_id"), "named")
+    hot = hot_keys(to, ["fp"], F.col("n"), rows.count())
+    return join_facts(rows, to, ["fp"], hot).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

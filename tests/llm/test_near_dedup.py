@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from joulewright.llm import components as components_module
 from joulewright.llm import near_dedup as N
 from joulewright.llm.components import connected_components
 
@@ -95,4 +96,25 @@ def test_components_of_a_long_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(60)]
     star = [(1000, 1001 + i) for i in range(50)] + [(7000, 7000)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(chain + star, "a long, b long")).collect()}
-    assert {got[i] for i in range(61)} == {0} and {got[1000 + i] for i in range(51)} == {1000} and 7000 not in got
+    first, second = {got[i] for i in range(61)}, {got[1000 + i] for i in range(51)}
+    assert len(first) == len(second) == 1 and first != second and 7000 not in got
+
+
+def test_rounds_grow_with_the_logarithm_of_a_chain(spark, monkeypatch):
+    rounds = []
+    plain = components_module.contract
+    monkeypatch.setattr(components_module, "contract", lambda *a: rounds.append(a[2]) or plain(*a))
+    chain = spark.range(10_000).selectExpr("id AS a", "id + 1 AS b")
+    got = connected_components(chain)
+    assert got.count() == 10_001 and got.select("root").distinct().count() == 1
+    assert len(rounds) <= 20
+
+
+def test_shards_keep_their_size_as_the_input_grows():
+    assert [N.sample_size(n, 4096, 20_000, 2_000_000) for n in (100, 10**7, 10**8, 10**12)] == [20_000, 20_000, 195_312, 2_000_000]
+
+
+def test_a_hot_fingerprint_is_joined_without_a_shuffle_of_its_rows(spark):
+    df = spark.range(6000).selectExpr("id AS doc_id", "IF(id % 3 = 0, NULL, concat('w', id, ' x y z ', id * 7)) AS text")
+    got = N.near_duplicates(df).collect()
+    assert sum(r.component_id == 0 for r in got if r.doc_id % 3 == 0) == 2000 and len(got) == 6000
