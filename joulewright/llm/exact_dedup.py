@@ -8,8 +8,9 @@ up in the shard they belong to, and a hit counts only if all 32 bytes in the slo
 Members join the history's group; nonmembers make groups of their own.
 
 Nothing here grows with the size of a group of copies: rows are reduced to one per digest
-by partial aggregation before any shuffle by digest, and shards are as many as the history
-needs at `per_shard` digests each, so one shard's memory is bounded.
+by partial aggregation before any shuffle by digest, digests that hold a large share of the
+rows are joined back by broadcast, and shards are as many as the larger of the history and
+the batch needs at `per_shard` digests each, so one shard's memory is bounded.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joulewright.llm.common import ASCII_SPACE, materialize, read
+from joulewright.llm.common import ASCII_SPACE, hot_keys, join_facts, materialize, read, tidy
 
 #: A group's winner (most code points, smallest id, first row) and its size.
 BEST = "digest binary, n_chars long, keep_id long, keep_row long, group_size long"
@@ -43,35 +44,39 @@ def mix(x: np.ndarray, seed: int) -> np.ndarray:
 class PerfectHash:
     """Slots 0..n-1 for n distinct digests: a slot is the rank of the bit that is the digest's alone."""
 
-    def __init__(self, levels: list[np.ndarray]):
-        self.levels = levels
+    def __init__(self, levels: list[np.ndarray], fold: int = 0):
+        self.levels, self.fold = levels, fold
         self.ranks, base = [], 0
         for bits in levels:
             self.ranks.append(base + np.concatenate(([0], np.cumsum(bits[:-1], dtype=np.int64))) if len(bits) else np.zeros(0, np.int64))
             base += int(bits.sum())
 
     @staticmethod
-    def words(digests: np.ndarray) -> np.ndarray:
-        """Three quarters of a digest folded to 64 bits: (n, 32) bytes; the first 8 choose the shard."""
+    def words(digests: np.ndarray, fold: int = 0) -> np.ndarray:
+        """Three quarters of a digest folded to 64 bits, in one way for each number: (n, 32) bytes; the first 8 choose the shard."""
         w = np.ascontiguousarray(digests).view("<u8")
-        return w[:, 1] ^ (w[:, 2] * np.uint64(0x9E3779B97F4A7C15)) ^ (w[:, 3] * np.uint64(0xC2B2AE3D27D4EB4F))
+        with np.errstate(over="ignore"):
+            odd = np.uint64(0x9E3779B97F4A7C15) + np.uint64(2 * fold)
+            return w[:, 1] ^ (w[:, 2] * odd) ^ (w[:, 3] * np.uint64(0xC2B2AE3D27D4EB4F))
 
     @classmethod
     def build(cls, digests: np.ndarray) -> PerfectHash:
-        left, levels = cls.words(digests), []
-        if len(np.unique(left)) != len(left):
-            raise ValueError("two digests fold to one word")
+        """Of distinct digests. Where two of them fold to one word, they are folded another way."""
+        fold = 0
+        while len(np.unique(left := cls.words(digests, fold))) != len(left):
+            fold += 1
+        levels = []
         while len(left):
             size = max(8, int(ROOM * len(left)))
             at = (mix(left, len(levels)) % np.uint64(size)).astype(np.int64)
             alone = np.bincount(at, minlength=size) == 1
             levels.append(alone)
             left = left[~alone[at]]
-        return cls(levels)
+        return cls(levels, fold)
 
     def slots(self, digests: np.ndarray) -> np.ndarray:
         """The slot of each digest; -1 where no level has a bit for it (certainly no member)."""
-        words = self.words(digests)
+        words = self.words(digests, self.fold)
         out, todo = np.full(len(words), -1, np.int64), np.arange(len(words))
         for k, (bits, ranks) in enumerate(zip(self.levels, self.ranks)):
             at = (mix(words[todo], k) % np.uint64(len(bits))).astype(np.int64)
@@ -81,17 +86,17 @@ class PerfectHash:
         return out
 
     def pack(self) -> bytes:
-        return struct.pack("<I", len(self.levels)) + b"".join(struct.pack("<Q", len(b)) + np.packbits(b).tobytes() for b in self.levels)
+        return struct.pack("<II", len(self.levels), self.fold) + b"".join(struct.pack("<Q", len(b)) + np.packbits(b).tobytes() for b in self.levels)
 
     @classmethod
     def unpack(cls, data: bytes) -> PerfectHash:
-        (n,), at, levels = struct.unpack_from("<I", data), 4, []
+        (n, fold), at, levels = struct.unpack_from("<II", data), 8, []
         for _ in range(n):
             (size,) = struct.unpack_from("<Q", data, at)
             nbytes = (size + 7) // 8
             levels.append(np.unpackbits(np.frombuffer(data, np.uint8, nbytes, at + 8), count=size).astype(bool))
             at += 8 + nbytes
-        return cls(levels)
+        return cls(levels, fold)
 
 
 def matrix(digests: pd.Series) -> np.ndarray:
@@ -170,6 +175,12 @@ def look_up(index: DataFrame, groups: DataFrame, shards: int) -> DataFrame:
     return index.groupBy("shard").cogroup(groups.withColumn("shard", shard(shards)).groupBy("shard")).applyInPandas(merge, f"{BEST}, member boolean")
 
 
+def shards_of(history: int, batch: int, per_shard: int, least: int) -> int:
+    """As many as the larger side needs, so that neither side of a shard grows with the input."""
+    return max(1, -(-max(history, batch) // per_shard), min(64, least))
+
+
+@tidy
 def dedup(docs: DataFrame, history: Column | None = None, per_shard: int = 50_000, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row per document: doc_id, row, keep_id, group_size, kept, text_sha256, member.
 
@@ -178,19 +189,22 @@ def dedup(docs: DataFrame, history: Column | None = None, per_shard: int = 50_00
     not depend on it, but `member` (the digest was in the index) does. `row` is the row's
     number, that of `row_col` where it is given (unique, not null). Texts are equal when
     identical without ASCII white space; the row with the most code points, then the
-    smallest id, stays. Null and empty texts are equal to each other. Null ids come last
-    and have a null keep_id among themselves; of rows alike in all, one stays. Other
-    columns are not read; an empty table gives no rows.
+    smallest id, stays. Null and empty texts are equal to each other; a text of any length
+    is read as one string and leaves as its digest. Null ids come last and have a null
+    keep_id among themselves; of rows alike in all, one stays. Other columns are not read;
+    an empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = materialize(keyed(docs, id_col, text_col, row_col), "digests")
     history = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0 if history is None else history
     old = F.coalesce(history, F.lit(False))
     groups = materialize(best(rows.where(old)), "history")
-    shards = max(1, -(-groups.count() // per_shard), min(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    batch = materialize(best(rows.where(~old)), "batch")
+    shards = shards_of(groups.count(), batch.count(), per_shard, int(spark.conf.get("spark.sql.shuffle.partitions")))
     index = materialize(build_index(groups, shards), "index")
-    winners = look_up(index, best(rows.where(~old)), shards)
-    return rows.join(winners.drop("n_chars"), "digest").select(
+    winners = materialize(look_up(index, batch, shards).drop("n_chars"), "winners")
+    hot = hot_keys(winners, ["digest"], F.col("group_size"), rows.count())
+    return join_facts(rows, winners, ["digest"], hot).select(
         "doc_id",
         "row",
         "keep_id",

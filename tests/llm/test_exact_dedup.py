@@ -42,6 +42,22 @@ def test_any_history_gives_the_same_groups(spark, history):
         assert all(r.member for r in got)
 
 
+def test_digests_that_fold_alike_are_folded_another_way(monkeypatch):
+    plain = E.PerfectHash.words
+    alike = staticmethod(lambda d, fold=0: plain(d, fold) * np.uint64(fold > 1))
+    monkeypatch.setattr(E.PerfectHash, "words", alike)
+    digests = np.frombuffer(b"".join(hashlib.sha256(bytes([i])).digest() for i in range(50)), np.uint8).reshape(-1, 32)
+    h = E.PerfectHash.unpack(E.PerfectHash.build(digests).pack())
+    assert h.fold == 2 and sorted(h.slots(digests).tolist()) == list(range(50))
+
+
+def test_shards_grow_with_the_batch_too(spark):
+    assert [E.shards_of(h, b, 50, 4) for h, b in ((0, 0), (1000, 10), (10, 1000), (0, 10**6))] == [4, 20, 20, 20_000]
+    df = spark.range(5000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'same  text', concat('t', id)) AS text")
+    got = E.dedup(df, F.lit(False), per_shard=50).collect()
+    assert len(got) == 5000 and sum(r.kept for r in got) == 3334 and {r.group_size for r in got} == {1, 1667}
+
+
 def test_testdata(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
