@@ -7,10 +7,11 @@ position is left free, so that neighbouring positions always belong to one docum
 Building it needs no shuffle, and a passage that many documents share is spread as the
 documents are.
 
-A search selects the postings of the search terms, brings each shard's together, and
-intersects offset-adjusted position lists, beginning with the rarest term of the phrase.
-Benchmarks of any size are searched in blocks of a bounded number of items and characters
-against the same index, so what the driver holds and the workers get is bounded by a block.
+A search reads the index once: it selects the postings of all search terms and brings each
+shard's together in one row. Then it intersects offset-adjusted position lists, beginning
+with the rarest term of the phrase. Benchmarks of any size are searched in blocks of a
+bounded number of items and characters against those rows, so what the driver holds and the
+workers get is bounded by a block; where there is more than one block, the rows are written.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joulewright.llm.common import materialize, read, rows_in_blocks, text_of
+from joulewright.llm.common import lower_ascii, materialize, read, rows_in_blocks, text_of, tidy
 
 #: term null: the directory row, ids with the documents and at with their starts and the end.
 INDEX = "shard long, term string, ids array<long>, at array<int>"
@@ -115,44 +116,69 @@ def near(postings: dict[str, np.ndarray], terms: tuple[str, ...], within: int, d
     return lefts[doc_of(lefts) == doc_of(last)]
 
 
-def opened(g: pd.DataFrame):
-    """The ids, starts and postings of a shard's rows."""
-    head = g[g["term"].isna()].iloc[0]
-    terms = g[g["term"].notna()]
-    return head["ids"], np.asarray(head["at"], np.int64), {t: np.asarray(p, np.int64) for t, p in zip(terms["term"], terms["at"])}
+#: Search terms that may be broadcast (some 10 MB); more of them are joined by a shuffle of the index.
+MOST_BROADCAST = 500_000
+SHARDS = "shard long, ids array<long>, starts array<int>, postings array<struct<term:string,at:array<int>>>"
 
 
-def select(index: DataFrame, terms: list[str]) -> DataFrame:
-    return index.where(F.col("term").isNull() | F.col("term").isin(terms)).groupBy("shard")
+def terms_of(items: DataFrame) -> DataFrame:
+    """term: the distinct words of the texts of items."""
+    cut = F.split(lower_ascii(F.col("text")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    return items.where("text IS NOT NULL").select(F.explode(cut).alias("term")).where("term != ''").distinct()
 
 
-def phrase_matches(index: DataFrame, phrases: dict[tuple[str, ...], list[str]]) -> DataFrame:
+def select(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """SHARDS: one row per shard, with the postings of those terms that it has; the index is read once."""
+    terms = materialize(terms, "terms")
+    wanted = F.broadcast(terms) if terms.count() <= MOST_BROADCAST else terms
+    found = index.where("term IS NOT NULL").join(wanted, "term", "left_semi").unionByName(index.where("term IS NULL"))
+    head = F.col("term").isNull()
+    return found.groupBy("shard").agg(
+        F.first(F.when(head, F.col("ids")), ignorenulls=True).alias("ids"),
+        F.first(F.when(head, F.col("at")), ignorenulls=True).alias("starts"),
+        F.collect_list(F.when(~head, F.struct("term", "at"))).alias("postings"),
+    )
+
+
+def opened(shards: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, np.ndarray, dict[str, np.ndarray]]]:
+    """The number, the ids, the starts and the postings of each shard."""
+    for b in shards:
+        for k in range(b.num_rows):
+            shard, ids, starts, postings = (b.column(i)[k] for i in range(4))
+            terms, lists = postings.values.flatten() if len(postings) else ((), ())
+            at = {t.as_py(): np.asarray(p.values, np.int64) for t, p in zip(terms, lists)}
+            yield shard.as_py(), ids.as_py(), np.asarray(starts.values, np.int64), at
+
+
+def phrase_matches(shards: DataFrame, phrases: dict[tuple[str, ...], list[str]]) -> DataFrame:
     """shard, doc (its place in the shard), doc_id, n_words, spans (start, end, ... of hit words), items.
 
     phrases: the items that each phrase stands for.
     """
 
-    def search(g: pd.DataFrame) -> pd.DataFrame:
-        ids, starts, postings = opened(g)
-        spans: dict[int, list] = {}
-        items: dict[int, set] = {}
-        for phrase, owners in phrases.items():
-            found = occurs(postings, phrase)
-            for d, at in zip(np.searchsorted(starts, found, "right") - 1, found):
-                spans.setdefault(d, []).append((at - starts[d], at - starts[d] + len(phrase)))
-                items.setdefault(d, set()).update(owners)
-        n = len(ids)
-        return pd.DataFrame({
-            "shard": np.full(n, g["shard"].iloc[0]),
-            "doc": np.arange(n),
-            "doc_id": pd.array([None if x is None or x != x else int(x) for x in ids], "Int64"),
-            "n_words": np.diff(starts) - 1,
-            "spans": [[int(x) for s in spans.get(d, ()) for x in s] for d in range(n)],
-            "items": [sorted(items.get(d, ())) for d in range(n)],
-        })
-
-    terms = sorted({t for p in phrases for t in p})
-    return select(index, terms).applyInPandas(search, "shard long, doc long, doc_id long, n_words long, spans array<long>, items array<string>")
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, ids, starts, postings in opened(batches):
+            spans: dict[int, list] = {}
+            items: dict[int, set] = {}
+            for phrase, owners in phrases.items():
+                found = occurs(postings, phrase)
+                for d, at in zip(np.searchsorted(starts, found, "right") - 1, found):
+                    spans.setdefault(d, []).extend((int(at - starts[d]), int(at - starts[d]) + len(phrase)))
+                    items.setdefault(d, set()).update(owners)
+            n = len(ids)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(n, shard), pa.int64()),
+                    pa.array(np.arange(n), pa.int64()),
+                    pa.array(ids, pa.int64()),
+                    pa.array(np.diff(starts) - 1, pa.int64()),
+                    pa.array([spans.get(d, []) for d in range(n)], pa.list_(pa.int64())),
+                    pa.array([sorted(items.get(d, ())) for d in range(n)], pa.list_(pa.string())),
+                ],
+                names=["shard", "doc", "doc_id", "n_words", "spans", "items"],
+            )
+
+    return shards.mapInArrow(search, "shard long, doc long, doc_id long, n_words long, spans array<long>, items array<string>")
 
 
 def proximity_matches(index: DataFrame, items: dict[str, tuple[str, ...]], within: int) -> DataFrame:
@@ -161,47 +187,53 @@ def proximity_matches(index: DataFrame, items: dict[str, tuple[str, ...]], withi
     A word stands for itself however often an item has it. Items are a bounded block.
     """
 
-    def search(g: pd.DataFrame) -> pd.DataFrame:
-        ids, starts, postings = opened(g)
-        rows = []
-        doc_of = lambda at: np.searchsorted(starts, at, "right") - 1
-        for item, terms in items.items():
-            for d, n in zip(*np.unique(doc_of(near(postings, terms, within, doc_of)), return_counts=True)):
-                rows.append((ids[d], item, n))
-        return pd.DataFrame(rows, columns=["doc_id", "item_id", "n_matches"])
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, ids, starts, postings in opened(batches):
+            rows = []
+            doc_of = lambda at: np.searchsorted(starts, at, "right") - 1
+            for item, terms in items.items():
+                for d, n in zip(*np.unique(doc_of(near(postings, terms, within, doc_of)), return_counts=True)):
+                    rows.append((ids[d], item, int(n)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((), (), ()), (pa.int64(), pa.string(), pa.int64()))], names=["doc_id", "item_id", "n_matches"])
 
-    terms = sorted({t for p in items.values() for t in p})
-    return select(index, terms).applyInPandas(search, "doc_id long, item_id string, n_matches long")
+    terms = index.sparkSession.createDataFrame([(t,) for t in sorted({t for p in items.values() for t in p})], "term string")
+    return select(index, terms).mapInArrow(search, "doc_id long, item_id string, n_matches long")
 
 
+@tidy
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, items_per_block: int = 1000, chars_per_block: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A document word inside any occurrence of a window of an item is hit; windows never
     cross documents. Null and empty texts have no words, and an item without words hits
-    nothing; an item without an id is called 'null'. Null document ids stay null; repeated
+    nothing; an item without an id is called 'null'. A very long text is a shard of its own,
+    and an item of any length a block of its own. Null document ids stay null; repeated
     documents give repeated rows, repeated items count once; other columns are not read.
     An empty benchmark leaves every document clean; no documents, no rows.
     """
     index = materialize(build_index(docs, id_col, text_col), "postings")
-    bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
+    bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("string").alias("text"))
+    shards = select(index, terms_of(bench))
+    size = bench.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    if size.items > items_per_block or size.chars > chars_per_block:
+        shards = materialize(shards, "shards")
     found = None
     for block in rows_in_blocks(bench, "item_id", items_per_block, "text", chars_per_block):
         phrases: dict[tuple[str, ...], list[str]] = {}
         for item, text in block:
             for w in windows_of(text, window):
                 phrases.setdefault(w, []).append(item)
-        part = phrase_matches(index, phrases)
+        part = phrase_matches(shards, phrases)
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = phrase_matches(index, {})
+        found = phrase_matches(shards, {})
 
     def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             n_hit = [sum(e - s for s, e in merged(x)) for x in b["spans"]]
             items = [sorted(set(x)) for x in b["items"]]
             yield pd.DataFrame({
-                "doc_id": b["doc_id"],
+                "doc_id": b["doc_id"].astype("Int64"),
                 "n_words": b["n_words"],
                 "n_hit": n_hit,
                 "n_items": [len(x) for x in items],
@@ -230,26 +262,31 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-ORACLE = r"""
-WITH d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-b AS (
-  SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-p AS (
-  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
-  FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) u(i) WHERE len(w) > 0),
-h AS (
-  SELECT doc_id, i, p.n, p.item_id
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) x, (SELECT DISTINCT n FROM p) s
-  JOIN p ON p.n = s.n AND array_to_string(x.w[x.i:x.i + s.n - 1], ' ') = p.g
-  WHERE x.i + s.n - 1 <= len(x.w)),
-c AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM h) GROUP BY 1),
-t AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s
-  FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY 1)
-SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+def oracle(window: int = 10) -> str:
+    """The same in SQL: every window of words by lead(), and every length that an item's window has."""
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    grams = ["w AS g1", *(f"g{n - 1} || ' ' || lead(w, {n - 1}) OVER s AS g{n}" for n in range(2, window + 1))]
+    steps = lambda t, key: ", ".join(
+        [f"{t}1 AS (SELECT {key}, i, w, w AS g1 FROM {t}0)"]
+        + [f"{t}{n} AS (SELECT *, {grams[n - 1]} FROM {t}{n - 1} WINDOW s AS (PARTITION BY {key} ORDER BY i))" for n in range(2, window + 1)]
+    )
+    every = lambda t, key: " UNION ALL ".join(f"SELECT {key}, i, {n} AS n, g{n} AS g FROM {t}{window} WHERE g{n} IS NOT NULL" for n in range(1, window + 1))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+b AS (SELECT row_number() OVER () AS r, item_id::VARCHAR AS item_id, text FROM benchmark),
+x0 AS (SELECT r, unnest(l) AS w, unnest(range(1, len(l) + 1)) AS i FROM (SELECT r, {words} AS l FROM d)),
+y0 AS (SELECT r, unnest(l) AS w, unnest(range(1, len(l) + 1)) AS i FROM (SELECT r, {words} AS l FROM b)),
+{steps("x", "r")}, {steps("y", "r")},
+z AS (SELECT r, max(i) AS n FROM y0 GROUP BY 1),
+p AS (SELECT DISTINCT item_id, v.n, v.g FROM ({every("y", "r")}) v JOIN z ON v.r = z.r AND v.n = least(z.n, {window}) JOIN b ON b.r = v.r),
+h AS (SELECT v.r, v.i, v.n, p.item_id FROM ({every("x", "r")}) v JOIN p ON v.n = p.n AND v.g = p.g),
+c AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM h) GROUP BY 1),
+t AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT r, item_id FROM h) GROUP BY 1),
+n AS (SELECT r, count(*) AS n_words FROM x0 GROUP BY 1)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+FROM d LEFT JOIN n USING (r) LEFT JOIN c USING (r) LEFT JOIN t USING (r)
 """
+
+
+ORACLE = oracle()
