@@ -7,7 +7,7 @@ participant says and nothing else. System turns are context for all and no parti
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from joulewright.llm.common import read
@@ -20,66 +20,78 @@ def clean(c: Column) -> Column:
     return F.replace(F.coalesce(c, F.lit("")), F.lit("<|im_"), F.lit("<| im_"))
 
 
-def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text", system: str = "system", turns_per_part: int = 512) -> DataFrame:
-    """One row per conversation, participant and part of at most `turns_per_part` turn numbers.
+def length(c: Column) -> Column:
+    return F.length(c).cast("long")
 
-    Columns: conv_id, participant, part (turn div turns_per_part), n_turns, n_own (turns of
-    the participant in the part), rendered, masks (start:end of what carries loss, in
-    characters of rendered, comma-joined: each own text with its end mark), n_loss_chars,
-    text_sha256 (of rendered).
+
+def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text", system: str = "system", turns_per_part: int | None = None) -> DataFrame:
+    """One row per conversation and participant: the whole dialogue from that speaker's side.
+
+    Columns: conv_id, participant, part (0), n_turns, n_own (turns of the participant),
+    rendered, masks (start:end of what carries loss, in characters of rendered,
+    comma-joined: each own text with its end mark), n_loss_chars, text_sha256 (of rendered).
 
     Turns are ordered by turn, then speaker, then text; repeated rows are repeated turns.
-    A null speaker is 'unknown', a null text empty, a null turn comes first, in part 0.
-    Rows of a null conversation id are one conversation. A conversation of system turns
-    only has no participant and gives no row; an empty table gives none. A participant who
-    says nothing in a part has that part with empty masks. Other columns are not read.
-
-    Shuffle: one by (conversation, part) for the turns and a small one of distinct
-    speakers. A group is bounded by `turns_per_part` turn numbers, so a conversation of any
-    length is spread over its parts.
+    A null speaker is 'unknown', a null text empty, a null turn comes first. Rows of a null
+    conversation id are one conversation. A conversation of system turns only has no
+    participant and gives no row; an empty table gives none. Texts may be of any length;
+    other columns are not read.
+
+    A rendered dialogue is one value, so a conversation must fit in a task, at any number of
+    turns; places are running sums, and the work is linear in the turns. Dialogues too long
+    for that can be asked for in parts of `turns_per_part` turn numbers (part: turn div
+    turns_per_part; null turns in part 0): each part begins with the system turns of the
+    parts before it, and a participant who says nothing in a part has it with empty masks.
+
+    Shuffle: one by (conversation, part) for the turns, and a small one of distinct speakers.
     """
     t = turns.select(
         F.col(conv).alias("conv_id"),
         F.col(turn).cast("long").alias("turn"),
         F.coalesce(F.col(speaker), F.lit("unknown")).alias("speaker"),
         clean(F.col(text)).alias("text"),
-    ).withColumn("part", F.coalesce(F.floor(F.col("turn") / turns_per_part).cast("long"), F.lit(0).cast("long")))
-    parts = t.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "text"))).alias("turns"))
-    cast = t.where(F.col("speaker") != system).select("conv_id", F.col("speaker").alias("participant")).distinct()
-    both = parts.alias("p").join(cast.alias("c"), F.col("p.conv_id").eqNullSafe(F.col("c.conv_id")))
+    )
+    t = t.withColumn("part", F.coalesce(F.floor(F.col("turn") / turns_per_part), F.lit(0)).cast("long") if turns_per_part else F.lit(0).cast("long"))
+    spoken = F.col("speaker") != system
+    cast = t.where(spoken).select("conv_id", F.col("speaker").alias("participant")).distinct()
+    if turns_per_part:
+        parts = t.select("conv_id", "part").distinct()
+        said = t.where(~spoken).withColumnRenamed("part", "first").alias("s")
+        later = said.join(parts.alias("p"), F.col("s.conv_id").eqNullSafe(F.col("p.conv_id")) & (F.col("p.part") > F.col("s.first")))
+        t = t.unionByName(later.select("s.conv_id", "turn", "speaker", "text", "part"))
+    # where a text begins if nobody is the assistant, and how often its speaker has spoken before it
+    named = F.concat(F.lit("user name="), clean(F.col("speaker")))
+    head = F.concat(F.lit(START), F.when(spoken, named).otherwise("system"), F.lit("\n"))
+    w = Window.partitionBy("conv_id", "part").orderBy("turn", "speaker", "text").rowsBetween(Window.unboundedPreceding, -1)
+    line = length(F.col("head")) + length(F.col("text")) + len(END) + 1
+    placed = t.withColumn("head", head).withColumn("at", F.coalesce(F.sum(line).over(w), F.lit(0)) + length(F.col("head")))
+    dialogue = placed.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("at", "speaker", "head", "text"))).alias("turns"))
+    both = dialogue.alias("d").join(cast.alias("c"), F.col("d.conv_id").eqNullSafe(F.col("c.conv_id")))
     me = F.col("participant")
+    own = F.filter("turns", lambda x: x["speaker"] == me)
+    mine = F.lit(START + "assistant\n")
+    # each own turn so far has the assistant's head instead of the named one
+    shift = length(mine) - length(F.concat(F.lit(START + "user name="), clean(me), F.lit("\n")))
 
-    def head(x: Column) -> Column:
-        who = F.when(x["speaker"] == system, F.lit("system")).when(x["speaker"] == me, F.lit("assistant"))
-        return F.concat(F.lit(START), F.coalesce(who, F.concat(F.lit("user name="), clean(x["speaker"]))), F.lit("\n"))
-
-    def step(acc: Column, x: Column) -> Column:
-        own = (x["speaker"] == me) & (x["speaker"] != system)
-        begin = acc["at"] + F.length(x["head"])
-        end = begin + F.length(x["text"]) + len(END)
-        return F.struct(
-            (end + 1).alias("at"),
-            F.when(own, F.concat(acc["spans"], F.array(F.concat_ws(":", begin.cast("string"), end.cast("string"))))).otherwise(acc["spans"]).alias("spans"),
-            F.when(own, acc["n"] + end - begin).otherwise(acc["n"]).alias("n"),
-        )
+    def span(x: Column, i: Column) -> Column:
+        begin = x["at"] + (i + 1) * F.col("shift")
+        return F.concat_ws(":", begin.cast("string"), (begin + length(x["text"]) + len(END)).cast("string"))
 
-    pieces = F.transform("turns", lambda x: F.struct(x["speaker"].alias("speaker"), x["text"].alias("text"), head(x).alias("head")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"), F.lit(0).alias("n"))
+    shown = F.transform("turns", lambda x: F.concat(F.when(x["speaker"] == me, mine).otherwise(x["head"]), x["text"], F.lit(END + "\n")))
     return (
-        both.select("p.conv_id", "participant", "part", pieces.alias("pieces"))
-        .withColumn("masks", F.aggregate("pieces", zero, step))
-        .withColumn("rendered", F.array_join(F.transform("pieces", lambda x: F.concat(x["head"], x["text"], F.lit(END + "\n"))), ""))
+        both.withColumn("own", own)
+        .withColumn("shift", shift)
         .select(
-            "conv_id",
+            "d.conv_id",
             "participant",
             "part",
-            F.size("pieces").cast("long").alias("n_turns"),
-            F.size("masks.spans").cast("long").alias("n_own"),
-            "rendered",
-            F.array_join("masks.spans", ",").alias("masks"),
-            F.col("masks.n").cast("long").alias("n_loss_chars"),
-            F.sha2(F.col("rendered").cast("binary"), 256).alias("text_sha256"),
+            F.size("turns").cast("long").alias("n_turns"),
+            F.size("own").cast("long").alias("n_own"),
+            F.array_join(shown, "").alias("rendered"),
+            F.array_join(F.transform("own", span), ",").alias("masks"),
+            F.aggregate("own", F.lit(0).cast("long"), lambda n, x: n + length(x["text"]) + len(END)).alias("n_loss_chars"),
         )
+        .withColumn("text_sha256", F.sha2(F.col("rendered").cast("binary"), 256))
     )
 
 
@@ -90,7 +102,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = """
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker,
-         replace(coalesce(text, ''), '<|im_', '<| im_') AS text, coalesce(turn // 512, 0) AS part
+         replace(coalesce(text, ''), '<|im_', '<| im_') AS text, 0 AS part
   FROM conversations),
 c AS (SELECT DISTINCT conv_id, speaker AS participant FROM t WHERE speaker <> 'system'),
 b AS (
