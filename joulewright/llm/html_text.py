@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,14 +21,9 @@ from pyspark.sql import functions as F
 
 from joulewright.llm.common import read
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<!\[CDATA\[(?P<cdata>.*?)\]\]>"
-    r"|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*+(?:>|\Z)"
-    r"|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<[!?/][^>]*+(?:>|\Z)",
-    re.S,
-)
+END_TAG = re.compile(r"/([a-zA-Z][^\s/>]*)[^>]*+>?")
+NAME_START, NAME_END = re.compile("[a-zA-Z]"), re.compile(r"[\s/>]")
+ATTRS = re.compile(r"((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")
 ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 SIMPLE = re.compile(r"(?:[a-z][a-z0-9]*|[.#][\w-]+)\Z", re.I)
@@ -64,7 +61,8 @@ IMPLIED = {
 BARRIER = frozenset("table td th caption".split())
 TABLE_OWN = frozenset("table tbody thead tfoot tr td th caption body html".split())
 BETWEEN_CELLS = frozenset("table tbody thead tfoot tr".split())
-DEPTH = 200
+#: Elements nested deeper are siblings, as in browsers, which have the same limit.
+DEPTH = 512
 #: Of a drawing only the text elements are text, and nothing within these is shown where it stands.
 UNDRAWN = frozenset("defs desc metadata symbol marker pattern clippath mask".split())
 #: Elements of HTML end an open drawing or formula, unless they are within one of these.
@@ -88,15 +86,70 @@ class Node:
         return out
 
 
+class Ends:
+    """Where the markup that begins at a place of a page ends, in time linear in the page over all its places.
+
+    A terminator that does not follow is looked for once, and where tags end is worked out
+    from the end of the page for all places together, once a tag without an end is met.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.lacking, self.marks, self.ends, self.name_end = page, set(), None, [], 0
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.lacking:
+            return -1
+        k = self.page.find(what, at)
+        if k < 0:
+            self.lacking.add(what)
+        return k
+
+    def name(self, at: int) -> int:
+        """Where the name of a tag ends that begins at `at`; places are asked for in order."""
+        if self.name_end < at:
+            m = NAME_END.search(self.page, at)
+            self.name_end = m.start() if m else len(self.page)
+        return self.name_end
+
+    def tag(self, at: int) -> int:
+        """The place of the > that ends a tag whose attributes begin at `at`, outside quotes; -1 if there is none."""
+        if self.marks is None:
+            if m := ATTRS.match(self.page, at):
+                return m.end(1)
+            self.marks = [m.start() for m in re.finditer("[>\"']", self.page)]
+            self.ends = [-1] * (len(self.marks) + 1)
+            after = {"'": -1, '"': -1}
+            for k in range(len(self.marks) - 1, -1, -1):
+                c = self.page[self.marks[k]]
+                if c == ">":
+                    self.ends[k] = self.marks[k]
+                else:
+                    # from behind the quote that closes this one
+                    self.ends[k] = self.ends[after[c] + 1] if after[c] >= 0 else -1
+                    after[c] = k
+        return self.ends[bisect_left(self.marks, at)]
+
+
 def parse(page: str) -> tuple[Node, list[str]]:
-    """The tree of a page, and the texts of its style elements."""
+    """The tree of a page, and the texts of its style elements. A < that begins no markup, or none with an end, is text."""
     root = Node("html")
-    stack, styles, at = [root], [], 0
+    stack, styles, ends, opened = [root], [], Ends(page), Counter()
+
+    def push(node: Node) -> None:
+        stack.append(node)
+        opened[node.tag] += 1
+
+    def cut(k: int) -> None:
+        for node in stack[k:]:
+            opened[node.tag] -= 1
+        del stack[k:]
 
     def close_to(tags: frozenset, stop: frozenset) -> None:
+        if not any(opened[t] for t in tags):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in tags:
-                del stack[k:]
+                cut(k)
                 return
             if stack[k].tag in stop:
                 return
@@ -114,66 +167,86 @@ def parse(page: str) -> tuple[Node, list[str]]:
     def text(s: str) -> None:
         if s and (s.strip() or stack[-1].tag not in BETWEEN_CELLS):
             if stack[-1].tag == "head" and s.strip():
-                stack.pop()
+                cut(len(stack) - 1)
             place(html.unescape(s) if "&" in s else s)
 
     def foreign() -> bool:
         return next((n.tag in FOREIGN for n in reversed(stack) if n.tag in FOREIGN or n.tag in HTML_WITHIN), False)
 
-    for_raw, drawn = None, False
-    while True:
-        m = TOKEN.search(page, at)
-        if not m:
-            text(page[at:])
-            return root, styles
-        text(page[at : m.start()])
-        at = m.end()
-        if m["cdata"] is not None:
-            text(m["cdata"])
-        elif m["end"]:
-            tag = m["end"].lower()
-            if tag == "p" and not any(n.tag == "p" for n in stack):
-                place(Node("p"))
-            elif tag == "br":
-                place(Node("br"))
-            elif tag in HEADINGS:
-                close_to(HEADINGS, BARRIER)
-            elif tag not in ("body", "html"):
-                close_to(frozenset([tag]), frozenset(["table"]) - {tag} if tag in TABLE_OWN else BARRIER)
-        elif m["start"]:
-            tag = m["start"].lower()
-            if tag in ("html", "body"):
-                if stack[-1].tag == "head":
-                    stack.pop()
-                if tag == "body" and m["attrs"]:
-                    root.attrs += m["attrs"]
-                continue
-            if stack[-1].tag == "head" and tag not in HEAD:
-                stack.pop()
-            drawn = drawn or tag in FOREIGN
-            while drawn and tag in BREAKOUT and foreign():
-                stack.pop()
-            if tag in IMPLIED:
-                close_to(*IMPLIED[tag])
-            if tag in CLOSES_P:
-                close_to(frozenset(["p"]), BARRIER | {"button"})
-            if tag in HEADINGS and stack[-1].tag in HEADINGS:
-                stack.pop()
-            if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-                row = Node("tr")
-                stack[-1].children.append(row)
-                stack.append(row)
-            node = Node(tag, m["attrs"])
-            place(node)
-            if tag in RAW:
-                for_raw = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*+>?", re.I).search(page, at)
-                inner = page[at : for_raw.start() if for_raw else len(page)]
-                at = for_raw.end() if for_raw else len(page)
-                if tag == "style":
-                    styles.append(inner)
-                node.children.append(html.unescape(inner) if tag == "textarea" else inner)
-            elif tag not in VOID and not (drawn and m["attrs"].endswith("/") and (tag in FOREIGN or foreign())) and len(stack) < DEPTH:
-                stack.append(node)
+    def end(tag: str) -> None:
+        if tag == "p" and not opened["p"]:
+            place(Node("p"))
+        elif tag == "br":
+            place(Node("br"))
+        elif tag in HEADINGS:
+            close_to(HEADINGS, BARRIER)
+        elif tag not in ("body", "html"):
+            close_to(frozenset([tag]), frozenset(["table"]) - {tag} if tag in TABLE_OWN else BARRIER)
+
+    def start(tag: str, attrs: str, at: int) -> int:
+        """Opens an element; gives the place behind what belongs to its tag."""
+        nonlocal drawn
+        if tag in ("html", "body"):
+            if stack[-1].tag == "head":
+                cut(len(stack) - 1)
+            if tag == "body" and attrs:
+                root.attrs += attrs
+            return at
+        if stack[-1].tag == "head" and tag not in HEAD:
+            cut(len(stack) - 1)
+        drawn = drawn or tag in FOREIGN
+        while drawn and tag in BREAKOUT and foreign():
+            cut(len(stack) - 1)
+        if tag in IMPLIED:
+            close_to(*IMPLIED[tag])
+        if tag in CLOSES_P:
+            close_to(frozenset(["p"]), BARRIER | {"button"})
+        if tag in HEADINGS and stack[-1].tag in HEADINGS:
+            cut(len(stack) - 1)
+        if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
+            row = Node("tr")
+            stack[-1].children.append(row)
+            push(row)
+        node = Node(tag, attrs)
+        place(node)
+        if tag in RAW:
+            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*+>?", re.I).search(page, at) if f"</{tag}" not in ends.lacking else None
+            if not close:
+                ends.lacking.add(f"</{tag}")
+            inner = page[at : close.start() if close else len(page)]
+            if tag == "style":
+                styles.append(inner)
+            node.children.append(html.unescape(inner) if tag == "textarea" else inner)
+            return close.end() if close else len(page)
+        if tag not in VOID and not (drawn and attrs.endswith("/") and (tag in FOREIGN or foreign())) and len(stack) < DEPTH:
+            push(node)
+        return at
+
+    at, told, drawn = 0, 0, False  # told: up to where all is in the tree
+    while (at := page.find("<", at)) >= 0:
+        what = page[at + 1 : at + 2]
+        behind, act = -1, None
+        if page.startswith("<!--", at):
+            k = ends.find("-->", at + 4)
+            behind = k + 3 if k >= 0 else len(page)
+        elif page.startswith("<![CDATA[", at) and (k := ends.find("]]>", at + 9)) >= 0:
+            behind, act = k + 3, lambda a=at + 9, k=k: text(page[a:k])
+        elif what == "/" and (m := END_TAG.match(page, at + 1)):
+            behind, act = m.end(), lambda m=m: end(m[1].lower())
+        elif what and what in "!?/":
+            k = ends.find(">", at)
+            behind = k + 1 if k >= 0 else len(page)
+        elif NAME_START.match(what):
+            name_end = ends.name(at + 1)
+            if (k := ends.tag(name_end)) >= 0:
+                behind, act = k + 1, lambda a=at + 1, b=name_end, k=k: start(page[a:b].lower(), page[b:k], k + 1)
+        if behind < 0:
+            at += 1
+            continue
+        text(page[told:at])
+        at = told = (act and act()) or behind
+    text(page[told:])
+    return root, styles
 
 
 def declared(style: str) -> dict[str, str]:
@@ -193,6 +266,22 @@ def hiding(styles: list[str]) -> dict[str, dict[str, str]]:
     return out
 
 
+def wrapped(line: str, wide: int) -> list[str]:
+    """A line as lines of at most `wide` characters, cut at spaces; a longer word is a line of its own."""
+    if len(line) <= wide:
+        return [line]
+    indent = line[: len(line) - len(line.lstrip(" "))]
+    out, now = [], indent
+    for word in line.split(" "):
+        if not word:
+            continue
+        if now != indent and len(now) + 1 + len(word) > wide:
+            out.append(now)
+            now = indent
+        now += word if now == indent else " " + word
+    return [*out, now]
+
+
 class Layout:
     """Lines of text, with the indentation and the marker that the next line begins with."""
 
@@ -335,10 +424,13 @@ class Layout:
                 self.put(" ")
 
     def table(self, node: Node, visible: bool, wide: int = 60) -> list[str]:
-        """The lines of a table; a column is as wide as its widest cell of up to `wide` characters."""
+        """The lines of a table; a column is as wide as its widest cell.
+
+        A cell that others follow in its row is wrapped at `wide` characters, as it would be
+        on a page; only a single word that is longer keeps what follows it from its column.
+        """
         out, rows, todo = [], [], [(node, visible)]
-        while todo:
-            part, sees = todo.pop(0)
+        for part, sees in todo:
             for child in part.children:
                 if isinstance(child, str):
                     continue
@@ -359,14 +451,16 @@ class Layout:
                 elif child.tag in ("tbody", "thead", "tfoot"):
                     todo.append((child, seen))
         widths: list[int] = []
-        for row in rows:
-            widths += [0] * (len(row) - len(widths))
-            for k, cell in enumerate(row):
-                widths[k] = max([widths[k], *(len(x) for x in cell if len(x) <= wide)])
         for row in rows:
             last = max((k for k, cell in enumerate(row) if cell), default=-1)
+            widths += [0] * (last + 1 - len(widths))
+            for k in range(last + 1):
+                row[k] = [y for x in row[k] for y in wrapped(x, wide)] if k < last else row[k]
+                widths[k] = max([widths[k], *(len(x) for x in row[k] if len(x) <= wide)])
+            del row[last + 1 :]
+        for row in rows:
             for i in range(max(map(len, row), default=0)):
-                line = [(row[k][i] if i < len(row[k]) else "").ljust(widths[k]) for k in range(last + 1)]
+                line = [(cell[i] if i < len(cell) else "").ljust(widths[k] if k < len(row) - 1 else 0) for k, cell in enumerate(row)]
                 out.append("  ".join(line).rstrip())
         return out
 
@@ -396,7 +490,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     Null ids stay null, repeated rows give repeated results, other columns are not read,
     an empty table gives no rows. Style rules count if they are inline or for one tag,
     class or id; scripts do not run. Elements nested over `DEPTH` deep are siblings.
-    One narrow pass without a shuffle.
+    One narrow pass without a shuffle; pages of any length take time linear in their
+    length, broken ones too, and a page is in memory with its tree.
     """
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

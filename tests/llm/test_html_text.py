@@ -1,6 +1,7 @@
 """Layout of small pages, and that no visible word is lost."""
 
 import re
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -63,6 +64,20 @@ def test_deep_and_long_pages():
     assert len(render("<table>" + "<tr><td>" + "y" * 5000 + "<td>z" + "<tr><td>a<td>b" * 2000 + "</table>")) < 40000
 
 
+@pytest.mark.parametrize("piece", ["<![CDATA[>", "<p title='", '<a "', "<a b='\"", "<!-", "<!--", "</", "<style>", "<title", "<b>", "</i>", "<p><b>", "<td>x", "&amp", "<a b=c d", "<x" + " " * 50])
+def test_long_broken_pages_take_linear_time(piece):
+    began = time.process_time()
+    render(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 10
+
+
+def test_cells_longer_than_a_line_are_wrapped_and_stay_aligned():
+    words = " ".join(f"word{i}" for i in range(20))
+    got = render(f"<table><tr><td>{words}<td>x<tr><td>a<td>y<tr><td>b<td>{words}</table>").split("\n")
+    assert got[0].index("  x") + 2 == got[-2].index("y") == got[-1].index("word0")
+    assert " ".join(x.replace("  x", "") for x in got[:-2]).split() == words.split() and got[-1].endswith(words)
+
+
 class Words(HTMLParser):
     def __init__(self):
         super().__init__()
