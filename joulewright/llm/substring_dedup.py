@@ -12,19 +12,24 @@ windows) instead of one each; on average there are length - k of them.
    with one stretch needs no more sorting.
 2. For k-grams with several stretches the bytes of one occurrence of each are fetched, and
    their windows are sorted by offset and then by one block of bytes after the other, most
-   significant first; what is alone in its group leaves. A k-gram with very many stretches
-   (a common passage in many surroundings) is no task's group: its windows are counted as
-   rows of their own, by offset and hash, with partial aggregation.
+   significant first; what is alone in its group leaves. A k-gram with many stretches (a
+   common passage in many surroundings) is no task's group: its next digit is taken as rows
+   of a table, one for each band of neighbouring offsets: the bytes that all windows of the
+   band share. Only bands that agree in it with another are cut into their windows, which
+   are counted by offset and hash; both counts are aggregated before the shuffle.
 3. The repeated windows go back to every occurrence of their stretch, documents merge them,
    and the other bytes are kept.
 
-A digit is the 64-bit hash of its bytes; windows are taken as equal when the k-gram and
-all digits agree.
+A digit is the hash of its bytes, a polynomial modulo the prime 2 ** 61 - 1 in a base that
+is drawn anew for each run, and windows are taken as equal when all digits agree: texts
+cannot be made to collide, and two different strings of n bytes do with a chance under
+n / 2 ** 60.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,19 +37,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joulewright.llm.common import materialize, read, release, text_of
+from joulewright.llm.common import hot_keys, join_facts, materialize, read, release, text_of, tidy
 
 #: Bytes of text hashed at once, unless one document has more.
 BATCH = 1 << 20
-#: Stretches of a k-gram that one task sorts (about 1 MB of bytes); beyond it windows are counted one by one.
-HOT = 2000
+#: Stretches of a k-gram that one task sorts; of more, bands of so many offsets are rows.
+HOT, BAND = 200, 32
 DIGIT = 80
 ANCHORS = "doc_id long, th long, pos long, kg long, stretch long, least int, most int"
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-with np.errstate(over="ignore"):
-    BYTE = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ (np.arange(256, dtype=np.uint64) << np.uint64(41))
+PRIME = 2**61 - 1
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -54,49 +57,78 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
+def reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+    return x - np.uint64(PRIME) * (x >= np.uint64(PRIME))
+
+
+def times(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """The product modulo PRIME, by halves of 31 bits."""
+    low, half = np.uint64(2**31 - 1), np.uint64(31)
+    a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
+    mid = a0 * b1 + a1 * b0
+    return reduced(np.uint64(2) * a1 * b1 + (mid >> np.uint64(30)) + ((mid & np.uint64(2**30 - 1)) << half) + a0 * b0)
+
+
+def less(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The difference modulo PRIME."""
+    return reduced(a + (np.uint64(PRIME) - b))
+
+
+def running(x: np.ndarray) -> np.ndarray:
+    """Running sums modulo PRIME, from 0 on."""
+    out = np.zeros(len(x) + 1, np.uint64)
+    high = np.cumsum(x >> np.uint64(32), dtype=np.uint64)
+    out[1:] = reduced(times(high, np.uint64(2**32)) + reduced(np.cumsum(x & np.uint64(2**32 - 1), dtype=np.uint64)))
+    return out
+
+
+POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 ... base ** (n - 1) modulo PRIME; those of a few bases are remembered."""
+    held = POWERS.get(base)
+    if held is None or len(held) < n:
+        held = np.ones(1, np.uint64)
+        while len(held) < max(n, BATCH + 2):
+            held = np.concatenate((held, times(held, np.uint64(pow(base, len(held), PRIME)))))
+        if len(POWERS) >= 4:
+            POWERS.clear()
+        if len(held) <= 4 * BATCH:
+            POWERS[base] = held
+    return held[:n]
+
+
 class Hashes:
-    """Hashes of any stretches of pieces of bytes, from the running sums of a polynomial modulo 2 ** 64.
+    """Hashes of any stretches of pieces of bytes, from the running sums of a polynomial in `base` modulo PRIME.
 
     Pieces are summed in blocks of about BATCH bytes, so that the powers are a table of that
     size; a stretch lies within a piece. What is held is 8 bytes for each byte.
     """
 
-    def __init__(self, pieces: list[bytes]):
+    def __init__(self, pieces: list[bytes], base: int):
         sums, first, starts, at = [], [], [], 0
         for _, block in batches_of(pieces):
             buf = np.frombuffer(b"".join(block), np.uint8)
-            part = np.zeros(len(buf) + 1, np.uint64)
-            with np.errstate(over="ignore"):
-                np.cumsum(BYTE[buf] * powers(ODD, len(buf)), out=part[1:])
+            part = running(times(powers(base, len(buf)), buf.astype(np.uint64) + np.uint64(1)))
             first.append(sum(map(len, sums)))
             sums.append(part)
             starts.append(at)
             at += len(buf)
         self.sums = np.concatenate(sums) if sums else np.zeros(1, np.uint64)
         self.first, self.starts = np.array(first or [0], np.int64), np.array(starts or [0], np.int64)
-        self.inverse = powers(INVERSE, max(map(len, sums), default=1))
+        self.inverse = powers(pow(base, -1, PRIME), max(map(len, sums), default=1))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Of the bytes from start to end, counted over all pieces."""
         block = np.searchsorted(self.starts, start, "right") - 1
         local, move = start - self.starts[block], self.first[block] - self.starts[block]
-        with np.errstate(over="ignore"):
-            return mixed((self.sums[end + move] - self.sums[start + move]) * self.inverse[local])
+        return mixed(times(less(self.sums[end + move], self.sums[start + move]), self.inverse[local]))
 
-
-POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    held = POWERS.get(int(base))
-    if held is None or len(held) < n:
-        with np.errstate(over="ignore"):
-            held = np.full(max(n, BATCH + 2), base)
-            held[0] = 1
-            np.cumprod(held, out=held)
-        if n <= 4 * BATCH:
-            POWERS[int(base)] = held
-    return held[:n]
+    def sliding(self, n: int) -> np.ndarray:
+        """Of every n neighbouring bytes of a single block."""
+        return mixed(times(less(self.sums[n:], self.sums[:-n]), self.inverse[: len(self.sums) - n]))
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -111,16 +143,15 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def anchors_of(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, ...]:
+def anchors_of(texts: list[bytes], length: int, k: int, base: int) -> tuple[np.ndarray, ...]:
     """Of all windows of the texts, by anchor: text, place of the anchor, k-gram, stretch, least and most offset of it in a window."""
     sizes = np.array([len(t) for t in texts], np.int64)
     starts = np.cumsum(sizes) - sizes
     buf = np.frombuffer(b"".join(texts), np.uint8)
     if len(buf) < length:
         return (np.zeros(0, np.int64),) * 6
-    h = Hashes([buf.tobytes()])
-    with np.errstate(over="ignore"):
-        grams = mixed((h.sums[k:] - h.sums[:-k]) * h.inverse[: len(h.sums) - k])
+    h = Hashes([buf.tobytes()], base)
+    grams = h.sliding(k)
     key = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     at = (sliding_min(key, length - k + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     # windows that begin and end in one text
@@ -150,12 +181,12 @@ def batches_of(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         yield start, texts[start:]
 
 
-def find_anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
+def find_anchors(docs: DataFrame, length: int, k: int, base: int) -> DataFrame:
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in frames:
             ids, th = b["doc_id"].astype("Int64"), b["th"].to_numpy()
             for start, texts in batches_of([t.encode() for t in b["text"]]):
-                text, pos, kg, stretch, least, most = anchors_of(texts, length, k)
+                text, pos, kg, stretch, least, most = anchors_of(texts, length, k, base)
                 own = text + start
                 yield pd.DataFrame({
                     "doc_id": ids.take(own).reset_index(drop=True),
@@ -170,7 +201,7 @@ def find_anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
     return docs.mapInPandas(find, ANCHORS)
 
 
-def repeated_windows(g: pd.DataFrame, length: int) -> pd.DataFrame:
+def repeated_windows(g: pd.DataFrame, length: int, base: int) -> pd.DataFrame:
     """kg, stretch, start, end: runs of bytes, from the anchor, that windows of several stretches of a k-gram cover.
 
     g: kg, stretch, least and most (the offsets of the anchor in the windows), bytes.
@@ -178,7 +209,7 @@ def repeated_windows(g: pd.DataFrame, length: int) -> pd.DataFrame:
     low, most = (g[c].to_numpy().astype(np.int64) for c in ("least", "most"))
     sizes = np.array([len(x) for x in g["bytes"]], np.int64)
     starts = np.cumsum(sizes) - sizes
-    h = Hashes(list(g["bytes"]))
+    h = Hashes(list(g["bytes"]), base)
     n = most - low + 1
     row = np.repeat(np.arange(len(g)), n)
     offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + low[row]
@@ -220,8 +251,8 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def sort_windows(docs: DataFrame, anchors: DataFrame, length: int, megabytes: int = 8) -> DataFrame:
-    """kg, stretch, start, end: what is repeated around each occurrence of a stretch."""
+def sort_windows(docs: DataFrame, anchors: DataFrame, length: int, base: int, megabytes: int = 8) -> tuple[DataFrame, DataFrame]:
+    """kg, stretch, start, end: what is repeated around each occurrence of a stretch; and kg, stretch, n: how often each occurs."""
     spark = docs.sparkSession
     by_stretch = anchors.groupBy("kg", "stretch").agg(
         F.count(F.lit(1)).alias("n"), F.min("least").alias("least"), F.min("most").alias("most"), F.min(F.struct("doc_id", "th", "pos")).alias("at")
@@ -239,64 +270,91 @@ def sort_windows(docs: DataFrame, anchors: DataFrame, length: int, megabytes: in
                 for w in wanted:
                     part = raw[w["pos"] - w["most"] : w["pos"] - w["least"] + length]
                     hot = w["stretches"] > HOT
-                    out.append((w["kg"], w["stretch"], w["least"], w["most"], None if hot else part, window_hashes(part, length) if hot else None))
-            yield pd.DataFrame(out, columns=["kg", "stretch", "least", "most", "bytes", "hashes"])
+                    out.append((w["kg"], w["stretch"], w["least"], w["most"], None if hot else part, bands_of(part, w["least"], w["most"], length, base) if hot else None))
+            yield pd.DataFrame(out, columns=["kg", "stretch", "least", "most", "bytes", "bands"])
 
     wanted = asked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("kg", "stretch", "least", "most", "stretches", "pos")).alias("wanted"))
     with_text = docs.join(wanted.withColumnRenamed("doc_id", "wd").withColumnRenamed("th", "wt"), F.col("doc_id").eqNullSafe(F.col("wd")) & (F.col("th") == F.col("wt")))
-    contexts = materialize(with_text.select("text", "wanted").mapInPandas(fetch, "kg long, stretch long, least int, most int, bytes binary, hashes array<long>"), "contexts")
+    contexts = materialize(with_text.select("text", "wanted").mapInPandas(fetch, f"kg long, stretch long, least int, most int, bytes binary, bands array<struct<{BANDS}>>"), "contexts")
     release(spark)
 
     def sort(g: pd.DataFrame) -> pd.DataFrame:
         # a repeated row of documents is fetched as often as it stands there
-        return repeated_windows(g.drop_duplicates(["kg", "stretch"]).reset_index(drop=True), length)
+        return repeated_windows(g.drop_duplicates(["kg", "stretch"]).reset_index(drop=True), length, base)
 
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), asked.count() * 600 // (megabytes << 20))
-    cold = contexts.where("bytes IS NOT NULL").drop("hashes").withColumn("task", F.pmod(F.xxhash64("kg"), F.lit(tasks)))
+    cold = contexts.where("bytes IS NOT NULL").drop("bands").withColumn("task", F.pmod(F.xxhash64("kg"), F.lit(tasks)))
     across = cold.groupBy("task").applyInPandas(sort, "kg long, stretch long, start int, end int")
     again = by_stretch.where("n > 1").select("kg", "stretch", (-F.col("most")).cast("int").alias("start"), (F.lit(length) - F.col("least")).cast("int").alias("end"))
-    return materialize(across.unionByName(again).unionByName(count_windows(contexts.where("hashes IS NOT NULL"), length)), "repeated")
+    hot = count_windows(contexts.where("bands IS NOT NULL").select("kg", "stretch", "bands"), length)
+    return materialize(across.unionByName(again).unionByName(hot), "repeated"), by_stretch.select("kg", "stretch", "n")
+
+
+BANDS = "band int, low int, high int, core long, full long, hashes array<long>"
 
 
-def window_hashes(part: bytes, length: int) -> np.ndarray:
-    """The hashes of all windows of a stretch, from the one with the greatest offset on."""
-    start = np.arange(len(part) - length + 1)
-    return Hashes([part]).of(start, start + length).view(np.int64)
+def bands_of(part: bytes, least: int, most: int, length: int, base: int) -> list[tuple]:
+    """BANDS of the windows of a stretch, by their offsets: low to high of them, the hash of what all windows
+    that a band can have share, the hash of all bytes of those it has, and the hashes of its windows."""
+    width = max(1, min(BAND, length // 4))
+    band = np.arange(least // width, most // width + 1)
+    low, high = np.maximum(band * width, least), np.minimum(band * width + width - 1, most)
+    h = Hashes([part], base)
+    core = h.of(most - band * width, most + length - (band * width + width - 1)).view(np.int64)
+    full = h.of(most - high, most - low + length).view(np.int64)
+    start = most - np.arange(least, most + 1)
+    each = h.of(start, start + length).view(np.int64)
+    return [(int(b), int(lo), int(hi), int(c), int(f), each[lo - least : hi - least + 1].tolist()) for b, lo, hi, c, f in zip(band, low, high, core, full)]
 
 
 def count_windows(hot: DataFrame, length: int) -> DataFrame:
-    """What repeated_windows() gives, of any number of stretches of a k-gram, by counting windows natively."""
-    each = hot.dropDuplicates(["kg", "stretch"]).select("kg", "stretch", "most", F.posexplode("hashes").alias("i", "hash")).select("kg", "stretch", (F.col("most") - F.col("i")).alias("offset"), "hash")
-    several = each.groupBy("kg", "offset", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    mine = each.join(several, ["kg", "offset", "hash"], "left_semi").groupBy("kg", "stretch").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
-    # the offsets of a stretch, under `length` of them, as runs of neighbours
-    none = F.array().cast("array<struct<low:int,high:int>>")
+    """What repeated_windows() gives, of any number of stretches of a k-gram, by counting bands and windows natively."""
+    each = hot.dropDuplicates(["kg", "stretch"]).select("kg", "stretch", F.inline("bands"))
+    key = ["kg", "band", "low", "high", "full"]
+    # bands alike in all are one row, and repeat all their windows if they are several
+    distinct = materialize(each.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.first("core").alias("core"), F.first("hashes").alias("hashes")), "bands")
+    shared = distinct.groupBy("kg", "band", "core").agg(F.count(F.lit(1)).alias("alike")).where("alike > 1").drop("alike")
+    cut = distinct.join(shared, ["kg", "band", "core"], "left_semi").select(*key, F.posexplode("hashes").alias("i", "hash")).select(*key, (F.col("low") + F.col("i")).alias("offset"), "hash")
+    several = cut.groupBy("kg", "offset", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    met = cut.join(several, ["kg", "offset", "hash"], "left_semi").select(*key, F.col("offset").alias("first"), F.col("offset").alias("last"))
+    whole = distinct.where("n > 1").select(*key, F.col("low").alias("first"), F.col("high").alias("last"))
+    by_band = in_runs(met.unionByName(whole), key)
+    runs = in_runs(each.select("kg", "stretch", *key[1:]).join(by_band, key).select("kg", "stretch", "first", "last"), ["kg", "stretch"])
+    return runs.select("kg", "stretch", (-F.col("last")).cast("int").alias("start"), (F.lit(length) - F.col("first")).cast("int").alias("end"))
+
+
+def in_runs(offsets: DataFrame, by: list[str]) -> DataFrame:
+    """by, first, last: the offsets of a key, of which there are under a window's length, in maximal runs."""
+    none = F.array().cast("array<struct<first:int,last:int>>")
 
     def step(runs, x):
-        last = F.get(runs, F.size(runs) - 1)
-        grown = F.concat(F.slice(runs, F.lit(1), F.greatest(F.size(runs) - 1, F.lit(0))), F.array(F.struct(last["low"].alias("low"), x.alias("high"))))
-        fresh = F.concat(runs, F.array(F.struct(x.alias("low"), x.alias("high"))))
-        return F.when(F.size(runs) == 0, fresh).when(last["high"] + 1 == x, grown).otherwise(fresh)
+        before = F.get(runs, F.size(runs) - 1)
+        grown = F.concat(F.slice(runs, F.lit(1), F.greatest(F.size(runs) - 1, F.lit(0))), F.array(F.struct(before["first"].alias("first"), F.greatest(before["last"], x["last"]).alias("last"))))
+        return F.when((F.size(runs) > 0) & (before["last"] + 1 >= x["first"]), grown).otherwise(F.concat(runs, F.array(x)))
 
-    runs = mine.select("kg", "stretch", F.explode(F.aggregate("offsets", none, step)).alias("r"))
-    return runs.select("kg", "stretch", (-F.col("r.high")).alias("start"), (F.lit(length) - F.col("r.low")).alias("end"))
+    sorted_ = F.sort_array(F.collect_set(F.struct(F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"))))
+    return offsets.groupBy(*by).agg(sorted_.alias("all")).select(*by, F.inline(F.aggregate("all", none, step)))
 
 
+@tidy
 def drop_repeats(docs: DataFrame, length: int = 400, k: int = 64, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text, on request).
 
     Every byte is removed that a string of `length` bytes covers which starts anywhere else
     too, in the same document or another; overlaps count, and all is judged on the input.
     Null and empty texts have no bytes; texts shorter than `length` keep all. Rows alike in
-    id and text repeat each other. Null ids stay null; other columns are not read; an empty
-    table gives no rows. kept_text replaces bytes that no longer make up characters.
+    id and text repeat each other. A very long text is one string in its task, with some 40
+    bytes of hashes for each of its bytes. Null ids stay null; other columns are not read; an
+    empty table gives no rows. kept_text replaces bytes that no longer make up characters.
     """
     spark = docs.sparkSession
+    base = secrets.randbelow(PRIME - 2**32) + 2**32
     rows = text_of(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
-    anchors = materialize(find_anchors(rows.select("doc_id", "th", "text"), length, k), "anchors")
-    repeated = sort_windows(rows, anchors, length)
+    anchors = materialize(find_anchors(rows.select("doc_id", "th", "text"), length, k, base), "anchors")
+    repeated, sizes = sort_windows(rows, anchors, length, base)
     release(spark)
-    hits = anchors.join(repeated, ["kg", "stretch"]).select("doc_id", "th", (F.col("pos") + F.col("start")).alias("s"), (F.col("pos") + F.col("end")).alias("e"))
+    hot = hot_keys(sizes, ["kg", "stretch"], F.col("n"), anchors.count())
+    hits = join_facts(anchors, repeated, ["kg", "stretch"], hot).select("doc_id", "th", (F.col("pos") + F.col("start")).alias("s"), (F.col("pos") + F.col("end")).alias("e"))
     spans = materialize(hits.groupBy(F.col("doc_id").alias("sd"), F.col("th").alias("st")).agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans")), "spans")
     release(spark)
 

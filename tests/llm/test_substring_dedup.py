@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from joulewright.llm import substring_dedup as S
@@ -41,6 +42,29 @@ def test_small_windows(spark, monkeypatch, hot, seed):
     assert [got[i] for i in range(len(texts))] == plain(texts, 64)
 
 
+def test_a_document_longer_than_a_batch(spark):
+    rng = random.Random(4)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(1_200_000))
+    texts = [long + long[500_000:500_100], "x" + long[1_100_000:1_100_090], "y" * 63 + "z" * 64, "plain"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in S.drop_repeats(df, length=64, k=16).collect()}
+    assert [got[i] for i in range(4)] == plain(texts, 64)
+
+
+def test_hashes_tell_alternating_texts_apart():
+    t, u = b"a", b"b"
+    for _ in range(10):  # strings that differ in all places, and agree modulo a power of two in any odd base
+        t, u = t + u, u + t
+    base = 3**38 + 2
+    h = S.Hashes([t, u], base)
+    n = len(t)
+    plain_hash = [sum((c + 1) * pow(base, i, S.PRIME) for i, c in enumerate(x)) % S.PRIME for x in (t, u)]
+    got = h.of(np.array([0, n]), np.array([n, 2 * n]))
+    assert got.tolist() == S.mixed(np.array(plain_hash, np.uint64)).tolist() and got[0] != got[1]
+    x = np.array([0, 1, S.PRIME - 1, 2**60 + 12345, 2**32], np.uint64)
+    assert [[int(v) for v in S.times(x, np.uint64(y))] for y in x] == [[int(a) * int(y) % S.PRIME for a in x] for y in x]
+
+
 def test_testdata(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = docs.select("doc_id", "text").collect()
