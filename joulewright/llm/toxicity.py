@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joulewright.llm.common import materialize, read, text_of
+from joulewright.llm.common import collected, drop_tables, materialize, read, text_of
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n|]*[^\s.!?|][^.!?\n|]*")
@@ -148,29 +148,42 @@ def bags(sample: DataFrame, chosen: list[str]) -> DataFrame:
     return sample.mapInPandas(bag, "doc_id long, toxic int, plain long, sentences array<array<int>>")
 
 
+class Bags:
+    """The sampled documents as arrays: labels, plain sentences, and the features of the other sentences."""
+
+    def __init__(self, rows: list):
+        self.y = np.array([r.toxic for r in rows], float)
+        self.plain = np.array([r.plain for r in rows], float)
+        self.bag = np.array([k for k, r in enumerate(rows) for _ in r.sentences], np.int64)
+        flat = [s for r in rows for s in r.sentences]
+        self.of = np.repeat(np.arange(len(flat)), np.array([len(s) for s in flat], np.int64))
+        self.x = np.array([f for s in flat for f in s], np.int64)
+        self.sentences = len(flat)
+
+    def loss(self, w: np.ndarray) -> tuple[float, np.ndarray]:
+        """The mean negative log-likelihood of the labels under the noisy-or of weights w (the bias last), and its gradient."""
+        n = len(w) - 1
+        z = w[n] + np.bincount(self.of, w[self.x], self.sentences)
+        p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-w[n]))
+        log_none = np.bincount(self.bag, -np.logaddexp(0, z), len(self.y)) - self.plain * np.logaddexp(0, w[n])
+        log_none = np.minimum(log_none, -1e-12)
+        loss = -np.mean(self.y * np.log(-np.expm1(log_none)) + (1 - self.y) * log_none)
+        pull = self.y / np.expm1(-log_none) - (1 - self.y)  # of the negative log-likelihood, by log_none
+        by_z = -pull[self.bag] * p
+        return loss, np.append(np.bincount(self.x, by_z[self.of], n), by_z.sum() - (pull * self.plain).sum() * p0) / len(self.y)
+
+
 def train(rows: list, chosen: list[str], rounds: int = 600, rate: float = 0.1, shrink: float = 5e-6, weak: float = 0.5) -> Model:
     """Full-batch Adam on the noisy-or likelihood; the document of a sentence is known, its label is not.
 
     Weights under `weak` say next to nothing and are left out.
     """
-    y = np.array([r.toxic for r in rows], float)
-    plain = np.array([r.plain for r in rows], float)
-    bag = np.array([k for k, r in enumerate(rows) for _ in r.sentences], np.int64)
-    flat = [s for r in rows for s in r.sentences]
-    size = np.array([len(s) for s in flat], np.int64)
-    of = np.repeat(np.arange(len(flat)), size)
-    x = np.array([f for s in flat for f in s], np.int64)
-    n, w = len(chosen), np.zeros(len(chosen) + 1)
+    data, n = Bags(rows), len(chosen)
+    w = np.zeros(n + 1)
     w[n] = -6.0
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
-        z = w[n] + np.bincount(of, w[x], len(flat))
-        p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-w[n]))
-        log_none = np.bincount(bag, -np.logaddexp(0, z), len(rows)) - plain * np.logaddexp(0, w[n])
-        log_none = np.minimum(log_none, -1e-12)
-        pull = y / np.expm1(-log_none) - (1 - y)  # of the log-likelihood's negative, by log_none
-        by_z = -pull[bag] * p
-        g = np.append(np.bincount(x, by_z[of], n), by_z.sum() - (pull * plain).sum() * p0) / len(rows)
+        _, g = data.loss(w)
         g[:n] += shrink * w[:n]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
@@ -178,15 +191,22 @@ def train(rows: list, chosen: list[str], rounds: int = 600, rate: float = 0.1, s
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, features: int = 2000, z_least: float = 4.0, lift: float = 2.0) -> Model | None:
-    """The model, or None where the sample has no document of one of the labels, or nothing tells them apart."""
-    # copies of one text are one observation
-    once = sampled(docs, labels, sample).groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
-    rows = materialize(once, "labelled")
+    """The model, or None where the sample has no document of one of the labels, or nothing tells them apart.
+
+    The size of the model is bounded by its parameters, whatever the corpus: `sample`
+    labelled documents, and of the 20 times `features` features that stand in most positive
+    ones, the `features` that tell most.
+    """
+    with collected() as tables:
+        # copies of one text are one observation, toxic if any label says so
+        once = sampled(docs, labels, sample).groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+        rows = materialize(once, "labelled")
     n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    if len(n) < 2:
-        return None
-    chosen = choose(rows, n[1], n[0], features, z_least, lift)
-    return train(sorted(bags(rows, chosen).collect(), key=lambda r: r.doc_id), chosen) if chosen else None
+    model = None
+    if len(n) == 2 and (chosen := choose(rows, n[1], n[0], features, z_least, lift)):
+        model = train(sorted(bags(rows, chosen).collect(), key=lambda r: r.doc_id), chosen)
+    drop_tables(docs.sparkSession, tables)
+    return model
 
 
 def judged(finder: Finder, model: Model | None, text: str) -> tuple[float, str]:
@@ -232,10 +252,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col:
     """One row per document: doc_id, held_out, score, predicted (score >= threshold), offending.
 
     Fitted on labels whose crc32(doc_id as text) mod 3 is not 1; rows without a label of 0
-    or 1 are not used, and of a document with several labels each counts. Null and empty
-    texts have no sentences and the score 0; a null id is not held out. Without a model
-    (no labels, or one kind only) every score is 0. Repeated rows give repeated results;
-    other columns are not read; an empty table gives no rows.
+    or 1 are not used; a text with several labels, its copies' too, is toxic if one of them
+    says so. Null and empty texts have no sentences and the score 0; a text of any length is
+    one string, and its sentences are judged one after the other; a null id is not held out.
+    Without a model (no labels, or one kind only) every score is 0. Repeated rows give
+    repeated results; other columns are not read; an empty table gives no rows.
     """
     t = text_of(docs, id_col, text_col)
     return score(t, fit(t, labels, **fitting), threshold)

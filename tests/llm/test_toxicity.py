@@ -1,7 +1,12 @@
 """Instances from labels of bags: held-out accuracy, places, and odd inputs."""
 
+import math
 import random
+import re
 import zlib
+from collections import namedtuple
+
+import numpy as np
 
 from joulewright.llm import toxicity as T
 
@@ -48,6 +53,59 @@ def test_without_toxic_keeps_columns(spark):
     assert len([i for i in range(900) if i % 8 and i in ids]) > 770 and len([i for i in range(0, 900, 8) if i in ids]) < 6
 
 
+def sigmoid(z):
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_are_the_noisy_or_of_the_sentences(spark):
+    weights = {"vile": 4.0, "vil-": 1.5, "word-": -0.5, "nasty": 7.0, "wordaa": 0.25}
+    model = T.Model(weights, -5.0)
+    docs, _ = corpus(spark, 200)
+    odd = docs.select("doc_id", "text").union(spark.createDataFrame([(None, "Vile! vile, x. VILlain"), (-1, ""), (-2, "..."), (-3, "no-vile nasty_nasty 1vile")], "doc_id long, text string"))
+
+    def plain(text):
+        none = 1.0
+        for sentence in re.split("[.!?\n|]", text):
+            if sentence.strip():
+                words = re.findall(r"[^\W\d_]+", sentence.lower())
+                has = {f for f in weights for w in words if w == f or f[-1] == "-" and w.startswith(f[:-1])}
+                none *= 1 - sigmoid(-5.0 + sum(weights[f] for f in has))
+        return 1 - none
+
+    texts = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in odd.collect())
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.score) for r in T.score(odd, model).collect())
+    assert len(got) == 204 and all(abs(g[2] - plain(t[2])) < 1e-9 for g, t in zip(got, texts))
+
+
+def test_training_follows_the_gradient_of_the_noisy_or():
+    rng, Row = random.Random(7), namedtuple("Row", "toxic plain sentences")
+    rows = [Row(rng.randint(0, 1), rng.randint(0, 3), [rng.sample(range(5), rng.randint(1, 3)) for _ in range(rng.randint(0, 4))]) for _ in range(40)]
+    rows = [r for r in rows if r.plain or r.sentences]
+
+    def plain(w):
+        total = 0.0
+        for r in rows:
+            none = (1 - sigmoid(w[5])) ** r.plain
+            for s in r.sentences:
+                none *= 1 - sigmoid(w[5] + sum(w[f] for f in s))
+            total -= math.log(1 - none if r.toxic else none)
+        return total / len(rows)
+
+    w = np.array([rng.gauss(0, 1) for _ in range(6)])
+    loss, g = T.Bags(rows).loss(w)
+    assert abs(loss - plain(w)) < 1e-9
+    for i in range(6):
+        step = np.eye(6)[i] * 1e-5
+        assert abs(g[i] - (plain(w + step) - plain(w - step)) / 2e-5) < 1e-6
+
+
+def test_labels_of_copies_and_repeated_rows_are_one_observation(spark):
+    docs, labels = corpus(spark, 300)
+    twice, more = docs.union(docs), labels.union(labels.selectExpr("doc_id", "0 AS toxic", "quality"))
+    model, again = (T.fit(d.select("doc_id", "text"), l) for d, l in ((docs, labels), (twice, more)))
+    assert model.weights.keys() == again.weights.keys() and abs(model.bias - again.bias) < 1e-6
+
+
 def test_odd_inputs(spark):
     docs, labels = corpus(spark, 300)
     odd = docs.select("doc_id", "text").union(spark.createDataFrame([(None, None), (None, "nasty"), (5000, ""), (5001, "x " * 60000)], "doc_id long, text string"))
