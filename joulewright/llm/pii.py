@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joulewright.llm.common import materialize, read, text_of
+from joulewright.llm.common import materialize, read, text_of, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 NO_VOTE, YES, NO = 0, 1, 2
@@ -263,13 +263,14 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+@tidy
 def find_pii(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added.
 
     The counts and base_sha256 are of the base spans; spans has those and the added ones,
     which the classifier gives `threshold` or more. Offsets are in code points, ends
-    exclusive. Null and empty texts have no spans; null ids stay null; repeated rows give
-    repeated results; other columns are not read; an empty table gives no rows.
+    exclusive. Null and empty texts have no spans; the scan of a text is linear in its
+    length; null ids stay null; repeated rows give repeated results; other columns are not read; an empty table gives no rows.
     """
     found = materialize(candidates(docs, id_col, text_col), "spans")
     weights = F.array(*[F.lit(float(w)) for w in fit(found)])

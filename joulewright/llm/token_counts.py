@@ -1,7 +1,7 @@
 """Token counts of whole documents by overlap resynchronisation.
 
-A document of more than `chunk` characters is never given to the tokenizer in one call.
-Chunks that overlap are encoded with the offsets of their pieces, and two neighbours are
+A document of more than `chunk` characters is given to the tokenizer in chunks (in longer ones
+only where it has no stable place, such as one word of that length). Chunks that overlap are encoded with the offsets of their pieces, and two neighbours are
 spliced where both of them start a piece at the same character and that start is stable:
 no piece of the vocabulary can span it, whatever stands left or right of it. Merges are
 confined between such places, so what a chunk says between two of them is what the whole
