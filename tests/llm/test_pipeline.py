@@ -1,6 +1,7 @@
 """The stages against plain decisions, on small tables with nulls, copies and extra columns."""
 
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import corpus_pipeline as C
 
@@ -69,6 +70,19 @@ def test_stages(spark, tmp_path):
     assert sum(r.length for r in C.run(spark, d).collect()) == total
 
 
+def test_two_pipelines_in_one_session(spark, tmp_path):
+    paths = [str(tmp_path / "a"), str(tmp_path / "b")]
+    for p in paths:
+        tables(spark, p)
+    spark.read.parquet(f"{paths[1]}/documents.parquet").where("doc_id % 2 = 0").coalesce(1).write.parquet(f"{paths[1]}/half")
+    (tmp_path / "b" / "documents.parquet").rename(tmp_path / "b" / "all")
+    (tmp_path / "b" / "half").rename(tmp_path / "b" / "documents.parquet")
+    pieces = lambda p: sorted(tuple(r)[:5] for r in C.run(spark, p).select("doc_id", "start", "length", "ids_crc32", "doc_tokens").na.fill(-1).collect())
+    alone = [pieces(p) for p in paths]
+    with ThreadPoolExecutor(2) as pool:
+        assert list(pool.map(pieces, paths)) == alone
+
+
 def test_empty_documents(spark, tmp_path):
     d = str(tmp_path)
     tables(spark, d)
