@@ -74,10 +74,27 @@ def iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssXXX")
 
 
-def step_of(value: Column, by: tuple[str, ...], order: str = "ts") -> Column:
-    """The rise of a counter since the row before; null at the first row and where it falls."""
+def step_of(value: Column, by: tuple[str, ...], order: str = "ts", capacity: Column | None = None) -> Column:
+    """The rise of a counter since the row before; null at the first row and where it falls.
+
+    capacity: where a counter begins again after that value, a fall is a rise over it.
+    """
     d = value - F.lag(value).over(Window.partitionBy(*by).orderBy(order))
-    return F.when(d >= 0, d)
+    return F.when(d >= 0, d) if capacity is None else F.when(d >= 0, d).otherwise(d + capacity)
+
+
+def whole_sum(c: Column) -> Column:
+    """An aggregate: the sum of all parts, null if one of them is missing (the power of a plant)."""
+    return F.when(F.count(F.lit(1)) == F.count(c), F.sum(c))
+
+
+def kwh_per_m3(kwh: Column, m3: Column) -> Column:
+    return F.try_divide(kwh, m3)
+
+
+def reactive_penalty(kvarh: Column, kwh: Column, free: float, price: float) -> Column:
+    """What reactive energy beyond a free share of the active energy costs."""
+    return F.greatest(kvarh - free * kwh, F.lit(0.0)) * price
 
 
 def sentence(template: str, *parts: Column) -> Column:

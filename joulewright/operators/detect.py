@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from joulewright.config import DEFAULT, Config
 from joulewright.operators.baseline import fit_linear
-from joulewright.operators.windows import cusum, merge_cells
+from joulewright.operators.windows import cusum, merge_cells, numbered
 
 CELL = ("entity_id", "day_type", "tod_slot")
 
@@ -181,25 +181,99 @@ def severity(group: Column, safety: Column) -> Column:
     return F.when(safety, "critical").when(group == "B_efficiency", "info").otherwise("warning")
 
 
-def as_events(events: DataFrame, group: str, module: str, kind: str, model: str, issued: Column, action: str, evidence: dict[str, Column] | None = None) -> DataFrame:
-    """Event documents; an id counts the events of an issue date in order of time."""
+def as_events(
+    events: DataFrame, group: str, module: str, kind: Column | str, model: Column | str, issued: Column, action: Column | str,
+    evidence: dict[str, Column] | None = None, safety: Column | None = None, waste: Column | None = None,
+) -> DataFrame:
+    """Event documents; an id counts the events of an issue date in order of time.
+
+    evidence: names and columns of its own types; safety: whether an event is critical;
+    waste: kWh a month, where it is known.
+    """
     from joulewright.functions.expressions import document_id
 
-    w = Window.partitionBy(F.lit(kind), F.to_date(issued)).orderBy("start", "entity_id")
-    proof = F.create_map(*[x for k, c in (evidence or {}).items() for x in (F.lit(k), c.cast("string"))]) if evidence else F.create_map().cast("map<string,string>")
-    return events.select(
-        document_id("A", issued, F.row_number().over(w), 4).alias("event_id"),
+    name = lambda c: F.lit(c) if isinstance(c, str) else c
+    proof = F.struct(*[c.alias(k) for k, c in evidence.items()]) if evidence else F.lit(None).cast("string")
+    counted = numbered(events.withColumn("_issued", issued), F.to_date("_issued"), F.to_date("start"), ("start", "entity_id"), "_number")
+    return counted.select(
+        document_id("A", F.col("_issued"), F.col("_number"), 4).alias("event_id"),
         F.lit(group).alias("group"),
         F.lit(module).alias("module"),
         "entity_id",
-        F.lit(kind).alias("type"),
-        severity(F.lit(group), F.lit(False)).alias("severity"),
-        F.lit(model).alias("rule_or_model"),
+        name(kind).alias("type"),
+        severity(F.lit(group), F.lit(False) if safety is None else safety).alias("severity"),
+        name(model).alias("rule_or_model"),
         "start",
         "end",
         proof.alias("evidence"),
-        F.lit(action).alias("suggested_action"),
+        (F.lit(None) if waste is None else F.round(waste, 1)).cast("double").alias("estimated_waste_kwh_per_month"),
+        name(action).alias("suggested_action"),
+    )
+
+
+#: What to tell the operator of a rule's event.
+ADVICE = {
+    "dry_run": "Stop the pump and check the supply",
+    "overflow": "Stop the fill pump and check the level contact",
+    "stuck_valve": "Check the valve and its limit switch",
+    "command_ignored": "Check local mode and the starter",
+    "both_limits": "Check the limit switches",
+    "rapid_cycling": "Check the control band",
+    "overheating": "Check for a dry or closed loop",
+}
+
+
+def rule_documents(events: DataFrame, module: str, issued: Column) -> DataFrame:
+    """Documents of the events of rules (entity_id, start, end, rule, severity); critical ones need no baseline."""
+    advice = F.create_map(*[F.lit(x) for pair in ADVICE.items() for x in pair])
+    lasted = {"seconds": F.unix_timestamp("end") - F.unix_timestamp("start")}
+    action = F.coalesce(F.try_element_at(advice, F.col("rule")), F.lit("Check the device"))
+    return as_events(events, "S_state", module, F.col("rule"), F.col("rule"), issued, action, lasted, F.col("severity") == "critical")
+
+
+def combined(documents: list[DataFrame], issued: Column) -> DataFrame:
+    """Documents of several kinds as one table: evidence as JSON, ids counted anew over all kinds of an issue date."""
+    from joulewright.functions.expressions import document_id
+
+    told = [d.withColumn("evidence", F.to_json("evidence", {"ignoreNullFields": "false"}) if "struct" in d.schema["evidence"].dataType.simpleString() else F.col("evidence")) for d in documents]
+    both = reduce(DataFrame.unionByName, told).withColumn("_issued", issued)
+    counted = numbered(both, F.to_date("_issued"), F.to_date("start"), ("start", "entity_id", "type"), "_number")
+    return counted.withColumn("event_id", document_id("A", F.col("_issued"), F.col("_number"), 4)).drop("_issued", "_number")
+
+
+def degradation_events(
+    df: DataFrame, ratio: str, x: list[str], part: str = "part", least_pct: float = 10.0, sign: int = 1, by: tuple[str, ...] = ("entity_id",), ts: str = "slot", weight: str | None = None
+) -> DataFrame:
+    """by, start, detected_on, expected, observed, deviation_pct, n_days, excess of a loss after the reference window.
+
+    The fit on the reference rows has operating points only, never the ratio's own past. A
+    control chart of the daily deviation (slack three quarters of least_pct, limit least_pct)
+    finds a loss of least_pct within five days, whenever it begins; start is the day after the
+    chart was last at zero, and the means are of the days from there on. sign: 1 if a higher
+    ratio is a loss (kW per kW, kWh per m3), -1 if a lower one is (pump head). excess: the sum
+    of (observed - expected) * weight. Entities without a reference window give no row.
+    """
+    fit = fit_linear(df.where(F.col(part) == "reference"), by, ratio, x).drop("n")
+    told = reduce(lambda acc, i: acc + F.col(f"b_{i}") * F.col(x[i - 1]), range(1, len(x) + 1), F.col("b_0"))
+    now = df.where((F.col(part) == "current") & F.col(ratio).isNotNull()).join(fit, list(by)).withColumn("_told", told)
+    over = (F.col(ratio) - F.col("_told")) * (F.col(weight) if weight else F.lit(1.0))
+    daily = now.groupBy(*by, F.to_date(ts).alias("_date")).agg(F.sum(ratio).alias("_seen"), F.sum("_told").alias("_due"), F.count(F.lit(1)).alias("_n"), F.sum(over).alias("_over"))
+    pct = sign * (F.try_divide("_seen", "_due") - 1) * 100
+    chart = cusum(daily, by, "_date", pct, 0.75 * least_pct, "_chart")
+    w = Window.partitionBy(*by)
+    alarm = chart.withColumn("detected_on", F.min(F.when(F.col("_chart") > least_pct, F.col("_date"))).over(w)).where("detected_on IS NOT NULL")
+    zero = alarm.withColumn("_zero", F.max(F.when((F.col("_chart") <= 0) & (F.col("_date") < F.col("detected_on")), F.col("_date"))).over(w))
+    since = zero.where("_zero IS NULL OR _date > _zero").groupBy(*by, "detected_on").agg(
+        F.min("_date").alias("start"), (F.sum("_due") / F.sum("_n")).alias("expected"), (F.sum("_seen") / F.sum("_n")).alias("observed"), F.count(F.lit(1)).alias("n_days"), F.sum("_over").alias("excess")
     )
+    return since.withColumn("deviation_pct", F.round(F.try_divide(F.col("observed") - F.col("expected"), F.col("expected")) * 100, 1))
+
+
+def moved_peaks(days: DataFrame, peak_hours: list[int], by: tuple[str, ...] = ("entity_id", "day_type")) -> DataFrame:
+    """Days whose highest hour lies in the tariff's peak hours, where that of most days of their type does not."""
+    inside = F.col("peak_hour").isin(peak_hours)
+    usual = days.groupBy(*by).agg(F.avg(inside.cast("double")).alias("_share"))
+    return days.join(usual, list(by)).where(inside & (F.col("_share") < 0.5)).drop("_share")
 
 
 def two_layers(grid: DataFrame, prof: DataFrame, config: Config = DEFAULT, limit: float = 5.0, by: tuple[str, ...] = CELL) -> DataFrame:

@@ -50,14 +50,19 @@ def documents(points: DataFrame, key: str, hours: int, step_minutes: int) -> Dat
     )
 
 
-def backtest(grid: DataFrame, origins: DataFrame, days: int, by: tuple[str, ...] = CELL, ts: str = "slot") -> DataFrame:
-    """Forecasts of the day after each origin (entity_id, issued_at) from the `days` before it, with the actual values.
+def backtest(grid: DataFrame, first: str, every: int, count: int, days: int, by: tuple[str, ...] = CELL, ts: str = "slot") -> DataFrame:
+    """Forecasts of the day after each origin from the `days` before it, with the actual values and issued_at.
 
-    An origin's history ends before it; a row of the grid is copied to the origins whose
-    window it is in, which the equality on the entity and the narrow range bound.
+    Origins are midnights: `first`, and `count` of them `every` so many days. A row of the
+    grid is copied, by arithmetic on its day, to the days / every origins whose window it is
+    in; no row is joined by range, and an origin's history ends before it.
     """
-    past = (F.col(ts) < F.col("issued_at")) & (F.col(ts) >= F.col("issued_at") - F.expr(f"INTERVAL {int(days)} DAYS"))
-    ahead = (F.col(ts) >= F.col("issued_at")) & (F.col(ts) < F.col("issued_at") + F.expr("INTERVAL 1 DAY"))
-    both = grid.join(origins, "entity_id")
-    told = seasonal_quantiles(both.where(past), ("issued_at", *by))
-    return both.where(ahead).join(told, ["issued_at", *by], "left")
+    away = F.datediff(F.to_date(ts), F.to_date(F.lit(first)))
+    low, high = F.floor(away / every) + 1, F.floor((away + days) / every)
+    inside = F.sequence(F.greatest(low, F.lit(0)), F.least(high, F.lit(count - 1)))
+    past = grid.where((low <= high) & (low < count) & (high >= 0)).withColumn("_origin", F.explode(inside))
+    told = seasonal_quantiles(past, ("_origin", *by))
+    own = F.floor(away / every)
+    ahead = grid.withColumn("_origin", own).where((away % every == 0) & own.between(0, count - 1))
+    issued = F.date_add(F.to_date(F.lit(first)), (F.col("_origin") * every).cast("int")).cast("timestamp")
+    return ahead.join(told, ["_origin", *by], "left").withColumn("issued_at", issued).drop("_origin")

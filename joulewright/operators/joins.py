@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +75,15 @@ def roll_up(df: DataFrame, topology: DataFrame, entity: str, hops: int) -> DataF
     return df
 
 
+def unite(feeds: dict[str, DataFrame], key: tuple[str, ...] = ("entity_id", "key", "ts"), value: str = "value") -> DataFrame:
+    """key, value, source: all feeds as one; where several have a sample, the first feed's that is not null.
+
+    One pass and one shuffle with partial aggregation, however many feeds there are.
+    """
+    tagged = [d.select(*key, F.struct(F.col(value).isNull().alias("lacks"), F.lit(i).alias("rank"), (-F.col(value)).alias("low"), F.lit(n).alias("source")).alias("_x")) for i, (n, d) in enumerate(feeds.items())]
+    return reduce(DataFrame.unionByName, tagged).groupBy(*key).agg(F.min("_x").alias("_x")).select(*key, (-F.col("_x.low")).alias(value), "_x.source")
+
+
 def prefer(first: DataFrame, second: DataFrame, on: list[str], value: str = "value") -> DataFrame:
     """The rows of both, by key; where both have one, the first source's value unless it is null."""
     b = second.select(*on, F.col(value).alias("_second"), F.lit(1).alias("_b"))

@@ -17,13 +17,15 @@ def valid_ratio(grid: DataFrame, by: tuple[str, ...] = ("entity_id",)) -> DataFr
 
 
 def stuck(df: DataFrame, least: int, by: tuple[str, ...] = SERIES, order: str = "slot", value: str = "value", only: Column | None = None) -> DataFrame:
-    """by, start, last, n, value: runs of at least `least` equal values in a row; null values break a run.
+    """by, start, last, n, value: runs of at least `least` equal values in a row.
 
-    only: a condition on the row, such as a power above 0 beside a counter.
+    A null value breaks a run, and so does a row that `only` does not hold for, a condition
+    such as a power above 0 beside a counter.
     """
-    rows = df.where(F.col(value).isNotNull() if only is None else F.col(value).isNotNull() & only)
-    before = F.lag(value).over(Window.partitionBy(*by).orderBy(order))
-    runs = number_islands(rows, by, order, before != F.col(value)).groupBy(*by, "island")
+    known = F.when(F.lit(True) if only is None else F.coalesce(only, F.lit(False)), F.col(value))
+    rows = df.withColumn("_known", known)
+    before = F.lag("_known").over(Window.partitionBy(*by).orderBy(order))
+    runs = number_islands(rows, by, order, ~before.eqNullSafe(F.col("_known"))).where("_known IS NOT NULL").groupBy(*by, "island")
     found = runs.agg(F.min(order).alias("start"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n"), F.first(value).alias(value))
     return found.where(F.col("n") >= least).drop("island")
 

@@ -2,54 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: More machines than this are not enumerated (2 ** n subsets).
+#: More machines than this are not enumerated (2 ** n subsets); their plant gets no combination, and a reason.
 MOST_MACHINES = 12
 
 
-def subsets(machines: list[str], spark: SparkSession) -> DataFrame:
-    """subset: every combination of at least one of a plant's few machines."""
-    if len(machines) > MOST_MACHINES:
-        raise ValueError(f"{len(machines)} machines: over {MOST_MACHINES} are not enumerated")
-    rows = [([m for i, m in enumerate(machines) if k >> i & 1],) for k in range(1, 1 << len(machines))]
-    return spark.createDataFrame(rows, "subset array<string>")
-
-
-def plant_subsets(curves: DataFrame, by: str = "plant") -> DataFrame:
-    """by, subset: an array of (entity_id, capacity, kw_per_kw) for each combination of a plant's machines.
+def plant_options(curves: DataFrame, by: str = "plant", most: int = MOST_MACHINES) -> DataFrame:
+    """by, options: of each combination of a plant's machines its capacity, kw per kw, number and names.
 
-    Built inside the plan by folding the machines of one plant, of which there are few.
+    Built inside the plan by folding the machines of one plant, of which there are few. A
+    plant of more than `most` machines has null options.
     """
     machines = F.sort_array(F.collect_list(F.struct("entity_id", "capacity", "kw_per_kw")))
     grouped = curves.groupBy(by).agg(machines.alias("_m")).withColumn("_n", F.size("_m"))
-    grouped = grouped.withColumn("_m", F.when(F.col("_n") <= MOST_MACHINES, F.col("_m")).otherwise(F.raise_error(F.lit("too many machines to enumerate"))))
-    picks = F.sequence(F.lit(1), F.expr("cast(shiftleft(1, _n) - 1 as int)"))
-    with_pick = grouped.withColumn("_pick", F.explode(picks))
-    chosen = F.filter("_m", lambda x, i: F.expr("_pick").bitwiseAND(F.pow(F.lit(2), i).cast("int")) > 0)
-    return with_pick.select(by, chosen.alias("subset"))
+    picks = F.when(F.col("_n") <= most, F.sequence(F.lit(1), F.expr("cast(shiftleft(1, least(_n, 30)) - 1 as int)")))
+
+    def option(pick: Column) -> Column:
+        chosen = F.filter("_m", lambda x, i: pick.bitwiseAND(F.pow(F.lit(2), i).cast("int")) > 0)
+        capacity = F.aggregate(chosen, F.lit(0.0), lambda a, x: a + x["capacity"])
+        weighted = F.aggregate(chosen, F.lit(0.0), lambda a, x: a + x["capacity"] * x["kw_per_kw"])
+        names = F.transform(chosen, lambda x: x["entity_id"])
+        return F.struct(capacity.alias("capacity"), F.try_divide(weighted, capacity).alias("rate"), F.size(chosen).alias("n"), names.alias("m"))
+
+    return grouped.select(by, F.transform(picks, option).alias("options"))
 
 
 def best_combination(demand: DataFrame, curves: DataFrame, by: str = "plant", spare: float = 0.0) -> DataFrame:
-    """demand (by, slot, load_kw) with machines, est_kw, n_machines, constraints_checked of the cheapest safe choice.
+    """demand (by, slot, load_kw) with machines, est_kw, n_machines, constraints_checked, note of the cheapest safe choice.
 
     Safety first: only combinations whose capacity covers the load with `spare`; then cost
     (the load shared by capacity, at each machine's own efficiency); then fewer machines.
-    A load that no combination covers has no machines.
+    A load that no combination covers has no machines, and note says why; nor has one of a
+    plant without curves, or with more than MOST_MACHINES machines.
+
+    The options of a plant are one array, so a row of demand stays one row, and the search
+    is an expression on it.
     """
-    options = plant_subsets(curves, by)
-    capacity = F.aggregate("subset", F.lit(0.0), lambda a, x: a + x["capacity"])
-    weighted = F.aggregate("subset", F.lit(0.0), lambda a, x: a + x["capacity"] * x["kw_per_kw"])
-    options = options.select(by, F.transform("subset", lambda x: x["entity_id"]).alias("machines"), capacity.alias("_cap"), F.try_divide(weighted, capacity).alias("_rate"))
-    tried = demand.join(options, by, "left")
-    safe = F.col("_cap") >= F.col("load_kw") * (1 + spare)
+    safe = F.filter("options", lambda o: o["capacity"] >= F.col("load_kw") * (1 + spare))
     # rounding makes equal costs equal, so that ties fall to fewer machines and then to names
-    cost = F.struct(F.round(F.col("load_kw") * F.col("_rate"), 6).alias("kw"), F.size("machines").alias("n"), F.col("machines").alias("m"))
-    keys = demand.columns
-    best = tried.groupBy(*keys).agg(F.min(F.when(safe, cost)).alias("_best"))
+    costs = F.transform(safe, lambda o: F.struct(F.round(F.col("load_kw") * o["rate"], 6).alias("kw"), o["n"].alias("n"), o["m"].alias("m")))
+    counted = curves.groupBy(by).agg(F.count(F.lit(1)).alias("_of"))
+    told = demand.join(plant_options(curves, by).join(counted, by), by, "left").withColumn("_best", F.array_min(costs))
     checked = F.array(F.lit("capacity"), F.lit("efficiency"))
-    return best.select(*keys, F.col("_best.m").alias("machines"), F.col("_best.kw").alias("est_kw"), F.col("_best.n").alias("n_machines"), checked.alias("constraints_checked"))
+    note = (
+        F.when(F.col("_of").isNull(), "no curves of this plant")
+        .when(F.col("options").isNull(), F.concat(F.col("_of").cast("string"), F.lit(" machines: not enumerated")))
+        .when(F.col("_best").isNull(), "no combination covers the load")
+    )
+    return told.select(*demand.columns, F.col("_best.m").alias("machines"), F.col("_best.kw").alias("est_kw"), F.col("_best.n").alias("n_machines"), checked.alias("constraints_checked"), note.alias("note"))
 
 
 def cheapest_option(options: DataFrame, by: tuple[str, ...], safe: Column, comfortable: Column, cost: Column, tie: str) -> DataFrame:
@@ -110,14 +112,17 @@ def balanced_order(runtime: DataFrame, by: str = "plant") -> DataFrame:
 
 
 def documents(proposals: DataFrame, module: str, issued: Column, price: Column) -> DataFrame:
-    """Proposals (valid_from, valid_to, action, reason, constraints_checked, est_saving_kwh) as documents with ids and status."""
-    from pyspark.sql import Window
+    """Proposals (valid_from, valid_to, action, reason, constraints_checked, est_saving_kwh) as documents with ids and status.
 
+    An id counts the proposals of an issue date (issued: a time, or a column of the
+    proposals) in order of valid_from, then action.
+    """
     from joulewright.functions.expressions import document_id
+    from joulewright.operators.windows import numbered
 
-    w = Window.partitionBy(F.to_date(issued)).orderBy("valid_from", "action")
-    return proposals.select(
-        document_id("R", issued, F.row_number().over(w), 3).alias("rec_id"),
+    counted = numbered(proposals.withColumn("_issued", issued), F.to_date("_issued"), F.to_date("valid_from"), ("valid_from", "action"), "_number")
+    return counted.select(
+        document_id("R", F.col("_issued"), F.col("_number"), 3).alias("rec_id"),
         F.lit(module).alias("module"),
         "valid_from",
         "valid_to",
@@ -135,16 +140,32 @@ def plan_machines(demand: DataFrame, machines: list[tuple[str, float, float]], l
 
     demand: plant, slot, load_kw. machines: (name, capacity, kw per kw) of one kind of plant.
     Dynamic programming over subsets and the time each machine has still to stay on; a group
-    is one plant's horizon. A horizon that no combination covers has null machines.
+    is one plant's horizon. A state is dropped where another costs no more and leaves every
+    machine at least as free, which changes no result; what is left is at most
+    (least_on + 1) ** machines states a slot, and 2 ** machines subsets of each are tried:
+    meant for the few machines of one plant. A horizon that no combination covers has null
+    machines, and so have all where there are more than MOST_MACHINES of them.
     """
     import itertools
 
     import pandas as pd
 
     if len(machines) > MOST_MACHINES:
-        raise ValueError(f"{len(machines)} machines: over {MOST_MACHINES} are not enumerated")
+        none = F.lit(None)
+        return demand.select("plant", "slot", none.cast("array<string>").alias("machines"), none.cast("double").alias("est_kw"))
     subsets_ = [s for k in range(len(machines) + 1) for s in itertools.combinations(range(len(machines)), k)]
 
+    def freer(a: tuple, b: tuple) -> bool:
+        """Whether a machine in state a can do all that one in state b can, at no more cost."""
+        return a == (0, True) or a == b or a[1] and b[1] and a[0] <= b[0]
+
+    def freest(states: dict[tuple, tuple]) -> dict[tuple, tuple]:
+        kept: list[tuple] = []
+        for state, told in sorted(states.items(), key=lambda x: x[1][0]):
+            if not any(all(map(freer, s, state)) for s, _ in kept):
+                kept.append((state, told))
+        return dict(kept)
+
     def plan(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("slot")
         # a state: for each machine, the slots it must stay on for (0: off or free to stop), and whether it is on
@@ -164,7 +185,7 @@ def plan_machines(demand: DataFrame, machines: list[tuple[str, float, float]], l
                     total = cost + kw + start_cost * starts
                     if new not in after or total < after[new][0] - 1e-9:
                         after[new] = (total, (path, s, kw))
-            costs = after
+            costs = freest(after)
         chosen: list[tuple] = []
         if costs:
             _, path = min(costs.values(), key=lambda c: c[0])

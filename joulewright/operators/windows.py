@@ -19,9 +19,11 @@ def state_runs(df: DataFrame, by: tuple[str, ...], order: str, value: str) -> Da
     return runs.groupBy(*by, "island").agg(F.first(value).alias(value), F.min(order).alias("start"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n")).drop("island")
 
 
-def merge_cells(cells: DataFrame, by: tuple[str, ...], order: str, step_minutes: int, gap_minutes: int, least_minutes: int, score: str | None = None) -> DataFrame:
+def merge_cells(cells: DataFrame, by: tuple[str, ...], order: str, step_minutes: int, gap_minutes: int, least_minutes: int, score: str | None = None, more: dict[str, Column] | None = None) -> DataFrame:
     """by, start, end, n_cells, peak: flagged cells as events; cells up to the gap apart are one event.
 
+    more: names and aggregates of further columns of an event.
+
     An event ends with its last cell (start of it plus the step) and is kept if it lasts long enough.
     """
     seconds = F.unix_timestamp(order)
@@ -29,7 +31,7 @@ def merge_cells(cells: DataFrame, by: tuple[str, ...], order: str, step_minutes:
     runs = number_islands(cells, by, order, gap > gap_minutes * 60 - step_minutes * 60)
     peak = F.max(score) if score else F.lit(None).cast("double")
     events = runs.groupBy(*by, "island").agg(
-        F.min(order).alias("start"), F.timestamp_seconds(F.max(seconds) + step_minutes * 60).alias("end"), F.count(F.lit(1)).alias("n_cells"), peak.alias("peak")
+        F.min(order).alias("start"), F.timestamp_seconds(F.max(seconds) + step_minutes * 60).alias("end"), F.count(F.lit(1)).alias("n_cells"), peak.alias("peak"), *[c.alias(n) for n, c in (more or {}).items()]
     )
     return events.where(F.unix_timestamp("end") - F.unix_timestamp("start") >= least_minutes * 60).drop("island")
 
@@ -51,6 +53,21 @@ def edges(df: DataFrame, by: tuple[str, ...], order: str, value: str, name: str
     return df.withColumn(name, F.coalesce((before != F.col(value)).cast("int"), F.lit(0)))
 
 
+def numbered(df: DataFrame, by: Column, block: Column, order: tuple[str, ...], name: str = "number") -> DataFrame:
+    """A number from 1 for each row of `by`, in order of block, then of `order`; block must rise with `order`.
+
+    Rows are numbered within their block and moved by the count of the blocks before it, so
+    no task sorts all rows of `by`, however many it has; the counts are one row a block.
+    """
+    keyed = df.withColumn("_by", by).withColumn("_block", block)
+    counts = keyed.groupBy("_by", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_by").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    moves = counts.select(F.col("_by").alias("_b1"), F.col("_block").alias("_b2"), F.coalesce(before, F.lit(0)).alias("_before"))
+    placed = keyed.join(moves, F.col("_by").eqNullSafe(F.col("_b1")) & F.col("_block").eqNullSafe(F.col("_b2")))
+    own = F.row_number().over(Window.partitionBy("_by", "_block").orderBy(*order))
+    return placed.withColumn(name, F.col("_before") + own).drop("_by", "_block", "_b1", "_b2", "_before")
+
+
 def fill_time(states: DataFrame, by: tuple[str, ...], order: str, low: str, high: str) -> DataFrame:
     """by, filled_at, seconds: from the last low contact to the high contact that follows it."""
     w = Window.partitionBy(*by).orderBy(order)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from joulewright.operators import evaluate, forecast, recommend, report, rules, windows
-from joulewright.plans.testdata import SQL_HOURLY, hourly, r4, samples, sql4, table, text, with_calendar
+from joulewright.operators import detect, evaluate, forecast, recommend, report, rules, windows
+from joulewright.plans import flows
+from joulewright.plans.testdata import SQL_DAY_TYPE, SQL_HOURLY, hourly, r4, samples, sql4, table, text, with_calendar
 from joulewright.streaming import windows as streams
 
 QUERIES, ORACLES = {}, {}
@@ -58,6 +59,19 @@ def overflow_rule(spark, d):
     return shown(rules.overflow(states(spark, d)))
 
 
+@query(
+    "WITH d AS (" + sql_held("u % 4 <> 0 AND (v < 4 OR v < 0.1)", 1200, "dry_run", "critical") + "), o AS (" + sql_held("v > 15 AND u % 4 <> 0", -1, "overflow", "critical") + "), "
+    "e AS (SELECT *, 'Stop the pump and check the supply' AS act FROM d UNION ALL SELECT *, 'Stop the fill pump and check the level contact' FROM o) "
+    "SELECT 'A-20240201-' || lpad(k::VARCHAR, CAST(greatest(4, length(k::VARCHAR)) AS INT), '0') AS event_id, 'S_state' AS \"group\", entity_id, rule AS type, severity, start, \"end\", '{\"seconds\":' || seconds || '}' AS evidence, act AS suggested_action "
+    "FROM (SELECT *, row_number() OVER (ORDER BY start, entity_id, rule) AS k FROM e)"
+)
+def rule_event_documents(spark, d):
+    """Events of two critical rules as one table of documents; no baseline is needed for them."""
+    s, at = states(spark, d), F.to_timestamp(F.lit("2024-02-01"))
+    docs = detect.combined([detect.rule_documents(e, "M3_water", at) for e in (rules.dry_run(s, 1200), rules.overflow(s))], at)
+    return docs.select("event_id", "group", "entity_id", "type", "severity", text("start"), text("end"), "evidence", "suggested_action")
+
+
 @query(sql_held("u % 2 = 1 AND u % 5 <= 1", 1800, "stuck_valve", "warning"))
 def stuck_valve_rule(spark, d):
     return shown(rules.stuck_valve(states(spark, d), 1800))
@@ -104,6 +118,19 @@ def rapid_cycling(spark, d):
 
 # Forecasts.
 
+SQL_WATER = "w0 AS (SELECT event_type AS entity_id, date_trunc('hour', ts) AS slot, sum(value) AS value FROM events GROUP BY 1, 2), w AS (SELECT *, " + SQL_DAY_TYPE.format("slot") + " AS day_type, CAST(hour(slot) AS INT) AS tod_slot FROM w0)"
+
+
+@query(
+    "WITH " + SQL_WATER + " SELECT entity_id, strftime(TIMESTAMP '2024-01-31' + tod_slot * INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS ts, round(quantile_cont(value, 0.1), 4) AS p10, round(median(value), 4) AS p50, round(quantile_cont(value, 0.9), 4) AS p90 FROM w WHERE day_type = 'workday' GROUP BY entity_id, tod_slot"
+)
+def water_demand_forecast(spark, d):
+    """The water that each tank's users draw by the hour of the day after the table, from days of the same type."""
+    amounts = with_calendar(samples(spark, d).groupBy("entity_id", F.date_trunc("hour", "ts").alias("slot")).agg(F.sum("value").alias("value")))
+    tanks = amounts.select("entity_id").distinct().withColumns({c: F.lit(v) for c, v in (("pump_m3", 8.0), ("tank_m3", 60.0), ("low_m3", 10.0), ("start_m3", 35.0))})
+    docs, _ = flows.water_plan(amounts, tanks, F.lit(1.0), F.to_timestamp(F.lit("2024-01-31 00:00:00")))
+    return docs.select("entity_id", F.inline("points")).select("entity_id", text("ts"), r4("p10"), r4("p50"), r4("p90"))
+
 SQL_SEASON = SQL_HOURLY + ", q AS (SELECT entity_id, day_type, tod_slot, quantile_cont(value, 0.1) AS p10, median(value) AS p50, quantile_cont(value, 0.9) AS p90 FROM g WHERE slot < TIMESTAMP '2024-01-22' GROUP BY 1, 2, 3)"
 CUT = "slot < TIMESTAMP '2024-01-22 00:00:00'"
 
@@ -168,9 +195,7 @@ def tariff_forecast_split(spark, d):
 )
 def forecast_backtest(spark, d):
     g = hourly(spark, d)
-    dates = F.array(*[F.to_timestamp(F.lit(f"2024-01-{x} 00:00:00")) for x in (15, 22, 29)])
-    origins = g.select("entity_id").distinct().withColumn("issued_at", F.explode(dates))
-    out = forecast.backtest(g, origins, 14)
+    out = forecast.backtest(g, "2024-01-15", 7, 3, 14)
     return out.groupBy(F.to_date("issued_at").cast("string").alias("issued_on")).agg(F.count(F.lit(1)).alias("n"), r4(F.avg(F.abs(F.col("value") - F.col("p50"))), "mae"))
 
 
@@ -178,24 +203,29 @@ def forecast_backtest(spark, d):
 
 
 def machines(spark, d):
-    """The first four suppliers as chillers of one plant."""
-    s = table(spark, d, "supplier").where("s_suppkey < 4")
-    return s.select(F.lit("P").alias("plant"), F.col("s_name").alias("entity_id"), (500.0 + F.col("s_suppkey") * 150).alias("capacity"), (0.15 + (F.col("s_nationkey") % 7) * 0.013).alias("kw_per_kw"))
+    """All suppliers as chillers, four to a plant."""
+    s, k = table(spark, d, "supplier"), F.col("s_suppkey")
+    return s.select(F.floor(k / 4).alias("plant"), F.col("s_name").alias("entity_id"), (500.0 + (k % 4) * 150).alias("capacity"), (0.15 + (F.col("s_nationkey") % 7) * 0.013).alias("kw_per_kw"))
 
 
 SQL_COMBO = (
-    "mc AS (SELECT s_name AS e, 500.0 + s_suppkey * 150 AS cap, 0.15 + (s_nationkey % 7) * 0.013 AS r, row_number() OVER (ORDER BY s_name) - 1 AS i FROM supplier WHERE s_suppkey < 4), "
-    "sub AS (SELECT k, list(e ORDER BY e) AS ms, sum(cap) AS cap, sum(cap * r) / sum(cap) AS rate FROM mc, range(1, 16) u(k) WHERE (k >> i) & 1 = 1 GROUP BY k), "
-    "dm AS (SELECT date_trunc('hour', ts) AS slot, least(sum(value) * 20, 2900) AS load FROM events WHERE ts < TIMESTAMP '2024-01-08' GROUP BY 1), "
-    "t AS (SELECT slot, load, ms, round(load * rate, 6) AS kw, row_number() OVER (PARTITION BY slot ORDER BY round(load * rate, 6), len(ms), ms) AS k FROM dm JOIN sub ON cap >= load)"
+    "mc AS (SELECT s_suppkey // 4 AS plant, s_name AS e, 500.0 + (s_suppkey % 4) * 150 AS cap, 0.15 + (s_nationkey % 7) * 0.013 AS r, row_number() OVER (PARTITION BY s_suppkey // 4 ORDER BY s_name) - 1 AS i FROM supplier), "
+    "sub AS (SELECT plant, k, list(e ORDER BY e) AS ms, sum(cap) AS cap, sum(cap * r) / sum(cap) AS rate FROM mc, range(1, 16) u(k) WHERE (k >> i) & 1 = 1 GROUP BY plant, k), "
+    "h AS (SELECT date_trunc('hour', ts) AS slot, sum(value) AS v FROM events GROUP BY 1), dm AS (SELECT plant, slot, v * (10 + plant % 20) AS load FROM h, (SELECT DISTINCT plant FROM mc)), "
+    "t AS (SELECT dm.plant, slot, load, ms, round(load * rate, 6) AS kw, row_number() OVER (PARTITION BY dm.plant, slot ORDER BY round(load * rate, 6), len(ms), ms) AS k FROM dm JOIN sub ON dm.plant = sub.plant AND cap >= load)"
 )
 
 
-@query("WITH " + SQL_COMBO + " SELECT strftime(dm.slot, '%Y-%m-%d %H:%M:%S') AS slot, array_to_string(ms, '+') AS machines, round(kw, 4) AS est_kw, CAST(len(ms) AS INT) AS n_machines FROM dm LEFT JOIN t ON dm.slot = t.slot AND t.k = 1")
+@query("WITH " + SQL_COMBO + " SELECT dm.plant, strftime(dm.slot, '%Y-%m-%d %H:%M:%S') AS slot, array_to_string(ms, '+') AS machines, round(kw, 4) AS est_kw, CAST(len(ms) AS INT) AS n_machines FROM dm LEFT JOIN t ON dm.plant = t.plant AND dm.slot = t.slot AND t.k = 1")
 def chiller_combo_argmin(spark, d):
-    load = samples(spark, d).where("ts < TIMESTAMP '2024-01-08 00:00:00'").groupBy(F.date_trunc("hour", "ts").alias("slot")).agg(F.least(F.sum("value") * 20, F.lit(2900.0)).alias("load_kw"))
-    out = recommend.best_combination(load.withColumn("plant", F.lit("P")), machines(spark, d))
-    return out.select(text("slot"), F.array_join("machines", "+").alias("machines"), r4("est_kw"), "n_machines")
+    """Every plant in every hour; what the hour asks of a plant is a share of its own, and may be more than it has."""
+    curves = machines(spark, d)
+    hours = samples(spark, d).groupBy(F.date_trunc("hour", "ts").alias("slot")).agg(F.sum("value").alias("v"))
+    # the plants of an hour, from the one number that says how many there are
+    plants = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))
+    load = hours.join(F.broadcast(curves.agg(F.max("plant").alias("last")))).withColumn("plant", plants).select("plant", "slot", (F.col("v") * (10 + F.col("plant") % 20)).alias("load_kw"))
+    out = recommend.best_combination(load, curves)
+    return out.select("plant", text("slot"), F.array_join("machines", "+").alias("machines"), r4("est_kw"), "n_machines")
 
 
 @query(
@@ -256,16 +286,16 @@ def pump_schedule_dp(spark, d):
 
 
 @query(
-    "WITH o AS (SELECT o_orderkey AS k, o_orderdate AS f, o_totalprice / 1000 AS kwh FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderdate < TIMESTAMP '1998-02-01') "
-    "SELECT 'R-19980301-' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE left(n::VARCHAR, 3) END AS rec_id, action, CAST(round(kwh * 2500) AS BIGINT) AS est_saving_vnd, 'pending_operator' AS status FROM (SELECT *, 'run ' || k AS action, row_number() OVER (ORDER BY f, 'run ' || k) AS n FROM o)"
+    "WITH o AS (SELECT o_orderkey AS k, o_orderdate AS f, o_totalprice / 1000 AS kwh, date_trunc('quarter', o_orderdate) AS q FROM orders) "
+    "SELECT 'R-' || strftime(q, '%Y%m%d') || '-' || lpad(n::VARCHAR, CAST(greatest(3, length(n::VARCHAR)) AS INT), '0') AS rec_id, action, CAST(round(kwh * 2500) AS BIGINT) AS est_saving_vnd, 'pending_operator' AS status FROM (SELECT *, 'run ' || k AS action, row_number() OVER (PARTITION BY q ORDER BY f, 'run ' || k) AS n FROM o)"
 )
 def recommendation_documents(spark, d):
-    o = table(spark, d, "orders").where("o_orderdate >= TIMESTAMP_NTZ '1998-01-01' AND o_orderdate < TIMESTAMP_NTZ '1998-02-01'")
-    p = o.select(
+    """Every order as a proposal, issued at the beginning of its quarter: some thousand an issue date at sf0.1."""
+    p = table(spark, d, "orders").select(
         F.col("o_orderdate").alias("valid_from"), F.col("o_orderdate").alias("valid_to"), F.concat(F.lit("run "), F.col("o_orderkey").cast("string")).alias("action"), F.lit("cheaper").alias("reason"),
         F.array(F.lit("comfort")).alias("constraints_checked"), (F.col("o_totalprice") / 1000).alias("est_saving_kwh"),
     )
-    docs = recommend.documents(p, "M2_chiller", F.to_timestamp(F.lit("1998-03-01")), F.lit(2500.0))
+    docs = recommend.documents(p, "M2_chiller", F.date_trunc("quarter", "valid_from"), F.lit(2500.0))
     return docs.select("rec_id", "action", "est_saving_vnd", "status")
 
 
@@ -319,15 +349,22 @@ def switches_per_hour(spark, d):
 
 @query("WITH " + SQL_HOURLY + " SELECT entity_id, strftime(slot, '%Y-%m-%d %H:%M:%S') AS slot, round(value, 4) AS value, n_samples FROM g")
 def streaming_hourly_cells(spark, d):
-    """The hourly grid of events read as a stream of files; the result is the stream's table at its end."""
+    """The hourly grid of events read as a stream of files; each batch writes the cells it changed, the last one counts."""
     import uuid
 
+    from joulewright.sources.tables import shared_dir
+
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     shaped = stream.select(F.col("event_type").alias("entity_id"), F.lit("power_active_kw").alias("key"), "ts", "value")
     out = streams.cells(streams.timed(shaped), "1 hour").select("entity_id", text("slot"), r4("value"), "n_samples")
-    name = "cells_" + uuid.uuid4().hex
-    out.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    path = f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}"
+
+    def keep(batch, number):
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/table/part={number}")
+
+    out.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    cells = spark.read.parquet(f"{path}/table")
+    return cells.groupBy("entity_id", "slot").agg(F.max_by("value", "batch").alias("value"), F.max_by("n_samples", "batch").alias("n_samples"))
 
 

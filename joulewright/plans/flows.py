@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 
 from joulewright.config import DEFAULT, Config
 from joulewright.functions import expressions as X
-from joulewright.operators import baseline, detect, forecast, normalize, quality, recommend, report, windows
+from joulewright.operators import baseline, detect, evaluate, forecast, normalize, quality, recommend, report, windows
+
+
+#: Scores (half widths of the band) that a series' alarm threshold is chosen from.
+THRESHOLDS = [1.0, 1.25, 1.5, 2.0, 2.5, 3.0, 4.0, 6.0, 8.0, 12.0, 20.0]
 
 
 @dataclass(frozen=True)
@@ -45,16 +49,52 @@ def on_grid(telemetry: DataFrame, registry: DataFrame, calendar: DataFrame, conf
     return dated.withColumn("day_type", F.coalesce("day_type", F.lit("workday"))).withColumn("tod_slot", X.tod_slot(F.col("slot"), config.step)).withColumn("is_op", F.coalesce(inside, F.lit(False)))
 
 
-def consumption(telemetry: DataFrame, registry: DataFrame, calendar: DataFrame, issued: Column, module: str = "M1_electricity", config: Config = DEFAULT) -> Consumption:
-    """Group A: every cell is judged by the profile of the last refit before it, which rolls."""
+def consumption(telemetry: DataFrame, registry: DataFrame, calendar: DataFrame, issued: Column, module: str = "M1_electricity", config: Config = DEFAULT, conditions: DataFrame | None = None, x: list[str] | None = None, device: DataFrame | None = None) -> Consumption:
+    """Group A: every cell is judged by the profile of the last refit before it, which rolls.
+
+    x: columns of grid conditions (weather, people; entity_id, slot and those columns in
+    `conditions`) that explain a part of what the profile leaves. device: entity_id,
+    device_model; with it, cells above their model's peers count too. A cell is flagged by any
+    layer; a series' threshold is the least of THRESHOLDS that keeps its alarms within the
+    budget (the highest, if none does), and flagged cells are merged to events above it.
+    """
     grid = on_grid(telemetry, registry, calendar, config)
     cell = ("entity_id", "key", "day_type", "tod_slot")
     prof = baseline.rolling_profile(grid, config, cell)
     judged = grid.withColumn("refit_on", baseline.in_force(F.col("slot"), config))
     scored = judged.join(prof, [*cell, "refit_on"])
-    out = detect.violations(judged, prof, (*cell, "refit_on"))
-    events = windows.merge_cells(out, ("entity_id", "key"), "slot", config.step, config.merge_gap, config.min_duration, "score")
-    docs = detect.as_events(events, "A_consumption", module, "out_of_band", "profile_band", issued, "Check schedule and load", {"key": F.col("key"), "peak_score": F.round("peak", 3), "n_cells": F.col("n_cells")})
+    half = F.greatest(F.col("upper") - F.col("lower"), F.lit(1e-9)) / 2
+    if conditions is not None and x:
+        # what weather and people explain moves the expectation; the band is what they leave of it
+        rest = scored.join(conditions, ["entity_id", "slot"], "left").withColumn("_rest", F.col("value") - F.col("expected"))
+        fit = baseline.fit_linear(rest, ("entity_id", "key"), "_rest", x).drop("n")
+        told = sum((F.col(f"b_{i}") * F.col(c) for i, c in enumerate(x, 1)), F.col("b_0"))
+        moved = rest.join(fit, ["entity_id", "key"], "left").withColumn("_told", F.coalesce(told, F.lit(0.0))).withColumn("_left", F.col("_rest") - F.col("_told"))
+        low, _, high = config.quantiles
+        spread = moved.groupBy("entity_id", "key").agg(F.percentile("_left", F.lit(low)).alias("_low"), F.percentile("_left", F.lit(high)).alias("_high"))
+        middle = F.col("expected") + F.col("_told")
+        band = {"lower": F.when(F.col("_told") != 0, middle + F.col("_low")).otherwise(F.col("lower")), "upper": F.when(F.col("_told") != 0, middle + F.col("_high")).otherwise(F.col("upper")), "expected": middle}
+        scored = moved.join(spread, ["entity_id", "key"]).withColumns(band).drop("_rest", "_told", "_left", "_low", "_high", *x, *[f"b_{i}" for i in range(len(x) + 1)])
+    score = F.try_divide(F.abs(F.col("value") - F.col("expected")), half)
+    out = scored.where((F.col("value") > F.col("upper")) | (F.col("value") < F.col("lower"))).withColumn("score", score).withColumn("model", F.lit("profile_band"))
+    if device is not None:
+        typed = scored.join(device.select("entity_id", "device_model"), "entity_id")
+        peers = baseline.peer_band(typed.withColumn("cell", F.struct("key", "slot")), "device_model", "cell", config).select("device_model", "cell", F.col("upper").alias("_up"), F.col("expected").alias("_mid"))
+        above = typed.withColumn("cell", F.struct("key", "slot")).join(peers, ["device_model", "cell"]).where(F.col("value") > F.col("_up"))
+        apart = F.try_divide(F.col("value") - F.col("_mid"), F.greatest(F.col("_up") - F.col("_mid"), F.lit(1e-9)))
+        out = out.unionByName(above.withColumn("score", apart).withColumn("model", F.lit("peers")).select(*out.columns))
+    series = F.struct("entity_id", "key")
+    flagged = out.groupBy(series.alias("entity_id"), "slot").agg(F.max("score").alias("score"), F.sort_array(F.collect_set("model")).alias("models"), F.max(F.greatest(F.col("value") - F.col("expected"), F.lit(0.0))).alias("_above"))
+    days = grid.groupBy(series.alias("entity_id")).agg(F.countDistinct(F.to_date("slot")).alias("n_days"))
+    limits = evaluate.calibrate(flagged, THRESHOLDS, days, config).select("entity_id", "threshold")
+    told = flagged.join(limits, "entity_id", "left").where(F.col("score") > F.coalesce("threshold", F.lit(max(THRESHOLDS))))
+    more = {"excess": F.sum("_above") * config.step / 60, "models": F.array_sort(F.array_distinct(F.flatten(F.collect_set("models")))), "threshold": F.first("threshold")}
+    events = windows.merge_cells(told, ("entity_id",), "slot", config.step, config.merge_gap, config.min_duration, "score", more)
+    events = events.withColumn("key", F.col("entity_id.key")).withColumn("entity_id", F.col("entity_id.entity_id"))
+    # if it comes back each day (a longer event: goes on) as it was
+    length = F.greatest((F.unix_timestamp("end") - F.unix_timestamp("start")) / 86400, F.lit(1.0))
+    proof = {"key": F.col("key"), "peak_score": F.round("peak", 3), "n_cells": F.col("n_cells"), "threshold": F.col("threshold"), "layers": F.col("models")}
+    docs = detect.as_events(events, "A_consumption", module, "out_of_band", F.array_join("models", "+"), issued, "Check schedule and load", proof, waste=F.col("excess") / length * 30)
     # a series is an entity and a key
     told = baseline.documents(scored.withColumn("entity_id", F.struct("entity_id", "key")), "", "history", "rolling", config)
     told = told.withColumn("key", F.col("entity_id.key")).withColumn("entity_id", F.col("entity_id.entity_id"))
@@ -73,21 +113,81 @@ def chiller_efficiency(grid: DataFrame, rating: DataFrame, maintenance: DataFram
     loaded = normalize.above_load_floor(steady, rating, "cooling_kw", "rated_cooling_kw", config.load_floor)
     ratio = loaded.withColumn("kw_per_kw_cooling", X.kw_per_kw(F.col("power_active_kw"), F.col("cooling_kw")))
     parts = baseline.split_by_maintenance(ratio, maintenance, config, "slot")
-    judged = detect.ratio_degradation(parts, "kw_per_kw_cooling", ["chiller_load_pct"], least_pct=least_pct).where("degraded")
-    # of each machine, when the current rows begin, and the window they are compared with
-    spans = parts.groupBy("entity_id").agg(
-        F.min(F.when(F.col("part") == "current", F.col("slot"))).alias("start"),
+    by = ("entity_id", "maintained_at")
+    judged = detect.degradation_events(parts, "kw_per_kw_cooling", ["chiller_load_pct"], least_pct=least_pct, by=by, weight="cooling_kw")
+    # of each machine, the window it is compared with and the loads since
+    spans = parts.groupBy(*by).agg(
+        F.array(F.round(F.min(F.when(F.col("part") == "current", F.col("chiller_load_pct"))), 0), F.round(F.max(F.when(F.col("part") == "current", F.col("chiller_load_pct"))), 0)).alias("loads"),
         F.min(F.when(F.col("part") == "reference", F.to_date("slot"))).alias("ref_from"),
         F.max(F.when(F.col("part") == "reference", F.to_date("slot"))).alias("ref_to"),
     )
-    events = judged.join(spans, "entity_id").withColumn("end", F.lit(None).cast("timestamp"))
+    events = judged.join(spans, list(by)).withColumn("start", F.col("start").cast("timestamp")).withColumn("end", F.lit(None).cast("timestamp"))
     evidence = {
         "kw_per_kw_cooling": F.round("observed", 3),
         "reference": F.round("expected", 3),
         "deviation_pct": F.col("deviation_pct"),
         "reference_window": F.concat_ws("..", F.col("ref_from").cast("string"), F.col("ref_to").cast("string")),
+        "load_pct_range": F.col("loads"),
+        "detected_on": F.col("detected_on"),
+    }
+    waste = F.col("excess") * config.step / 60 / F.col("n_days") * 30
+    return detect.as_events(events, "B_efficiency", "M2_chiller", "cop_degradation", "baseline_regression+cusum", issued, "Check condenser and refrigerant", evidence, waste=waste)
+
+
+def pump_degradation(grid: DataFrame, maintenance: DataFrame, issued: Column, config: Config = DEFAULT, least_pct: float = 10.0) -> DataFrame:
+    """Group B events of pumps: head at full speed falls, or kWh per m3 rises, against the window after maintenance.
+
+    grid: long, on the grid, with pump_state, pump_speed_pct, pressure_supply_bar,
+    pressure_return_bar, water_flow_lpm and power_active_kw per pump.
+    """
+    keys = ["pump_state", "pump_speed_pct", "pressure_supply_bar", "pressure_return_bar", "water_flow_lpm", "power_active_kw"]
+    on = normalize.to_wide(grid.where(F.col("key").isin(keys)), keys).where("pump_state = 1")
+    head = X.pump_head(F.col("pressure_supply_bar"), F.col("pressure_return_bar"), F.col("pump_speed_pct"))
+    rate = X.kwh_per_m3(F.col("power_active_kw"), F.col("water_flow_lpm") * 60 / 1000)
+    parts = baseline.split_by_maintenance(on.withColumn("head", head).withColumn("kwh_per_m3", rate), maintenance, config, "slot")
+    documents = []
+    for ratio, x, sign, kind, action in (("head", ["water_flow_lpm"], -1, "pump_head_loss", "Check impeller and seals"), ("kwh_per_m3", ["pump_speed_pct"], 1, "kwh_per_m3_rise", "Check pump efficiency and valves")):
+        found = detect.degradation_events(parts, ratio, x, least_pct=least_pct, sign=sign, by=("entity_id", "maintained_at"))
+        found = found.withColumn("start", F.col("start").cast("timestamp")).withColumn("end", F.lit(None).cast("timestamp"))
+        evidence = {ratio: F.round("observed", 3), "reference": F.round("expected", 3), "deviation_pct": F.col("deviation_pct"), "detected_on": F.col("detected_on")}
+        documents.append(detect.as_events(found, "B_efficiency", "M3_water", kind, "baseline_regression+cusum", issued, action, evidence))
+    return detect.combined(documents, issued)
+
+
+def odd_shapes(grid: DataFrame, peak_hours: list[int], on_above: float, issued: Column, module: str = "M1_electricity", config: Config = DEFAULT) -> DataFrame:
+    """Group C events: odd totals, peaks moved into the tariff's peak hours, and days like those of another type; at most
+    config.odd_days_per_month of a device.
+
+    grid: entity_id, slot, value, day_type, tod_slot.
+    """
+    types = grid.select("entity_id", F.to_date("slot").alias("date"), "day_type").distinct()
+    days = detect.day_features(grid, F.col("value") > on_above).join(types, ["entity_id", "date"])
+    kinds = {
+        "odd_total": detect.odd_features(days, "total").select("entity_id", "date"),
+        "peak_moved": detect.moved_peaks(days, peak_hours).select("entity_id", "date"),
+        "wrong_day_type": detect.nearest_day_type(grid).where("wrong").select("entity_id", "date"),
     }
-    return detect.as_events(events, "B_efficiency", "M2_chiller", "cop_degradation", "baseline_regression", issued, "Check condenser and refrigerant", evidence)
+    told = None
+    for kind, found in kinds.items():
+        part = found.withColumn("kind", F.lit(kind))
+        told = part if told is None else told.unionByName(part)
+    odd = told.groupBy("entity_id", "date").agg(F.sort_array(F.collect_set("kind")).alias("kinds")).withColumn("_n", F.size("kinds"))
+    capped = report.capped_days(odd, "_n", config.odd_days_per_month)
+    events = capped.withColumn("start", F.col("date").cast("timestamp")).withColumn("end", F.date_add("date", 1).cast("timestamp"))
+    return detect.as_events(events, "C_shape", module, F.get("kinds", F.lit(0)), "day_shape", issued, "Check the schedule of the day", {"kinds": F.col("kinds"), "date": F.col("date")})
+
+
+def water_plan(history: DataFrame, tanks: DataFrame, price: Column, issued: Column) -> tuple[DataFrame, DataFrame]:
+    """The next day's water demand by the hour as forecast documents, and a pump plan of each tank that covers its P90.
+
+    history: entity_id (a tank), slot, value (m3 an hour), day_type, tod_slot. tanks:
+    entity_id, pump_m3, tank_m3, low_m3, start_m3. price: a column of ts, slot and tod_slot.
+    """
+    ahead = forecast.horizon(tanks, issued, 24, 60).withColumn("tod_slot", X.tod_slot(F.col("ts"), 60)).withColumn("day_type", X.day_type(F.to_date("ts"), F.lit(False)))
+    told = ahead.join(forecast.seasonal_quantiles(history), ["entity_id", "day_type", "tod_slot"])
+    documents = forecast.documents(told, "water_volume_m3_total", 24, 60)
+    demand = told.withColumn("slot", F.col("ts")).withColumn("price", price).withColumn("use_m3", F.col("p90"))
+    return documents, recommend.schedule_pump(demand.select("entity_id", "slot", "use_m3", "price", "pump_m3", "tank_m3", "low_m3", "start_m3"))
 
 
 def cooling_proposals(history: DataFrame, weather: DataFrame | None, curves: DataFrame, tariff: DataFrame, issued: Column, running_kw_per_kw: float, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:

@@ -226,6 +226,36 @@ def efficiency_degradation(spark, d):
     return out.select("entity_id", r4("expected"), r4("observed"), "n", "deviation_pct")
 
 
+def sql_onset(factor: float, sign: int) -> str:
+    """A loss that begins two years after the reference window, found by the chart of its daily deviation, as SQL."""
+    return (
+        "WITH " + SQL_LINES + f", q AS (SELECT *, value * CASE WHEN day >= DATE '2000-06-01' THEN {factor} ELSE 1.0 END AS v FROM l), f AS (SELECT entity_id, regr_intercept(v, qty) AS a, regr_slope(v, qty) AS b FROM q WHERE day < DATE '1998-01-01' GROUP BY 1), "
+        f"n AS (SELECT entity_id, day, v, a + b * qty AS told, {sign} * (v / (a + b * qty) - 1) * 100 - 7.5 AS r FROM q JOIN f USING (entity_id) WHERE day >= DATE '1998-01-01'), s AS (SELECT *, sum(r) OVER (PARTITION BY entity_id ORDER BY day) AS p FROM n), "
+        "c AS (SELECT *, p - least(0, min(p) OVER (PARTITION BY entity_id ORDER BY day)) AS s FROM s), a AS (SELECT *, min(day) FILTER (s > 10) OVER (PARTITION BY entity_id) AS det FROM c), "
+        "z AS (SELECT *, max(day) FILTER (s <= 0 AND day < det) OVER (PARTITION BY entity_id) AS zero FROM a WHERE det IS NOT NULL) "
+        "SELECT entity_id, min(day)::VARCHAR AS start, det::VARCHAR AS detected_on, count(*) AS n_days, round(avg(told), 4) AS expected, round(avg(v), 4) AS observed, round((avg(v) - avg(told)) / avg(told) * 100, 1) AS deviation_pct FROM z WHERE zero IS NULL OR day > zero GROUP BY entity_id, det"
+    )
+
+
+def onset(spark, d, factor, sign):
+    late = F.when(F.col("day") >= F.lit("2000-06-01").cast("date"), factor).otherwise(1.0)
+    q = daily_lines(spark, d).withColumn("v", F.col("value") * late).withColumn("part", F.when(F.col("day") < F.lit("1998-01-01").cast("date"), "reference").otherwise("current"))
+    out = detect.degradation_events(q, "v", ["qty"], sign=sign, ts="day")
+    return out.select("entity_id", F.col("start").cast("string").alias("start"), F.col("detected_on").cast("string").alias("detected_on"), "n_days", r4("expected"), r4("observed"), "deviation_pct")
+
+
+@query(sql_onset(0.85, -1))
+def pump_head_loss(spark, d):
+    """Price per quantity as the head of a pump that falls by 15 per cent two years after its reference window."""
+    return onset(spark, d, 0.85, -1)
+
+
+@query(sql_onset(1.15, 1))
+def kwh_per_m3_rise(spark, d):
+    """The same as the energy of a cubic metre, which rises by 15 per cent."""
+    return onset(spark, d, 1.15, 1)
+
+
 @query(
     "WITH " + SQL_HOURLY + ", x AS (SELECT *, lag(value) OVER (PARTITION BY entity_id ORDER BY slot) AS l1 FROM g) SELECT entity_id, count(*) AS n, round(regr_intercept(value, l1), 4) AS b_0, round(regr_slope(value, l1), 4) AS b_1 FROM x WHERE l1 IS NOT NULL GROUP BY 1"
 )
@@ -259,6 +289,11 @@ def odd_days(spark, d):
     return detect.odd_features(days(spark, d), "total").select("entity_id", F.col("date").cast("string").alias("date"), r4("total"))
 
 
+@query("WITH " + SQL_HOURLY + ", " + SQL_DAYS + ", u AS (SELECT entity_id, day_type, avg(CASE WHEN peak_hour IN (9, 10, 17, 18, 19) THEN 1.0 ELSE 0.0 END) AS share FROM f GROUP BY 1, 2) SELECT entity_id, date::VARCHAR AS date, peak_hour FROM f JOIN u USING (entity_id, day_type) WHERE peak_hour IN (9, 10, 17, 18, 19) AND share < 0.5")
+def moved_peak_days(spark, d):
+    return detect.moved_peaks(days(spark, d), [9, 10, 17, 18, 19]).select("entity_id", F.col("date").cast("string").alias("date"), "peak_hour")
+
+
 @query("WITH " + SQL_ODD + ", r AS (SELECT *, row_number() OVER (PARTITION BY entity_id, date_trunc('month', date) ORDER BY total DESC, date) AS rank FROM od) SELECT entity_id, date::VARCHAR AS date, round(total, 4) AS total, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3")
 def odd_days_capped(spark, d):
     from joulewright.operators.report import capped_days
@@ -314,13 +349,13 @@ def detector_fusion_and(spark, d):
     return detect.fuse(two_detectors(spark, d), "and").select("entity_id", text("slot"), "n_detectors")
 
 
-#: Faults: two hours after each tenth error event.
-SQL_FAULTS = "fl AS (SELECT event_id AS id, ['click', 'view', 'purchase', 'signup'][1 + user_id % 4] AS entity_id, date_trunc('second', ts) AS start, date_trunc('second', ts) + INTERVAL 2 HOURS AS \"end\" FROM events WHERE event_type = 'error' AND event_id % 10 = 0)"
+#: Faults: two hours after each error event.
+SQL_FAULTS = "fl AS (SELECT event_id AS id, ['click', 'view', 'purchase', 'signup'][1 + user_id % 4] AS entity_id, date_trunc('second', ts) AS start, date_trunc('second', ts) + INTERVAL 2 HOURS AS \"end\" FROM events WHERE event_type = 'error')"
 
 
 def faults(spark, d):
     names = F.array(*[F.lit(x) for x in ("click", "view", "purchase", "signup")])
-    e = samples(spark, d).where("entity_id = 'error' AND event_id % 10 = 0")
+    e = samples(spark, d).where("entity_id = 'error'")
     at = F.timestamp_seconds(F.unix_timestamp("ts"))
     return e.select(F.col("event_id").alias("id"), F.get(names, (F.col("user_id") % 4).cast("int")).alias("entity_id"), at.alias("start"), (at + F.expr("INTERVAL 2 HOURS")).alias("end"))
 
@@ -357,13 +392,13 @@ def budgeted_alarms(spark, d):
 
 @query(
     "WITH " + SQL_CUSUM + ", a AS (SELECT * FROM c WHERE cusum > 4), " + sql_merge("a", score="cusum")
-    + ", n AS (SELECT *, row_number() OVER (ORDER BY start, entity_id) AS k FROM ev) SELECT 'A-20240201-' || lpad(k::VARCHAR, 4, '0') AS event_id, 'B_efficiency' AS \"group\", entity_id, 'cop_degradation' AS type, 'info' AS severity, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, CAST(n_cells AS VARCHAR) AS n_cells FROM n"
+    + ", n AS (SELECT *, row_number() OVER (ORDER BY start, entity_id) AS k FROM ev) SELECT 'A-20240201-' || lpad(k::VARCHAR, CAST(greatest(4, length(k::VARCHAR)) AS INT), '0') AS event_id, 'B_efficiency' AS \"group\", entity_id, 'cop_degradation' AS type, 'info' AS severity, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, CAST(n_cells AS VARCHAR) AS n_cells FROM n"
 )
 def event_documents(spark, d):
     z = detect.standardized(hourly(spark, d), ("entity_id",), "value")
     ev = detect.cusum_events(z, ("entity_id",), "slot", "residual", 4.0, HOURLY)
     docs = detect.as_events(ev, "B_efficiency", "M2_chiller", "cop_degradation", "baseline_regression+cusum", F.to_timestamp(F.lit("2024-02-01")), "check condenser", {"n_cells": F.col("n_cells")})
-    return docs.select("event_id", "group", "entity_id", "type", "severity", text("start"), F.col("evidence")["n_cells"].alias("n_cells"))
+    return docs.select("event_id", "group", "entity_id", "type", "severity", text("start"), F.col("evidence")["n_cells"].cast("string").alias("n_cells"))
 
 
 @query(None)
@@ -409,8 +444,15 @@ def baseline_documents(spark, d):
     return docs.select("entity_id", text("ts"), "key", F.col("baseline_layer").alias("layer"), F.col("window.type").alias("window_type"), r4("lower"), r4("expected"), r4("upper"), "context.day_type", "context.tod_slot")
 
 
-@query(None)
+@query(
+    "WITH " + SQL_VIOLATIONS + ", j AS (SELECT g.*, value - expected AS u FROM g JOIN prof USING (entity_id, day_type, tod_slot)), k AS (SELECT *, lag(u) OVER (PARTITION BY entity_id ORDER BY slot) AS l1 FROM j), "
+    "f AS (SELECT entity_id, regr_intercept(u, l1) AS a, regr_slope(u, l1) AS b FROM k WHERE l1 IS NOT NULL GROUP BY 1), r AS (SELECT k.*, u - coalesce(a + b * l1, 0) AS rest FROM k JOIN f USING (entity_id)), "
+    "sp AS (SELECT entity_id, quantile_cont(rest, 0.005) AS lo, quantile_cont(rest, 0.995) AS hi FROM r GROUP BY 1), short AS (SELECT entity_id, slot FROM v UNION SELECT entity_id, slot FROM r JOIN sp USING (entity_id) WHERE rest < lo OR rest > hi), "
+    "z AS (SELECT *, (u - avg(u) OVER (PARTITION BY entity_id)) / stddev_samp(u) OVER (PARTITION BY entity_id) - 0.5 AS s FROM j), cs AS (SELECT *, sum(s) OVER (PARTITION BY entity_id ORDER BY slot) AS p FROM z), "
+    "slow AS (SELECT entity_id, slot FROM (SELECT *, p - least(0, min(p) OVER (PARTITION BY entity_id ORDER BY slot)) AS c FROM cs) WHERE c > 5) "
+    "SELECT entity_id, strftime(slot, '%Y-%m-%d %H:%M:%S') AS slot, layer FROM (SELECT *, 'short' AS layer FROM short UNION ALL SELECT *, 'slow' FROM slow)"
+)
 def two_layers(spark, d):
     """Cells flagged by the layer for short faults and by the one for slow drift."""
     g = hourly(spark, d)
-    return detect.two_layers(g, baseline.profile(g, HOURLY), HOURLY)
+    return detect.two_layers(g, baseline.profile(g, HOURLY), HOURLY).select("entity_id", text("slot"), "layer")

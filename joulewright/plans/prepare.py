@@ -198,11 +198,11 @@ def quality_missing_ratio(spark, d):
 
 
 @query(
-    "WITH v AS (SELECT event_type AS entity_id, ts, event_id, CAST(floor(value / 25) AS BIGINT) AS v FROM events), b AS (SELECT *, CASE WHEN lag(v) OVER w = v THEN 0 ELSE 1 END AS edge FROM v WINDOW w AS (PARTITION BY entity_id ORDER BY ts, event_id)), "
-    "r AS (SELECT *, sum(edge) OVER (PARTITION BY entity_id ORDER BY ts, event_id) AS run FROM b) SELECT entity_id, v, count(*) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start FROM r GROUP BY entity_id, run, v HAVING count(*) >= 3"
+    "WITH v AS (SELECT event_type AS entity_id, ts, event_id, CASE WHEN user_id % 7 <> 0 THEN CAST(floor(value / 25) AS BIGINT) END AS v FROM events), b AS (SELECT *, CASE WHEN lag(v) OVER w IS NOT DISTINCT FROM v THEN 0 ELSE 1 END AS edge FROM v WINDOW w AS (PARTITION BY entity_id ORDER BY ts, event_id)), "
+    "r AS (SELECT *, sum(edge) OVER (PARTITION BY entity_id ORDER BY ts, event_id) AS run FROM b) SELECT entity_id, v, count(*) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start FROM r WHERE v IS NOT NULL GROUP BY entity_id, run, v HAVING count(*) >= 3"
 )
 def quality_stuck(spark, d):
-    s = samples(spark, d).withColumn("v", F.floor(F.col("value") / 25).cast("long"))
+    s = samples(spark, d).withColumn("v", F.when(F.col("user_id") % 7 != 0, F.floor(F.col("value") / 25).cast("long")))
     return quality.stuck(s, 3, ("entity_id",), "ts", "v").select("entity_id", "v", "n", text("start"))
 
 
@@ -264,15 +264,14 @@ def cooling_crosscheck(spark, d):
 def plant_power(spark, d):
     s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     kw = F.when(F.col("s_suppkey") % 40 != 3, F.col("s_acctbal"))
-    whole = F.count(F.lit(1)) == F.count(kw)
-    return s.groupBy(F.col("n_name").alias("plant")).agg(r4(F.when(whole, F.sum(kw)), "plant_kw"))
+    return s.groupBy(F.col("n_name").alias("plant")).agg(r4(X.whole_sum(kw), "plant_kw"))
 
 
 @query("SELECT event_id, round((3 + value / 10 - 1) / ((s / 100) * (s / 100)), 4) AS head, round(value / nullif(user_id % 5, 0), 4) AS kwh_per_m3 FROM (SELECT *, 40 + (user_id % 4) * 20.0 AS s FROM events)")
 def pump_quantities(spark, d):
     speed = 40 + (F.col("user_id") % 4) * 20.0
     head = X.pump_head(3 + F.col("value") / 10, F.lit(1.0), speed)
-    return samples(spark, d).select("event_id", r4(head, "head"), r4(F.try_divide("value", F.col("user_id") % 5), "kwh_per_m3"))
+    return samples(spark, d).select("event_id", r4(head, "head"), r4(X.kwh_per_m3(F.col("value"), F.col("user_id") % 5), "kwh_per_m3"))
 
 
 @query("WITH " + SQL_HOURLY + " SELECT entity_id, CAST(slot AS DATE)::VARCHAR AS date, round(min(value), 4) AS night_min FROM g WHERE hour(slot) >= 1 AND hour(slot) < 4 GROUP BY 1, 2")
@@ -297,6 +296,30 @@ def calendar_features(spark, d):
     return with_calendar(samples(spark, d), "ts", 15).select("event_id", "day_type", "tod_slot", "is_op")
 
 
+@query("SELECT event_type AS entity_id, event_id, CAST(CASE WHEN user_id >= p THEN user_id - p ELSE user_id - p + 100000 END AS DOUBLE) AS occupancy_delta FROM (SELECT *, lag(user_id) OVER (PARTITION BY event_type ORDER BY ts) AS p FROM events)")
+def occupancy_delta_wrapping(spark, d):
+    """The same of a counter that begins again after 100,000."""
+    step = X.step_of(F.col("user_id").cast("double"), ("entity_id",), capacity=F.lit(100_000.0))
+    return samples(spark, d).withColumn("occupancy_delta", step).select("entity_id", "event_id", "occupancy_delta")
+
+
+@query(
+    "WITH f AS (SELECT 1 AS rank, 'platform' AS source, event_type, ts, CASE WHEN user_id % 6 <> 0 THEN value END AS value FROM events WHERE user_id % 2 = 0 UNION ALL SELECT 2, 'Plant system', event_type, ts, value * 2 FROM events WHERE user_id % 3 = 0 "
+    "UNION ALL SELECT 3, 'Air station', event_type, ts, value * 3 FROM events WHERE user_id % 5 = 0 UNION ALL SELECT 4, 'meters', event_type, ts, value * 4 FROM events), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY event_type, ts ORDER BY value IS NULL, rank, value DESC) AS k FROM f) SELECT event_type AS entity_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(value, 4) AS value, source FROM r WHERE k = 1"
+)
+def source_union(spark, d):
+    """Four feeds as one: where several have a sample, the first one's that is not null."""
+    s, u = samples(spark, d), F.col("user_id")
+    feeds = {
+        "platform": s.where(u % 2 == 0).withColumn("value", F.when(u % 6 != 0, F.col("value"))),
+        "Plant system": s.where(u % 3 == 0).withColumn("value", F.col("value") * 2),
+        "Air station": s.where(u % 5 == 0).withColumn("value", F.col("value") * 3),
+        "meters": s.withColumn("value", F.col("value") * 4),
+    }
+    return joins.unite(feeds).select("entity_id", text("ts"), r4("value"), "source")
+
+
 @query("SELECT event_type AS entity_id, event_id, CASE WHEN user_id >= p THEN CAST(user_id - p AS DOUBLE) END AS occupancy_delta FROM (SELECT *, lag(user_id) OVER (PARTITION BY event_type ORDER BY ts) AS p FROM events)")
 def occupancy_delta(spark, d):
     return samples(spark, d).withColumn("occupancy_delta", X.step_of(F.col("user_id").cast("double"), ("entity_id",))).select("entity_id", "event_id", "occupancy_delta")
@@ -364,14 +387,13 @@ def normalised_intensity(spark, d):
 @query("SELECT event_type AS entity_id, round(sum(value), 4) AS kvarh, round(greatest(sum(value) - 0.5 * sum(user_id), 0) * 100, 4) AS penalty FROM events GROUP BY 1")
 def reactive_penalty(spark, d):
     reactive, active = F.sum("value"), F.sum("user_id")
-    return samples(spark, d).groupBy("entity_id").agg(r4(reactive, "kvarh"), r4(F.greatest(reactive - 0.5 * active, F.lit(0.0)) * 100, "penalty"))
+    return samples(spark, d).groupBy("entity_id").agg(r4(reactive, "kvarh"), r4(X.reactive_penalty(reactive, active, 0.5, 100.0), "penalty"))
 
 
 @query(
-    "SELECT event_id, 'A-' || strftime(ts, '%Y%m%d') || '-' || lpad((row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id))::VARCHAR, 4, '0') AS doc_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at, "
-    "'check ' || event_type || ' on ' || strftime(ts, '%Y-%m-%d') AS action FROM events WHERE event_type = 'error'"
+    "SELECT event_id, 'A-' || strftime(ts, '%Y%m%d') || '-' || lpad(k::VARCHAR, CAST(greatest(4, length(k::VARCHAR)) AS INT), '0') AS doc_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at, "
+    "'check ' || event_type || ' on ' || strftime(ts, '%Y-%m-%d') AS action FROM (SELECT *, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'error')"
 )
 def event_ids(spark, d):
-    e = samples(spark, d).where("entity_id = 'error'")
-    n = F.row_number().over(Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id"))
-    return e.select("event_id", X.document_id("A", F.col("ts"), n, 4).alias("doc_id"), F.substring(X.iso(F.col("ts")), 1, 19).alias("at"), X.sentence("check %s on %s", F.col("entity_id"), F.date_format("ts", "yyyy-MM-dd")).alias("action"))
+    e = windows.numbered(samples(spark, d).where("entity_id = 'error'"), F.to_date("ts"), F.date_trunc("hour", "ts"), ("ts", "event_id"))
+    return e.select("event_id", X.document_id("A", F.col("ts"), F.col("number"), 4).alias("doc_id"), F.substring(X.iso(F.col("ts")), 1, 19).alias("at"), X.sentence("check %s on %s", F.col("entity_id"), F.date_format("ts", "yyyy-MM-dd")).alias("action"))

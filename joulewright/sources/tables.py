@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +84,28 @@ def write_documents(df: DataFrame, path: str, by: tuple[str, ...] = ("module", "
     (writer.option("ignoreNullFields", "false") if form == "json" else writer).format(form).save(path)
 
 
+def write_report(sections: dict[str, DataFrame], path: str, period_start: str, form: str = "parquet") -> None:
+    """One table per section under path, in a partition of the period; a period that is written again replaces itself."""
+    for name, df in sections.items():
+        df.write.mode("overwrite").format(form).save(f"{path}/{name}/period={period_start}")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    A session without that setting gets a temporary folder, and only in local mode, where
+    driver and executors are one process.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"file://{tempfile.mkdtemp(prefix='joulewright-')}"
+    spark.conf.set("spark.checkpoint.dir", path)
+    return path
+
+
 def guard_write(key: str) -> None:
     """Raise for any attempt to write a command or a set point back to a device."""
     if not may_write(key):

@@ -26,12 +26,18 @@ class Rule:
     holds: object
 
 
-def dry_run(seconds: int) -> Rule:
-    return Rule("dry_run", "critical", seconds, lambda s: s.get("pump_state") == 1 and (s.get("tank_low") == 1 or s.get("water_flow_lpm") is not None and s["water_flow_lpm"] < 0.1))
+def contact(value: float | None, polarity: str | None) -> bool:
+    """Whether a tank contact reports its level: NO at 1, NC at 0; never until its kind is confirmed."""
+    return value is not None and value == {"NO": 1, "NC": 0}.get(polarity)
 
 
-def overflow() -> Rule:
-    return Rule("overflow", "critical", 0, lambda s: s.get("pump_state") == 1 and s.get("tank_high") == 1)
+def dry_run(seconds: int, polarity: str | None = None) -> Rule:
+    """A running pump without flow, or with the low contact of its tank (of the given polarity)."""
+    return Rule("dry_run", "critical", seconds, lambda s: s.get("pump_state") == 1 and (contact(s.get("tank_low"), polarity) or s.get("water_flow_lpm") is not None and s["water_flow_lpm"] < 0.1))
+
+
+def overflow(polarity: str | None = None) -> Rule:
+    return Rule("overflow", "critical", 0, lambda s: s.get("pump_state") == 1 and contact(s.get("tank_high"), polarity))
 
 
 def stuck_valve(seconds: int) -> Rule:
@@ -50,12 +56,14 @@ class RuleProcessor(StatefulProcessor):
     """Per device: the latest state of each key, and since when each rule's condition holds.
 
     An event is told when it has held for the rule's time (end null), and again when it
-    ends. Rules that wait set an event-time timer, so that they alarm although no further
-    sample of the device comes, as soon as the watermark is past.
+    ends. Rules that wait set a timer, so that they alarm although no further sample of the
+    device comes: by event time, as soon as the watermark is past (repeatable, but silent
+    while no device sends anything), or by processing time, when the rule's time is over by
+    the clock of the cluster (at_once: an idle site alarms too).
     """
 
-    def __init__(self, rules: list[Rule]):
-        self.rules = rules
+    def __init__(self, rules: list[Rule], at_once: bool = False):
+        self.rules, self.at_once = rules, at_once
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -79,7 +87,8 @@ class RuleProcessor(StatefulProcessor):
                         out.append(self.event(key, rule, start, None))
                         told = True
                     elif not told:
-                        self.handle.registerTimer(start + rule.seconds * 1000)
+                        left = start + rule.seconds * 1000 - now
+                        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + left if self.at_once else now + left)
                     self.since.updateValue((rule.name,), (start, told))
                 elif held:
                     if held[1] or now - held[0] > rule.seconds * 1000:
@@ -108,13 +117,15 @@ class RuleProcessor(StatefulProcessor):
         pass
 
 
-def alarms(stream: DataFrame, rules: list[Rule]) -> DataFrame:
-    """EVENTS of a stream of telemetry (entity_id, key, ts, value) that has a watermark on ts.
+def alarms(stream: DataFrame, rules: list[Rule], at_once: bool = False) -> DataFrame:
+    """EVENTS of a stream of telemetry (entity_id, key, ts, value).
 
+    By event time the stream has a watermark on ts. at_once: timers by processing time, for
+    critical rules on live streams; samples that come late alarm later by as much.
     Needs the RocksDB state store; state is checkpointed with the query.
     """
     return stream.select("entity_id", "key", "ts", "value").groupBy("entity_id").transformWithStateInPandas(
-        statefulProcessor=RuleProcessor(rules), outputStructType=EVENTS, outputMode="Update", timeMode="EventTime"
+        statefulProcessor=RuleProcessor(rules, at_once), outputStructType=EVENTS, outputMode="Update", timeMode="ProcessingTime" if at_once else "EventTime"
     )
 
 

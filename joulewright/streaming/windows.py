@@ -44,29 +44,42 @@ def with_dimensions(stream: DataFrame, device: DataFrame, calendar: DataFrame |
 def upsert_events(path: str) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: keeps one row per event, the newest, so that an open event is closed in place.
 
-    The table is rewritten beside the old one, under the batch's number; a batch that runs
-    again gives the same table. Readers take latest_events().
+    The table is partitioned by the day of an event's start and by batch: a batch writes the
+    days that it touches anew, under its number, and deletes what these days had before the
+    batch before; other days stay as they are. A batch that runs again gives the same table.
+    Readers take latest_events().
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        held = latest_events(spark, path, before=number)
         # of one event, an end beats no end, then the later end
-        batch = batch.select("entity_id", "rule", "start", "end")
-        both = batch if held is None else batch.unionByName(held)
-        newest = both.groupBy("entity_id", "rule", "start").agg(F.max("end").alias("end"))
-        newest.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        fresh = batch.select("entity_id", "rule", "start", "end", F.to_date("start").cast("string").alias("day"))
+        days = [r.day for r in fresh.select("day").distinct().collect()]
+        held = latest_events(spark, path, before=number, days=days)
+        both = fresh if held is None else fresh.unionByName(held.withColumn("day", F.to_date("start").cast("string")))
+        newest = both.groupBy("entity_id", "rule", "start", "day").agg(F.max("end").alias("end")).withColumn("batch", F.lit(number))
+        newest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
+        fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        for day, batches in batches_of(spark, path).items():
+            if day in days:
+                for old in sorted(n for n in batches if n < number)[:-1]:
+                    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/day={day}/batch={old}"), True)
 
     return merge
 
 
-def latest_events(spark, path: str, before: int | None = None) -> DataFrame | None:
-    """The event table after the last batch (or the last one before a batch); None if there is none."""
+def batches_of(spark, path: str) -> dict[str, list[int]]:
+    """The batches that the table holds of each day."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(hadoop):
-        return None
-    names = [s.getPath() for s in fs.listStatus(hadoop)]
-    done = [int(p.getName().split("=")[1]) for p in names if p.getName().startswith("batch=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    done = [n for n in done if before is None or n < before]
-    return spark.read.parquet(f"{path}/batch={max(done)}") if done else None
+        return {}
+    inside = lambda p, what: [s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith(what)]
+    return {p.getName().split("=", 1)[1]: [int(b.getName().split("=")[1]) for b in inside(p, "batch=")] for p in inside(hadoop, "day=")}
+
+
+def latest_events(spark, path: str, before: int | None = None, days: list[str] | None = None) -> DataFrame | None:
+    """The events after the last batch (or the last one before a batch), of all days or of some; None if there are none."""
+    held = {d: [n for n in b if before is None or n < before] for d, b in batches_of(spark, path).items() if days is None or d in days}
+    parts = [f"{path}/day={d}/batch={max(b)}" for d, b in held.items() if b]
+    return spark.read.schema("entity_id string, rule string, start timestamp, end timestamp").parquet(*parts) if parts else None

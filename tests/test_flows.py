@@ -72,6 +72,99 @@ def test_chiller_efficiency(spark):
     got = flows.chiller_efficiency(grid, rating, log, F.to_timestamp(F.lit("2024-04-01")), Config(reference_weeks=8)).collect()
     assert [(r.entity_id, r.severity, r.end, r.group) for r in got] == [("CH-2", "info", None, "B_efficiency")]
     assert got[0].evidence["reference_window"] == "2024-01-03..2024-02-27"
+    assert got[0].start.date() == T0.date() + dt.timedelta(days=61) and (got[0].evidence["detected_on"] - got[0].start.date()).days < 7
+    assert 13 < got[0].evidence["deviation_pct"] < 17 and got[0].evidence["load_pct_range"] == [40.0, 70.0] and got[0].estimated_waste_kwh_per_month > 0
+
+
+@pytest.mark.parametrize("loss,begins", [(0.10, 0), (0.10, 60), (0.15, 60), (0.0, 0)])
+def test_a_loss_is_found_within_seven_days_whenever_it_begins(spark, loss, begins):
+    rng, rows = random.Random(5), []
+    for day in range(70 + begins + 12):
+        for h in range(8, 18):
+            load = 40 + 30 * rng.random()
+            ratio = (0.2 + 0.001 * (60 - load)) * (1 + rng.gauss(0, 0.02)) * (1 + (loss if day >= 70 + begins else 0))
+            rows.append(("CH", T0 + dt.timedelta(days=day, hours=h), load, ratio, "reference" if day < 56 else "current"))
+    df = spark.createDataFrame(rows, "entity_id string, slot timestamp, load double, ratio double, part string")
+    got = detect.degradation_events(df, "ratio", ["load"]).collect()
+    if not loss:
+        assert got == []
+        return
+    began = T0.date() + dt.timedelta(days=70 + begins)
+    assert len(got) == 1 and abs((got[0].start - began).days) <= 1 and (got[0].detected_on - began).days < 7
+    assert abs(got[0].deviation_pct - loss * 100) < 2.5
+    falling = df.withColumn("ratio", 1 / F.col("ratio"))
+    assert detect.degradation_events(falling, "ratio", ["load"], sign=-1).count() == 1 and detect.degradation_events(falling, "ratio", ["load"]).count() == 0
+
+
+def test_pump_degradation(spark):
+    rng, rows = random.Random(6), []
+    for day in range(90):
+        for h in range(8, 14):
+            at = T0 + dt.timedelta(days=day, hours=h)
+            for pump, bad in (("P-1", 0.0), ("P-2", 0.2)):
+                loss, speed = (bad if day >= 70 else 0), 60 + 30 * rng.random()
+                flow = 100 + 2 * speed + rng.gauss(0, 2)
+                rise = 3 * (speed / 100) ** 2 * (1 - loss)
+                rows += [(pump, k, at, v) for k, v in (("pump_state", 1.0), ("pump_speed_pct", speed), ("pressure_supply_bar", 1 + rise), ("pressure_return_bar", 1.0), ("water_flow_lpm", flow), ("power_active_kw", 0.3 * flow * 60 / 1000))]
+    grid = spark.createDataFrame(rows, "entity_id string, key string, slot timestamp, value double")
+    log = spark.createDataFrame([(m, T0, "clean") for m in ("P-1", "P-2")], "entity_id string, ts timestamp, kind string")
+    got = flows.pump_degradation(grid, log, F.to_timestamp(F.lit("2024-04-01"))).collect()
+    assert [(r.entity_id, r.type, r.severity) for r in got] == [("P-2", "pump_head_loss", "info")]
+    assert abs((got[0].start.date() - T0.date()).days - 70) <= 1 and '"deviation_pct":-' in got[0].evidence
+
+
+def test_odd_shapes_and_rule_documents(spark):
+    rng, rows = random.Random(9), []
+    for day in range(28):
+        date = T0 + dt.timedelta(days=day)
+        kind = ["workday"] * 5 + ["saturday", "off"]
+        for h in range(24):
+            busy = date.weekday() < 5 and 8 <= h < 18
+            load = 10 + (20 + (15 if h == (18 if day == 9 else 14) else 0) if busy or day == 9 and h == 18 else 0) + rng.random()
+            rows.append(("M", date + dt.timedelta(hours=h), 10 + rng.random() if day == 16 else load, kind[date.weekday()], h))
+    grid = spark.createDataFrame(rows, "entity_id string, slot timestamp, value double, day_type string, tod_slot int")
+    shapes = flows.odd_shapes(grid, [18, 19], 20.0, F.to_timestamp(F.lit("2024-02-01")))
+    told = {r.start.day: set(r.evidence["kinds"]) for r in shapes.collect()}
+    assert "peak_moved" in told[10] and "wrong_day_type" in told[17] and len(told) <= 3
+    alarms = spark.createDataFrame([("p", T0, T0 + dt.timedelta(minutes=5), "dry_run", "critical"), ("v", T0, None, "stuck_valve", "warning")], "entity_id string, start timestamp, end timestamp, rule string, severity string")
+    at = F.to_timestamp(F.lit("2024-02-01"))
+    both = detect.combined([shapes, detect.rule_documents(alarms, "M3_water", at)], at).collect()
+    assert len({r.event_id for r in both}) == len(both) == len(told) + 2
+    assert {(r.type, r.severity, r.evidence) for r in both if r.group == "S_state"} == {("dry_run", "critical", '{"seconds":300}'), ("stuck_valve", "warning", '{"seconds":null}')}
+
+
+def test_water_plan(spark):
+    rows = [("T", T0 + dt.timedelta(hours=i), 2.0 + (3.0 if 6 <= i % 24 < 9 else 0.0), "workday", i % 24) for i in range(24 * 14)]
+    history = spark.createDataFrame(rows, "entity_id string, slot timestamp, value double, day_type string, tod_slot int")
+    tanks = spark.createDataFrame([("T", 8.0, 40.0, 5.0, 20.0)], "entity_id string, pump_m3 double, tank_m3 double, low_m3 double, start_m3 double")
+    price = F.when(F.col("tod_slot").between(9, 11), 3.0).otherwise(1.0)
+    docs, plan = flows.water_plan(history, tanks, price, F.to_timestamp(F.lit("2024-01-15 00:00:00")))
+    assert len(docs.first().points) == 24
+    got = plan.orderBy("slot").collect()
+    assert len(got) == 24 and all(r.on in (0, 1) and 5 <= r.level <= 40 for r in got) and not any(r.on for r in got[9:12])
+
+
+def test_layers_of_the_consumption_flow(spark):
+    rng, rows = random.Random(11), []
+    for i in range(24 * 7 * 6):
+        at = T0 + dt.timedelta(hours=i)
+        heat = 25 + 8 * rng.random()
+        for m in ("M1", "M2", "M3"):
+            load = 20 + 3 * (heat - 25) + rng.gauss(0, 0.3) + (14 if m == "M2" and i == 24 * 40 + 3 else 0)
+            rows.append((m, "power_active_kw", at, load, heat))
+    df = spark.createDataFrame(rows, "entity_id string, key string, ts timestamp, value double, heat double")
+    calendar = spark.createDataFrame([], "site string, date date, day_type string, op_start_min int, op_end_min int")
+    conditions = df.select("entity_id", F.col("ts").alias("slot"), "heat")
+    device = df.select("entity_id").distinct().withColumn("device_model", F.lit("x"))
+    c = Config(fit_weeks=3, refit_weeks=1, min_samples=2, alarm_budget=0.2)
+    run = lambda **k: flows.consumption(df.drop("heat").withColumn("source", F.lit("platform")), registry.registry(spark), calendar, F.to_timestamp(F.lit("2024-03-01")), config=c, **k).events
+    plain, told = run(), run(conditions=conditions, x=["heat"], device=device)
+    found = told.where("entity_id = 'M2' AND start = timestamp'2024-02-10 03:00:00'").collect()
+    assert len(found) == 1 and found[0].evidence["layers"] == ["peers", "profile_band"] and found[0].rule_or_model == "peers+profile_band"
+    assert found[0].estimated_waste_kwh_per_month > 300 and found[0].evidence["peak_score"] > 2
+    days = 42
+    assert max(r["count"] for r in plain.groupBy("entity_id").count().collect()) <= 0.2 * days
+    assert all(r["count"] <= 0.2 * days for r in told.groupBy("entity_id").count().collect())
 
 
 def test_cooling_proposals(spark):

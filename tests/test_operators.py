@@ -186,6 +186,17 @@ def test_quality_checks(spark):
     assert quality.stuck(df.limit(0), 2, order="ts").count() == 0
 
 
+def test_a_gap_breaks_a_run_of_equal_values(spark):
+    def runs(values, only=None):
+        df = hours(spark, values).withColumn("power", F.when(F.hour("slot") == 2, 0.0).otherwise(1.0))
+        return sorted((r.start.hour, r.n, r.value) for r in quality.stuck(df, 2, only=only).collect())
+
+    assert runs([5.0, 5.0, None, 5.0, 5.0]) == [(0, 2, 5.0), (3, 2, 5.0)]
+    assert runs([None, None, 5.0, None, 5.0]) == []
+    assert runs([5.0, 5.0, 5.0, 5.0, 5.0], F.col("power") > 0) == [(0, 2, 5.0), (3, 2, 5.0)]
+    assert runs([5.0, 5.0, 5.0, 5.0, 6.0]) == [(0, 4, 5.0)]
+
+
 def test_budget_calibration_is_the_least_threshold_that_fits(spark):
     rng = random.Random(9)
     scores = [rng.random() for _ in range(24 * 20)]
@@ -231,6 +242,74 @@ def test_best_combination_is_exhaustive(spark):
         assert (got[load].machines, got[load].est_kw) == ((best[2], best[0]) if best else (None, None))
 
 
+def test_a_plant_of_many_machines_has_a_reason_and_stops_no_one(spark):
+    curves = [("big", f"m{i:02}", 100.0, 0.2) for i in range(40)] + [("P", "A", 500.0, 0.2)]
+    demand = [("big", 50.0), ("P", 50.0), ("P", 900.0), ("Q", 1.0)]
+    got = recommend.best_combination(spark.createDataFrame(demand, "plant string, load_kw double"), spark.createDataFrame(curves, "plant string, entity_id string, capacity double, kw_per_kw double")).collect()
+    assert {(r.plant, r.load_kw): (r.machines, r.note) for r in got} == {
+        ("big", 50.0): (None, "40 machines: not enumerated"), ("P", 50.0): (["A"], None), ("P", 900.0): (None, "no combination covers the load"), ("Q", 1.0): (None, "no curves of this plant")
+    }
+
+
+def test_machine_plan_is_the_cheapest_of_all(spark):
+    machines, rng = [("A", 500.0, 0.2), ("B", 700.0, 0.15), ("C", 900.0, 0.18)], random.Random(8)
+    every = [s for k in range(4) for s in itertools.combinations(range(3), k)]
+
+    def cheapest(loads, least_on, start_cost):
+        best = None
+        for path in itertools.product(every, repeat=len(loads)):
+            cost, must, before = 0.0, [0, 0, 0], ()
+            for s, load in zip(path, loads):
+                cap = sum(machines[i][1] for i in s)
+                if cap < load or any(m and i not in s for i, m in enumerate(must)):
+                    break
+                cost += (load * sum(machines[i][1] * machines[i][2] for i in s) / cap if cap else 0) + start_cost * len(set(s) - set(before))
+                must = [0 if i not in s else max(0, must[i] - 1) if i in before else least_on - 1 for i in range(3)]
+                before = s
+            else:
+                best = cost if best is None else min(best, cost)
+        return best
+
+    for least_on, start_cost in ((1, 0.0), (2, 30.0), (3, 0.0), (3, 80.0)):
+        loads = [rng.choice([0.0, 300.0, 600.0, 1300.0, 2000.0]) for _ in range(4)]
+        df = spark.createDataFrame([("P", T0 + dt.timedelta(hours=i), x) for i, x in enumerate(loads)], "plant string, slot timestamp, load_kw double")
+        got = recommend.plan_machines(df, machines, least_on, start_cost).orderBy("slot").collect()
+        starts = sum(len(set(b.machines) - set(a.machines)) for a, b in itertools.pairwise(got)) + len(got[0].machines)
+        assert abs(sum(r.est_kw for r in got) + start_cost * starts - cheapest(loads, least_on, start_cost)) < 1e-6
+    many = recommend.plan_machines(df, [(str(i), 1.0, 0.1) for i in range(30)]).collect()
+    assert len(many) == 4 and {r.machines for r in many} == {None}
+
+
+def test_backtest_is_the_join_by_range(spark):
+    rng = random.Random(12)
+    g = hours(spark, [rng.random() for _ in range(24 * 40)]).withColumns({"day_type": F.lit("workday"), "tod_slot": F.hour("slot")})
+    got = forecast.backtest(g, "2024-01-10", 5, 4, 7)
+    assert not any("Nested" in x or "<" in x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in x)
+    rows = g.collect()
+    for r in got.collect():
+        past = sorted(x.value for x in rows if x.tod_slot == r.tod_slot and r.issued_at - dt.timedelta(days=7) <= x.slot < r.issued_at)
+        assert r.issued_at.date() == r.slot.date() and len(past) == 7 and abs(r.p50 - past[3]) < 1e-12
+    assert got.count() == 4 * 24
+
+
+def test_numbers_of_blocks_are_those_of_one_sort(spark):
+    rng = random.Random(10)
+    rows = [(rng.choice("ab"), T0 + dt.timedelta(hours=rng.randrange(300)), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, at timestamp, i int")
+    got = windows.numbered(df, F.col("k"), F.to_date("at"), ("at", "i")).collect()
+    for k in "ab":
+        assert [r.i for r in sorted((r for r in got if r.k == k), key=lambda r: r.number)] == [i for kk, at, i in sorted((x for x in rows if x[0] == k), key=lambda x: x[1:])]
+        assert sorted(r.number for r in got if r.k == k) == list(range(1, 1 + sum(x[0] == k for x in rows)))
+
+
+def test_feeds_are_united_by_priority(spark):
+    schema = "entity_id string, key string, ts timestamp, value double"
+    a = spark.createDataFrame([("e", "k", T0, None), ("f", "k", T0, 1.0), ("g", "k", T0, None)], schema)
+    b = spark.createDataFrame([("e", "k", T0, 2.0), ("f", "k", T0, 3.0), ("h", "k", T0, 4.0), ("h", "k", T0, 4.0)], schema)
+    got = {(r.entity_id, r.value, r.source) for r in joins.unite({"first": a, "second": b}).collect()}
+    assert got == {("e", 2.0, "second"), ("f", 1.0, "first"), ("g", None, "first"), ("h", 4.0, "second")}
+
+
 def test_pump_schedule_is_optimal_and_safe(spark):
     price = [3.0, 1.0, 1.0, 3.0, 3.0, 2.0, 1.0, 3.0]
     rows = [("t", T0 + dt.timedelta(hours=i), 4.0, p, 10.0, 40.0, 0.0, 12.0) for i, p in enumerate(price)]
@@ -290,6 +369,15 @@ def test_sources_and_sinks(spark, tmp_path):
         tables.write_documents(spark.createDataFrame([("pump_state_cmd", 1)], "key string, v int"), out)
 
 
+def test_report_tables_of_a_period_replace_themselves(spark, tmp_path):
+    path = str(tmp_path / "report")
+    for n in (3, 5):
+        tables.write_report({"totals": spark.range(n), "events": spark.range(1)}, path, "2024-01-01")
+    tables.write_report({"totals": spark.range(2)}, path, "2024-01-08")
+    got = spark.read.parquet(f"{path}/totals")
+    assert {(str(r.period), r["count"]) for r in got.groupBy("period").count().collect()} == {("2024-01-01", 5), ("2024-01-08", 2)}
+
+
 def test_report_caps_and_counts(spark):
     days = spark.createDataFrame([("e", dt.date(2024, 1, 1 + i), float(i % 4)) for i in range(10)], "entity_id string, date date, s double")
     assert [r.rank for r in report.capped_days(days, "s", 3).orderBy("rank").collect()] == [1, 2, 3]

@@ -1,6 +1,7 @@
 """Streams run to their end give what the batch operators give."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ def test_safety_rules_with_timers(rocks, tmp_path):
         [("p", "water_flow_lpm", at(900), 9.0), ("r", "pump_state", at(1500), 0.0)],
     ]
     stream = stream_of(rocks, tmp_path, rows, schema).withWatermark("ts", "10 seconds")
-    got = collect(rocks, rules.alarms(stream, [rules.dry_run(60), rules.overflow()]), tmp_path, "update", "alarms")
+    got = collect(rocks, rules.alarms(stream, [rules.dry_run(60), rules.overflow("NO")]), tmp_path, "update", "alarms")
     told = {(r.entity_id, r.rule, r.start, r.end) for r in got}
     assert ("p", "dry_run", at(30), None) in told and ("p", "dry_run", at(30), at(900)) in told
     assert ("q", "overflow", at(31), None) in told and ("q", "overflow", at(31), at(500)) in told
@@ -56,6 +57,43 @@ def test_safety_rules_with_timers(rocks, tmp_path):
     assert [(r.entity_id, r.start, r.end) for r in rest] == [("p", at(30), at(900))]
 
 
+def test_tank_contacts_are_silent_until_their_kind_is_told():
+    on = {"pump_state": 1.0, "tank_low": 1.0, "tank_high": 1.0, "water_flow_lpm": 9.0}
+    off = on | {"tank_low": 0.0, "tank_high": 0.0}
+    assert [rules.overflow(p).holds(on) for p in (None, "NO", "NC")] == [False, True, False]
+    assert [rules.dry_run(1, p).holds(off) for p in (None, "NO", "NC")] == [False, False, True]
+    assert rules.dry_run(1).holds(on | {"water_flow_lpm": 0.0}) and not rules.overflow("NO").holds({"pump_state": 1.0})
+
+
+def test_an_idle_site_alarms_by_the_clock(rocks, tmp_path):
+    schema = "entity_id string, key string, ts timestamp, value double"
+    stream = stream_of(rocks, tmp_path, [[("p", "pump_state", at(0), 1.0), ("p", "water_flow_lpm", at(0), 0.0)]], schema)
+    q = rules.alarms(stream, [rules.dry_run(2)], at_once=True).writeStream.outputMode("update").format("memory").queryName("idle").option("checkpointLocation", f"{tmp_path}/cp").trigger(processingTime="1 second").start()
+    try:
+        for _ in range(60):
+            time.sleep(0.5)
+            if got := rocks.table("idle").collect():
+                break
+        time.sleep(3)  # no second alarm
+        assert [(r.entity_id, r.rule, r.start, r.end) for r in got] == [("p", "dry_run", at(0), None)] and rocks.table("idle").count() == 1
+    finally:
+        q.stop()
+
+
+def test_upserts_rewrite_only_the_days_they_touch(spark, tmp_path):
+    path, schema = str(tmp_path / "events"), "entity_id string, rule string, start timestamp, end timestamp"
+    merge = windows.upsert_events(path)
+    day = 86400
+    batches = [[("p", "r", at(0), None), ("q", "r", at(day), None)], [("p", "r", at(0), at(50))], [("p", "r", at(0), at(60)), ("s", "r", at(5), None)], [("t", "r", at(3 * day), None)]]
+    for number, rows in enumerate(batches):
+        for _ in range(2):  # a batch that runs again changes nothing
+            merge(spark.createDataFrame(rows, schema), number)
+    assert windows.batches_of(spark, path) == {"2024-01-01": [1, 2], "2024-01-02": [0], "2024-01-04": [3]}
+    got = sorted((r.entity_id, r.start, r.end) for r in windows.latest_events(spark, path).collect())
+    assert got == [("p", at(0), at(60)), ("q", at(day), None), ("s", at(5), None), ("t", at(3 * day), None)]
+    assert {r.entity_id for r in windows.latest_events(spark, path, before=1).collect()} == {"q"}
+
+
 def test_online_chart(rocks, tmp_path):
     rows = [[("e", at(i), 0.1) for i in range(5)], [("e", at(10 + i), 2.0) for i in range(4)]]
     stream = stream_of(rocks, tmp_path, rows, "entity_id string, ts timestamp, residual double")
