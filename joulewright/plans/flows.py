@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from joulewright.config import DEFAULT, Config
 from joulewright.functions import expressions as X
 from joulewright.operators import baseline, detect, evaluate, forecast, normalize, quality, recommend, report, windows
+from joulewright.sources.tables import saved
 
 
 #: Scores (half widths of the band) that a series' alarm threshold is chosen from.
@@ -58,11 +59,11 @@ def consumption(telemetry: DataFrame, registry: DataFrame, calendar: DataFrame,
     layer; a series' threshold is the least of THRESHOLDS that keeps its alarms within the
     budget (the highest, if none does), and flagged cells are merged to events above it.
     """
-    grid = on_grid(telemetry, registry, calendar, config)
+    grid = saved(on_grid(telemetry, registry, calendar, config), "grid")
     cell = ("entity_id", "key", "day_type", "tod_slot")
     prof = baseline.rolling_profile(grid, config, cell)
     judged = grid.withColumn("refit_on", baseline.in_force(F.col("slot"), config))
-    scored = judged.join(prof, [*cell, "refit_on"])
+    scored = saved(judged.join(prof, [*cell, "refit_on"]), "scored")
     half = F.greatest(F.col("upper") - F.col("lower"), F.lit(1e-9)) / 2
     if conditions is not None and x:
         # what weather and people explain moves the expectation; the band is what they leave of it
@@ -85,6 +86,7 @@ def consumption(telemetry: DataFrame, registry: DataFrame, calendar: DataFrame,
         out = out.unionByName(above.withColumn("score", apart).withColumn("model", F.lit("peers")).select(*out.columns))
     series = F.struct("entity_id", "key")
     flagged = out.groupBy(series.alias("entity_id"), "slot").agg(F.max("score").alias("score"), F.sort_array(F.collect_set("model")).alias("models"), F.max(F.greatest(F.col("value") - F.col("expected"), F.lit(0.0))).alias("_above"))
+    flagged = saved(flagged, "flagged")
     days = grid.groupBy(series.alias("entity_id")).agg(F.countDistinct(F.to_date("slot")).alias("n_days"))
     limits = evaluate.calibrate(flagged, THRESHOLDS, days, config).select("entity_id", "threshold")
     told = flagged.join(limits, "entity_id", "left").where(F.col("score") > F.coalesce("threshold", F.lit(max(THRESHOLDS))))
@@ -112,7 +114,7 @@ def chiller_efficiency(grid: DataFrame, rating: DataFrame, maintenance: DataFram
     steady = normalize.settled(wide, "chiller_state", config.settled_minutes)
     loaded = normalize.above_load_floor(steady, rating, "cooling_kw", "rated_cooling_kw", config.load_floor)
     ratio = loaded.withColumn("kw_per_kw_cooling", X.kw_per_kw(F.col("power_active_kw"), F.col("cooling_kw")))
-    parts = baseline.split_by_maintenance(ratio, maintenance, config, "slot")
+    parts = saved(baseline.split_by_maintenance(ratio, maintenance, config, "slot"), "ratios")
     by = ("entity_id", "maintained_at")
     judged = detect.degradation_events(parts, "kw_per_kw_cooling", ["chiller_load_pct"], least_pct=least_pct, by=by, weight="cooling_kw")
     # of each machine, the window it is compared with and the loads since
@@ -144,7 +146,7 @@ def pump_degradation(grid: DataFrame, maintenance: DataFrame, issued: Column, co
     on = normalize.to_wide(grid.where(F.col("key").isin(keys)), keys).where("pump_state = 1")
     head = X.pump_head(F.col("pressure_supply_bar"), F.col("pressure_return_bar"), F.col("pump_speed_pct"))
     rate = X.kwh_per_m3(F.col("power_active_kw"), F.col("water_flow_lpm") * 60 / 1000)
-    parts = baseline.split_by_maintenance(on.withColumn("head", head).withColumn("kwh_per_m3", rate), maintenance, config, "slot")
+    parts = saved(baseline.split_by_maintenance(on.withColumn("head", head).withColumn("kwh_per_m3", rate), maintenance, config, "slot"), "pumps")
     documents = []
     for ratio, x, sign, kind, action in (("head", ["water_flow_lpm"], -1, "pump_head_loss", "Check impeller and seals"), ("kwh_per_m3", ["pump_speed_pct"], 1, "kwh_per_m3_rise", "Check pump efficiency and valves")):
         found = detect.degradation_events(parts, ratio, x, least_pct=least_pct, sign=sign, by=("entity_id", "maintained_at"))
@@ -161,7 +163,7 @@ def odd_shapes(grid: DataFrame, peak_hours: list[int], on_above: float, issued:
     grid: entity_id, slot, value, day_type, tod_slot.
     """
     types = grid.select("entity_id", F.to_date("slot").alias("date"), "day_type").distinct()
-    days = detect.day_features(grid, F.col("value") > on_above).join(types, ["entity_id", "date"])
+    days = saved(detect.day_features(grid, F.col("value") > on_above).join(types, ["entity_id", "date"]), "days")
     kinds = {
         "odd_total": detect.odd_features(days, "total").select("entity_id", "date"),
         "peak_moved": detect.moved_peaks(days, peak_hours).select("entity_id", "date"),
@@ -172,7 +174,7 @@ def odd_shapes(grid: DataFrame, peak_hours: list[int], on_above: float, issued:
         part = found.withColumn("kind", F.lit(kind))
         told = part if told is None else told.unionByName(part)
     odd = told.groupBy("entity_id", "date").agg(F.sort_array(F.collect_set("kind")).alias("kinds")).withColumn("_n", F.size("kinds"))
-    capped = report.capped_days(odd, "_n", config.odd_days_per_month)
+    capped = saved(report.capped_days(odd, "_n", config.odd_days_per_month), "odd")
     events = capped.withColumn("start", F.col("date").cast("timestamp")).withColumn("end", F.date_add("date", 1).cast("timestamp"))
     return detect.as_events(events, "C_shape", module, F.get("kinds", F.lit(0)), "day_shape", issued, "Check the schedule of the day", {"kinds": F.col("kinds"), "date": F.col("date")})
 

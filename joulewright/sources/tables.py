@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,6 +107,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df, written once to the shared folder and read back: what follows neither plans nor computes it again.
+
+    A lost executor costs a reread. The table stays until it is deleted.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def guard_write(key: str) -> None:
     """Raise for any attempt to write a command or a set point back to a device."""
     if not may_write(key):
