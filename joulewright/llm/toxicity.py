@@ -7,8 +7,10 @@ which sentences must have been meant, and those are reported with their places.
 
 The model is fitted on a bounded sample (`sample` labelled documents, the first in order
 of a hash of their ids); the sample is small enough to be broadcast, so no text is
-shuffled. Features are words and stems (the first 3 to 8 letters) that stand in positive
-documents clearly more often than in others, counted over the whole sample on the workers.
+shuffled. Features are words and stems (the first 3 to 8 letters of longer words) that stand
+in positive documents clearly more often than in others, counted over the whole sample on the
+workers. A stem that several words of a text have is a feature of its own beside the stem:
+one such word may be chance where two are none.
 The driver sees at most `features` of them, and for each sampled document those that each
 sentence has.
 """
@@ -34,8 +36,14 @@ STEMS = range(3, 9)
 
 
 def features_of(word: str) -> list[str]:
-    """The word itself, and its stems, marked by a hyphen."""
-    return [word, *(word[:k] + "-" for k in STEMS if k < len(word) + 1)]
+    """The word itself, and its stems, marked by a hyphen; more letters follow a stem, so a whole word is none."""
+    return [word, *(word[:k] + "-" for k in STEMS if k < len(word))]
+
+
+def features_in(words: set[str]) -> set[str]:
+    """The features of a text's words; those that two or more of the words have stand there with a plus sign too."""
+    n = Counter(f for w in words for f in features_of(w))
+    return n.keys() | {f + "+" for f, k in n.items() if k > 1}
 
 
 @dataclass(frozen=True)
@@ -60,8 +68,9 @@ class Finder:
         import ahocorasick
 
         self.known, self.most, self.memo = known, most, {}
+        self.single = {f.removesuffix("+") for f in known}
         self.automaton = ahocorasick.Automaton()
-        for f in known:
+        for f in self.single:
             self.automaton.add_word(f.removesuffix("-"), len(f.removesuffix("-")))
         self.automaton.make_automaton()
 
@@ -70,7 +79,7 @@ class Finder:
         if got is None:
             if len(self.memo) >= self.most:
                 self.memo.clear()
-            got = self.memo[word] = tuple(f for f in features_of(word) if f in self.known)
+            got = self.memo[word] = tuple(f for f in features_of(word) if f in self.single)
         return got
 
     def any_in(self, text: str) -> bool:
@@ -83,8 +92,11 @@ class Finder:
         return at == 0 or not text[at - 1].isalnum() or text[at - 1].isdecimal()
 
     def sentences(self, text: str) -> Iterator[tuple[int, int, set[str]]]:
+        n = Counter(f for w in set(WORD.findall(text.lower())) for f in self.of(w))
+        also = {f: [f + "+"] for f, k in n.items() if k > 1}
         for m in SENTENCE.finditer(text):
-            yield m.start(), m.end(), {f for w in WORD.findall(m[0].lower()) for f in self.of(w)}
+            found = {f for w in WORD.findall(m[0].lower()) for f in self.of(w)}
+            yield m.start(), m.end(), {g for f in found for g in (f, *also.get(f, ())) if g in self.known}
 
 
 def held_out(doc_id: Column) -> Column:
@@ -107,7 +119,7 @@ def counted(sample: DataFrame, among: set[str] | None) -> DataFrame:
         for b in batches:
             for text, y in zip(b["text"], b["toxic"]):
                 if among is not None or y:
-                    f = {f for w in set(WORD.findall(text.lower())) for f in features_of(w)}
+                    f = features_in(set(WORD.findall(text.lower())))
                     found[y].update(f if among is None else f & among)
         names = list(found[0].keys() | found[1].keys())
         for k in range(0, len(names), 50_000):

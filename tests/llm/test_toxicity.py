@@ -77,6 +77,27 @@ def test_scores_are_the_noisy_or_of_the_sentences(spark):
     assert len(got) == 204 and all(abs(g[2] - plain(t[2])) < 1e-9 for g, t in zip(got, texts))
 
 
+def test_stems_that_several_words_of_a_text_have():
+    assert T.features_of("vile") == ["vile", "vil-"] and T.features_of("vil") == ["vil"]
+    assert T.features_in({"vile", "vilest", "vil", "word"}) == {"vile", "vilest", "vil", "word", "vil-", "vil-+", "vile-", "viles-", "wor-"}
+    model = T.Model({"vil-": 1.0, "vil-+": 6.0, "wor-+": 9.0}, -4.0)
+
+    def want(*odds):
+        return 1 - math.prod(1 - sigmoid(z) for z in odds)
+
+    for text, odds in [
+        ("a vile b. c", [-3.0, -4.0]),
+        ("Vile, vile. VILE", [-3.0] * 2),  # one word, repeated
+        ("vil vile. x", [-3.0, -4.0]),  # a stem alone is no word that has it
+        ("vile. villain! x. word", [3.0, 3.0, -4.0, -4.0]),
+        ("word words", [5.0]),  # known by its plural alone
+        ("word vile", [-3.0]),
+    ]:
+        score, bad = T.judged(T.Finder(model.weights), model, text)
+        assert abs(score - want(*odds)) < 1e-9, text
+        assert len(bad.split(",")) == sum(z >= 0 for z in odds) or not bad and max(odds) < 0
+
+
 def test_training_follows_the_gradient_of_the_noisy_or():
     rng, Row = random.Random(7), namedtuple("Row", "toxic plain sentences")
     rows = [Row(rng.randint(0, 1), rng.randint(0, 3), [rng.sample(range(5), rng.randint(1, 3)) for _ in range(rng.randint(0, 4))]) for _ in range(40)]
