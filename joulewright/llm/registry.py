@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from joulewright.llm import chat_views, decontamination, exact_dedup, html_text, near_dedup, packing, pii, piece_codec, spelling_variants, substring_dedup, token_counts, toxicity
+from joulewright.llm import chat_views, conversation_trie, decontamination, exact_dedup, html_text, near_dedup, packing, pii, piece_codec, spelling_variants, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_weak_supervision_pii": pii.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_positional_decontamination": decontamination.query,
     "op9_perspective_rotation": chat_views.query,
     "op10_layout_text": html_text.query,
+    "op11_radix_conversation_trie": conversation_trie.query,
     "op12_piece_backtracking": piece_codec.query,
     "op13_wavelet_spelling_variants": spelling_variants.query,
 }
@@ -20,4 +21,6 @@ ORACLES = {
     "op4_perfect_hash_dedup": exact_dedup.ORACLE,
     "op8_positional_decontamination": decontamination.ORACLE,
     "op9_perspective_rotation": chat_views.ORACLE,
+    "op11_radix_conversation_trie": conversation_trie.ORACLE,
+    "op13_wavelet_spelling_variants": spelling_variants.ORACLE,
 }

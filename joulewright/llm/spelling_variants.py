@@ -291,3 +291,38 @@ def corpus_variants(docs: DataFrame, least_n: int = 3, id_col: str = "doc_id", t
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_variants(read(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH RECURSIVE k AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc),
+r AS (
+  SELECT coalesce(doc_id::VARCHAR, '') || ':' AS id,
+    unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+  FROM documents),
+d AS (SELECT id, run, count(*) AS n FROM r WHERE length(run) >= 5 GROUP BY ALL),
+h AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(id || run, ''),
+      lambda s: CASE WHEN unicode(s) < 128 THEN [unicode(s)::BIGINT] ELSE [195, unicode(s)::BIGINT - 64] END))),
+    lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1]))) AS h
+  FROM d, k),
+l AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM l WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+x AS (
+  SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS less
+  FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+p AS (
+  SELECT a.word, b.word AS near, b.n FROM x AS a JOIN x AS b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+  UNION SELECT x.word, w.word, w.n FROM x JOIN w ON x.less = w.word
+  UNION SELECT w.word, x.word, x.n FROM x JOIN w ON x.less = w.word),
+b AS (SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, near) AS near, max(n) AS near_n FROM p GROUP BY word),
+f AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * w.n THEN near END AS form,
+    CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n
+  FROM w LEFT JOIN b ON w.word = b.word),
+c AS (
+  SELECT word, word AS root, 0 AS steps FROM f
+  UNION ALL SELECT c.word, f.form, steps + 1 FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT f.*, z.root FROM f JOIN (SELECT word, arg_max(root, steps) AS root FROM c GROUP BY word) AS z ON f.word = z.word
+"""

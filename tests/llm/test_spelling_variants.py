@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -124,3 +125,12 @@ def test_the_smallest_table(spark):
     for w, (n, _, form, form_n, _) in got.items():
         best = min(close[w], key=lambda v: (-want[v], v), default=None)
         assert (form, form_n) == ((best, want[best]) if best and want[best] >= 2 * n else (None, None))
+
+
+def test_sql(spark):
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    want = con.sql(S.ORACLE)
+    at = [want.columns.index(c) for c in ("word", "n", "n_near", "form", "form_n", "root")]
+    assert rows(S.query(spark, d)) == {r[at[0]]: tuple(r[i] for i in at[1:]) for r in want.fetchall()}
