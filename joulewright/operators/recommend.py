@@ -5,53 +5,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: More machines than this are not enumerated (2 ** n subsets); their plant gets no combination, and a reason.
+#: Rates are compared as whole parts of this, so equal ones are equal in any engine.
+RATE_PARTS = 1e9
+#: More machines than this are not planned over a horizon with minimum times; their plant gets no plan, and a reason.
 MOST_MACHINES = 12
 
 
-def plant_options(curves: DataFrame, by: str = "plant", most: int = MOST_MACHINES) -> DataFrame:
-    """by, options: of each combination of a plant's machines its capacity, kw per kw, number and names.
+def plant_options(curves: DataFrame, by: str = "plant") -> DataFrame:
+    """by, options: the combinations of a plant's machines (capacity, kw per kw, number, names) that may be the best for some load.
 
-    Built inside the plan by folding the machines of one plant, of which there are few. A
-    plant of more than `most` machines has null options.
+    Machines are folded in order of their kw per kw, the best first. What is still to come
+    is then no better than what there is, so a combination with no less capacity and a lower
+    rate than another stays ahead of it whatever is added to both; and the other is dropped.
+    What is left has rising rates and capacities, and needs no limit on machines.
     """
-    machines = F.sort_array(F.collect_list(F.struct("entity_id", "capacity", "kw_per_kw")))
-    grouped = curves.groupBy(by).agg(machines.alias("_m")).withColumn("_n", F.size("_m"))
-    picks = F.when(F.col("_n") <= most, F.sequence(F.lit(1), F.expr("cast(shiftleft(1, least(_n, 30)) - 1 as int)")))
+    machine = F.struct("kw_per_kw", "entity_id", "capacity")
+    grouped = curves.groupBy(by).agg(F.sort_array(F.collect_list(machine)).alias("_m"))
+    option = "struct<capacity: double, weight: double, rate: bigint, n: int, m: array<string>>"
+    none_yet = F.expr(f"cast(array() AS array<{option}>)")
 
-    def option(pick: Column) -> Column:
-        chosen = F.filter("_m", lambda x, i: pick.bitwiseAND(F.pow(F.lit(2), i).cast("int")) > 0)
-        capacity = F.aggregate(chosen, F.lit(0.0), lambda a, x: a + x["capacity"])
-        weighted = F.aggregate(chosen, F.lit(0.0), lambda a, x: a + x["capacity"] * x["kw_per_kw"])
-        names = F.transform(chosen, lambda x: x["entity_id"])
-        return F.struct(capacity.alias("capacity"), F.try_divide(weighted, capacity).alias("rate"), F.size(chosen).alias("n"), names.alias("m"))
+    def plus(o: Column, m: Column) -> Column:
+        capacity, weight = o["capacity"] + m["capacity"], o["weight"] + m["capacity"] * m["kw_per_kw"]
+        rate = F.round(F.try_divide(weight, capacity) * RATE_PARTS).cast("long")
+        return F.struct(capacity.alias("capacity"), weight.alias("weight"), rate.alias("rate"), (o["n"] + 1).cast("int").alias("n"), F.array_sort(F.concat(o["m"], F.array(m["entity_id"]))).alias("m"))
 
-    return grouped.select(by, F.transform(picks, option).alias("options"))
+    def ahead(a: Column, b: Column) -> Column:
+        """Whether a is chosen before b where both are safe."""
+        rank = lambda o: F.struct(o["rate"].alias("rate"), o["n"].alias("n"), o["m"].alias("m"))
+        return rank(a) < rank(b)
+
+    def frontier(options: Column) -> Column:
+        """Of options, largest first, those that are chosen before all that are as large; smallest first again."""
+        first = F.reverse(F.array_sort(F.transform(options, lambda o: F.struct(o["capacity"].alias("capacity"), (-o["rate"]).alias("rate"), (-o["n"]).alias("n"), o.alias("o")))))
+        return F.aggregate(first, none_yet, lambda acc, x: F.when((F.size(acc) == 0) | ahead(x["o"], F.get(acc, F.size(acc) - 1)), F.concat(acc, F.array(x["o"]))).otherwise(acc))
+
+    empty = F.struct(F.lit(0.0).alias("capacity"), F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("rate"), F.lit(0).alias("n"), F.expr("cast(array() AS array<string>)").alias("m")).cast(option)
+
+    def add(acc: Column, m: Column) -> Column:
+        grown = F.transform(F.concat(F.array(empty), acc), lambda o: plus(o, m).cast(option))
+        return frontier(F.concat(acc, grown))
+
+    return grouped.select(by, F.aggregate("_m", none_yet, add).alias("options"))
 
 
 def best_combination(demand: DataFrame, curves: DataFrame, by: str = "plant", spare: float = 0.0) -> DataFrame:
     """demand (by, slot, load_kw) with machines, est_kw, n_machines, constraints_checked, note of the cheapest safe choice.
 
     Safety first: only combinations whose capacity covers the load with `spare`; then cost
-    (the load shared by capacity, at each machine's own efficiency); then fewer machines.
-    A load that no combination covers has no machines, and note says why; nor has one of a
-    plant without curves, or with more than MOST_MACHINES machines.
+    (the load shared by capacity, at each machine's own constant efficiency; dispatch() has
+    curves); then fewer machines, then names. A load that no combination covers has no
+    machines, and note says why; nor has one of a plant without curves.
 
     The options of a plant are one array, so a row of demand stays one row, and the search
     is an expression on it.
     """
     safe = F.filter("options", lambda o: o["capacity"] >= F.col("load_kw") * (1 + spare))
-    # rounding makes equal costs equal, so that ties fall to fewer machines and then to names
-    costs = F.transform(safe, lambda o: F.struct(F.round(F.col("load_kw") * o["rate"], 6).alias("kw"), o["n"].alias("n"), o["m"].alias("m")))
-    counted = curves.groupBy(by).agg(F.count(F.lit(1)).alias("_of"))
-    told = demand.join(plant_options(curves, by).join(counted, by), by, "left").withColumn("_best", F.array_min(costs))
+    ranked = F.transform(safe, lambda o: F.struct(o["rate"].alias("rate"), o["n"].alias("n"), o["m"].alias("m")))
+    told = demand.join(plant_options(curves, by), by, "left").withColumn("_best", F.array_min(ranked))
     checked = F.array(F.lit("capacity"), F.lit("efficiency"))
-    note = (
-        F.when(F.col("_of").isNull(), "no curves of this plant")
-        .when(F.col("options").isNull(), F.concat(F.col("_of").cast("string"), F.lit(" machines: not enumerated")))
-        .when(F.col("_best").isNull(), "no combination covers the load")
-    )
-    return told.select(*demand.columns, F.col("_best.m").alias("machines"), F.col("_best.kw").alias("est_kw"), F.col("_best.n").alias("n_machines"), checked.alias("constraints_checked"), note.alias("note"))
+    note = F.when(F.col("options").isNull(), "no curves of this plant").when(F.col("_best").isNull(), "no combination covers the load")
+    est = F.round(F.col("load_kw") * F.col("_best.rate") / RATE_PARTS, 6)
+    return told.select(*demand.columns, F.col("_best.m").alias("machines"), est.alias("est_kw"), F.col("_best.n").alias("n_machines"), checked.alias("constraints_checked"), note.alias("note"))
 
 
 def cheapest_option(options: DataFrame, by: tuple[str, ...], safe: Column, comfortable: Column, cost: Column, tie: str) -> DataFrame:
@@ -136,7 +150,7 @@ def documents(proposals: DataFrame, module: str, issued: Column, price: Column)
 
 
 def plan_machines(demand: DataFrame, machines: list[tuple[str, float, float]], least_on: int = 2, start_cost: float = 0.0) -> DataFrame:
-    """plant, slot, machines, est_kw: combinations over a horizon in which a started machine stays on for `least_on` slots.
+    """plant, slot, machines, est_kw, note: combinations over a horizon in which a started machine stays on for `least_on` slots.
 
     demand: plant, slot, load_kw. machines: (name, capacity, kw per kw) of one kind of plant.
     Dynamic programming over subsets and the time each machine has still to stay on; a group
@@ -152,7 +166,7 @@ def plan_machines(demand: DataFrame, machines: list[tuple[str, float, float]], l
 
     if len(machines) > MOST_MACHINES:
         none = F.lit(None)
-        return demand.select("plant", "slot", none.cast("array<string>").alias("machines"), none.cast("double").alias("est_kw"))
+        return demand.select("plant", "slot", none.cast("array<string>").alias("machines"), none.cast("double").alias("est_kw"), F.lit(f"{len(machines)} machines: not planned").alias("note"))
     subsets_ = [s for k in range(len(machines) + 1) for s in itertools.combinations(range(len(machines)), k)]
 
     def freer(a: tuple, b: tuple) -> bool:
@@ -192,10 +206,11 @@ def plan_machines(demand: DataFrame, machines: list[tuple[str, float, float]], l
             while path:
                 path, s, kw = path
                 chosen.append(([machines[i][0] for i in s], kw))
+        note = None if chosen else "no combination covers the loads"
         chosen = chosen[::-1] or [(None, None)] * len(g)
-        return pd.DataFrame({"plant": g["plant"], "slot": g["slot"], "machines": [m for m, _ in chosen], "est_kw": [k for _, k in chosen]})
+        return pd.DataFrame({"plant": g["plant"], "slot": g["slot"], "machines": [m for m, _ in chosen], "est_kw": [k for _, k in chosen], "note": note})
 
-    return demand.select("plant", "slot", "load_kw").groupBy("plant").applyInPandas(plan, "plant string, slot timestamp, machines array<string>, est_kw double")
+    return demand.select("plant", "slot", "load_kw").groupBy("plant").applyInPandas(plan, "plant string, slot timestamp, machines array<string>, est_kw double, note string")
 
 
 def savings(actual: DataFrame, proposed: DataFrame, price: Column, on: list[str], hours: float, assumptions: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from joulewright.operators import detect, evaluate, forecast, recommend, report, rules, windows
+from joulewright.operators import baseline, detect, evaluate, forecast, recommend, report, rules, windows
 from joulewright.plans import flows
 from joulewright.plans.testdata import SQL_DAY_TYPE, SQL_HOURLY, hourly, r4, samples, sql4, table, text, with_calendar
 from joulewright.streaming import windows as streams
@@ -210,23 +211,68 @@ def machines(spark, d):
     return s.select(F.floor(k / 4).alias("plant"), F.col("s_name").alias("entity_id"), (500.0 + (k % 4) * 150).alias("capacity"), (0.15 + (F.col("s_nationkey") % 7) * 0.013).alias("kw_per_kw"))
 
 
+def plant_loads(spark, d, curves, load):
+    """Every plant in every hour: plant, slot, load_kw. load: a column of plant and v, the hour's mean value in whole hundredths."""
+    cents = F.round(F.col("value") * 100).cast("long")
+    hours = samples(spark, d).groupBy(F.date_trunc("hour", "ts").alias("slot")).agg(F.sum(cents).alias("s"), F.count(F.lit(1)).alias("n")).withColumn("v", F.expr("s div n"))
+    # the plants of an hour, from the one number that says how many there are
+    plants = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))
+    return hours.join(F.broadcast(curves.agg(F.max("plant").alias("last")))).withColumn("plant", plants).select("plant", "slot", load.cast("double").alias("load_kw"))
+
+
+SQL_HOURS = "h AS (SELECT date_trunc('hour', ts) AS slot, sum(CAST(round(value * 100) AS BIGINT))::BIGINT // count(*) AS v FROM events GROUP BY 1)"
 SQL_COMBO = (
     "mc AS (SELECT s_suppkey // 4 AS plant, s_name AS e, 500.0 + (s_suppkey % 4) * 150 AS cap, 0.15 + (s_nationkey % 7) * 0.013 AS r, row_number() OVER (PARTITION BY s_suppkey // 4 ORDER BY s_name) - 1 AS i FROM supplier), "
-    "sub AS (SELECT plant, k, list(e ORDER BY e) AS ms, sum(cap) AS cap, sum(cap * r) / sum(cap) AS rate FROM mc, range(1, 16) u(k) WHERE (k >> i) & 1 = 1 GROUP BY plant, k), "
-    "h AS (SELECT date_trunc('hour', ts) AS slot, sum(value) AS v FROM events GROUP BY 1), dm AS (SELECT plant, slot, v * (10 + plant % 20) AS load FROM h, (SELECT DISTINCT plant FROM mc)), "
-    "t AS (SELECT dm.plant, slot, load, ms, round(load * rate, 6) AS kw, row_number() OVER (PARTITION BY dm.plant, slot ORDER BY round(load * rate, 6), len(ms), ms) AS k FROM dm JOIN sub ON dm.plant = sub.plant AND cap >= load)"
-)
+    "sub AS (SELECT plant, k, list(e ORDER BY e) AS ms, sum(cap) AS cap, CAST(round(sum(cap * r) / sum(cap) * 1e9) AS BIGINT) AS rate FROM mc, range(1, 16) u(k) WHERE (k >> i) & 1 = 1 GROUP BY plant, k), "
+    + SQL_HOURS + ", dm AS (SELECT plant, slot, CAST(v * (60 + plant % 20 * 5) / 250 AS DOUBLE) AS load FROM h, (SELECT DISTINCT plant FROM mc)), "
+    "t AS (SELECT dm.plant, slot, load, ms, round(load * rate / 1e9, 6) AS kw, row_number() OVER (PARTITION BY dm.plant, slot ORDER BY rate, len(ms), ms) AS k FROM dm JOIN sub ON dm.plant = sub.plant AND cap >= load)"
+)
 
 
 @query("WITH " + SQL_COMBO + " SELECT dm.plant, strftime(dm.slot, '%Y-%m-%d %H:%M:%S') AS slot, array_to_string(ms, '+') AS machines, round(kw, 4) AS est_kw, CAST(len(ms) AS INT) AS n_machines FROM dm LEFT JOIN t ON dm.plant = t.plant AND dm.slot = t.slot AND t.k = 1")
 def chiller_combo_argmin(spark, d):
-    """Every plant in every hour; what the hour asks of a plant is a share of its own, and may be more than it has."""
+    """Every plant in every hour, at a load that follows the hour's mean value; some are over what a plant has."""
     curves = machines(spark, d)
-    hours = samples(spark, d).groupBy(F.date_trunc("hour", "ts").alias("slot")).agg(F.sum("value").alias("v"))
-    # the plants of an hour, from the one number that says how many there are
-    plants = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))
-    load = hours.join(F.broadcast(curves.agg(F.max("plant").alias("last")))).withColumn("plant", plants).select("plant", "slot", (F.col("v") * (10 + F.col("plant") % 20)).alias("load_kw"))
-    out = recommend.best_combination(load, curves)
+    out = recommend.best_combination(plant_loads(spark, d, curves, F.col("v") * (60 + F.col("plant") % 20 * 5) / 250), curves)
+    return out.select("plant", text("slot"), F.array_join("machines", "+").alias("machines"), r4("est_kw"), "n_machines")
+
+
+def load_points(spark, d):
+    """Part-load curves of all suppliers as chillers: the median price of a line by bins of ten of its quantity, as watts a kW."""
+    s, li = table(spark, d, "supplier"), table(spark, d, "lineitem")
+    each = F.round(F.col("l_extendedprice") / F.col("l_quantity") * 100).cast("long")
+    bins = baseline.efficiency_curve(li.select(F.col("l_suppkey").alias("entity_id"), F.col("l_quantity").alias("load"), each.alias("ratio")), "load", "ratio", 10.0)
+    load = F.least((F.col("load_bin") + 1) * 10, F.lit(50))
+    points = bins.groupBy("entity_id", load.alias("load_kw")).agg(F.max("p50").alias("w"))
+    named = points.join(s.select(F.col("s_suppkey").alias("entity_id"), "s_name"), "entity_id")
+    # watts a kW of load, least at thirty kW of load
+    watts = F.floor((F.floor("w") + F.pow(F.col("load_kw") - 30, F.lit(2)) * 100) / 1000).cast("long") * F.col("load_kw")
+    return named.select(F.floor(F.col("entity_id") / 4).alias("plant"), F.col("s_name").alias("entity_id"), "load_kw", (watts / 1000).alias("power_kw"))
+
+
+@query(
+    "WITH RECURSIVE li AS (SELECT l_suppkey AS k, CAST(floor(l_quantity / 10) AS INT) AS b, CAST(round(l_extendedprice / l_quantity * 100) AS BIGINT) AS ratio FROM lineitem), "
+    "pt AS (SELECT k, least((b + 1) * 10, 50) AS x, max(w) AS w FROM (SELECT k, b, quantile_cont(ratio, 0.5) AS w FROM li GROUP BY 1, 2) GROUP BY 1, 2), "
+    "pw AS (SELECT k // 4 AS plant, s_name AS e, x, CAST(floor((floor(w) + (x - 30) * (x - 30) * 100) / 1000) AS BIGINT) * x AS y FROM pt JOIN supplier ON s_suppkey = k), "
+    "en AS (SELECT plant, e, min(x) AS x0, max(x) AS x1, arg_min(y, x) AS y0, dense_rank() OVER (PARTITION BY plant ORDER BY e) AS i FROM pw GROUP BY plant, e), "
+    "sg AS (SELECT plant, e, x AS xa, y AS ya, lead(x) OVER w AS xb, lead(y) OVER w AS yb FROM pw WINDOW w AS (PARTITION BY plant, e ORDER BY x)), "
+    "c AS (SELECT en.plant, i, en.e, u.x, CAST(floor(CASE WHEN u.x <= x0 THEN y0::DOUBLE ELSE ya + (u.x - xa) * (yb - ya) / (xb - xa) END + 0.500001) AS BIGINT) AS watts "
+    "FROM en JOIN range(1, 51) u(x) ON u.x <= x1 LEFT JOIN sg ON sg.plant = en.plant AND sg.e = en.e AND u.x > x0 AND u.x > xa AND u.x <= xb), "
+    + "b0 AS (SELECT DISTINCT plant, 0 AS l, struct_pack(w := 0::BIGINT, n := 0, m := []::VARCHAR[]) AS best FROM en), "
+    + "".join(
+        f"b{k} AS (SELECT plant, l, min(best) AS best FROM (SELECT plant, l, best FROM b{k - 1} UNION ALL SELECT c.plant, l + c.x, struct_pack(w := best.w + watts, n := best.n + 1, m := list_append(best.m, c.e)) FROM b{k - 1} AS b JOIN c ON c.plant = b.plant AND c.i = {k}) GROUP BY plant, l), "
+        for k in (1, 2, 3, 4)
+    )
+    + SQL_HOURS + ", dm AS (SELECT plant, slot, CAST((v * (20 + plant % 20)) // 1000 AS DOUBLE) AS load_kw FROM h, (SELECT DISTINCT s_suppkey // 4 AS plant FROM supplier)) "
+    "SELECT dm.plant, strftime(slot, '%Y-%m-%d %H:%M:%S') AS slot, array_to_string(best.m, '+') AS machines, round(best.w / 1000.0, 4) AS est_kw, CAST(best.n AS INT) AS n_machines FROM dm LEFT JOIN b4 ON dm.plant = b4.plant AND dm.load_kw = b4.l"
+)
+def chiller_dispatch(spark, d):
+    """Machines and their shares of the load on part-load curves, for every plant in every hour."""
+    from joulewright.operators.dispatch import dispatch
+
+    points = load_points(spark, d)
+    load = F.expr("(v * (20 + plant % 20)) div 1000")
+    out = dispatch(plant_loads(spark, d, machines(spark, d), load), points)
     return out.select("plant", text("slot"), F.array_join("machines", "+").alias("machines"), r4("est_kw"), "n_machines")
 
 
@@ -267,8 +313,10 @@ def savings_backtest(spark, d):
 @query(None)
 def machine_plan(spark, d):
     """Combinations of three machines for all hourly loads, as one horizon: two hours on at least, at the turn of a week too."""
-    load = hourly(spark, d).groupBy("slot").agg(F.least(F.sum("value") * 8, F.lit(2000.0)).alias("load_kw"))
-    return recommend.plan_machines(load.withColumn("plant", F.lit("P")), [("A", 500.0, 0.2), ("B", 700.0, 0.15), ("C", 900.0, 0.18)])
+    sums = hourly(spark, d).groupBy("slot").agg(F.sum("value").alias("v"))
+    # the machines are sized for the largest load: it is 2000 of their 2100 kW
+    load = sums.join(F.broadcast(sums.agg(F.max("v").alias("most")))).select("slot", (F.col("v") / F.col("most") * 2000).alias("load_kw"), F.lit("P").alias("plant"))
+    return recommend.plan_machines(load, [("A", 500.0, 0.2), ("B", 700.0, 0.15), ("C", 900.0, 0.18)])
 
 
 @query("SELECT n_regionkey AS plant, array_to_string(list(s_name ORDER BY s_acctbal, s_name), ',') AS run_order FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
@@ -280,10 +328,11 @@ def balanced_order(spark, d):
 
 @query(None)
 def pump_schedule_dp(spark, d):
-    """Each type's values as the water demand of a tank, planned day by day."""
+    """Each type's values as the water demand of a tank, planned day by day: 6 m3 in an hour of the day's mean value."""
     day = hourly(spark, d).withColumn("day", F.to_date("slot"))
+    day = day.withColumn("mean", F.avg("value").over(Window.partitionBy("entity_id", "day")))
     price = F.when(F.hour("slot").isin(9, 10, 17, 18, 19), 3.0).when((F.hour("slot") >= 22) | (F.hour("slot") < 4), 1.0).otherwise(2.0)
-    demand = day.select("entity_id", "day", "slot", (F.col("value") / 4).alias("use_m3"), price.alias("price"), F.lit(8.0).alias("pump_m3"), F.lit(60.0).alias("tank_m3"), F.lit(10.0).alias("low_m3"), F.lit(35.0).alias("start_m3"))
+    demand = day.select("entity_id", "day", "slot", (F.col("value") / F.col("mean") * 6).alias("use_m3"), price.alias("price"), F.lit(8.0).alias("pump_m3"), F.lit(60.0).alias("tank_m3"), F.lit(10.0).alias("low_m3"), F.lit(35.0).alias("start_m3"))
     return recommend.schedule_pump(demand, by=("entity_id", "day"))
 
 

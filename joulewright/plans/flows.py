@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from joulewright.config import DEFAULT, Config
 from joulewright.functions import expressions as X
-from joulewright.operators import baseline, detect, evaluate, forecast, normalize, quality, recommend, report, windows
+from joulewright.operators import baseline, detect, dispatch, evaluate, forecast, normalize, quality, recommend, report, windows
 from joulewright.sources.tables import saved
 
 
@@ -197,7 +197,9 @@ def cooling_proposals(history: DataFrame, weather: DataFrame | None, curves: Dat
 
     history: entity_id (a plant), slot, value, day_type, tod_slot, temperature. weather: ts,
     temperature of the horizon; without it each hour takes the history's mean of that hour.
-    curves: plant, entity_id, capacity, kw_per_kw.
+    curves: plant, entity_id, and capacity, kw_per_kw of each machine, or load_kw, power_kw of
+    the points of its part-load curve: machines then share a load as their curves say. A
+    slot in which the proposal needs more than running_kw_per_kw counts against it.
     """
     plants = history.select("entity_id").distinct()
     ahead = forecast.horizon(plants, issued, 24, config.step).withColumn("tod_slot", X.tod_slot(F.col("ts"), config.step)).withColumn("day_type", X.day_type(F.to_date("ts"), F.lit(False)))
@@ -208,14 +210,15 @@ def cooling_proposals(history: DataFrame, weather: DataFrame | None, curves: Dat
         ahead = ahead.join(weather.select("ts", "temperature"), "ts", "left")
     told = forecast.regress(history, ahead, ["temperature"])
     documents = forecast.documents(told, "cooling_kw", 24, config.step)
-    best = recommend.best_combination(told.where("p90 IS NOT NULL").select(F.col("entity_id").alias("plant"), "ts", F.col("p90").alias("load_kw"), "day_type", F.col("p50").alias("likely_kw")), curves)
+    asked = told.where("p90 IS NOT NULL").select(F.col("entity_id").alias("plant"), "ts", F.col("p90").alias("load_kw"), "day_type", F.col("p50").alias("likely_kw"))
+    best = dispatch.dispatch(asked, curves) if "power_kw" in curves.columns else recommend.best_combination(asked, curves)
     from joulewright.operators.joins import with_band
 
     banded = with_band(best.where("machines IS NOT NULL"), tariff, X.minute_of_day(F.col("ts"))).withColumn("band", F.coalesce("band", F.lit("normal")))
     hours = config.step / 60
     names = F.array_join("machines", " + ")
     runs = windows.number_islands(banded.withColumn("_who", names), ("plant",), "ts", F.lag("_who").over(_order("plant")) != F.col("_who"), "run")
-    saved = F.greatest(F.col("likely_kw") * running_kw_per_kw - F.col("likely_kw") * F.try_divide("est_kw", "load_kw"), F.lit(0.0)) * hours
+    saved = F.col("likely_kw") * (running_kw_per_kw - F.try_divide("est_kw", "load_kw")) * hours
     blocks = runs.groupBy("plant", "run", "_who").agg(
         F.min("ts").alias("valid_from"),
         F.timestamp_seconds(F.max(F.unix_timestamp("ts")) + config.step * 60).alias("valid_to"),

@@ -242,13 +242,18 @@ def test_best_combination_is_exhaustive(spark):
         assert (got[load].machines, got[load].est_kw) == ((best[2], best[0]) if best else (None, None))
 
 
-def test_a_plant_of_many_machines_has_a_reason_and_stops_no_one(spark):
-    curves = [("big", f"m{i:02}", 100.0, 0.2) for i in range(40)] + [("P", "A", 500.0, 0.2)]
-    demand = [("big", 50.0), ("P", 50.0), ("P", 900.0), ("Q", 1.0)]
+def test_a_plant_of_many_machines_is_searched_too(spark):
+    curves = [("big", f"m{i:02}", 100.0 + i % 3 * 50, 0.2 + i % 7 / 100) for i in range(40)] + [("P", "A", 500.0, 0.2)]
+    demand = [("big", 50.0), ("big", 4000.0), ("P", 50.0), ("P", 900.0), ("Q", 1.0)]
     got = recommend.best_combination(spark.createDataFrame(demand, "plant string, load_kw double"), spark.createDataFrame(curves, "plant string, entity_id string, capacity double, kw_per_kw double")).collect()
-    assert {(r.plant, r.load_kw): (r.machines, r.note) for r in got} == {
-        ("big", 50.0): (None, "40 machines: not enumerated"), ("P", 50.0): (["A"], None), ("P", 900.0): (None, "no combination covers the load"), ("Q", 1.0): (None, "no curves of this plant")
-    }
+    by = {(r.plant, r.load_kw): (r.machines, r.note) for r in got}
+    assert by["big", 50.0] == (["m00"], None) and by["P", 50.0] == (["A"], None) and by["P", 900.0] == (None, "no combination covers the load") and by["Q", 1.0] == (None, "no curves of this plant")
+    sizes = {m: (c, r) for p, m, c, r in curves if p == "big"}
+    names, note = by["big", 4000.0]
+    assert note is None and sum(sizes[m][0] for m in names) >= 4000
+    # machines of one rate are alike, so the best are the cheapest rates, and no smaller set of the dearest of them does
+    dearest = max(sizes[m][1] for m in names)
+    assert all(m in names for m in sizes if sizes[m][1] < dearest - 1e-9)
 
 
 def test_machine_plan_is_the_cheapest_of_all(spark):
@@ -277,7 +282,7 @@ def test_machine_plan_is_the_cheapest_of_all(spark):
         starts = sum(len(set(b.machines) - set(a.machines)) for a, b in itertools.pairwise(got)) + len(got[0].machines)
         assert abs(sum(r.est_kw for r in got) + start_cost * starts - cheapest(loads, least_on, start_cost)) < 1e-6
     many = recommend.plan_machines(df, [(str(i), 1.0, 0.1) for i in range(30)]).collect()
-    assert len(many) == 4 and {r.machines for r in many} == {None}
+    assert len(many) == 4 and {r.machines for r in many} == {None} and {r.note for r in many} == {"30 machines: not planned"}
 
 
 def test_backtest_is_the_join_by_range(spark):
