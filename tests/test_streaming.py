@@ -132,3 +132,105 @@ def test_static_join_and_upsert(spark, tmp_path):
     typed = windows.with_dimensions(stream_of(spark, tmp_path / "c", rows, schema).withColumnRenamed("start", "ts"), device)
     got = collect(spark, typed.select("entity_id", "device_type"), tmp_path / "c", "append", "typed")
     assert {(r.entity_id, r.device_type) for r in got} == {("p", "pump"), ("q", None)}
+
+
+def test_late_samples_say_nothing_of_the_present(rocks, tmp_path):
+    """Off at 100 s; then "on" of 90 s arrives: no dry run. A first sample of another key counts from what is known."""
+    schema = "entity_id string, key string, ts timestamp, value double"
+    batches = [
+        [("p", "water_flow_lpm", at(0), 0.0), ("p", "pump_state", at(100), 0.0), ("q", "pump_state", at(100), 1.0)],
+        [("p", "pump_state", at(90), 1.0), ("q", "water_flow_lpm", at(95), 0.0)],
+        [("z", "pump_state", at(400), 0.0)],
+        [("z", "pump_state", at(500), 0.0)],
+    ]
+    stream = stream_of(rocks, tmp_path, batches, schema).withWatermark("ts", "60 seconds")
+    got = collect(rocks, rules.alarms(stream, [rules.dry_run(60)]), tmp_path, "update", "late")
+    assert [(r.entity_id, r.start, r.end) for r in got] == [("q", at(100), None)]
+
+
+def test_a_device_whose_clock_is_ahead_alarms(rocks, tmp_path):
+    """By the cluster's clock the rule's time is over; that the device's start lies ahead of it does not matter."""
+    schema = "entity_id string, key string, ts timestamp, value double"
+    ahead = dt.datetime.now() + dt.timedelta(hours=30)
+    stream = stream_of(rocks, tmp_path, [[("p", "pump_state", ahead, 1.0), ("p", "water_flow_lpm", ahead, 0.0)]], schema)
+    q = rules.alarms(stream, [rules.dry_run(2)], at_once=True).writeStream.outputMode("update").format("memory").queryName("ahead").option("checkpointLocation", f"{tmp_path}/cp").trigger(processingTime="1 second").start()
+    try:
+        for _ in range(60):
+            time.sleep(0.5)
+            if got := rocks.table("ahead").collect():
+                break
+        assert [(r.entity_id, r.rule, r.end) for r in got] == [("p", "dry_run", None)]
+    finally:
+        q.stop()
+
+
+def test_a_batch_and_the_stream_after_it_are_the_whole_stream(rocks, tmp_path):
+    import random
+
+    rng, schema = random.Random(3), "entity_id string, key string, ts timestamp, value double"
+    told = [rules.dry_run(60), rules.overflow("NO"), rules.command_ignored(45)]
+    rows = [(rng.choice("pqr"), rng.choice(("pump_state", "pump_state_cmd")), at(20 * i), float(rng.random() < 0.6)) for i in range(120)]
+    rows += [(rng.choice("pqr"), rng.choice(("water_flow_lpm", "tank_high")), at(20 * i + 7), float(rng.random() < 0.4)) for i in range(120)]
+    rows.sort(key=lambda r: r[2])
+    end = [("z", "pump_state", at(9000), 0.0)], [("z", "pump_state", at(9999), 0.0)]
+    parts = lambda x, n: [x[k : k + n] for k in range(0, len(x), n)]
+    whole = stream_of(rocks, tmp_path / "a", [*parts(rows, 30), *end], schema).withWatermark("ts", "1 second")
+    want = {tuple(r) for r in collect(rocks, rules.alarms(whole, told), tmp_path / "a", "update", "whole")}
+    cut = rows[119][2]
+    first = rocks.createDataFrame([r for r in rows if r[2] <= cut], schema)
+    rest = stream_of(rocks, tmp_path / "b", [*parts([r for r in rows if r[2] > cut], 30), *end], schema).withWatermark("ts", "1 second")
+    got = {tuple(r) for r in collect(rocks, rules.alarms(rest, told, initial=rules.states_at_end(first, told)), tmp_path / "b", "update", "rest")}
+    before = {tuple(r) for r in want if (r[4] or r[3]) <= cut}
+    assert len(want) > 20 and got <= want and want - got <= before
+    # all that ends after the cut is told, and what begins after it
+    assert {r for r in want if r[4] and r[4] > cut} <= got and {r for r in want if r[3] > cut} <= got
+
+
+def test_a_gone_device_is_forgotten(rocks, tmp_path):
+    schema = "entity_id string, key string, ts timestamp, value double"
+    batches = [
+        [("p", "pump_state", at(0), 1.0), ("p", "water_flow_lpm", at(0), 0.0)],
+        [("q", "pump_state", at(500), 0.0)],
+        [("q", "pump_state", at(5000), 0.0)],
+        [("q", "pump_state", at(9000), 0.0)],
+        [("p", "water_flow_lpm", at(9500), 0.0), ("q", "pump_state", at(9500), 0.0)],
+        [("q", "pump_state", at(9900), 0.0)],
+        [("q", "pump_state", at(9990), 0.0)],
+    ]
+    stream = stream_of(rocks, tmp_path, batches, schema).withWatermark("ts", "1 second")
+    got = collect(rocks, rules.alarms(stream, [rules.dry_run(60)], keep_ms=3_600_000), tmp_path, "update", "gone")
+    # told, ended with the last sample; the flow of 9500 s alone does not know of the pump any more
+    assert [(r.entity_id, r.start, r.end) for r in got] == [("p", at(0), None), ("p", at(0), at(0))]
+
+
+def test_a_chart_goes_on_from_a_batch(rocks, tmp_path):
+    rows = [[("e", at(i), 1.0) for i in range(3)], [("f", at(5), 1.0)]]
+    stream = stream_of(rocks, tmp_path, rows, "entity_id string, ts timestamp, residual double")
+    initial = rocks.createDataFrame([("e", 3.2), ("g", 9.0)], "entity_id string, cusum double")
+    got = collect(rocks, rules.online_cusum(stream, 0.5, 4.0, initial=initial), tmp_path, "append", "chart_on")
+    assert [(r.entity_id, r.ts, round(r.cusum, 6)) for r in got] == [("e", at(1), 4.2)]
+
+
+def test_a_chart_without_samples_is_forgotten(rocks, tmp_path):
+    schema = "entity_id string, ts timestamp, residual double"
+    stream = stream_of(rocks, tmp_path, [[("e", at(0), 4.0)]], schema)
+    q = rules.online_cusum(stream, 0.5, 4.0, keep_ms=2000).writeStream.outputMode("append").format("memory").queryName("kept").option("checkpointLocation", f"{tmp_path}/cp").trigger(processingTime="1 second").start()
+
+    def send(i, rows):
+        rocks.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+
+    def wait(e):
+        for _ in range(60):
+            time.sleep(0.5)
+            if any(r.entity_id == e for r in rocks.table("kept").collect()):
+                return
+
+    try:
+        send(1, [("a", at(0), 9.0)])
+        wait("a")  # the first file has been read by now
+        time.sleep(4)
+        send(2, [("e", at(9), 1.0), ("b", at(9), 9.0)])
+        wait("b")
+        assert {r.entity_id for r in rocks.table("kept").collect()} == {"a", "b"}
+    finally:
+        q.stop()
