@@ -189,27 +189,35 @@ def in_lists(batches: Iterator[pd.DataFrame], column: str) -> Iterator[np.ndarra
         yield np.concatenate(held)
 
 
+def deal(batches: Iterator[pd.DataFrame], tops: list[Tree], near: int) -> Iterator[pd.DataFrame]:
+    """tree, shard, fp, home: each fingerprint at home in a shard of each tree, and in those that it visits."""
+    for fps in in_lists(batches, "fp"):
+        x = fps.view(np.uint64)
+        for t, tree in enumerate(tops):
+            home = np.full(len(x), -1)
+            for leaf_, at in tree.spread(x, 0):
+                home[at] = leaf_
+            # one frame a tree, however many leaves are reached
+            reached = list(tree.spread(x, near))
+            at = np.concatenate([a for _, a in reached])
+            leaves = np.repeat([k for k, _ in reached], [len(a) for _, a in reached])
+            for k in range(0, len(at), DEALT):
+                part, of = at[k : k + DEALT], leaves[k : k + DEALT]
+                yield pd.DataFrame({"tree": t, "shard": of, "fp": x[part].view(np.int64), "home": home[part] == of})
+
+
 def links(distinct: DataFrame, count: int, radius: int = 4, blocks: int = 3, sample: int = 20_000, most: int = 2_000_000, shard: int = 4096, leaf: int = 512) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) that connect all pairs within the radius.
 
     Shards have about `shard` residents: the driver holds a sample of SAMPLED fingerprints a
-    shard for that, at least `sample` and at most `most` of them (16 MB), which lasts to
+    shard for that, at least `sample` and at most `most` of them (as rows of collect() some 100 bytes each), which lasts to
     10^9 distinct fingerprints; beyond that shards grow with the input.
     """
     size = sample_size(count, shard, sample, most)
     some = np.array([r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(size).collect()], np.int64).view(np.uint64)
     near = radius // blocks
     tops = [Tree(some, m, near, max(float(SAMPLED), shard * len(some) / max(1, count))) for m in masks(blocks)]
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for fps in in_lists(batches, "fp"):
-            x = fps.view(np.uint64)
-            for t, tree in enumerate(tops):
-                home = np.full(len(x), -1)
-                for leaf_, at in tree.spread(x, 0):
-                    home[at] = leaf_
-                for leaf_, at in tree.spread(x, near):
-                    yield pd.DataFrame({"tree": t, "shard": leaf_, "fp": x[at].view(np.int64), "home": home[at] == leaf_})
+    sent = distinct.sparkSession.sparkContext.broadcast(tops)  # once an executor, not once a task
 
     def solve(g: pd.DataFrame) -> pd.DataFrame:
         x, home, mask = g["fp"].to_numpy().view(np.uint64), g["home"].to_numpy(), masks(blocks)[g["tree"].iloc[0]]
@@ -223,7 +231,7 @@ def links(distinct: DataFrame, count: int, radius: int = 4, blocks: int = 3, sam
         pairs = np.concatenate(out).view(np.int64)
         return pd.DataFrame({"a": pairs.min(1), "b": pairs.max(1)}).drop_duplicates()
 
-    dealt = distinct.select("fp").mapInPandas(deal, "tree int, shard int, fp long, home boolean")
+    dealt = distinct.select("fp").mapInPandas(lambda batches: deal(batches, sent.value, near), "tree int, shard int, fp long, home boolean")
     return dealt.groupBy("tree", "shard").applyInPandas(solve, "a long, b long")
 
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -118,3 +119,13 @@ def test_a_hot_fingerprint_is_joined_without_a_shuffle_of_its_rows(spark):
     df = spark.range(6000).selectExpr("id AS doc_id", "IF(id % 3 = 0, NULL, concat('w', id, ' x y z ', id * 7)) AS text")
     got = N.near_duplicates(df).collect()
     assert sum(r.component_id == 0 for r in got if r.doc_id % 3 == 0) == 2000 and len(got) == 6000
+
+
+def test_a_batch_is_dealt_in_a_frame_a_tree():
+    """However many leaves the trees have, a task hands on few frames; each fingerprint is at home once a tree."""
+    fps = np.unique(np.random.default_rng(5).integers(-(2**63), 2**63 - 1, 5000))
+    tops = [N.Tree(fps.view(np.uint64), m, 1, 64) for m in N.masks(3)]
+    frames = list(N.deal(iter([pd.DataFrame({"fp": fps})]), tops, 1))
+    dealt = pd.concat(frames)
+    assert len(frames) <= len(dealt) // N.DEALT + 3 and dealt.groupby("tree")["shard"].nunique().min() > 50
+    assert (dealt[dealt["home"]].groupby(["tree", "fp"]).size() == 1).all() and dealt["home"].sum() == 3 * len(fps)
