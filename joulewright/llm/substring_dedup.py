@@ -273,14 +273,18 @@ def sort_windows(docs: DataFrame, anchors: DataFrame, length: int, base: int, me
                     out.append((w["kg"], w["stretch"], w["least"], w["most"], None if hot else part, bands_of(part, w["least"], w["most"], length, base) if hot else None))
             yield pd.DataFrame(out, columns=["kg", "stretch", "least", "most", "bytes", "bands"])
 
+    # of rows alike in id and text one is read, so that what is fetched is as much as there are stretches
+    again_ = materialize(docs.groupBy(F.col("doc_id").alias("ad"), F.col("th").alias("at")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "alike")
+    alike = F.col("doc_id").eqNullSafe(F.col("ad")) & (F.col("th") == F.col("at"))
+    one_each = docs.join(again_, alike, "left_semi").groupBy("doc_id", "th").agg(F.first("text").alias("text"))
+    once = docs.join(again_, alike, "left_anti").unionByName(one_each.select(docs.columns))
     wanted = asked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("kg", "stretch", "least", "most", "stretches", "pos")).alias("wanted"))
-    with_text = docs.join(wanted.withColumnRenamed("doc_id", "wd").withColumnRenamed("th", "wt"), F.col("doc_id").eqNullSafe(F.col("wd")) & (F.col("th") == F.col("wt")))
+    with_text = once.join(wanted.withColumnRenamed("doc_id", "wd").withColumnRenamed("th", "wt"), F.col("doc_id").eqNullSafe(F.col("wd")) & (F.col("th") == F.col("wt")))
     contexts = materialize(with_text.select("text", "wanted").mapInPandas(fetch, f"kg long, stretch long, least int, most int, bytes binary, bands array<struct<{BANDS}>>"), "contexts")
     release(spark)
 
     def sort(g: pd.DataFrame) -> pd.DataFrame:
-        # a repeated row of documents is fetched as often as it stands there
-        return repeated_windows(g.drop_duplicates(["kg", "stretch"]).reset_index(drop=True), length, base)
+        return repeated_windows(g, length, base)
 
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), asked.count() * 600 // (megabytes << 20))
     cold = contexts.where("bytes IS NOT NULL").drop("bands").withColumn("task", F.pmod(F.xxhash64("kg"), F.lit(tasks)))
@@ -309,7 +313,7 @@ def bands_of(part: bytes, least: int, most: int, length: int, base: int) -> list
 
 def count_windows(hot: DataFrame, length: int) -> DataFrame:
     """What repeated_windows() gives, of any number of stretches of a k-gram, by counting bands and windows natively."""
-    each = hot.dropDuplicates(["kg", "stretch"]).select("kg", "stretch", F.inline("bands"))
+    each = hot.select("kg", "stretch", F.inline("bands"))
     key = ["kg", "band", "low", "high", "full"]
     # bands alike in all are one row, and repeat all their windows if they are several
     distinct = materialize(each.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.first("core").alias("core"), F.first("hashes").alias("hashes")), "bands")

@@ -80,3 +80,25 @@ def test_nulls_repeats_and_empty(spark):
     assert S.drop_repeats(df.limit(0)).count() == 0
     kept = S.drop_repeats(df, with_text=True).where("n_bytes = 1").first()
     assert kept.kept_text == "z"
+
+
+def test_rows_alike_are_fetched_once(spark, monkeypatch):
+    """Thousands of rows alike in id and text, null ids too: what is fetched is no more than there are stretches."""
+    text = "".join(random.Random(9).choice("abcdefgh") for _ in range(300))
+    variant = text[:150] + "X" + text[151:]
+    rows = [(None, text)] * 1500 + [(7, text)] * 1500 + [(8, variant)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    fetched = []
+    real = S.materialize
+
+    def spy(frame, label):
+        out = real(frame, label)
+        if label in ("contexts", "asked"):
+            fetched.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(S, "materialize", spy)
+    got = {(r.doc_id, r.n_removed, r.n_spans) for r in S.drop_repeats(df, length=64, k=16).collect()}
+    want = plain([text, text, variant], 64)
+    assert got == {(None, *want[0][1:3]), (7, *want[0][1:3]), (8, *want[2][1:3])}
+    assert dict(fetched)["contexts"] == dict(fetched)["asked"] > 0
