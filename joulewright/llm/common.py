@@ -79,6 +79,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_parts(parts: Iterator[DataFrame], label: str) -> DataFrame | None:
+    """Several frames of one schema, written one after the other to one table; None of none.
+
+    Reading it back is one scan, however many parts there were.
+    """
+    path = schema = spark = None
+    for number, part in enumerate(parts):
+        if path is None:
+            spark, schema = part.sparkSession, part.schema
+            path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+            for paths in _OPEN.get():
+                paths.append(path)
+        part.write.option("compression", "zstd").parquet(f"{path}/{number}")
+    return path and spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+
+
 def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """An operator whose intermediate tables are deleted when it returns, but for those that its result reads.
 

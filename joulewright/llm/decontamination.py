@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joulewright.llm.common import lower_ascii, materialize, read, rows_in_blocks, text_of, tidy
+from joulewright.llm.common import lower_ascii, materialize, materialize_parts, read, rows_in_blocks, text_of, tidy
 
 #: term null: the directory row, ids with the documents and at with their starts and the end.
 INDEX = "shard long, term string, ids array<long>, at array<int>"
@@ -217,16 +217,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, items
     size = bench.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
     if size.items > items_per_block or size.chars > chars_per_block:
         shards = materialize(shards, "shards")
-    found = None
-    for block in rows_in_blocks(bench, "item_id", items_per_block, "text", chars_per_block):
-        phrases: dict[tuple[str, ...], list[str]] = {}
-        for item, text in block:
-            for w in windows_of(text, window):
-                phrases.setdefault(w, []).append(item)
-        part = phrase_matches(shards, phrases)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = phrase_matches(shards, {})
+
+    def blocks() -> Iterator[DataFrame]:
+        """The matches of each block of items; the first has every document, the others those that they hit."""
+        number = -1
+        for number, block in enumerate(rows_in_blocks(bench, "item_id", items_per_block, "text", chars_per_block)):
+            phrases: dict[tuple[str, ...], list[str]] = {}
+            for item, text in block:
+                for w in windows_of(text, window):
+                    phrases.setdefault(w, []).append(item)
+            part = phrase_matches(shards, phrases)
+            yield part.where(F.size("spans") > 0) if number else part
+        if number < 0:
+            yield phrase_matches(shards, {})
+
+    found = materialize_parts(blocks(), "matches")
 
     def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

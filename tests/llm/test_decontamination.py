@@ -72,3 +72,13 @@ def test_nulls_repeats_and_empty(spark):
     twice = spark.createDataFrame([(None, "short item"), (None, "short item"), (7, "short item"), (7, "short item")], "doc_id long, text string")
     got = D.decontaminate(twice, items).collect()
     assert len(got) == 4 and all(r.contaminated and r.n_items == 2 for r in got)
+
+
+def test_a_benchmark_of_many_blocks_is_a_plan_of_constant_size(spark):
+    docs, items = frames(spark)
+    plans = []
+    for block in (1000, 1):
+        out = D.decontaminate(docs, items, items_per_block=block)
+        assert {r.doc_id: tuple(r)[1:] for r in out.collect()} == plain(DOCS, ITEMS)
+        plans.append(out._jdf.queryExecution().optimizedPlan().toString().count("\n"))
+    assert plans[0] == plans[1]
