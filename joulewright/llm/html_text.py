@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -61,7 +62,7 @@ IMPLIED = {
 BARRIER = frozenset("table td th caption".split())
 TABLE_OWN = frozenset("table tbody thead tfoot tr td th caption body html".split())
 BETWEEN_CELLS = frozenset("table tbody thead tfoot tr".split())
-#: Elements nested deeper are siblings, as in browsers, which have the same limit.
+#: Elements nested deeper are blocks without a layout of their own (no lists, tables or indentation); what hides them counts.
 DEPTH = 512
 #: Of a drawing only the text elements are text, and nothing within these is shown where it stands.
 UNDRAWN = frozenset("defs desc metadata symbol marker pattern clippath mask".split())
@@ -86,6 +87,12 @@ class Node:
         return out
 
 
+class Deep(Node):
+    """An element more than DEPTH deep."""
+
+    __slots__ = ()
+
+
 class Ends:
     """Where the markup that begins at a place of a page ends, in time linear in the page over all its places.
 
@@ -134,6 +141,8 @@ def parse(page: str) -> tuple[Node, list[str]]:
     """The tree of a page, and the texts of its style elements. A < that begins no markup, or none with an end, is text."""
     root = Node("html")
     stack, styles, ends, opened = [root], [], Ends(page), Counter()
+    # elements over DEPTH: they are not searched through, so that a page of any depth takes linear time
+    deep, deep_opened = [], Counter()
 
     def push(node: Node) -> None:
         stack.append(node)
@@ -143,6 +152,25 @@ def parse(page: str) -> tuple[Node, list[str]]:
         for node in stack[k:]:
             opened[node.tag] -= 1
         del stack[k:]
+        deep.clear()
+        deep_opened.clear()
+
+    def sink(node: Node) -> None:
+        """Opens an element over DEPTH; one like the element it is in is that element."""
+        if not (deep and deep[-1].tag == node.tag and not node.attrs):
+            place(node)
+            deep.append(node)
+        else:
+            deep.append(deep[-1])
+        deep_opened[node.tag] += 1
+
+    def rise(tag: str) -> None:
+        """Closes what is open over DEPTH down to the last element of a tag."""
+        while deep_opened[tag]:
+            last = deep.pop().tag
+            deep_opened[last] -= 1
+            if last == tag:
+                return
 
     def close_to(tags: frozenset, stop: frozenset) -> None:
         if not any(opened[t] for t in tags):
@@ -155,8 +183,8 @@ def parse(page: str) -> tuple[Node, list[str]]:
                 return
 
     def place(node) -> None:
-        top = stack[-1]
-        if top.tag in BETWEEN_CELLS and (isinstance(node, str) or node.tag not in TABLE_OWN and node.tag not in UNSEEN):
+        top = deep[-1] if deep else stack[-1]
+        if not deep and top.tag in BETWEEN_CELLS and (isinstance(node, (str, Deep)) or node.tag not in TABLE_OWN and node.tag not in UNSEEN):
             k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "table"), 0)
             if k:
                 siblings = stack[k - 1].children
@@ -165,7 +193,7 @@ def parse(page: str) -> tuple[Node, list[str]]:
         top.children.append(node)
 
     def text(s: str) -> None:
-        if s and (s.strip() or stack[-1].tag not in BETWEEN_CELLS):
+        if s and (s.strip() or deep or stack[-1].tag not in BETWEEN_CELLS):
             if stack[-1].tag == "head" and s.strip():
                 cut(len(stack) - 1)
             place(html.unescape(s) if "&" in s else s)
@@ -174,7 +202,9 @@ def parse(page: str) -> tuple[Node, list[str]]:
         return next((n.tag in FOREIGN for n in reversed(stack) if n.tag in FOREIGN or n.tag in HTML_WITHIN), False)
 
     def end(tag: str) -> None:
-        if tag == "p" and not opened["p"]:
+        if deep_opened[tag]:
+            rise(tag)
+        elif tag == "p" and not opened["p"]:
             place(Node("p"))
         elif tag == "br":
             place(Node("br"))
@@ -197,16 +227,23 @@ def parse(page: str) -> tuple[Node, list[str]]:
         drawn = drawn or tag in FOREIGN
         while drawn and tag in BREAKOUT and foreign():
             cut(len(stack) - 1)
-        if tag in IMPLIED:
+        if deep:
+            if tag in IMPLIED and deep[-1].tag in IMPLIED[tag][0] or tag in CLOSES_P and deep[-1].tag == "p":
+                rise(deep[-1].tag)
+        elif tag in IMPLIED:
             close_to(*IMPLIED[tag])
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and not deep:
             close_to(frozenset(["p"]), BARRIER | {"button"})
-        if tag in HEADINGS and stack[-1].tag in HEADINGS:
+        if tag in HEADINGS and stack[-1].tag in HEADINGS and not deep:
             cut(len(stack) - 1)
-        if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
+        if not deep and tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             row = Node("tr")
             stack[-1].children.append(row)
             push(row)
+        opens = tag not in RAW and tag not in VOID and not (drawn and attrs.endswith("/") and (tag in FOREIGN or foreign()))
+        if opens and len(stack) >= DEPTH:
+            sink(Deep(tag, attrs))
+            return at
         node = Node(tag, attrs)
         place(node)
         if tag in RAW:
@@ -218,7 +255,7 @@ def parse(page: str) -> tuple[Node, list[str]]:
                 styles.append(inner)
             node.children.append(html.unescape(inner) if tag == "textarea" else inner)
             return close.end() if close else len(page)
-        if tag not in VOID and not (drawn and attrs.endswith("/") and (tag in FOREIGN or foreign())) and len(stack) < DEPTH:
+        if opens:
             push(node)
         return at
 
@@ -365,6 +402,13 @@ class Layout:
             shown, sees = self.seen(child, visible)
             if not shown:
                 continue
+            if isinstance(child, Deep):
+                if child.tag in BLOCK:
+                    self.end_line()
+                self.walk(child, sees, pre)
+                if child.tag in BLOCK:
+                    self.end_line()
+                continue
             tag = child.tag
             if tag == "br":
                 if not self.line:
@@ -478,8 +522,13 @@ def render(page: str | None) -> str:
     root, styles = parse(page.replace("\r\n", "\n").replace("\r", "\n").replace("\0", "�"))
     layout = Layout(hiding(styles))
     shown, visible = layout.seen(root, True) if root.attrs else (True, True)
-    if shown:
-        layout.walk(root, visible)
+    usual = sys.getrecursionlimit()
+    try:  # a call for each level of the tree at most, and its frames are on the heap
+        sys.setrecursionlimit(usual + 4 * page.count("<"))
+        if shown:
+            layout.walk(root, visible)
+    finally:
+        sys.setrecursionlimit(usual)
     layout.end_line()
     return "\n".join(layout.lines).replace("\xa0", " ")
 
@@ -489,7 +538,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
 
     Null ids stay null, repeated rows give repeated results, other columns are not read,
     an empty table gives no rows. Style rules count if they are inline or for one tag,
-    class or id; scripts do not run. Elements nested over `DEPTH` deep are siblings.
+    class or id; scripts do not run. Elements nested over `DEPTH` deep are
+    plain blocks, and hidden if they or what they are in is hidden.
     One narrow pass without a shuffle; pages of any length take time linear in their
     length, broken ones too, and a page is in memory with its tree.
     """

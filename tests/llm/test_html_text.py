@@ -111,3 +111,22 @@ def test_operator_on_nulls(spark):
     df = spark.createDataFrame([(1, None, "t"), (None, "<p>a", "t"), (1, None, "t")], "page_id long, html string, text string")
     assert sorted((r.page_id or 0, r.text) for r in extract_text(df).collect()) == [(0, "a"), (1, ""), (1, "")]
     assert extract_text(df.limit(0)).count() == 0
+
+
+def test_what_hides_deep_elements_hides_them():
+    for deep in (20, 509, 511, 512, 520, 3000):
+        for wrap in ("<div>", "<ul><li>", "<b>", "<table><tr><td>"):
+            for hidden in ("<div hidden>SECRET</div>", '<div style="display:none"><p>SECRET<b>SECRET</b></div>', '<i class="x">SECRET</i>', "<div hidden><div>SECRET</div><span>SECRET</span></div>", "<xyz>SECRET</xyz>"):
+                page = "<style>.x, xyz {display: none}</style>" + wrap * deep + "before " + hidden + " after"
+                got = render(page)
+                assert "SECRET" not in got and "before" in got and "after" in got, (deep, wrap, hidden)
+    assert render("<div>" * 600 + "<div style='visibility:hidden'>a<div style='visibility:visible'>b</div></div>c") == "b\nc"
+
+
+def test_deep_pages_take_linear_time():
+
+    n = 16000
+    for page in ("<div><b>" * n + "x", "<div class=a>" * n + "x" + "</div>" * n, "<ul><li>x" * n, "<p><table><tr><td>x" * n, "<b>x</i>" * n, "<div a><span b>x</div>" * n, "<p>x" * n + "<p><div>" * n):
+        t = time.perf_counter()
+        assert render(page).count("x") == page.count("x")
+        assert time.perf_counter() - t < 5
