@@ -28,6 +28,40 @@ def calibrate(scored: DataFrame, thresholds: list[float], days: DataFrame, confi
     return fit.groupBy("entity_id").agg(F.min("threshold").alias("threshold"), F.min_by("alarms_per_day", "threshold").alias("alarms_per_day"))
 
 
+def events_by_threshold(scored: DataFrame, merge_gap: int, order: str = "slot") -> DataFrame:
+    """entity_id, threshold, n: how many merged events the cells with score > threshold make, at every score where that changes.
+
+    A cell begins an event while the threshold is under its own score, but not under the
+    highest score of the cells up to merge_gap minutes before it (these would be part of the
+    same event). So each cell adds one event between two scores, and the sum of these steps,
+    in order of the score, is the number at every threshold: one window and no candidates.
+    A threshold holds up to the next one; before the first, n is that of the first (null) row.
+    """
+    at = scored.where("score IS NOT NULL").withColumn("_at", F.unix_timestamp(order))
+    near = Window.partitionBy("entity_id").orderBy("_at").rangeBetween(-merge_gap * 60, -1)
+    # cells of one time are one cell
+    cells = at.groupBy("entity_id", "_at").agg(F.max("score").alias("score")).withColumn("_before", F.max("score").over(near))
+    begins = cells.where("_before IS NULL OR _before < score")
+    steps = begins.select("entity_id", F.explode(F.array(F.struct(F.col("_before").alias("threshold"), F.lit(1).alias("d")), F.struct(F.col("score").alias("threshold"), F.lit(-1).alias("d")))).alias("x"))
+    summed = steps.groupBy("entity_id", "x.threshold").agg(F.sum("x.d").alias("d"))
+    return summed.select("entity_id", "threshold", F.sum("d").over(Window.partitionBy("entity_id").orderBy(F.asc_nulls_first("threshold"))).alias("n"))
+
+
+def calibrate_exactly(scored: DataFrame, days: DataFrame, config: Config = DEFAULT, order: str = "slot") -> DataFrame:
+    """entity_id, threshold, alarms_per_day: the least of all scores above which merged events are within the budget.
+
+    scored: entity_id, slot, score. days: entity_id, n_days. Merging makes fewer events of a
+    lower threshold now and then, so the number is looked at for every score. A threshold of
+    null means that all cells may alarm. There is always one: above the highest score there
+    is no event. Events are counted before config.min_duration drops short ones, so with one
+    longer than a cell they are at most as many.
+    """
+    counts = events_by_threshold(scored, config.merge_gap, order).join(days, "entity_id").withColumn("alarms_per_day", F.col("n") / F.col("n_days"))
+    fit = counts.where(F.col("alarms_per_day") <= config.alarm_budget)
+    best = F.min(F.struct(F.col("threshold").isNotNull().alias("_a"), F.col("threshold"), F.col("alarms_per_day"))).alias("_b")
+    return fit.groupBy("entity_id").agg(best).select("entity_id", "_b.threshold", "_b.alarms_per_day")
+
+
 def within_budget(events: DataFrame, days: int, budget: float, score: str = "peak") -> DataFrame:
     """The strongest events of each entity, as many as the budget allows over the days."""
     w = Window.partitionBy("entity_id").orderBy(F.desc(score), "start")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def number_islands(df: DataFrame, by: tuple[str, ...], order: str, begins: Column, name: str = "island") -> DataFrame:
@@ -47,6 +51,37 @@ def cusum(df: DataFrame, by: tuple[str, ...], order: str, residual: Column, slac
     return summed.withColumn(name, F.col("_sum") - F.least(F.lit(0.0), F.min("_sum").over(w))).drop("_sum")
 
 
+def restarting_cusum(df: DataFrame, by: tuple[str, ...], order: str, residual: Column, slack: float, limit: float, name: str = "cusum", alarm: str = "alarm") -> DataFrame:
+    """max(0, S + residual - slack) along each series, begun again from 0 after each row at which it exceeds the limit (alarm).
+
+    Where a chart begins again depends on all alarms before, so the closed form of cusum()
+    does not hold. The rows of a series pass through one task in order (Spark sorts them, and
+    spills), which keeps one number of the series, not its rows; so a series of any length
+    takes constant memory. A null residual adds nothing. The last row of a series is the
+    state that online_cusum() goes on from, if it is no alarm (0 then).
+    """
+    told = df.withColumn("_step", F.coalesce(residual.cast("double") - slack, F.lit(0.0)))
+    columns = df.columns
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType()), T.StructField(alarm, T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, s = None, 0.0
+        for b in batches:
+            keys = list(zip(*[b.column(b.schema.names.index(c)).to_pylist() for c in by]))
+            sums, alarms = [], []
+            for key, step in zip(keys, b.column(b.schema.names.index("_step")).to_pylist()):
+                if key != now:
+                    now, s = key, 0.0
+                s = max(0.0, s + step)
+                sums.append(s)
+                alarms.append(s > limit)
+                if s > limit:
+                    s = 0.0
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.names.index(c)) for c in columns], pa.array(sums, pa.float64()), pa.array(alarms, pa.bool_())], names=[*columns, name, alarm])
+
+    return told.repartition(*by).sortWithinPartitions(*by, order).mapInArrow(run, schema)
+
+
 def edges(df: DataFrame, by: tuple[str, ...], order: str, value: str, name: str = "edge") -> DataFrame:
     """1 where the value differs from the row before, else 0; the first row is no edge."""
     before = F.lag(value).over(Window.partitionBy(*by).orderBy(order))
