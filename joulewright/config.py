@@ -23,6 +23,8 @@ class Config:
     min_duration: int = 60
     merge_gap: int = 60
     cusum_slack: float = 0.5
+    cusum_limit: float = 8.0
+    drift_gap: int = 2880
     load_floor: float = 0.05
     settled_minutes: int = 15
     frequency_band: tuple[float, float] = (49.0, 51.0)

@@ -25,20 +25,25 @@ def refits(first: Column, last: Column, weeks: int) -> Column:
     return F.sequence(F.to_date(F.date_trunc("week", first)), F.to_date(last), F.expr(f"INTERVAL {7 * int(weeks)} DAYS"))
 
 
-def rolling_profile(grid: DataFrame, config: Config = DEFAULT, by: tuple[str, ...] = ("entity_id", "day_type", "tod_slot"), ts: str = "slot") -> DataFrame:
-    """A profile for each refit date, from the `fit_weeks` before it only.
+def to_refits(grid: DataFrame, config: Config = DEFAULT, ts: str = "slot") -> DataFrame:
+    """The rows of grid, each with the refit_on of every refit whose window of `fit_weeks` holds it.
 
-    Rows are copied to the refits they belong to (fit_weeks / refit_weeks of them), instead
-    of being joined by range: no row at or after a refit can be in its fit.
+    Rows are copied (fit_weeks / refit_weeks times) instead of being joined by range: no row
+    at or after a refit can be in its fit.
     """
     day = F.to_date(ts)
     period, start = 7 * config.refit_weeks, F.to_date(F.lit("1970-01-05"))  # a Monday
     # the first refit after the day, and the last one whose window still holds it
     first = F.floor(F.datediff(day, start) / period) + 1
     last = F.floor((F.datediff(day, start) + 7 * config.fit_weeks) / period)
-    spread = grid.where("value IS NOT NULL").where(first <= last).withColumn("refit_no", F.explode(F.sequence(first, last)))
-    fitted = spread.groupBy(*by, "refit_no").agg(*band(config.quantiles), F.count(F.lit(1)).alias("n")).where(F.col("n") >= config.min_samples)
-    return fitted.withColumn("refit_on", F.date_add(start, (F.col("refit_no") * period).cast("int"))).drop("refit_no")
+    spread = grid.where(first <= last).withColumn("refit_no", F.explode(F.sequence(first, last)))
+    return spread.withColumn("refit_on", F.date_add(start, (F.col("refit_no") * period).cast("int"))).drop("refit_no")
+
+
+def rolling_profile(grid: DataFrame, config: Config = DEFAULT, by: tuple[str, ...] = ("entity_id", "day_type", "tod_slot"), ts: str = "slot") -> DataFrame:
+    """A profile for each refit date, from the `fit_weeks` before it only."""
+    spread = to_refits(grid.where("value IS NOT NULL"), config, ts)
+    return spread.groupBy(*by, "refit_on").agg(*band(config.quantiles), F.count(F.lit(1)).alias("n")).where(F.col("n") >= config.min_samples)
 
 
 def in_force(ts: Column, config: Config = DEFAULT) -> Column:

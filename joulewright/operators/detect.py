@@ -185,7 +185,7 @@ def as_events(
     events: DataFrame, group: str, module: str, kind: Column | str, model: Column | str, issued: Column, action: Column | str,
     evidence: dict[str, Column] | None = None, safety: Column | None = None, waste: Column | None = None,
 ) -> DataFrame:
-    """Event documents; an id counts the events of an issue date in order of time.
+    """Event documents; an id counts the events of an issue date in order of time, then of entity, type and key.
 
     evidence: names and columns of its own types; safety: whether an event is critical;
     waste: kWh a month, where it is known.
@@ -194,7 +194,8 @@ def as_events(
 
     name = lambda c: F.lit(c) if isinstance(c, str) else c
     proof = F.struct(*[c.alias(k) for k, c in evidence.items()]) if evidence else F.lit(None).cast("string")
-    counted = numbered(events.withColumn("_issued", issued), F.to_date("_issued"), F.to_date("start"), ("start", "entity_id"), "_number")
+    order = ("start", "entity_id", "_kind", *(["key"] if "key" in events.columns else []))
+    counted = numbered(events.withColumns({"_issued": issued, "_kind": name(kind)}), F.to_date("_issued"), F.to_date("start"), order, "_number")
     return counted.select(
         document_id("A", F.col("_issued"), F.col("_number"), 4).alias("event_id"),
         F.lit(group).alias("group"),

@@ -50,14 +50,14 @@ def events_by_threshold(scored: DataFrame, merge_gap: int, order: str = "slot")
 def calibrate_exactly(scored: DataFrame, days: DataFrame, config: Config = DEFAULT, order: str = "slot") -> DataFrame:
     """entity_id, threshold, alarms_per_day: the least of all scores above which merged events are within the budget.
 
-    scored: entity_id, slot, score. days: entity_id, n_days. Merging makes fewer events of a
-    lower threshold now and then, so the number is looked at for every score. A threshold of
+    scored: entity_id, slot, score. days: entity_id, n_days, and where the budget is another
+    one than config's, allowed (events). Merging makes fewer events of a lower threshold now and then, so the number is looked at for every score. A threshold of
     null means that all cells may alarm. There is always one: above the highest score there
     is no event. Events are counted before config.min_duration drops short ones, so with one
     longer than a cell they are at most as many.
     """
     counts = events_by_threshold(scored, config.merge_gap, order).join(days, "entity_id").withColumn("alarms_per_day", F.col("n") / F.col("n_days"))
-    fit = counts.where(F.col("alarms_per_day") <= config.alarm_budget)
+    fit = counts.where(F.col("n") <= (F.col("allowed") if "allowed" in days.columns else F.col("n_days") * config.alarm_budget + 1e-9))
     best = F.min(F.struct(F.col("threshold").isNotNull().alias("_a"), F.col("threshold"), F.col("alarms_per_day"))).alias("_b")
     return fit.groupBy("entity_id").agg(best).select("entity_id", "_b.threshold", "_b.alarms_per_day")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from joulewright.config import DEFAULT, Config
@@ -14,10 +14,6 @@ from joulewright.operators import baseline, detect, dispatch, evaluate, forecast
 from joulewright.sources.tables import saved
 
 
-#: Scores (half widths of the band) that a series' alarm threshold is chosen from.
-THRESHOLDS = [1.0, 1.25, 1.5, 2.0, 2.5, 3.0, 4.0, 6.0, 8.0, 12.0, 20.0]
-
-
 @dataclass(frozen=True)
 class Consumption:
     """What the flow of amounts gives: the grid with flags, baseline documents, and events."""
@@ -54,10 +50,16 @@ def consumption(telemetry: DataFrame, registry: DataFrame, calendar: DataFrame,
     """Group A: every cell is judged by the profile of the last refit before it, which rolls.
 
     x: columns of grid conditions (weather, people; entity_id, slot and those columns in
-    `conditions`) that explain a part of what the profile leaves. device: entity_id,
-    device_model; with it, cells above their model's peers count too. A cell is flagged by any
-    layer; a series' threshold is the least of THRESHOLDS that keeps its alarms within the
-    budget (the highest, if none does), and flagged cells are merged to events above it.
+    `conditions`) that explain a part of what the profile leaves; each refit fits them anew
+    on the rows before it, so what comes later changes nothing. device: entity_id,
+    device_model; with it, cells above their model's peers count too.
+
+    Slow losses (leaks, a base load that creeps) stay within the band, so a control chart of
+    the deviations, in half widths of the band, runs beside it: it begins again after each
+    alarm, and alarms up to config.drift_gap apart are one event (slow_drift) from the first
+    sample after the chart was last at zero. The strongest of them are told, within the
+    budget; what is left of it is for the fast layers: a series' threshold is the least score
+    that keeps their merged events within it, so that the budget holds whatever the scores.
     """
     grid = saved(on_grid(telemetry, registry, calendar, config), "grid")
     cell = ("entity_id", "key", "day_type", "tod_slot")
@@ -67,15 +69,20 @@ def consumption(telemetry: DataFrame, registry: DataFrame, calendar: DataFrame,
     half = F.greatest(F.col("upper") - F.col("lower"), F.lit(1e-9)) / 2
     if conditions is not None and x:
         # what weather and people explain moves the expectation; the band is what they leave of it
-        rest = scored.join(conditions, ["entity_id", "slot"], "left").withColumn("_rest", F.col("value") - F.col("expected"))
-        fit = baseline.fit_linear(rest, ("entity_id", "key"), "_rest", x).drop("n")
+        fits = ("entity_id", "key", "refit_on")
         told = sum((F.col(f"b_{i}") * F.col(c) for i, c in enumerate(x, 1)), F.col("b_0"))
-        moved = rest.join(fit, ["entity_id", "key"], "left").withColumn("_told", F.coalesce(told, F.lit(0.0))).withColumn("_left", F.col("_rest") - F.col("_told"))
+        past = baseline.to_refits(grid.where("value IS NOT NULL"), config).join(prof, [*cell, "refit_on"]).join(conditions, ["entity_id", "slot"], "left")
+        past = saved(past.select(*fits, *x, (F.col("value") - F.col("expected")).alias("_rest")), "past")
+        fit = saved(baseline.fit_linear(past, fits, "_rest", x).drop("n"), "fit")
         low, _, high = config.quantiles
-        spread = moved.groupBy("entity_id", "key").agg(F.percentile("_left", F.lit(low)).alias("_low"), F.percentile("_left", F.lit(high)).alias("_high"))
+        left = past.join(fit, list(fits)).withColumn("_left", F.col("_rest") - told)
+        spread = left.groupBy(*fits).agg(F.percentile("_left", F.lit(low)).alias("_low"), F.percentile("_left", F.lit(high)).alias("_high"))
+        moved = scored.join(conditions, ["entity_id", "slot"], "left").join(fit, list(fits), "left").withColumn("_told", F.coalesce(told, F.lit(0.0)))
         middle = F.col("expected") + F.col("_told")
-        band = {"lower": F.when(F.col("_told") != 0, middle + F.col("_low")).otherwise(F.col("lower")), "upper": F.when(F.col("_told") != 0, middle + F.col("_high")).otherwise(F.col("upper")), "expected": middle}
-        scored = moved.join(spread, ["entity_id", "key"]).withColumns(band).drop("_rest", "_told", "_left", "_low", "_high", *x, *[f"b_{i}" for i in range(len(x) + 1)])
+        known = (F.col("_told") != 0) & F.col("_low").isNotNull()
+        band = {"lower": F.when(known, middle + F.col("_low")).otherwise(F.col("lower")), "upper": F.when(known, middle + F.col("_high")).otherwise(F.col("upper")), "expected": F.when(known, middle).otherwise(F.col("expected"))}
+        scored = saved(moved.join(spread, list(fits), "left").withColumns(band).drop("_told", "_low", "_high", *x, *[f"b_{i}" for i in range(len(x) + 1)]), "scored")
+        half = F.greatest(F.col("upper") - F.col("lower"), F.lit(1e-9)) / 2
     score = F.try_divide(F.abs(F.col("value") - F.col("expected")), half)
     out = scored.where((F.col("value") > F.col("upper")) | (F.col("value") < F.col("lower"))).withColumn("score", score).withColumn("model", F.lit("profile_band"))
     if device is not None:
@@ -87,22 +94,57 @@ def consumption(telemetry: DataFrame, registry: DataFrame, calendar: DataFrame,
     series = F.struct("entity_id", "key")
     flagged = out.groupBy(series.alias("entity_id"), "slot").agg(F.max("score").alias("score"), F.sort_array(F.collect_set("model")).alias("models"), F.max(F.greatest(F.col("value") - F.col("expected"), F.lit(0.0))).alias("_above"))
     flagged = saved(flagged, "flagged")
-    days = grid.groupBy(series.alias("entity_id")).agg(F.countDistinct(F.to_date("slot")).alias("n_days"))
-    limits = evaluate.calibrate(flagged, THRESHOLDS, days, config).select("entity_id", "threshold")
-    told = flagged.join(limits, "entity_id", "left").where(F.col("score") > F.coalesce("threshold", F.lit(max(THRESHOLDS))))
+    days = saved(grid.groupBy(series.alias("entity_id")).agg(F.countDistinct(F.to_date("slot")).alias("n_days")), "days")
+    # a cell of few samples has a narrow band by chance, so the chart's unit is the mean half width of the refit
+    usual = F.avg(half).over(Window.partitionBy("entity_id", "key", "refit_on"))
+    apart = scored.withColumn("_dev", (F.col("value") - F.col("expected")) / usual).withColumn("entity_id", series)
+    drifts = saved(slow_drifts(apart, F.col("_dev"), days, config), "drifts")
+    used = drifts.groupBy("entity_id").agg(F.count(F.lit(1)).alias("_used"))
+    left = days.join(used, "entity_id", "left").select("entity_id", "n_days", (F.floor(F.col("n_days") * config.alarm_budget + 1e-9) - F.coalesce("_used", F.lit(0))).alias("allowed"))
+    limits = evaluate.calibrate_exactly(flagged, left, config).select("entity_id", F.coalesce("threshold", F.lit(0.0)).alias("threshold"))
+    told = flagged.join(limits, "entity_id").where(F.col("score") > F.col("threshold"))
     more = {"excess": F.sum("_above") * config.step / 60, "models": F.array_sort(F.array_distinct(F.flatten(F.collect_set("models")))), "threshold": F.first("threshold")}
     events = windows.merge_cells(told, ("entity_id",), "slot", config.step, config.merge_gap, config.min_duration, "score", more)
+    events = events.withColumn("kind", F.lit("out_of_band")).unionByName(drifts.withColumn("kind", F.lit("slow_drift")))
     events = events.withColumn("key", F.col("entity_id.key")).withColumn("entity_id", F.col("entity_id.entity_id"))
     # if it comes back each day (a longer event: goes on) as it was
     length = F.greatest((F.unix_timestamp("end") - F.unix_timestamp("start")) / 86400, F.lit(1.0))
     proof = {"key": F.col("key"), "peak_score": F.round("peak", 3), "n_cells": F.col("n_cells"), "threshold": F.col("threshold"), "layers": F.col("models")}
-    docs = detect.as_events(events, "A_consumption", module, "out_of_band", F.array_join("models", "+"), issued, "Check schedule and load", proof, waste=F.col("excess") / length * 30)
+    action = F.when(F.col("kind") == "slow_drift", "Look for a leak or a base load that creeps").otherwise("Check schedule and load")
+    docs = detect.as_events(events, "A_consumption", module, F.col("kind"), F.array_join("models", "+"), issued, action, proof, waste=F.col("excess") / length * 30)
     # a series is an entity and a key
     told = baseline.documents(scored.withColumn("entity_id", F.struct("entity_id", "key")), "", "history", "rolling", config)
     told = told.withColumn("key", F.col("entity_id.key")).withColumn("entity_id", F.col("entity_id.entity_id"))
     return Consumption(grid, told, docs, quality.valid_ratio(grid))
 
 
+def slow_drifts(scored: DataFrame, deviation: Column, days: DataFrame, config: Config) -> DataFrame:
+    """entity_id, start, end, n_cells, peak, excess, models, threshold: events of the control charts of series, within the budget.
+
+    scored: entity_id, slot, value, expected; deviation in half widths of the band, upwards.
+    days: entity_id, n_days. An event lasts from the row after its chart was last at zero to
+    the last alarm; peak is the mean deviation in it, and excess what it used too much.
+    """
+    rows = scored.select("entity_id", "slot", "value", "expected", deviation.alias("_dev")).where("_dev IS NOT NULL")
+    chart = saved(windows.restarting_cusum(rows, ("entity_id",), "slot", F.col("_dev"), config.cusum_slack, config.cusum_limit), "charts")
+    order = Window.partitionBy("entity_id").orderBy("slot")
+    # since when the chart has been rising: the row after it was zero, or the first of the series
+    first = F.first("slot").over(order)
+    after = F.lead("slot").over(order)
+    risen = chart.withColumn("_after", after).withColumn("_since", F.coalesce(F.last(F.when(F.col("cusum") == 0, F.col("_after")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), first))
+    alarms = risen.where("alarm").select("entity_id", "slot", "_since")
+    merged = windows.merge_cells(alarms, ("entity_id",), "slot", config.step, config.drift_gap, 0, None, {"_since": F.min("_since")})
+    spans = merged.select("entity_id", F.least("_since", "start").alias("start"), "end")
+    # what the rows of an event used, by its place among the events of its series
+    inside = risen.join(spans.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans")), "entity_id")
+    inside = inside.withColumn("_e", F.get(F.filter("_spans", lambda e: (e["start"] <= F.col("slot")) & (F.col("slot") < e["end"])), F.lit(0))).where("_e IS NOT NULL")
+    over = F.col("value") - F.col("expected")
+    events = inside.groupBy("entity_id", F.col("_e.start").alias("start"), F.col("_e.end").alias("end")).agg(F.count(F.lit(1)).alias("n_cells"), F.avg("_dev").alias("peak"), (F.sum(over) * config.step / 60).alias("excess"))
+    rank = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("excess"), "start"))
+    kept = events.join(days, "entity_id").withColumn("_rank", rank).where(F.col("_rank") <= F.floor(F.col("n_days") * config.alarm_budget + 1e-9))
+    return kept.select("entity_id", "start", "end", "n_cells", "peak", "excess", F.array(F.lit("control_chart")).alias("models"), F.lit(config.cusum_limit).alias("threshold"))
+
+
 def chiller_efficiency(grid: DataFrame, rating: DataFrame, maintenance: DataFrame, issued: Column, config: Config = DEFAULT, least_pct: float = 10.0) -> DataFrame:
     """Group B events: efficiency of the rows after the fixed window that follows the last maintenance.
 

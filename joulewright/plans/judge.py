@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from joulewright.config import Config
-from joulewright.operators import baseline, detect, evaluate, joins, windows
+from joulewright.operators import baseline, detect, evaluate, graphs, joins, windows
 from joulewright.plans.testdata import OFF_EDGE, SQL_HOURLY, SQL_LINES, daily_lines, hourly, r4, samples, sql4, table, text
 
 QUERIES, ORACLES = {}, {}
@@ -456,3 +456,81 @@ def two_layers(spark, d):
     """Cells flagged by the layer for short faults and by the one for slow drift."""
     g = hourly(spark, d)
     return detect.two_layers(g, baseline.profile(g, HOURLY), HOURLY).select("entity_id", text("slot"), "layer")
+
+
+# Identity, hierarchies of any depth, charts that begin again, exact thresholds.
+
+
+def platform_devices(spark, d):
+    """Customers and suppliers as the devices of two platforms; nation and balance make their serial numbers, segment and balance their vendors' ids."""
+    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
+
+    def told(df, source, name, nation, kind, balance):
+        return df.select(
+            F.lit(source).alias("source"), F.col(name).alias("entity_id"), F.concat_ws("-", F.col(nation).cast("string"), F.floor(F.col(balance) / 4).cast("string")).alias("serial_number"),
+            F.concat(kind, F.lit(" "), F.floor(F.col(balance)).cast("string")).alias("vendor_device_id"),
+        )
+
+    return told(c, "platform", "c_name", "c_nationkey", F.col("c_mktsegment"), "c_acctbal").unionByName(told(s, "plant", "s_name", "s_nationkey", F.lit("PLANT"), "s_acctbal"))
+
+
+@query(
+    "WITH RECURSIVE v AS (SELECT 'platform' AS source, c_name AS e, c_nationkey || '-' || CAST(floor(c_acctbal / 4) AS BIGINT) AS sn, upper(c_mktsegment) || ' ' || CAST(floor(c_acctbal) AS BIGINT) AS vn FROM customer "
+    "UNION ALL SELECT 'plant', s_name, s_nationkey || '-' || CAST(floor(s_acctbal / 4) AS BIGINT), 'PLANT ' || CAST(floor(s_acctbal) AS BIGINT) FROM supplier), n AS (SELECT *, source || '/' || e AS name FROM v), "
+    "l AS (SELECT a.name AS a, b.name AS b FROM n a JOIN n b ON a.sn = b.sn UNION SELECT a.name, b.name FROM n a JOIN n b ON a.vn = b.vn), c AS (SELECT name AS a, name AS b FROM n UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a), "
+    "u AS (SELECT a AS name, min(b) AS unit FROM c GROUP BY 1), g AS (SELECT unit, count(DISTINCT source) AS n_sources, count(DISTINCT n.name) AS k, count(DISTINCT sn) AS s FROM n JOIN u ON n.name = u.name GROUP BY 1) "
+    "SELECT source, e AS entity_id, u.unit, n_sources, nullif(concat_ws('; ', CASE WHEN k > n_sources THEN k || ' devices in ' || n_sources || ' sources' END, CASE WHEN s > 1 THEN s || ' values of serial_number' END), '') AS conflict FROM n JOIN u ON n.name = u.name JOIN g ON g.unit = u.unit"
+)
+def device_identity(spark, d):
+    """Devices of two platforms that share a number, or are joined by a chain of them, as one unit, and what speaks against it."""
+    return graphs.identify(platform_devices(spark, d))
+
+
+@query(
+    "WITH RECURSIVE e AS (SELECT DISTINCT p_partkey AS child, q AS parent FROM part, (VALUES (3), (5)) f(k), LATERAL (SELECT p_partkey // k AS q) WHERE q >= 1), "
+    "t AS (SELECT child, parent, 1 AS depth FROM e UNION SELECT t.child, e.parent, depth + 1 FROM t JOIN e ON t.parent = e.child) SELECT child, parent, min(depth)::BIGINT AS depth FROM t GROUP BY 1, 2"
+)
+def topology_any_depth(spark, d):
+    """Parts below the third and the fifth of their number, to any depth, by the shortest way."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("child"))
+    edges = p.withColumn("k", F.explode(F.array(F.lit(3), F.lit(5)))).select("child", F.expr("child div k").alias("parent")).where("parent >= 1").distinct()
+    return graphs.closure(edges)
+
+
+def hour_cents(spark, d):
+    """entity_id, slot, v: the mean value of an hour in whole hundredths, the same in any engine."""
+    s = samples(spark, d)
+    cents = F.round(F.col("value") * 100).cast("long")
+    return s.groupBy("entity_id", F.date_trunc("hour", "ts").alias("slot")).agg(F.sum(cents).alias("s"), F.count(F.lit(1)).alias("n")).select("entity_id", "slot", F.expr("s div n").alias("v"))
+
+
+SQL_CENTS = "h AS (SELECT event_type AS entity_id, date_trunc('hour', ts) AS slot, sum(CAST(round(value * 100) AS BIGINT))::BIGINT // count(*) AS v FROM events GROUP BY 1, 2)"
+
+
+@query(
+    "WITH RECURSIVE " + SQL_CENTS + ", m AS (SELECT entity_id, (sum(v) // count(*))::BIGINT AS m FROM h GROUP BY 1), r AS (SELECT entity_id, slot, (v - m) / 1000.0::DOUBLE AS r, row_number() OVER (PARTITION BY entity_id ORDER BY slot) AS i FROM h JOIN m USING (entity_id)), "
+    "t AS (SELECT entity_id, i, slot, greatest(0.0::DOUBLE, 0.0::DOUBLE + (r - 0.25::DOUBLE)) AS s FROM r WHERE i = 1 UNION ALL SELECT r.entity_id, r.i, r.slot, greatest(0.0::DOUBLE, (CASE WHEN t.s > 3 THEN 0.0::DOUBLE ELSE t.s END) + (r.r - 0.25::DOUBLE)) FROM t JOIN r ON r.entity_id = t.entity_id AND r.i = t.i + 1) "
+    "SELECT entity_id, strftime(slot, '%Y-%m-%d %H:%M:%S') AS slot, round(s, 4) AS cusum, s > 3 AS alarm FROM t"
+)
+def cusum_restarting(spark, d):
+    """The control chart of hourly values that begins again after each alarm."""
+    h = hour_cents(spark, d)
+    m = h.groupBy("entity_id").agg(F.expr("sum(v) div count(1)").alias("m"))
+    out = windows.restarting_cusum(h.join(m, "entity_id"), ("entity_id",), "slot", (F.col("v") - F.col("m")) / 1000.0, 0.25, 3.0)
+    return out.select("entity_id", text("slot"), r4("cusum"), "alarm")
+
+
+@query(
+    "WITH " + SQL_CENTS + ", m AS (SELECT entity_id, (sum(v) // count(*))::BIGINT AS m FROM h GROUP BY 1), f AS (SELECT h.* FROM h JOIN m USING (entity_id) WHERE v > m), k AS (SELECT entity_id, NULL::BIGINT AS t FROM f UNION SELECT entity_id, v FROM f), "
+    "c AS (SELECT k.entity_id, t, slot, lag(slot) OVER (PARTITION BY k.entity_id, t ORDER BY slot) AS before FROM k JOIN f ON f.entity_id = k.entity_id AND v > coalesce(t, -1)), "
+    "n AS (SELECT entity_id, t, count(*) FILTER (before IS NULL OR slot - before > INTERVAL 2 HOUR) AS n FROM c GROUP BY 1, 2), y AS (SELECT entity_id, count(DISTINCT CAST(slot AS DATE)) AS days FROM h GROUP BY 1), "
+    "a AS (SELECT k.entity_id, k.t, coalesce(n, 0) AS n, days FROM k JOIN y USING (entity_id) LEFT JOIN n ON n.entity_id = k.entity_id AND n.t IS NOT DISTINCT FROM k.t) "
+    "SELECT entity_id, round(first(t ORDER BY t NULLS FIRST) / 100.0, 4) AS threshold, round(first(n ORDER BY t NULLS FIRST) / any_value(days), 4) AS alarms_per_day FROM a WHERE n <= days * 0.3 GROUP BY 1"
+)
+def alarm_budget_exact(spark, d):
+    """Hours above a device's mean are flagged; the least of their values above which its merged alarms are within the budget."""
+    h = hour_cents(spark, d).withColumn("score", F.col("v") / 100.0)
+    m = h.groupBy("entity_id").agg(F.expr("sum(v) div count(1)").alias("m"))
+    days = h.groupBy("entity_id").agg(F.countDistinct(F.to_date("slot")).alias("n_days"))
+    out = evaluate.calibrate_exactly(h.join(m, "entity_id").where("v > m"), days, Config(alarm_budget=0.3, merge_gap=120))
+    return out.select("entity_id", r4("threshold"), r4("alarms_per_day"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,13 +110,37 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: The lists that saved() enters its tables in, of this thread (or context); see saving().
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("saving", default=())
+
+
+@contextmanager
+def saving() -> Iterator[list[str]]:
+    """The paths of the tables that this thread saves meanwhile, to be deleted with discard() once their results are written."""
+    paths: list[str] = []
+    before = _OPEN.set((*_OPEN.get(), paths))
+    try:
+        yield paths
+    finally:
+        _OPEN.reset(before)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete saved tables; what still reads them cannot be computed any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df, written once to the shared folder and read back: what follows neither plans nor computes it again.
 
-    A lost executor costs a reread. The table stays until it is deleted.
+    A lost executor costs a reread. The table stays until it is deleted, see saving().
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _OPEN.get():
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

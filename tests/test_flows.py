@@ -209,3 +209,54 @@ def test_two_layers(spark):
     g = spark.createDataFrame(rows, "entity_id string, slot timestamp, value double, day_type string, tod_slot int")
     layers = {r.layer: r.n for r in detect.two_layers(g, baseline.profile(g, Config(quantiles=(0.01, 0.5, 0.99)))).groupBy("layer").agg(F.count("slot").alias("n")).collect()}
     assert layers["short"] > 0 and layers["slow"] > 50
+
+
+def meters(spark, days, change, names=("M1", "M2"), seed=5):
+    """Hourly power of some meters: a shape of the day, noise, and what change(name, day, hour) adds."""
+    rng = random.Random(seed)
+    rows = [(m, "platform", "power_active_kw", T0 + dt.timedelta(days=d, hours=h), 100 + 30 * (8 <= h < 18) + rng.gauss(0, 3) + change(m, d, h), T0 + dt.timedelta(days=d, hours=h)) for m in names for d in range(days) for h in range(24)]
+    return spark.createDataFrame(rows, "entity_id string, source string, key string, ts timestamp, value double, ingest_ts timestamp")
+
+
+def run_consumption(spark, telemetry, days, **more):
+    dates = [(T0 + dt.timedelta(days=d)).date() for d in range(days)]
+    kinds = ["saturday" if x.weekday() == 5 else "off" if x.weekday() == 6 else "workday" for x in dates]
+    calendar = spark.createDataFrame([(x, k, 480, 1080) for x, k in zip(dates, kinds)], "date date, day_type string, op_start_min int, op_end_min int")
+    return flows.consumption(telemetry, registry.registry(spark), calendar, F.to_timestamp(F.lit("2024-06-01")), config=Config(fit_weeks=4, refit_weeks=2), **more)
+
+
+def test_a_creeping_load_within_the_band_is_found(spark):
+    """A fifth more than the noise's deviation: no single hour is odd, and the budget holds for both layers together."""
+    loss = lambda m, d, h: 4.0 if m == "M1" and d >= 50 else 0.0
+    events = run_consumption(spark, meters(spark, 63, loss), 63).events.collect()
+    slow = [r for r in events if r.type == "slow_drift"]
+    assert {r.entity_id for r in slow if r.start >= T0 + dt.timedelta(days=49)} == {"M1"}
+    first = min((r for r in slow if r.entity_id == "M1" and r.end > T0 + dt.timedelta(days=50)), key=lambda r: r.start)
+    assert first.rule_or_model == "control_chart" and first.start <= T0 + dt.timedelta(days=52) and first.estimated_waste_kwh_per_month > 300
+    assert all(sum(r.entity_id == m for r in events) <= 0.2 * 63 for m in ("M1", "M2"))
+    assert len({r.event_id for r in events}) == len(events)
+
+
+def test_later_rows_change_no_earlier_document(spark):
+    """The conditions of a refit are fitted on the rows before it."""
+    all_ = meters(spark, 63, lambda m, d, h: (h % 5) * 2.0, names=("M1",))
+    heat = spark.createDataFrame([("M1", T0 + dt.timedelta(days=d, hours=h), float(h % 5 + d % 7 / 10)) for d in range(63) for h in range(24)], "entity_id string, slot timestamp, heat double")
+    wild = all_.withColumn("value", F.when(F.col("ts") >= T0 + dt.timedelta(days=50), F.col("value") * 3).otherwise(F.col("value")))
+    told = []
+    for telemetry in (all_, wild):
+        b = run_consumption(spark, telemetry, 63, conditions=heat, x=["heat"]).baselines
+        told.append(sorted((r.ts, round(r.expected, 6), round(r.lower, 6), round(r.upper, 6)) for r in b.where(F.col("ts") < T0 + dt.timedelta(days=50)).collect()))
+    assert len(told[0]) > 300 and told[0] == told[1]
+
+
+def test_saved_tables_have_an_owner(spark):
+    import os
+
+    from joulewright.sources import tables
+
+    with tables.saving() as paths:
+        df = tables.saved(spark.range(5), "some")
+    at = paths[0].removeprefix("file://")
+    assert len(paths) == 1 and df.count() == 5 and os.path.isdir(at)
+    tables.discard(spark, paths)
+    assert not os.path.exists(at)
