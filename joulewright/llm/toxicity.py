@@ -11,8 +11,8 @@ shuffled. Features are words and stems (the first 3 to 8 letters of longer words
 in positive documents clearly more often than in others, counted over the whole sample on the
 workers. A stem that several words of a text have is a feature of its own beside the stem:
 one such word may be chance where two are none.
-The driver sees at most `features` of them, and for each sampled document those that each
-sentence has.
+How many there are follows from the sample alone. The driver sees them, and for each sampled
+document those that each sentence has.
 """
 
 from __future__ import annotations
@@ -130,16 +130,14 @@ def counted(sample: DataFrame, among: set[str] | None) -> DataFrame:
     return each.groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def choose(sample: DataFrame, n_pos: int, n_neg: int, features: int, z_least: float, lift: float) -> list[str]:
-    """The features that tell most: z of their share of positive documents, at least `lift` times the usual share."""
-    often = F.col("pos") >= max(3, n_pos // 200)
-    first = counted(sample, None).where(often).orderBy(F.desc("pos"), "feature").limit(20 * features)
-    among = {r.feature for r in first.collect()}
+def choose(sample: DataFrame, n_pos: int, n_neg: int, least: int, z_least: float, lift: float) -> list[str]:
+    """All features that tell: in `least` positive documents, z of their share of positive ones, at least `lift` times the usual share."""
+    among = {r.feature for r in counted(sample, None).where(F.col("pos") >= least).collect()}
     share = n_pos / max(1, n_pos + n_neg)
     n = F.col("pos") + F.col("neg")
     z = (F.col("pos") - n * share) / F.sqrt(n * share * (1 - share))
     told = counted(sample, among).where((z >= z_least) & (F.col("pos") >= lift * share * n))
-    return [r.feature for r in told.orderBy(F.desc(z), "feature").limit(features).collect()]
+    return [r.feature for r in told.orderBy(F.desc(z), "feature").collect()]
 
 
 def bags(sample: DataFrame, chosen: list[str]) -> DataFrame:
@@ -172,42 +170,45 @@ class Bags:
         self.x = np.array([f for s in flat for f in s], np.int64)
         self.sentences = len(flat)
 
-    def loss(self, w: np.ndarray) -> tuple[float, np.ndarray]:
-        """The mean negative log-likelihood of the labels under the noisy-or of weights w (the bias last), and its gradient."""
+    def loss(self, w: np.ndarray, positive: float = 1.0) -> tuple[float, np.ndarray]:
+        """The mean negative log-likelihood of the labels under the noisy-or of weights w (the bias last), and its gradient.
+
+        positive: how many times a positive document counts.
+        """
         n = len(w) - 1
         z = w[n] + np.bincount(self.of, w[self.x], self.sentences)
         p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-w[n]))
         log_none = np.bincount(self.bag, -np.logaddexp(0, z), len(self.y)) - self.plain * np.logaddexp(0, w[n])
         log_none = np.minimum(log_none, -1e-12)
-        loss = -np.mean(self.y * np.log(-np.expm1(log_none)) + (1 - self.y) * log_none)
-        pull = self.y / np.expm1(-log_none) - (1 - self.y)  # of the negative log-likelihood, by log_none
+        loss = -np.mean(positive * self.y * np.log(-np.expm1(log_none)) + (1 - self.y) * log_none)
+        pull = positive * self.y / np.expm1(-log_none) - (1 - self.y)  # of the negative log-likelihood, by log_none
         by_z = -pull[self.bag] * p
         return loss, np.append(np.bincount(self.x, by_z[self.of], n), by_z.sum() - (pull * self.plain).sum() * p0) / len(self.y)
 
 
-def train(rows: list, chosen: list[str], rounds: int = 600, rate: float = 0.1, shrink: float = 5e-6, weak: float = 0.5) -> Model:
+def train(rows: list, chosen: list[str], rounds: int = 600, rate: float = 0.1, shrink: float = 5e-6, weak: float = 0.5, positive: float = 2.0) -> Model:
     """Full-batch Adam on the noisy-or likelihood; the document of a sentence is known, its label is not.
 
-    Weights under `weak` say next to nothing and are left out.
+    Positive documents are few, and each of them counts `positive` times. Weights under
+    `weak` say next to nothing and are left out.
     """
     data, n = Bags(rows), len(chosen)
     w = np.zeros(n + 1)
     w[n] = -6.0
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
-        _, g = data.loss(w)
+        _, g = data.loss(w, positive)
         g[:n] += shrink * w[:n]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
     return Model({f: float(w[i]) for i, f in enumerate(chosen) if abs(w[i]) >= weak}, float(w[n]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, features: int = 2000, z_least: float = 4.0, lift: float = 2.0) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, least: int = 3, z_least: float = 4.0, lift: float = 2.0) -> Model | None:
     """The model, or None where the sample has no document of one of the labels, or nothing tells them apart.
 
-    The size of the model is bounded by its parameters, whatever the corpus: `sample`
-    labelled documents, and of the 20 times `features` features that stand in most positive
-    ones, the `features` that tell most.
+    The size of the model is bounded by that of the sample of labelled documents, whatever
+    the corpus; of their features all that tell are taken.
     """
     with collected() as tables:
         # copies of one text are one observation, toxic if any label says so
@@ -215,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, features: int
         rows = materialize(once, "labelled")
     n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     model = None
-    if len(n) == 2 and (chosen := choose(rows, n[1], n[0], features, z_least, lift)):
+    if len(n) == 2 and (chosen := choose(rows, n[1], n[0], least, z_least, lift)):
         model = train(sorted(bags(rows, chosen).collect(), key=lambda r: r.doc_id), chosen)
     drop_tables(docs.sparkSession, tables)
     return model
