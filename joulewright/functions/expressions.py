@@ -69,6 +69,11 @@ def document_id(prefix: str, issued: Column, number: Column, width: int) -> Colu
     return F.concat(F.lit(prefix + "-"), F.date_format(issued, "yyyyMMdd"), F.lit("-"), F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), "0"))
 
 
+def iso_at(ts: Column, offset: str) -> Column:
+    """A site's wall time as ISO 8601 with the site's offset, whatever the session's zone."""
+    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(offset))
+
+
 def iso(ts: Column) -> Column:
     """ISO 8601 with the offset of the session's zone."""
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssXXX")

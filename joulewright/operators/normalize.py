@@ -108,6 +108,24 @@ def usable(wide: DataFrame) -> DataFrame:
     return wide.where(good("reachable", 1.0) & good("fault", 0.0) & good("mode", 0.0))
 
 
+def attribute_history(snapshots: DataFrame, attributes: list[str], by: str = "entity_id", seen: str = "seen_at") -> DataFrame:
+    """by, attributes, valid_from, valid_to (null: still so), last_seen of the snapshots of devices' attributes (by, seen, attributes).
+
+    A row is a stretch of snapshots in which nothing changed; null is a value. It is made of
+    all snapshots, in order of when they were taken, so one that arrives late, or twice,
+    gives what it would have given in time, and a run that is repeated changes nothing. Of
+    several at one time the greatest counts. Snapshots of no device or no time are left out.
+    """
+    order = Window.partitionBy(by).orderBy(seen)
+    value = F.struct(*attributes)
+    once = snapshots.where(F.col(by).isNotNull() & F.col(seen).isNotNull()).groupBy(by, seen).agg(F.max(value).alias("_v"))
+    begins = ~F.col("_v").eqNullSafe(F.lag("_v").over(order))
+    marked = once.withColumn("_n", F.sum(F.coalesce(begins, F.lit(True)).cast("int")).over(order))
+    stretches = marked.groupBy(by, "_n").agg(F.first("_v").alias("_v"), F.min(seen).alias("valid_from"), F.max(seen).alias("last_seen"))
+    closed = stretches.withColumn("valid_to", F.lead("valid_from").over(Window.partitionBy(by).orderBy("valid_from")))
+    return closed.select(by, *[F.col("_v")[a].alias(a) for a in attributes], "valid_from", "valid_to", "last_seen")
+
+
 def outside_firmware_steps(df: DataFrame, device: DataFrame, hours: int, ts: str = "ts") -> DataFrame:
     """Without rows within so many hours after the device's firmware changed (device has a row per version)."""
     w = Window.partitionBy("entity_id").orderBy("valid_from")

@@ -419,3 +419,40 @@ def streaming_hourly_cells(spark, d):
     return cells.groupBy("entity_id", "slot").agg(F.max_by("value", "batch").alias("value"), F.max_by("n_samples", "batch").alias("n_samples"))
 
 
+def last_batch(spark, stream, name: str):
+    """The whole result of a stream of files that has been run to its end, as its last batch gives it."""
+    import uuid
+
+    from joulewright.sources.tables import shared_dir
+
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def keep(batch, number):
+        batch.write.mode("overwrite").parquet(f"{path}/table")
+
+    stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/table")
+
+
+def event_stream(spark, d):
+    stream = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return stream.select(F.col("event_type").alias("entity_id"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query(
+    "SELECT event_type AS entity_id, strftime(time_bucket(INTERVAL 5 MINUTE, ts) - k * INTERVAL 5 MINUTE, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS switches FROM events, range(0, 12) u(k) GROUP BY 1, 2"
+)
+def streaming_sliding_hours(spark, d):
+    """Events of a stream as state changes: how many there are in each hour that begins at a multiple of five minutes."""
+    out = streams.switch_counts(event_stream(spark, d))
+    return last_batch(spark, out, "sliding").select("entity_id", text("start"), "switches")
+
+
+@query(
+    "WITH s AS (SELECT event_type AS entity_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)), n AS (SELECT *, sum(b) OVER (PARTITION BY entity_id ORDER BY ts) AS k FROM s) "
+    "SELECT entity_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 10 MINUTE, '%Y-%m-%d %H:%M:%S') AS end, count(*) AS n FROM n GROUP BY entity_id, k"
+)
+def streaming_sessions(spark, d):
+    """Stretches of a stream without a gap of ten minutes."""
+    out = streams.sessions(event_stream(spark, d), "10 minutes")
+    return last_batch(spark, out, "sessions").select("entity_id", text("start"), text("end"), "n")

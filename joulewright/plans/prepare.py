@@ -391,9 +391,21 @@ def reactive_penalty(spark, d):
 
 
 @query(
-    "SELECT event_id, 'A-' || strftime(ts, '%Y%m%d') || '-' || lpad(k::VARCHAR, CAST(greatest(4, length(k::VARCHAR)) AS INT), '0') AS doc_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at, "
+    "SELECT event_id, 'A-' || strftime(ts, '%Y%m%d') || '-' || lpad(k::VARCHAR, CAST(greatest(4, length(k::VARCHAR)) AS INT), '0') AS doc_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+07:00' AS at, "
     "'check ' || event_type || ' on ' || strftime(ts, '%Y-%m-%d') AS action FROM (SELECT *, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'error')"
 )
 def event_ids(spark, d):
     e = windows.numbered(samples(spark, d).where("entity_id = 'error'"), F.to_date("ts"), F.date_trunc("hour", "ts"), ("ts", "event_id"))
-    return e.select("event_id", X.document_id("A", F.col("ts"), F.col("number"), 4).alias("doc_id"), F.substring(X.iso(F.col("ts")), 1, 19).alias("at"), X.sentence("check %s on %s", F.col("entity_id"), F.date_format("ts", "yyyy-MM-dd")).alias("action"))
+    return e.select("event_id", X.document_id("A", F.col("ts"), F.col("number"), 4).alias("doc_id"), X.iso_at(F.col("ts"), "+07:00").alias("at"), X.sentence("check %s on %s", F.col("entity_id"), F.date_format("ts", "yyyy-MM-dd")).alias("action"))
+
+
+@query(
+    "WITH s AS (SELECT o_custkey AS entity_id, o_orderdate AS day, max(o_orderpriority) AS v FROM orders GROUP BY 1, 2), c AS (SELECT *, lag(v) OVER w IS DISTINCT FROM v AS begins FROM s WINDOW w AS (PARTITION BY entity_id ORDER BY day)), "
+    "n AS (SELECT *, sum(begins::INT) OVER (PARTITION BY entity_id ORDER BY day) AS n FROM c), g AS (SELECT entity_id, n, min(v) AS v, min(day) AS f, max(day) AS l FROM n GROUP BY 1, 2) "
+    "SELECT entity_id, v AS firmware_version, strftime(f, '%Y-%m-%d %H:%M:%S') AS valid_from, strftime(lead(f) OVER (PARTITION BY entity_id ORDER BY f), '%Y-%m-%d %H:%M:%S') AS valid_to, strftime(l, '%Y-%m-%d %H:%M:%S') AS last_seen FROM g"
+)
+def attribute_history(spark, d):
+    """The priority of a customer's orders as snapshots of its firmware version: the stretches in which it did not change."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("entity_id"), F.col("o_orderdate").cast("timestamp").alias("seen_at"), F.col("o_orderpriority").alias("firmware_version"))
+    out = normalize.attribute_history(o, ["firmware_version"])
+    return out.select("entity_id", "firmware_version", text("valid_from"), text("valid_to"), text("last_seen"))

@@ -88,6 +88,35 @@ def write_documents(df: DataFrame, path: str, by: tuple[str, ...] = ("module", "
     (writer.option("ignoreNullFields", "false") if form == "json" else writer).format(form).save(path)
 
 
+def write_run(df: DataFrame, path: str, run: str, by: tuple[str, ...] = ("module", "date")) -> None:
+    """Result documents of one run (a batch number, or an issue date), all of them or none, once however often it is repeated.
+
+    A run has a folder of its own, which a repeated run replaces; readers (read_runs) take
+    runs that have been committed, which is the last thing done. So a run that is killed
+    halfway leaves nothing that is read, and its repetition leaves one copy.
+    """
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", run):
+        raise ValueError(f"{run!r} is no name of a folder")
+    spark = df.sparkSession
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    mark, fs = paths(f"{path}/_commits/{run}"), paths(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(mark, False)
+    write_documents(df, f"{path}/run={run}", by, mode="overwrite")
+    fs.create(mark, True).close()
+
+
+def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The documents of all committed runs, with the columns of schema (those that partition them too) and run."""
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    log = paths(f"{path}/_commits")
+    fs = log.getFileSystem(spark._jsc.hadoopConfiguration())
+    runs = [s.getPath().getName() for s in fs.listStatus(log)] if fs.exists(log) else []
+    folders = [f"{path}/run={r}" for r in runs]
+    if not folders:
+        return spark.createDataFrame([], schema).withColumn("run", F.lit(None).cast("string"))
+    return spark.read.schema(f"{schema}, run string").option("basePath", path).parquet(*folders)
+
+
 def write_report(sections: dict[str, DataFrame], path: str, period_start: str, form: str = "parquet") -> None:
     """One table per section under path, in a partition of the period; a period that is written again replaces itself."""
     for name, df in sections.items():

@@ -132,3 +132,41 @@ def test_the_threshold_is_the_least_of_all_scores(spark, budget, gap):
         assert (threshold or 0.0) == want or merged_events(cells, threshold or 0.0, gap) == merged_events(cells, want, gap) == round(rate * 9)
         assert merged_events(cells, threshold or 0.0, gap) <= budget * 9
         assert all(n == merged_events(cells, t or 0.0, gap) for (x, t), n in counts.items() if x == e)
+
+
+def test_attribute_history_of_late_and_repeated_snapshots(spark):
+    from joulewright.operators import normalize
+
+    at = lambda d: T0 + dt.timedelta(days=d)
+    rows = [("a", at(1), "v1", None), ("a", at(3), "v1", None), ("a", at(5), "v2", None), ("a", at(6), "v2", "x"), ("b", at(2), None, None), ("b", at(4), None, None), (None, at(1), "z", None), ("c", None, "z", None)]
+    schema = "entity_id string, seen_at timestamp, firmware_version string, label string"
+    told = lambda r: {tuple(x) for x in normalize.attribute_history(spark.createDataFrame(r, schema), ["firmware_version", "label"]).collect()}
+    want = {("a", "v1", None, at(1), at(5), at(3)), ("a", "v2", None, at(5), at(6), at(5)), ("a", "v2", "x", at(6), None, at(6)), ("b", None, None, at(2), None, at(4))}
+    assert told(rows) == told(rows * 3) == want
+    late = rows + [("a", at(2), "v0", None)]
+    assert told(late) == want - {("a", "v1", None, at(1), at(5), at(3))} | {("a", "v1", None, at(1), at(2), at(1)), ("a", "v0", None, at(2), at(3), at(2)), ("a", "v1", None, at(3), at(5), at(3))}
+    history = normalize.attribute_history(spark.createDataFrame(rows, schema), ["firmware_version"])
+    kept = normalize.outside_firmware_steps(spark.createDataFrame([("a", at(5)), ("a", at(7))], "entity_id string, ts timestamp"), history, 24)
+    assert [r.ts for r in kept.collect()] == [at(7)]
+
+
+def test_a_run_that_is_repeated_leaves_one_copy(spark, tmp_path):
+    from joulewright.sources import tables
+
+    path, schema = str(tmp_path / "out"), "v int, module string, date string"
+    docs = lambda n: spark.createDataFrame([(n, "M1", "2024-01-01"), (n + 1, "M2", "2024-01-02")], schema)
+    assert tables.read_runs(spark, path, schema).count() == 0
+    tables.write_run(docs(1), path, "1")
+    tables.write_run(docs(1), path, "1")
+    tables.write_run(docs(5), path, "2")
+    assert sorted((r.v, r.run) for r in tables.read_runs(spark, path, schema).collect()) == [(1, "1"), (2, "1"), (5, "2"), (6, "2")]
+    # killed halfway: files, but no commit; then repeated
+    bad = docs(8).withColumn("v", F.when(F.col("v") == 9, F.raise_error(F.lit("killed")).cast("int")).otherwise(F.col("v"))).repartition(2, "module")
+    with pytest.raises(Exception, match="killed"):
+        tables.write_run(bad, path, "3")
+    docs(8).write.partitionBy("module", "date").mode("overwrite").parquet(f"{path}/run=3")
+    assert tables.read_runs(spark, path, schema).count() == 4
+    tables.write_run(docs(8), path, "3")
+    assert sorted(r.v for r in tables.read_runs(spark, path, schema).where("module = 'M1'").collect()) == [1, 5, 8]
+    with pytest.raises(ValueError):
+        tables.write_run(docs(1), path, "../x")
