@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from joulewright.config import Config
-from joulewright.operators import baseline, detect, evaluate, graphs, joins, windows
+from joulewright.operators import baseline, blocks, detect, evaluate, graphs, joins, windows
 from joulewright.plans.testdata import OFF_EDGE, SQL_HOURLY, SQL_LINES, daily_lines, hourly, r4, samples, sql4, table, text
 
 QUERIES, ORACLES = {}, {}
@@ -534,3 +534,24 @@ def alarm_budget_exact(spark, d):
     days = h.groupBy("entity_id").agg(F.countDistinct(F.to_date("slot")).alias("n_days"))
     out = evaluate.calibrate_exactly(h.join(m, "entity_id").where("v > m"), days, Config(alarm_budget=0.3, merge_gap=120))
     return out.select("entity_id", r4("threshold"), r4("alarms_per_day"))
+
+
+# The same scans in blocks of time: no task holds a whole series.
+
+
+@query("WITH " + SQL_ASOF + " SELECT event_id, strftime(mts, '%Y-%m-%d %H:%M:%S') AS maintained_at FROM a")
+def asof_in_blocks(spark, d):
+    s = samples(spark, d).where("entity_id != 'error'").withColumn("entity_id", F.col("user_id").cast("string"))
+    return blocks.asof_in_blocks(s, maintenance(spark, d), "entity_id", "ts", "maintained_at").select("event_id", text("maintained_at"))
+
+
+@query("WITH " + SQL_CUSUM + " SELECT entity_id, strftime(slot, '%Y-%m-%d %H:%M:%S') AS slot, round(cusum, 4) AS cusum FROM c")
+def cusum_in_blocks(spark, d):
+    z = detect.standardized(hourly(spark, d), ("entity_id",), "value")
+    return blocks.cusum_in_blocks(z, ("entity_id",), "slot", F.col("residual"), 0.5).select("entity_id", text("slot"), r4("cusum"))
+
+
+@query("WITH s AS (SELECT event_type AS entity_id, CASE WHEN value > 10 THEN 1 ELSE 0 END AS v, ts FROM events), b AS (SELECT *, CASE WHEN lag(v) OVER (PARTITION BY entity_id ORDER BY ts) = v THEN 0 ELSE 1 END AS edge FROM s), r AS (SELECT *, sum(edge) OVER (PARTITION BY entity_id ORDER BY ts) AS run FROM b) SELECT entity_id, CAST(v AS INT) AS v, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last, count(*) AS n FROM r GROUP BY entity_id, run, v")
+def state_runs_in_blocks(spark, d):
+    s = samples(spark, d).withColumn("v", (F.col("value") > 10).cast("int"))
+    return blocks.state_runs_in_blocks(s, ("entity_id",), "ts", "v").select("entity_id", "v", text("start"), text("last"), "n")
