@@ -133,6 +133,73 @@ def pca_scores(grid: DataFrame, components: int = 3, cells: int = 24) -> DataFra
     return plain.groupBy("entity_id").applyInPandas(score, "entity_id string, date date, error double")
 
 
+def summed_arrays(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """by, and each column of arrays summed place by place: aggregated before the shuffle, whatever the number of rows."""
+    zipped = F.arrays_zip(*columns)
+    each = df.select(*by, F.posexplode(zipped).alias("_i", "_x")).groupBy(*by, "_i").agg(*[F.sum(f"_x.{c}").alias(c) for c in columns])
+    packed = each.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_i", *columns))).alias("_a"))
+    return packed.select(*by, *[F.col("_a")[c].alias(c) for c in columns])
+
+
+def pooled_shapes(grid: DataFrame, device: DataFrame, components: int = 3, cells: int = 24, shrink: float = 20.0) -> DataFrame:
+    """entity_id, date, day_type, n_days, error, score: how odd the shape of a day is for its device, with few days too.
+
+    A day's shape is its values over their mean; a missing cell has the mean shape of its
+    model. Means and second moments are sums, so they are merged from parts, by device and by
+    model (device: entity_id, device_model). A day is judged by the moments of its device and
+    type of day without itself, shrunk towards its model's as if these were `shrink` days
+    more: eight Saturdays alone give no usable shapes in 24 dimensions. error is what the
+    main shapes leave of the day, score the same in units of what they usually leave (null
+    where so few days are known that they leave nothing). Days without a positive mean have no shape and no row; a device without a model is one of its own.
+    """
+    import numpy as np
+    import pandas as pd
+
+    model = device.select("entity_id", F.col("device_model").cast("string").alias("model")).dropDuplicates(["entity_id"])
+    typed = grid.where("value IS NOT NULL AND tod_slot IS NOT NULL").join(model, "entity_id", "left").withColumn("model", F.coalesce("model", F.concat(F.lit("="), "entity_id")))
+    hour = typed.groupBy("entity_id", "model", "day_type", F.to_date("slot").alias("date"), "tod_slot").agg(F.avg(F.col("value").cast("double")).alias("v"))
+    days = hour.groupBy("entity_id", "model", "day_type", "date").agg(F.avg("v").alias("mean"), F.map_from_entries(F.collect_list(F.struct("tod_slot", "v"))).alias("at")).where("mean > 0")
+    usual = days.select("model", "day_type", F.explode(F.transform_values("at", lambda _, v: v / F.col("mean"))).alias("tod_slot", "v")).groupBy("model", "day_type", "tod_slot").agg(F.avg("v").alias("v"))
+    usual = usual.groupBy("model", "day_type").agg(F.map_from_entries(F.collect_list(F.struct("tod_slot", "v"))).alias("usual"))
+    cell = lambda i: F.coalesce(F.try_element_at("at", i) / F.col("mean"), F.try_element_at("usual", i), F.lit(1.0))
+    shapes = days.join(usual, ["model", "day_type"]).select("entity_id", "model", "day_type", "date", F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), cell).alias("x"))
+    # n, sums and sums of products in one array: 1, x, and x times each of x
+    row = F.concat(F.array(F.lit(1.0)), F.col("x"), F.flatten(F.transform("x", lambda a: F.transform("x", lambda b: a * b))))
+    own = summed_arrays(shapes.withColumn("m", row), ["entity_id", "model", "day_type"], ["m"])
+    whole = summed_arrays(own, ["model", "day_type"], ["m"]).withColumnRenamed("m", "pool")
+    moments = own.join(whole, ["model", "day_type"]).select(F.col("entity_id").alias("_entity"), F.col("day_type").alias("_type"), "m", "pool")
+
+    def cut(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        return m[0], m[1 : cells + 1], m[cells + 1 :].reshape(cells, cells)
+
+    def score(g: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        n, s, p = cut(np.array(known["m"].iloc[0], float))
+        pn, ps, pp = cut(np.array(known["pool"].iloc[0], float))
+        out = []
+        for date, x in zip(g["date"], g["x"]):
+            x = np.asarray(x, float)
+            xx = np.outer(x, x)
+            # both without the day itself
+            left, pool = n - 1, pn - 1
+            if pool < 1:
+                continue
+            weight = shrink / pool
+            total = left + shrink
+            mean = (s - x + weight * (ps - x)) / total
+            cov = (p - xx + weight * (pp - xx)) / total - np.outer(mean, mean)
+            values, vectors = np.linalg.eigh(cov)
+            main = vectors[:, cells - components :]
+            d = x - mean
+            rest = d - main @ (main.T @ d)
+            error = float(np.sqrt((rest**2).mean()))
+            usually = float(np.sqrt(max(values[: cells - components].sum(), 0.0) / cells))
+            out.append((g["entity_id"].iloc[0], date, g["day_type"].iloc[0], int(n), error, error / usually if usually > 1e-6 else None))
+        return pd.DataFrame(out, columns=["entity_id", "date", "day_type", "n_days", "error", "score"]).astype({"score": "float64"})
+
+    pairs = shapes.select("entity_id", "day_type", "date", "x").groupBy("entity_id", "day_type").cogroup(moments.groupBy("_entity", "_type"))
+    return pairs.applyInPandas(score, "entity_id string, date date, day_type string, n_days long, error double, score double")
+
+
 def boosted_band(df: DataFrame, x: list[str], y: str = "value", quantiles: tuple[float, ...] = (0.05, 0.5, 0.95), rounds: int = 60, rate: float = 0.15, bins: int = 16) -> DataFrame:
     """entity_id, slot, value, lower, expected, upper: quantile bands from boosted stumps on the pinball loss.
 

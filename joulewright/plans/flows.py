@@ -188,13 +188,16 @@ def pump_degradation(grid: DataFrame, maintenance: DataFrame, issued: Column, co
     on = normalize.to_wide(grid.where(F.col("key").isin(keys)), keys).where("pump_state = 1")
     head = X.pump_head(F.col("pressure_supply_bar"), F.col("pressure_return_bar"), F.col("pump_speed_pct"))
     rate = X.kwh_per_m3(F.col("power_active_kw"), F.col("water_flow_lpm") * 60 / 1000)
+    on = on.withColumn("m3", F.col("water_flow_lpm") * 60 / 1000)  # in an hour
     parts = saved(baseline.split_by_maintenance(on.withColumn("head", head).withColumn("kwh_per_m3", rate), maintenance, config, "slot"), "pumps")
     documents = []
     for ratio, x, sign, kind, action in (("head", ["water_flow_lpm"], -1, "pump_head_loss", "Check impeller and seals"), ("kwh_per_m3", ["pump_speed_pct"], 1, "kwh_per_m3_rise", "Check pump efficiency and valves")):
-        found = detect.degradation_events(parts, ratio, x, least_pct=least_pct, sign=sign, by=("entity_id", "maintained_at"))
+        found = detect.degradation_events(parts, ratio, x, least_pct=least_pct, sign=sign, by=("entity_id", "maintained_at"), weight="m3")
         found = found.withColumn("start", F.col("start").cast("timestamp")).withColumn("end", F.lit(None).cast("timestamp"))
         evidence = {ratio: F.round("observed", 3), "reference": F.round("expected", 3), "deviation_pct": F.col("deviation_pct"), "detected_on": F.col("detected_on")}
-        documents.append(detect.as_events(found, "B_efficiency", "M3_water", kind, "baseline_regression+cusum", issued, action, evidence))
+        # what a m3 takes too much, times the m3; a loss of head says nothing of the power
+        waste = F.col("excess") * config.step / 60 / F.col("n_days") * 30 if ratio == "kwh_per_m3" else None
+        documents.append(detect.as_events(found, "B_efficiency", "M3_water", kind, "baseline_regression+cusum", issued, action, evidence, waste=waste))
     return detect.combined(documents, issued)
 
 

@@ -406,6 +406,14 @@ def day_pca_score(spark, d):
     return detect.pca_scores(hourly(spark, d)).select("entity_id", "date", r4("error"))
 
 
+@query(None)
+def pooled_day_shapes(spark, d):
+    """Shapes of the days of every event type, shrunk towards those of all types as one model."""
+    g = hourly(spark, d)
+    device = g.select("entity_id").distinct().withColumn("device_model", F.lit("any"))
+    return detect.pooled_shapes(g, device).select("entity_id", "date", "day_type", "n_days", r4("error"), r4("score"))
+
+
 @query(None)
 def gbm_quantile_band(spark, d):
     g = hourly(spark, d).withColumn("weekday", F.weekday("slot"))

@@ -51,3 +51,33 @@ def test_running_values_pass_over_nulls(spark):
 def test_no_window_holds_a_series(series):
     for out in (blocks.state_runs_in_blocks(series, ("e",), "ts", "v"), blocks.cusum_in_blocks(series, ("e",), "ts", F.col("r"), 0.1)):
         assert whole_series_windows(out) == []
+
+
+def test_day_shapes_of_few_days(spark):
+    """Eight Saturdays of a device: an odd one stands out, and so it does not where its own eight days are all there is."""
+    import numpy as np
+
+    from joulewright.operators import detect
+
+    rng = np.random.default_rng(3)
+    shape = {"workday": 1 + np.sin(np.arange(24) / 24 * 2 * np.pi), "saturday": 1 + 0.3 * np.cos(np.arange(24) / 24 * 2 * np.pi)}
+    rows = []
+    for k, e in enumerate(("m1", "m2", "m3", "m4")):
+        for day in range(56):
+            date = T0 + dt.timedelta(days=day)
+            kind = "saturday" if date.weekday() == 5 else "workday"
+            v = 50 * (k + 1) * (shape[kind] + 0.05 * rng.normal() * np.arange(24) / 24) * (1 + 0.03 * rng.normal(size=24))
+            if e == "m2" and day == 33:  # a Saturday
+                v[2:6] *= 1.6
+            rows += [(e, date + dt.timedelta(hours=h), kind, h, float(x)) for h, x in enumerate(v) if not (e == "m3" and h == 4 and day % 9 == 0)]
+    grid = spark.createDataFrame(rows, "entity_id string, slot timestamp, day_type string, tod_slot int, value double")
+    device = spark.createDataFrame([(e, "x") for e in ("m1", "m2", "m3", "m4")], "entity_id string, device_model string")
+    got = detect.pooled_shapes(grid, device).collect()
+    assert len(got) == 4 * 56 and {r.n_days for r in got if r.day_type == "saturday"} == {8}
+    saturdays = sorted((r.score, r.entity_id, r.date) for r in got if r.day_type == "saturday")
+    assert saturdays[-1][1:] == ("m2", (T0 + dt.timedelta(days=33)).date()) and saturdays[-1][0] > 3 and saturdays[-2][0] < 2
+    # a constant factor of a device changes nothing, and a zero day has no shape
+    scaled = detect.pooled_shapes(grid.withColumn("value", F.col("value") * F.when(F.col("entity_id") == "m1", 7.0).otherwise(1.0)), device).collect()
+    assert {(r.entity_id, r.date): round(r.score, 6) for r in got} == {(r.entity_id, r.date): round(r.score, 6) for r in scaled}
+    dead = grid.withColumn("value", F.when(F.col("slot") < T0 + dt.timedelta(days=1), 0.0).otherwise(F.col("value")))
+    assert detect.pooled_shapes(dead, device).count() == 4 * 55
