@@ -174,19 +174,23 @@ def firmware_step_size(spark, d):
 
 
 @query(
-    "WITH " + SQL_HOURLY + ", a AS (SELECT slot, value FROM g WHERE entity_id = 'click' AND n_samples > 1), b AS (SELECT slot, value FROM g WHERE entity_id = 'view') "
-    "SELECT strftime(coalesce(a.slot, b.slot), '%Y-%m-%d %H:%M:%S') AS slot, round(coalesce(a.value, b.value), 4) AS value, CASE WHEN a.slot IS NOT NULL THEN 'first' ELSE 'second' END AS origin FROM a FULL JOIN b ON a.slot = b.slot"
+    "WITH s AS (SELECT event_type AS e, date_trunc('hour', ts) AS slot, user_id % 2 AS odd, avg(value) AS value FROM events GROUP BY 1, 2, 3), a AS (SELECT * FROM s WHERE odd = 0), b AS (SELECT * FROM s WHERE odd = 1) "
+    "SELECT coalesce(a.e, b.e) AS entity_id, strftime(coalesce(a.slot, b.slot), '%Y-%m-%d %H:%M:%S') AS slot, round(coalesce(a.value, b.value), 4) AS value, CASE WHEN a.slot IS NOT NULL THEN 'first' ELSE 'second' END AS origin FROM a FULL JOIN b ON a.e = b.e AND a.slot = b.slot"
 )
 def source_fallback(spark, d):
-    g = hourly(spark, d)
-    a = g.where("entity_id = 'click' AND n_samples > 1").select("slot", "value")
-    return joins.prefer(a, g.where("entity_id = 'view'").select("slot", "value"), ["slot"]).select(text("slot"), r4("value"), "origin")
+    """Hourly means of the samples of even users, and where an hour has none, those of odd users as the other source."""
+    s = samples(spark, d).withColumn("slot", F.date_trunc("hour", "ts"))
+    of = lambda odd: s.where(F.col("user_id") % 2 == odd).groupBy("entity_id", "slot").agg(F.avg("value").alias("value"))
+    return joins.prefer(of(0), of(1), ["entity_id", "slot"]).select("entity_id", text("slot"), r4("value"), "origin")
+
+
+KINDS = ["click", "error", "purchase", "signup", "view"]
 
 
-@query("WITH " + SQL_HOURLY + " SELECT strftime(slot, '%Y-%m-%d %H:%M:%S') AS slot, round(max(value) FILTER (entity_id = 'click'), 4) AS click, round(max(value) FILTER (entity_id = 'view'), 4) AS view_ FROM g WHERE entity_id IN ('click', 'view') GROUP BY slot")
+@query("WITH " + SQL_HOURLY + " SELECT strftime(slot, '%Y-%m-%d %H:%M:%S') AS slot, " + ", ".join(f"round(max(value) FILTER (entity_id = '{k}'), 4) AS {k}_" for k in KINDS) + " FROM g GROUP BY slot")
 def wide_pivot(spark, d):
-    g = hourly(spark, d).where(F.col("entity_id").isin("click", "view")).select(F.lit("site").alias("e"), "slot", F.col("entity_id").alias("key"), "value").withColumnRenamed("e", "entity_id")
-    return normalize.to_wide(g, ["click", "view"]).select(text("slot"), r4("click"), r4("view", "view_"))
+    g = hourly(spark, d).select(F.lit("site").alias("e"), "slot", F.col("entity_id").alias("key"), "value").withColumnRenamed("e", "entity_id")
+    return normalize.to_wide(g, KINDS).select(text("slot"), *[r4(k, f"{k}_") for k in KINDS])
 
 
 @query(
@@ -392,10 +396,10 @@ def reactive_penalty(spark, d):
 
 @query(
     "SELECT event_id, 'A-' || strftime(ts, '%Y%m%d') || '-' || lpad(k::VARCHAR, CAST(greatest(4, length(k::VARCHAR)) AS INT), '0') AS doc_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+07:00' AS at, "
-    "'check ' || event_type || ' on ' || strftime(ts, '%Y-%m-%d') AS action FROM (SELECT *, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'error')"
+    "'check ' || event_type || ' on ' || strftime(ts, '%Y-%m-%d') AS action FROM (SELECT *, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS k FROM events)"
 )
 def event_ids(spark, d):
-    e = windows.numbered(samples(spark, d).where("entity_id = 'error'"), F.to_date("ts"), F.date_trunc("hour", "ts"), ("ts", "event_id"))
+    e = windows.numbered(samples(spark, d), F.to_date("ts"), F.date_trunc("hour", "ts"), ("ts", "event_id"))
     return e.select("event_id", X.document_id("A", F.col("ts"), F.col("number"), 4).alias("doc_id"), X.iso_at(F.col("ts"), "+07:00").alias("at"), X.sentence("check %s on %s", F.col("entity_id"), F.date_format("ts", "yyyy-MM-dd")).alias("action"))
 
 
