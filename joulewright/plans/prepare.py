@@ -24,12 +24,25 @@ def query(sql: str):
     return add
 
 
+#: Groups of the key catalogue in its order, with their numbers of keys (fixed values).
+GROUPS = [
+    ("ICMP ping", 3), ("Host / gateway compute", 20), ("Connectivity", 9), ("GPS", 6), ("Camera", 8), ("Access control", 11), ("Fire alarm", 9), ("Lift", 2),
+    ("Power meter", 13), ("Chiller", 9), ("Air side", 16), ("Water", 20), ("Shared", 6), ("Plant system", 13), ("Air station", 12), ("Attribute", 16),
+]
+
+
 @query(
-    "SELECT * FROM (VALUES ('ICMP ping', 3), ('Host / gateway compute', 20), ('Connectivity', 9), ('GPS', 6), ('Camera', 8), ('Access control', 11), ('Fire alarm', 9), ('Lift', 2), "
-    "('Power meter', 13), ('Chiller', 9), ('Air side', 16), ('Water', 20), ('Shared', 6), ('Plant system', 13), ('Air station', 12), ('Attribute', 16)) t(grp, n)"
+    "WITH t AS (SELECT *, sum(n) OVER (ORDER BY k) - n AS lo FROM (VALUES " + ", ".join(f"({k}, '{g}', {n})" for k, (g, n) in enumerate(GROUPS)) + ") t(k, grp, n)) "
+    "SELECT grp, n, count(e.event_id) AS n_samples FROM t LEFT JOIN events e ON e.user_id % 173 >= lo AND e.user_id % 173 < lo + n GROUP BY 1, 2"
 )
 def key_registry_counts(spark, d):
-    return keys.registry(spark).groupBy("grp").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    """Each sample's user as the number of a key in the catalogue: the keys of a group, and the samples that it has."""
+    order = F.array_position(F.array(*[F.lit(g) for g, _ in GROUPS]), F.col("grp"))
+    groups = keys.registry(spark).groupBy("grp").agg(F.count(F.lit(1)).cast("int").alias("n")).withColumn("k", order)
+    placed = groups.withColumn("lo", F.sum("n").over(Window.orderBy("k")) - F.col("n"))
+    numbers = placed.select("grp", "n", F.explode(F.sequence(F.col("lo"), F.col("lo") + F.col("n") - 1)).alias("number"))
+    read = samples(spark, d).groupBy((F.col("user_id") % 173).cast("long").alias("number")).agg(F.count(F.lit(1)).alias("s"))
+    return numbers.join(read, "number", "left").groupBy("grp", "n").agg(F.coalesce(F.sum("s"), F.lit(0)).alias("n_samples"))
 
 
 @query("SELECT event_type AS key, count(*) AS n_days, round(avg(n), 4) AS samples_per_day, 30 - sum(CASE WHEN day > last - 30 THEN 1 ELSE 0 END)::BIGINT AS missing_days FROM (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2), (SELECT max(CAST(ts AS DATE)) AS last FROM events) GROUP BY 1")
