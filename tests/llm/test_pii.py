@@ -97,3 +97,11 @@ def test_empty_null_and_plan(spark):
     assert sorted(r.n_email for r in pii.find_pii(nulls).collect()) == [0, 1]
     plan = pii.candidates(nulls)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_repeated_rows(spark):
+    """Rows alike in id and text, null ids too, each have a result, and all the same."""
+    some = [(5, "a@b.cd and 1.2.3.4"), (None, "a@b.cd"), (None, "a@b.cd"), (5, "a@b.cd and 1.2.3.4"), (5, "other")]
+    got = pii.find_pii(spark.createDataFrame(some, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_email, r.n_ip) for r in got) == [("5", 0, 0), ("5", 1, 1), ("5", 1, 1), ("None", 1, 0), ("None", 1, 0)]
+    assert len({(r.doc_id, r.base_sha256, r.spans) for r in got}) == 3

@@ -30,3 +30,12 @@ def test_operator(spark):
         n = len(model.encode(t or ""))
         assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 100)
     assert T.token_counts(df.limit(0), MODEL).count() == 0
+
+
+def test_given_tables_and_repeated_rows(spark):
+    model = T.load(MODEL)
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    want = sorted((r.doc_id, len(model.encode(r.text or ""))) for r in df.collect())
+    # chunks so short that most texts are spliced
+    got = sorted((r.doc_id, r.n_tokens) for r in T.token_counts(df.unionAll(df), MODEL, chunk=700).collect())
+    assert got == sorted(want + want)
