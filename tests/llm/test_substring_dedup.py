@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -102,3 +103,41 @@ def test_rows_alike_are_fetched_once(spark, monkeypatch):
     want = plain([text, text, variant], 64)
     assert got == {(None, *want[0][1:3]), (7, *want[0][1:3]), (8, *want[2][1:3])}
     assert dict(fetched)["contexts"] == dict(fetched)["asked"] > 0
+
+
+def plain_shared(texts, words):
+    """For each text, the places where a string of so many words begins that another text has too."""
+    split = [[w for w in re.split(r"[ \t-\r]+", t or "") if w] for t in texts]
+    held = [[" ".join(w[i : i + words]) for i in range(len(w) - words + 1)] for w in split]
+    rows = Counter(x for h in held for x in set(h))
+    return [sum(rows[x] > 1 for x in h) for h in held]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_passages_of_words_that_other_documents_have(spark, seed):
+    rng = random.Random(seed)
+    prose = lambda n: " ".join("".join(rng.choice("abcdé") for _ in range(rng.randint(1, 3))) for _ in range(n))
+    passages = [prose(rng.randint(10, 30)) for _ in range(6)]
+    texts = [prose(rng.randint(0, 20)) + rng.choice(" \n\t") + rng.choice(passages) + " " + prose(rng.randint(0, 20)) + " " + rng.choice(passages) for _ in range(50)]
+    texts += ["the " * 40, "the " * 25 + "end", "to be " * 15, "to be " * 3 + prose(12), None, "", " ", prose(11), prose(12)]
+    texts += [texts[0], texts[1].replace(" ", "\r\n"), texts[2][7:], texts[3][:-9]]
+    own = prose(12)
+    texts += [own + " x " + own]  # repeated in its own document only
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in S.drop_repeats(df, length=64, k=16, words=12).collect()}
+    want = [(*a, b) for a, b in zip(plain(texts, 64), plain_shared(texts, 12))]
+    assert [got[i] for i in range(len(texts))] == want
+    assert 0 < sum(x[-1] > 0 for x in want) < len(want) and want[-1][-1] == 0
+
+
+def test_a_passage_of_over_50_words_and_under_400_bytes_is_told(spark, tmp_path):
+    """n_removed cannot tell it, as no 400 bytes repeat."""
+    rng = random.Random(5)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    passage = prose(51)
+    rows = [(i, prose(40) + " " + passage + " " + prose(40)) for i in range(3)] + [(9, prose(200)), (None, passage), (None, passage), (7, passage[6:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.doc_id or 0, r.n_removed, r.n_shared) for r in S.query(spark, str(tmp_path)).collect())
+    assert got == [(0, 0, 1), (0, 0, 1), (0, 0, 1), (1, 0, 1), (2, 0, 1), (7, 0, 0), (9, 0, 0)]
+    assert S.drop_repeats(df.limit(0), words=51).count() == 0
