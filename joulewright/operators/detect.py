@@ -252,7 +252,7 @@ def as_events(
     events: DataFrame, group: str, module: str, kind: Column | str, model: Column | str, issued: Column, action: Column | str,
     evidence: dict[str, Column] | None = None, safety: Column | None = None, waste: Column | None = None,
 ) -> DataFrame:
-    """Event documents; an id counts the events of an issue date in order of time, then of entity, type and key.
+    """Event documents; an id counts the events of an issue date in order of time, then of entity, type, key and end.
 
     evidence: names and columns of its own types; safety: whether an event is critical;
     waste: kWh a month, where it is known.
@@ -261,7 +261,7 @@ def as_events(
 
     name = lambda c: F.lit(c) if isinstance(c, str) else c
     proof = F.struct(*[c.alias(k) for k, c in evidence.items()]) if evidence else F.lit(None).cast("string")
-    order = ("start", "entity_id", "_kind", *(["key"] if "key" in events.columns else []))
+    order = ("start", "entity_id", "_kind", *(["key"] if "key" in events.columns else []), F.asc_nulls_last("end"))
     counted = numbered(events.withColumns({"_issued": issued, "_kind": name(kind)}), F.to_date("_issued"), F.to_date("start"), order, "_number")
     return counted.select(
         document_id("A", F.col("_issued"), F.col("_number"), 4).alias("event_id"),
@@ -300,12 +300,16 @@ def rule_documents(events: DataFrame, module: str, issued: Column) -> DataFrame:
 
 
 def combined(documents: list[DataFrame], issued: Column) -> DataFrame:
-    """Documents of several kinds as one table: evidence as JSON, ids counted anew over all kinds of an issue date."""
+    """Documents of several kinds as one table: evidence as JSON, ids counted anew over all kinds of an issue date.
+
+    Events of one type that begin at one time are counted in order of their ends (open ones
+    last), then of evidence, so an id does not depend on how rows are dealt out.
+    """
     from joulewright.functions.expressions import document_id
 
     told = [d.withColumn("evidence", F.to_json("evidence", {"ignoreNullFields": "false"}) if "struct" in d.schema["evidence"].dataType.simpleString() else F.col("evidence")) for d in documents]
     both = reduce(DataFrame.unionByName, told).withColumn("_issued", issued)
-    counted = numbered(both, F.to_date("_issued"), F.to_date("start"), ("start", "entity_id", "type"), "_number")
+    counted = numbered(both, F.to_date("_issued"), F.to_date("start"), ("start", "entity_id", "type", F.asc_nulls_last("end"), "evidence"), "_number")
     return counted.withColumn("event_id", document_id("A", F.col("_issued"), F.col("_number"), 4)).drop("_issued", "_number")
 
 

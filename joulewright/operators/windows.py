@@ -88,7 +88,7 @@ def edges(df: DataFrame, by: tuple[str, ...], order: str, value: str, name: str
     return df.withColumn(name, F.coalesce((before != F.col(value)).cast("int"), F.lit(0)))
 
 
-def numbered(df: DataFrame, by: Column, block: Column, order: tuple[str, ...], name: str = "number") -> DataFrame:
+def numbered(df: DataFrame, by: Column, block: Column, order: tuple[str | Column, ...], name: str = "number") -> DataFrame:
     """A number from 1 for each row of `by`, in order of block, then of `order`; block must rise with `order`.
 
     Rows are numbered within their block and moved by the count of the blocks before it, so

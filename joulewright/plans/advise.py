@@ -69,7 +69,7 @@ def overflow_rule(spark, d):
 def rule_event_documents(spark, d):
     """Events of two critical rules as one table of documents; no baseline is needed for them."""
     s, at = states(spark, d), F.to_timestamp(F.lit("2024-02-01"))
-    # ids count in order of the second that an event begins in
+    # ids count in order of the second that an event begins in; of those that begin in one second, in order of time
     found = [e.withColumns({c: F.date_trunc("second", c) for c in ("start", "end")}) for e in (rules.dry_run(s, 1200), rules.overflow(s))]
     docs = detect.combined([detect.rule_documents(e, "M3_water", at) for e in found], at)
     return docs.select("event_id", "group", "entity_id", "type", "severity", text("start"), text("end"), "evidence", "suggested_action")

@@ -133,6 +133,17 @@ def test_odd_shapes_and_rule_documents(spark):
     assert {(r.type, r.severity, r.evidence) for r in both if r.group == "S_state"} == {("dry_run", "critical", '{"seconds":300}'), ("stuck_valve", "warning", '{"seconds":null}')}
 
 
+def test_events_of_one_second_are_numbered_in_order_of_their_ends(spark):
+    """However the rows are dealt out; an open event comes last."""
+    at = F.to_timestamp(F.lit("2024-02-01"))
+    rows = [("p", T0, T0 + dt.timedelta(seconds=s) if s < 40 else None, "overflow", "critical") for s in range(41)]
+    for given in (rows, rows[::-1]):
+        alarms = spark.createDataFrame(given, "entity_id string, start timestamp, end timestamp, rule string, severity string")
+        docs = detect.rule_documents(alarms, "M3_water", at)
+        for told in (docs, detect.combined([docs], at)):
+            assert [r.end for r in told.orderBy("event_id").collect()] == [r[2] for r in rows]
+
+
 def test_water_plan(spark):
     rows = [("T", T0 + dt.timedelta(hours=i), 2.0 + (3.0 if 6 <= i % 24 < 9 else 0.0), "workday", i % 24) for i in range(24 * 14)]
     history = spark.createDataFrame(rows, "entity_id string, slot timestamp, value double, day_type string, tod_slot int")
