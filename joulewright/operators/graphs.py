@@ -79,20 +79,27 @@ def by_unit(telemetry: DataFrame, identity: DataFrame, trust_conflicts: bool = F
 def closure(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """child, parent, depth: all that lies above each child, by the least number of steps; depth of a cycle's own child too.
 
-    Paths are doubled: what is known up to 2 ** k steps is joined with itself, so a hierarchy
-    of depth d takes about log2(d) rounds. Of several ways to one parent the shortest counts;
+    Paths are doubled: a shortest path of more than n and at most 2n steps is one of exactly n
+    and one of at most n, so the former are joined with what is known, and a hierarchy of
+    depth d takes about log2(d) rounds. A round writes the pairs that are new and reads, of the
+    known ones, those that begin or end where a new path may. Of several ways to one parent the shortest counts;
     a child that is above itself (depth > 0) lies in a cycle, see cycles(). Null ends are left out.
     """
     paths = saved(edges.where("child IS NOT NULL AND parent IS NOT NULL").select("child", "parent", F.lit(1).cast("long").alias("depth")).distinct(), "paths")
-    known_ = paths.count()
+    last, reach = paths, 1
     for _ in range(most_rounds):
-        on = paths.alias("a").join(paths.alias("b"), F.col("a.parent") == F.col("b.child")).select("a.child", "b.parent", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
-        more = saved(paths.unionByName(on).groupBy("child", "parent").agg(F.min("depth").alias("depth")), "paths")
-        now = more.count()
-        # no new pair: of known ones the shortest way was found when they were
-        if now == known_:
-            return more
-        paths, known_ = more, now
+        tips = last.where(F.col("depth") == reach)
+        # saved, so that the plan knows their sizes: what lies far above many children is little
+        middles = saved(tips.select(F.col("parent").alias("child")).distinct(), "middles")
+        above = saved(paths.join(middles, "child", "left_semi"), "above")
+        ends = saved(above.select("parent").distinct(), "ends")
+        if ends.isEmpty():
+            return paths
+        # the ways of one child meet in one task, where most of what is found twice is dropped
+        on = tips.repartition("child").alias("a").join(above.alias("b"), F.col("a.parent") == F.col("b.child")).select("a.child", "b.parent", (F.col("b.depth") + reach).alias("depth"))
+        again = paths.join(ends, "parent", "left_semi").select("child", "parent", "depth")
+        last = saved(again.unionByName(on).groupBy("child", "parent").agg(F.min("depth").alias("depth")).where(F.col("depth") > reach), "paths")
+        paths, reach = paths.unionByName(last), 2 * reach
     raise ValueError(f"no end after {most_rounds} doublings")
 
 

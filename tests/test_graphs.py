@@ -91,6 +91,56 @@ def test_closure_of_depth_six_with_a_cycle(spark):
     assert total["n6"] == 3.0 and total["m"] == 1.0 and total["z"] == 12.0 and total["x"] == 12.0
 
 
+def plain_closure(edges):
+    up = {}
+    for c, p in edges:
+        up.setdefault(c, set()).add(p)
+    out = {}
+    for c in up:
+        level, depth = {c}, 0
+        while level:
+            depth += 1
+            level = {p for x in level for p in up.get(x, ())} - {p for (a, p) in out if a == c}
+            out |= {(c, p): depth for p in level}
+    return out
+
+
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_closure_writes_a_pair_once(spark, monkeypatch, broadcast):
+    """Of hierarchies with many ways to a parent, a long chain and cycles; a round adds to what is known and does not write it again."""
+    rng = random.Random(5)
+    two_ways = [(n, n // k) for n in range(400) for k in (3, 5) if n // k]
+    chain = [(1000 + i, 1001 + i) for i in range(37)] + [(1005, 1021)]
+    loops = [(2000 + rng.randrange(25), 2000 + rng.randrange(25)) for _ in range(40)]
+    edges = two_ways + chain + loops
+    written = []
+    real = graphs.saved
+
+    def spy(df, name):
+        out = real(df, name)
+        written.extend([out.count()] if name == "paths" else [])
+        return out
+
+    monkeypatch.setattr(graphs, "saved", spy)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        rows = graphs.closure(spark.createDataFrame(edges, "child long, parent long")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = plain_closure(edges)
+    assert len(rows) == len(want) and {(r.child, r.parent): r.depth for r in rows} == want
+    assert max(want.values()) > 16 and any(c == p for c, p in want)
+    assert sum(written) == len(want)
+
+
+def test_closure_of_nothing_and_of_a_loop(spark):
+    assert graphs.closure(spark.createDataFrame([(None, "a")], "child string, parent string")).collect() == []
+    looped = graphs.closure(spark.createDataFrame([("a", "a"), ("b", "a"), ("b", "a")], "child string, parent string"))
+    assert looped.dtypes == [("child", "string"), ("parent", "string"), ("depth", "bigint")]
+    assert sorted(map(tuple, looped.collect())) == [("a", "a", 1), ("b", "a", 1)]
+
+
 def test_a_chart_begins_again_after_each_alarm(spark):
     rows = [(e, i, RNG.choice([None, RNG.uniform(-1, 2)])) for e in "abc" for i in range(300)]
     RNG.shuffle(rows)
