@@ -95,10 +95,13 @@ def closure(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         ends = saved(above.select("parent").distinct(), "ends")
         if ends.isEmpty():
             return paths
-        # the ways of one child meet in one task, where most of what is found twice is dropped
-        on = tips.repartition("child").alias("a").join(above.alias("b"), F.col("a.parent") == F.col("b.child")).select("a.child", "b.parent", (F.col("b.depth") + reach).alias("depth"))
-        again = paths.join(ends, "parent", "left_semi").select("child", "parent", "depth")
-        last = saved(again.unionByName(on).groupBy("child", "parent").agg(F.min("depth").alias("depth")).where(F.col("depth") > reach), "paths")
+        # the ways of one child meet in one task, with the known pairs that they may find again; these are joined with nothing
+        ways = tips.select("child", F.col("parent").alias("via"), F.lit(None).cast(tips.schema["parent"].dataType).alias("known"), "depth")
+        again = paths.join(ends, "parent", "left_semi").select("child", F.col("child").alias("via"), F.col("parent").alias("known"), "depth")
+        a, b = ways.unionByName(again).repartition("child").alias("a"), above.alias("b")
+        on = a.join(b, F.col("a.known").isNull() & (F.col("a.via") == F.col("b.child")), "left")
+        met = on.select("a.child", F.coalesce("a.known", "b.parent").alias("parent"), (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth")).where("parent IS NOT NULL")
+        last = saved(met.groupBy("child", "parent").agg(F.min("depth").alias("depth")).where(F.col("depth") > reach), "paths")
         paths, reach = paths.unionByName(last), 2 * reach
     raise ValueError(f"no end after {most_rounds} doublings")
 
